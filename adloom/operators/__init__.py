@@ -1,0 +1 @@
+"""Operators of the click-through-rate warehouse."""

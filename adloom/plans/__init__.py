@@ -1,0 +1 @@
+"""Plans of the click-through-rate warehouse."""

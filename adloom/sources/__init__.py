@@ -1,0 +1 @@
+"""Sources of the click-through-rate warehouse."""

@@ -1,0 +1 @@
+"""Streaming of the click-through-rate warehouse."""
