@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes the package known to Python workers that can't import it from where they run, once a session."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in map(os.path.abspath, filter(None, known)) or getattr(context, "_adloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-adloom-")
+    context.addPyFile(shutil.make_archive(f"{folder}/adloom", "zip", root, "adloom"))
+    context._adloom_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

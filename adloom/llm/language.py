@@ -180,8 +180,9 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Classifier:
 
 
 def identify(docs: DataFrame, learned: Classifier, keep: list[str | Column]) -> DataFrame:
-    """The columns `keep` of docs (text, ...) with lang_pred string and score double. The text alone decides."""
-    own = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    """The columns `keep` of docs (text, ...) with lang_pred string and score double, in place of any columns of these names. The text
+    alone decides."""
+    own = docs.select(*keep, F.col("text").cast("string").alias("_text")).drop("lang_pred", "score")
     names = own.columns[:-1]
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema

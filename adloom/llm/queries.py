@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from adloom.llm import bpe, chat, imatch, language, neighbours, packing, pii, simhash, substrings, warc
-from adloom.llm.common import struct_of
+from adloom.llm.common import ship
 
 #: The key under which the registered queries permute personal data. A deployment passes its own.
 KEY = "adloom-demonstration-key"
@@ -24,6 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm import language, packing, pii, simhash, substrings
 from adloom.llm.common import new_path
-from adloom.llm.queries import KEY, tokenizer_file
+from adloom.llm.queries import KEY, table, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Each stage is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         path = new_path(spark, f"stage{i}")

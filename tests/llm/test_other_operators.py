@@ -1,0 +1,318 @@
+"""Neighbours, pseudonyms, chats, packing, archives and the pipeline against plain Python."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from adloom.llm import chat, neighbours, packing, pii, warc
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_neighbours_reach_the_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
+    ids = np.array([r.vec_id for r in rows.orderBy("vec_id").select("vec_id").collect()])
+    got = {}
+    for r in neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = []
+    for q, found in got.items():
+        found.sort()
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits.append(len({v for _, v, _ in found} & set(ids[np.lexsort((ids, d))[:10]])) / 10)
+        assert [k for k, _, _ in found] == list(range(1, 11))
+        assert all(s == d[ids == v][0] for _, v, s in found)
+    assert len(got) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.9
+
+
+def test_neighbours_of_edge_cases(spark):
+    v = [1.0, 0.0]
+    rows = [(1, v), (2, v), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, v), (9, v), (10, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df, df.where("vec_id = 1"), 10).collect()}
+    assert got == {(1, 1, 2, 0.0), (1, 2, 9, 0.0)}
+    assert neighbours.nearest(df, df.where("vec_id = 3"), 10).count() == 0
+    assert neighbours.nearest(df.limit(0), df, 10).count() == 0
+
+
+def test_neighbours_in_one_hot_list(spark, monkeypatch):
+    """More copies of one vector than a block holds: the ten smallest ids are the nearest."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    df = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: sorted(v) for q, v in got.items()} == {0: list(range(1, 11)), 50: list(range(10))}
+
+
+KEY = "k"
+
+
+def feistel(left, right, m_left, m_right, kind):
+    for i in range(pii.ROUNDS):
+        half = right if i % 2 == 0 else left
+        digest = int(hashlib.sha256(f"{KEY}|{kind}|{i}|{half}".encode()).hexdigest()[:14], 16)
+        if i % 2 == 0:
+            left = (left + digest) % m_left
+        else:
+            right = (right + digest) % m_right
+    return left, right
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_card(digits):
+    n = len(digits)
+    low = (n - 2) // 2
+    a, b = feistel(int(digits[1 : 1 + low]), int(digits[1 + low : -1]), 10**low, 10 ** (n - 2 - low), "card")
+    body = f"{digits[0]}{a:0{low}d}{b:0{n - 2 - low}d}"
+    return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def pseudonyms(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_private) for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_are_those_of_plain_python(spark):
+    cards = ["4111111111111111", "378282246310005", "6011000990139424"]
+    phones = ["+1 (017) 555-7713", "(212) 555-0100", "212-555-0100"]
+    ips = ["97.51.17.173", "0.0.0.0", "255.255.255.255"]
+    got = [t for t, _ in pseudonyms(spark, [f"see {x} now" for x in cards + phones + ips])]
+    for card, text in zip(cards, got):
+        assert text == f"see {plain_card(card)} now" and luhn(re.sub("[^0-9]", "", text))
+    for phone, text in zip(phones, got[3:]):
+        digits = re.sub("[^0-9]", "", phone)
+        a, b = feistel(int(digits[-10:-5]), int(digits[-5:]), 100_000, 100_000, "phone")
+        new = iter(f"{digits[:-10]}{a:05d}{b:05d}")
+        assert text == f"see {''.join(next(new) if c.isdigit() else c for c in phone)} now"
+    for ip, text in zip(ips, got[6:]):
+        p = [int(x) for x in ip.split(".")]
+        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        assert text == f"see {a // 256}.{a % 256}.{b // 256}.{b % 256} now"
+
+
+def test_dates_and_numbers_are_permuted_within_their_format(spark):
+    days = [f"19{80 + i // 300:02d}-{1 + i // 28 % 12:02d}-{1 + i % 28:02d}" for i in range(0, 900)]
+    df = spark.createDataFrame([(d,) for d in days], "text string")
+    got = [r.text for r in pii.pseudonymise(df, KEY).collect()]
+    assert len(set(got)) == len(set(days)) and all(re.fullmatch(r"(19|20)\d\d-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])", d) for d in got)
+    texts = [t for t, _ in pseudonyms(spark, ["12/31/1999", "31.12.1999", "31/12/1999", "123-45-6789", "000-45-6789", "666-45-6789", "1999-13-45", "300.1.1.1", "4111111111111112"])]
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", texts[0]) and texts[0] != "12/31/1999" and re.fullmatch(r"\d\d\.\d\d\.\d{4}", texts[1]) and texts[2] != "31/12/1999"
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", texts[3]) and texts[3] != "123-45-6789"
+    assert texts[4:] == ["000-45-6789", "666-45-6789", "1999-13-45", "300.1.1.1", "4111111111111112"]
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(21 * 487).select(pii.feistel(F.floor(F.col("id") / 487), F.col("id") % 487, 21, 487, KEY, "date").alias("p"))
+    assert df.select("p.l", "p.r").distinct().count() == 21 * 487
+    assert df.where("p.l < 0 or p.l >= 21 or p.r < 0 or p.r >= 487").count() == 0
+
+
+def test_pseudonyms_of_edge_cases(spark):
+    long = "word " * 40_000
+    texts = [None, "", "nothing here, version 2.0 of 1234", f"{long} ann.b@mail.example.com {long}", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and password=e3b3ed3cc8548923d6', "ann.b@mail.example.com", "4111 1111 1111 1111", "1246187892706766", "ask und.34@mail7.example.com."]
+    got = pseudonyms(spark, texts)
+    assert got[:3] == [(None, 0), ("", 0), (texts[2], 0)]
+    assert got[3][1] == 1 and got[5][0] in got[3][0] and "ann.b" not in got[3][0]
+    assert got[4][1] == 2 and "04dbebab" not in got[4][0] and re.fullmatch(r'token = "[0-9a-f]{40}" and password=[0-9a-f]{18}', got[4][0])
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", got[6][0]) and got[6][0].replace(" ", "") == plain_card("4111111111111111")
+    assert got[8][0].endswith(".example.")
+    df = spark.createDataFrame([(1, "x", "a@b.example")], "n_private long, extra string, text string")
+    assert pii.pseudonymise(df, KEY).columns == ["extra", "text", "n_private"]
+    assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+CONTROL = ["<|im_start|>", "<|im_end|>\n", "<|", "<\\|", "<\\\\|", "|>", "<", "\\", "|", "\n", "user", "</s>[INST] ok [/INST]", "中", ""]
+
+
+def test_chats_come_back_whatever_they_say(spark):
+    rng = random.Random(5)
+    rows = [(c, t, "".join(rng.choices(["user", "assistant", "a\nb", "\\n", "<|im_end|>\n", "\\"], k=rng.randint(0, 2))), "".join(rng.choices(CONTROL, k=rng.randint(0, 6)))) for c in range(300) for t in range(3)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = got.withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    source = {}
+    for c, t, role, text in rows:
+        source.setdefault(c, []).append((role, text))
+    assert len(got) == 300
+    for r in got:
+        assert r.identical and [(b.role, b.text) for b in r.back] == source[r.conv_id]
+        assert r.loss == "".join(text for role, text in source[r.conv_id] if role == "assistant")
+
+
+def test_chats_of_edge_cases(spark):
+    rows = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, "assistant", "x" * 100_000), (2, 1, "system", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).withColumn("turns", F.lit(2))
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert all(r.identical and r.escaped_turns == 0 for r in got.values())
+    assert got[1].formatted == "<|im_start|>\n<|im_end|>\n" + "<|im_start|>user\na<|im_end|>\n" * 2
+    assert got[2].loss_spans[0].length == 100_000 and got[None].formatted == "<|im_start|>assistant\nb<|im_end|>\n"
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def word_file():
+    import public_tokenizers as P
+
+    return P.path("word_bpe_49k.json")
+
+
+def library_ids(path, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_holds_every_token_once(spark, word_file):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = packing.pack(docs, word_file, 512, 1).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = 0
+    for doc_id, ids in zip(texts, library_ids(word_file, list(texts.values()))):
+        ids = [*ids, 1]
+        total += len(ids)
+        assert sorted(by_doc[doc_id]) == [(i, at, len(ids[at : at + 512]), zlib.crc32(np.array(ids[at : at + 512], "<u4").tobytes())) for i, at in enumerate(range(0, len(ids), 512))]
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    lengths = [r.length for r in rows]
+    assert sum(lengths) == total
+    assert len(by_sequence) <= packing.lower_bound({x: lengths.count(x) for x in lengths}, 512) + 1
+
+
+def least_bins(sizes, capacity):
+    """By trying all ways to put each piece in turn."""
+    best = len(sizes)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(sizes):
+            best = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= sizes[i]:
+                go(i + 1, room[:j] + (room[j] - sizes[i],) + room[j + 1 :])
+        go(i + 1, (*room, capacity - sizes[i]))
+
+    go(0, ())
+    return best
+
+
+def test_plans_are_least(spark):
+    rng = random.Random(11)
+    for _ in range(60):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        counts = {x: sizes.count(x) for x in sizes}
+        plan = packing.plan(counts, 20)
+        used = {}
+        for pattern, times in plan:
+            assert sum(x * n for x, n in pattern) <= 20
+            for x, n in pattern:
+                used[x] = used.get(x, 0) + n * times
+        assert used == counts and sum(n for _, n in plan) == least_bins(sizes, 20)
+
+
+def test_word_encoder_is_the_tokenizer(word_file):
+    texts = ["The cat, the CAT. the cat!", "", " \n", "don't we'll x y", "İstanbul ΣΣ. straße, Été", "<|endoftext|> a", "a...b ,,, %%%. x,", "été, ñ", "中文。 12,345.", "\x1c x\x85y", "ʰa ẞ."]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordEncoder(word_file).encode(texts)]
+    assert got == library_ids(word_file, texts)
+
+
+def test_packing_of_edge_cases(spark, word_file):
+    rows = [(1, None), (1, None), (None, ""), (2, "word " * 9000), (3, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(1)).withColumn("task", F.lit("x"))
+    got = packing.pack(df, word_file, 4096, 1).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in got) == [(0, 0, 1), (1, 0, 1), (1, 0, 1), (2, 0, 4096), (2, 1, 4096), (2, 2, 809), (3, 0, 3)]
+    assert packing.pack(df.limit(0), word_file).count() == 0
+    assert packing.pack(df.where("text is null"), word_file, 4096, None).count() == 0
+
+
+def test_archives_are_read_back(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    more = pages.where("page_id < 20").select((F.col("page_id") + 10_000).alias("page_id"), "url", "html")
+    both = pages.unionByName(more).unionByName(spark.createDataFrame([(-5, "http://x/\r\ny", "a\r\n\r\nWARC/1.1\r\n"), (-6, None, None), (-7, None, "")], "page_id long, url string, html string"))
+    source = {r.page_id: r.html or "" for r in both.collect()}
+    largest = {}
+    for i, html in source.items():
+        largest[html] = max(i, largest.get(html, i))
+    got = {r.page_id: r for r in warc.summary(spark, warc.archive(both)).collect()}
+    assert set(got) == set(source)
+    for i, html in source.items():
+        data, r = html.encode(), got[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if largest[html] == i else ("revisit", largest[html]))
+
+
+def test_archive_filters_are_pushed_down(spark):
+    rows = [(1, "http://a/1", "same"), (2, "http://b/2", "same"), (3, "http://a/3", "other"), (None, "http://a/n", "same")]
+    path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(0)))
+    df = warc.read(spark, path)
+    assert df.count() == 4 and df.where("record_type = 'response'").count() == 2
+    assert [r.target_uri for r in df.where("target_uri like 'http://b%'").collect()] == ["http://b/2"]
+    assert df.where("record_type in ('revisit', 'x') and payload_bytes = 4").count() == 2
+    assert {r.payload for r in warc.read(spark, path, payload=False).collect()} == {None}
+    plan = df.where("record_type = 'response'")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bFilter \(", plan)
+    none = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.summary(spark, none).count() == 0
+
+
+def test_small_payloads_are_always_responses(spark):
+    rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
+    path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=3)
+    assert {(r.page_id, r.record_type) for r in warc.summary(spark, path).collect()} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
+
+
+def test_pipeline_stages(spark):
+    """Each stage works on what the one before kept, and its rows are those of plain Python where that is short to say."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = [(90_001, None, None, "s", 0), (90_002, "12 34 56", "en", "s", 8), (90_003, "", None, "s", 0), (None, "Nobody has an id here and yet it is a text.", "en", "s", 40)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    path = __import__("tempfile").mkdtemp(prefix="spark-")
+    columns = docs.columns
+    seen = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, DATA)
+        docs.write.parquet(f"{path}/{i}")
+        docs = spark.read.parquet(f"{path}/{i}")
+        if i < 4:
+            assert docs.columns == columns
+        seen.append(docs)
+    ids = lambda df: {r[0] for r in df.select("doc_id").collect()}
+    assert not ids(seen[0]) & {90_001, 90_002, 90_003} and None in ids(seen[0])
+    texts = {r.doc_id: r.text for r in seen[0].collect()}
+    kept = {r.doc_id: r.text for r in seen[1].collect()}
+    assert set(kept) <= set(texts) and len(set(kept.values())) == len(kept) and set(kept.values()) <= set(texts.values())
+    private = re.compile(r"mail\d+\.example\.com|token = \"[0-9a-f]{40}\"")
+    before, after = {r.doc_id: r.text for r in seen[2].collect()}, {r.doc_id: r.text for r in seen[3].collect()}
+    assert set(before) == set(after)
+    for i, text in before.items():
+        assert not re.search(r"@mail\d+\.example\.com", after[i])
+        if not private.search(text) and not re.search(r"\d{7}|\d\.\d+\.\d|\d{3}-\d{4}|password", text):
+            assert after[i] == text
+    assert {r[0] for r in seen[4].select("doc_id").collect()} == set(after)
+    assert corpus_pipeline.run(spark, DATA).count() > 0 and list(itertools.islice(corpus_pipeline.STAGES, 1))
