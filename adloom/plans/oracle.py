@@ -217,7 +217,7 @@ VIEWS["drift"] = f"""SELECT *, fact_rows - previous_fact_rows AS fact_row_delta,
  FROM (SELECT batch_id, batch_name, source_type, sample_scale, {_join(BEFORE[2:])}, {_join(f"lag({c}) OVER {WB} AS previous_{c}" for c in BEFORE)} FROM base)"""
 # --- models ---
 VIEWS["models"] = "SELECT s_suppkey AS model_id, CASE WHEN s_suppkey % 4 = 0 THEN 'ctr_logistic_regression' ELSE concat('model_', CAST(s_suppkey % 4 AS VARCHAR)) END AS model_name, concat('v', CAST(s_suppkey AS VARCHAR)) AS model_version, CASE WHEN s_suppkey % 5 = 4 THEN 'TRAINING' ELSE 'READY' END AS model_status, s_suppkey < 4 AS is_active_canonical, CASE WHEN s_suppkey < 4 THEN DATE '2024-01-01' END AS canonical_promoted_at, CASE WHEN s_suppkey < 4 THEN concat('note ', CAST(s_suppkey AS VARCHAR)) END AS canonical_promotion_note FROM supplier"
-VIEWS["truns"] = "SELECT o_orderkey AS training_run_id, o_custkey % 10 AS model_id, CASE o_orderstatus WHEN 'O' THEN 'SUCCESS' WHEN 'F' THEN 'FAILED' ELSE 'RUNNING' END AS run_status, CASE WHEN o_orderkey % 17 = 0 THEN 'canonical_1m_batch' ELSE concat('batch_', CAST(o_custkey % 30 + 1 AS VARCHAR)) END AS train_batch_name, o_orderkey * 37 % 900000 AS rows_trained, o_orderkey * 7 % 90000 AS rows_validated, o_orderkey * 5 % 90000 AS rows_tested, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS completed_at FROM orders"
+VIEWS["truns"] = "SELECT o_orderkey AS training_run_id, o_custkey % 10 AS model_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' ELSE 'SUCCESS' END AS run_status, CASE WHEN o_orderkey % 17 = 0 THEN 'canonical_1m_batch' ELSE concat('batch_', CAST(o_custkey % 30 + 1 AS VARCHAR)) END AS train_batch_name, o_orderkey * 37 % 900000 AS rows_trained, o_orderkey * 7 % 90000 AS rows_validated, o_orderkey * 5 % 90000 AS rows_tested, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS completed_at FROM orders"
 
 
 def metric(base: str, k: int, n: int, by: str) -> str:

@@ -20,7 +20,8 @@ LOOKUP = features.split_lookup(features.parse_days("1,2,3,4,5"), features.parse_
 
 
 class Frames:
-    """The tables of one scale, built when a query first asks for them."""
+    """The tables of one scale, built when a query first asks for them. Staging and the split feature store, which many operators read, are
+    written as tables, as the layers of a warehouse are."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -34,7 +35,7 @@ class Frames:
         return f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     imp = cached_property(lambda s: s.of(binding.impressions))
-    stg = cached_property(lambda s: staging.build(s.imp))
+    stg = cached_property(lambda s: saved(staging.build(s.imp), "staging"))
     days = cached_property(lambda s: warehouse.dim_event_day(s.stg))
     fact = cached_property(lambda s: warehouse.fact_ad_events(s.stg, s.days))
     b_overall = cached_property(lambda s: marts.batch_overall(s.fact))
@@ -55,8 +56,8 @@ class Frames:
     r_low = cached_property(lambda s: ranked.low_performing_segments(s.b_feature, s.b_bucket, s.b_inter, s.b_overall, LEAST, LEAST_PAIR, -0.05, -0.02, HIGH, MEDIUM, MEDIUM_BUCKET))
     r_lift = cached_property(lambda s: ranked.lift_ranked(s.b_feature, s.b_bucket, s.b_overall, HIGH, MEDIUM, MEDIUM_BUCKET))
     r_inter = cached_property(lambda s: ranked.interaction_ranked(s.b_inter, s.b_overall, HIGH, MEDIUM))
-    store = cached_property(lambda s: features.feature_store(s.stg, s.m_bucket, s.m_feature, s.m_overall))
-    split = cached_property(lambda s: features.with_split(s.store, LOOKUP))
+    store = cached_property(lambda s: features.feature_store(s.stg, saved(s.m_bucket, "buckets"), saved(s.m_feature, "values"), saved(s.m_overall, "overall")))
+    split = cached_property(lambda s: saved(features.with_split(s.store, LOOKUP), "split"))
     train_rows = cached_property(lambda s: s.split.where("dataset_split = 'train'"))
     enc = cached_property(lambda s: saved(features.encodings(s.train_rows), "encodings"))
     total = cached_property(lambda s: saved(features.global_ctr(s.train_rows), "global"))
@@ -230,22 +231,23 @@ add("s22_batch_states", lambda f: tables.batch_states(f.of(binding.batch_log)),
 E = "event_id"
 
 
-def scalar(name: str, columns: dict[str, Column], sql: str) -> None:
-    add(name, lambda f: f.imp.select(E, *(c.alias(n) for n, c in columns.items())), f"SELECT event_id, {sql} FROM imp")
+def scalar(name: str, columns: Callable[[], dict[str, Column]], sql: str) -> None:
+    add(name, lambda f: f.imp.select(E, *(c.alias(n) for n, c in columns().items())), f"SELECT event_id, {sql} FROM imp")
 
 
-scalar("p1_label", {"label": X.clean_label(F.nullif(F.col("label"), F.lit(0)))}, "label")
-scalar("p2_numeric_fill", {c: X.fill_numeric(c) for c in NUMERIC}, J(f"coalesce({c}, 0) AS {c}" for c in NUMERIC))
-scalar("p3_categorical_fill", {c: X.fill_categorical(c) for c in CATEGORICAL}, J(f"coalesce(nullif({c}, ''), 'unknown') AS {c}" for c in CATEGORICAL))
-scalar("p4_missing_numeric", {"missing_numeric_count": X.missing_numeric(NUMERIC)}, f"{O.MISSING_N} AS missing_numeric_count")
-scalar("p5_missing_categorical", {"missing_categorical_count": X.missing_categorical(CATEGORICAL)}, f"{O.MISSING_C} AS missing_categorical_count")
-scalar("p6_event_batch", {"event_batch": X.event_batch("source_file")}, "CASE WHEN source_file LIKE '%100k%' THEN '100k' WHEN source_file LIKE '%1m%' THEN '1m' WHEN source_file LIKE '%5m%' THEN '5m' ELSE 'full' END AS event_batch")
+scalar("p1_label", lambda: {"label": X.clean_label(F.nullif(F.col("label"), F.lit(0)))}, "label")
+scalar("p2_numeric_fill", lambda: {c: X.fill_numeric(c) for c in NUMERIC}, J(f"coalesce({c}, 0) AS {c}" for c in NUMERIC))
+scalar("p3_categorical_fill", lambda: {c: X.fill_categorical(c) for c in CATEGORICAL}, J(f"coalesce(nullif({c}, ''), 'unknown') AS {c}" for c in CATEGORICAL))
+scalar("p4_missing_numeric", lambda: {"missing_numeric_count": X.missing_numeric(NUMERIC)}, f"{O.MISSING_N} AS missing_numeric_count")
+scalar("p5_missing_categorical", lambda: {"missing_categorical_count": X.missing_categorical(CATEGORICAL)}, f"{O.MISSING_C} AS missing_categorical_count")
+scalar("p6_event_batch", lambda: {"event_batch": X.event_batch("source_file")}, "CASE WHEN source_file LIKE '%100k%' THEN '100k' WHEN source_file LIKE '%1m%' THEN '1m' WHEN source_file LIKE '%5m%' THEN '5m' ELSE 'full' END AS event_batch")
 add("p8_staging", lambda f: f.stg, f"SELECT {STG} FROM stg")
 add("p9_hash_event_day", lambda f: staging.hashed(f.imp).select("raw_event_id", "event_day_number"))
-scalar("p10_bucket_code", {f"{c}_bucket_code": X.bucket_code(X.fill_numeric(c)) for c in NUMERIC}, J(f"{O.bucket(f'coalesce({c}, 0)')} AS {c}_bucket_code" for c in NUMERIC))
-scalar("p11_log_scale", {f"{c}_log_scale": F.round(X.log_scale(X.fill_numeric(c)), 9) for c in NUMERIC}, J(f"round(ln(1 + greatest(coalesce({c}, 0), 0)), 9) AS {c}_log_scale" for c in NUMERIC))
+scalar("p10_bucket_code", lambda: {f"{c}_bucket_code": X.bucket_code(X.fill_numeric(c)) for c in NUMERIC}, J(f"{O.bucket(f'coalesce({c}, 0)')} AS {c}_bucket_code" for c in NUMERIC))
+scalar("p11_log_scale", lambda: {f"{c}_log_scale": F.round(X.log_scale(X.fill_numeric(c)), 9) for c in NUMERIC}, J(f"round(ln(1 + greatest(coalesce({c}, 0), 0)), 9) AS {c}_log_scale" for c in NUMERIC))
 add("p19_durations", lambda f: f.reg.select("batch_id", X.duration_s("created_at", "completed_at", F.lit(O.AS_OF).cast("timestamp_ntz")).alias("duration_seconds")), f"SELECT batch_id, round((epoch_us(coalesce(completed_at, TIMESTAMP '{O.AS_OF}')) - epoch_us(created_at)) / 1e6, 3) AS duration_seconds FROM reg")
-scalar("p21_threshold_predicates", {"listed": F.col("i3").isin(1, 2, 3), "inside": F.col("i4").between(1, 10), "outside": ~F.col("i5").between(1, 10), "differs": F.col("label") != 1, "absent": F.col("i2").isNull()}, "i3 IN (1, 2, 3) AS listed, i4 BETWEEN 1 AND 10 AS inside, i5 NOT BETWEEN 1 AND 10 AS outside, label <> 1 AS differs, i2 IS NULL AS absent")
+PREDICATES = {"listed": ("i3 IN (1, 2, 3)", lambda: F.col("i3").isin(1, 2, 3)), "inside": ("i4 BETWEEN 1 AND 10", lambda: F.col("i4").between(1, 10)), "outside": ("i5 NOT BETWEEN 1 AND 10", lambda: ~F.col("i5").between(1, 10)), "differs": ("label <> 1", lambda: F.col("label") != 1), "absent": ("i2 IS NULL", lambda: F.col("i2").isNull())}
+scalar("p21_threshold_predicates", lambda: {n: F.coalesce(make().cast("int"), F.lit(-1)) for n, (_, make) in PREDICATES.items()}, J(f"coalesce(CAST({sql} AS INT), -1) AS {n}" for n, (sql, _) in PREDICATES.items()))
 add("p22_batch_filter", lambda f: f.imp.where("batch_id = 2").select("event_id", "batch_id", "source_file"), "SELECT event_id, batch_id, source_file FROM imp WHERE batch_id = 2")
 add("p23_json_payload", lambda f: f.truns.select("training_run_id", F.to_json(F.struct("rows_trained", "train_batch_name")).alias("payload"), F.from_json(F.to_json(F.array("train_batch_name", "run_status")), "array<string>")[1].alias("second")), """SELECT training_run_id, concat('{"rows_trained":', rows_trained, ',"train_batch_name":"', train_batch_name, '"}') AS payload, run_status AS second FROM truns""")
 
@@ -310,7 +312,7 @@ LIMITS = "(VALUES ('c22', 0.80e0, 0.90e0), ('c19', 0.50e0, 0.65e0), ('c20', 0.50
 
 
 def _result(layer: str, table: str, name: str, kind: str, ok: str, actual: str, expected: str, message: str, source: str) -> str:
-    return f"SELECT '{layer}' AS layer_name, '{table}' AS table_name, '{name}' AS check_name, '{kind}' AS check_type, 'error' AS severity, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS check_status, CAST({actual} AS VARCHAR) AS actual_value, CAST({expected} AS VARCHAR) AS expected_value, CAST(NULL AS VARCHAR) AS threshold_value, '{message}' AS check_message FROM {source}"
+    return f"SELECT '{layer}' AS layer_name, '{table}' AS table_name, '{name}' AS check_name, '{kind}' AS check_type, 'error' AS severity, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS check_status, CAST({actual} AS VARCHAR) AS actual_value, CAST({expected} AS VARCHAR) AS expected_value, CAST(NULL AS VARCHAR) AS threshold_value, '{message}' AS check_message FROM {source} HAVING count(*) >= 0"
 
 
 def six(c: str) -> str:
@@ -407,7 +409,7 @@ add("o4_benchmark_summary", lambda f: f.bench, "SELECT * FROM bench")
 add("o5_health", lambda f: f.health, "SELECT * FROM health")
 add("o6_runtime_trend", lambda f: f.trend, "SELECT * FROM trend")
 add("o7_scale_comparison", lambda f: ops.scale_comparison(f.bench, f.reg), f"SELECT b.batch_id, n.batch_name, n.sample_scale, n.source_type, b.benchmark_name, b.layer_name, b.object_name, b.row_count, b.duration_seconds, b.rows_per_second, b.storage_mb, b.recorded_at, n.completed_at FROM bench b JOIN ({O.newest('reg', 'sample_scale', 'completed_at DESC NULLS LAST, batch_id DESC')}) n USING (batch_id)")
-add("o8_stage_benchmarks", lambda f: ops.stage_benchmarks(f.runsum, f.reg), "SELECT s.batch_id, s.pipeline_run_id, 'pipeline_stage_runtime' AS benchmark_name, s.layer_name, s.pipeline_name AS object_name, r.expected_row_count AS row_count, s.duration_seconds, CASE WHEN s.duration_seconds > 0 THEN round(r.expected_row_count / s.duration_seconds, 3) END AS rows_per_second FROM runsum s JOIN reg r USING (batch_id) WHERE run_status = 'SUCCESS'")
+add("o8_stage_benchmarks", lambda f: ops.stage_benchmarks(f.runsum, f.reg), "SELECT s.batch_id, s.pipeline_run_id, 'pipeline_stage_runtime' AS benchmark_name, s.layer_name, s.pipeline_name AS object_name, r.expected_row_count AS row_count, s.duration_seconds, CASE WHEN s.duration_seconds > 0 THEN CAST(round(CAST(r.expected_row_count / s.duration_seconds AS DECIMAL(18, 9)), 3) AS DOUBLE) END AS rows_per_second FROM runsum s JOIN reg r USING (batch_id) WHERE run_status = 'SUCCESS'")
 add("o9_layer_counts", lambda f: ops.layer_counts({"raw": f.imp, "staging": f.stg, "warehouse": f.fact, "feature_store": f.store}), " UNION ALL ".join(f"SELECT '{n}' AS layer_name, batch_id, count(*) AS row_count FROM {t} GROUP BY batch_id" for n, t in (("raw", "imp"), ("staging", "stg"), ("warehouse", "fact"), ("feature_store", "store"))))
 add("o11_kpis", lambda f: ops.kpis(f.health, f.trend), f"SELECT h.*, t.* FROM (SELECT sum(total_stage_runtime_seconds) AS total_stage_runtime, max(slowest_stage_runtime_seconds) AS slowest_stage_runtime, {J(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('total_quality_checks', 'passed_quality_checks', 'failed_quality_checks', 'warning_quality_checks', 'total_alerts', 'error_alerts', 'warning_alerts'))}, max(batch_elapsed_seconds) AS max_batch_elapsed_seconds, coalesce({O.ratio('sum(passed_quality_checks)', 'sum(total_quality_checks)')}, 0) AS quality_pass_rate FROM health) h, (SELECT round(avg(duration_seconds), 6) AS avg_stage_runtime, max(duration_seconds) AS max_stage_runtime, CAST(sum(row_count) AS BIGINT) AS rows_processed, round(avg(rows_per_second), 6) AS avg_rows_per_second FROM trend) t")
 add("o12_page_extract", lambda f: f.health.select("batch_id", "batch_name", "source_file", "sample_scale", "batch_status", "batch_elapsed_seconds", "total_quality_checks", "failed_quality_checks", "total_alerts", "total_stage_runtime_seconds").orderBy(F.desc("batch_id")), "SELECT batch_id, batch_name, source_file, sample_scale, batch_status, batch_elapsed_seconds, total_quality_checks, failed_quality_checks, total_alerts, total_stage_runtime_seconds FROM health")
@@ -427,7 +429,8 @@ add("f4_apply_encodings", lambda f: features.apply_encodings(f.split, f.enc, f.t
 add("f5_support_logs", lambda f: f.store.select("raw_event_id", *(F.round(features.aggregates()[f"{c}_log1p"], 8).alias(f"{c}_log1p") for c in features.SUPPORT)), f"SELECT raw_event_id, {J(f'round(ln(1 + greatest({c}, 0)), 8) AS {c}_log1p' for c in features.SUPPORT)} FROM store")
 add("f8_aggregates", lambda f: f.store.select("raw_event_id", *(F.round(features.aggregates()[n].cast("double"), 8).alias(n) for n in O.AGGS)), f"SELECT raw_event_id, {J(f'round(CAST({e} AS DOUBLE), 8) AS {n}' for n, e in O.AGGS.items())} FROM store")
 add("f9_numbers", lambda f: f.imp.select("event_id", features.number("c1").alias("c1_number"), features.number("i2").alias("i2_number")), "SELECT event_id, coalesce(TRY_CAST(c1 AS DOUBLE), 0) AS c1_number, CAST(coalesce(i2, 0) AS DOUBLE) AS i2_number FROM imp")
-add("f10_engineered", lambda f: features.engineered(f.split, f.enc, f.total, ["raw_event_id"]).select("raw_event_id", *(F.round(F.col(n).cast("double"), 3).alias(n) for n in ("i1", "bucket_lift_sum", "missing_ratio", "c22_enc_ctr", "i3_bucket_code_enc_log_count", "c1_feature_impressions_log1p"))), f"SELECT raw_event_id, CAST(i1 AS DOUBLE) AS i1, round({O.AGGS['bucket_lift_sum']}, 3) AS bucket_lift_sum, round({O.AGGS['missing_ratio']}, 3) AS missing_ratio, round(c22_enc_ctr, 3) AS c22_enc_ctr, round(i3_bucket_code_enc_log_count, 3) AS i3_bucket_code_enc_log_count, round(ln(1 + c1_feature_impressions), 3) AS c1_feature_impressions_log1p FROM encoded")
+FLOATS = {"i1": "i1", "bucket_lift_sum": O.AGGS["bucket_lift_sum"], "missing_ratio": O.AGGS["missing_ratio"], "c22_enc_ctr": "c22_enc_ctr", "i3_bucket_code_enc_log_count": "i3_bucket_code_enc_log_count", "c1_feature_impressions_log1p": "ln(1 + c1_feature_impressions)"}
+add("f10_engineered", lambda f: features.engineered(f.split, f.enc, f.total, ["raw_event_id"]).select("raw_event_id", *(F.round(F.col(n).cast("double"), 5).alias(n) for n in FLOATS)), f"SELECT raw_event_id, {J(f'round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 5) AS {n}' for n, e in FLOATS.items())} FROM encoded")
 SCALED = ["i1", "i2", "i3", "missing_numeric_count", "c22_ctr_lift", "overall_ctr"]
 add("f11_scaler", lambda f: features.scaler(f.train_rows, SCALED).select("column_name", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(sqrt(greatest(sum(CAST({c} AS DOUBLE) * {c}) / count(*) - avg({c}) * avg({c}), 1e-8)), 6) AS scale FROM split WHERE dataset_split = 'train'" for c in SCALED))
 add("f12_scaled", lambda f: features.scale(f.split.select("raw_event_id", *(F.col(c).cast("double").alias(c) for c in SCALED[:3])), saved(features.scaler(f.train_rows, SCALED[:3]), "scaler"), SCALED[:3]).select("raw_event_id", *(F.round(c, 6).alias(c) for c in SCALED[:3])), "SELECT raw_event_id, " + J(f"round((s.{c} - m.m_{c}) / m.s_{c}, 6) AS {c}" for c in SCALED[:3]) + " FROM split s, (SELECT " + J(f"avg({c}) AS m_{c}, sqrt(greatest(sum(CAST({c} AS DOUBLE) * {c}) / count(*) - avg({c}) * avg({c}), 1e-8)) AS s_{c}" for c in SCALED[:3]) + " FROM split WHERE dataset_split = 'train') m")
@@ -576,9 +579,7 @@ def _streamed(f: Frames) -> DataFrame:
     from adloom.streaming import intake
 
     inbox, store = f.path("inbox"), f.path("store")
-    rows = _file_rows(f).withColumn("batch_id", F.col("label") * 0 + 1)
     source = f.imp.select("batch_id", "label", *(F.col(c).alias(c.upper()) for c in NUMERIC), *(F.nullif(F.col(c), F.lit("")).alias(c.upper()) for c in CATEGORICAL))
-    del rows
     for i, part in enumerate((1, 2, 3, 2)):
         source.where(F.col("batch_id") == part).drop("batch_id").coalesce(1).write.option("header", True).csv(f"{inbox}/{i}")
     query = intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"))

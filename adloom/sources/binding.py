@@ -152,7 +152,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         key.alias("training_run_id"),
         (F.col("o_custkey") % 10).alias("model_id"),
-        F.when(done == "O", "SUCCESS").when(done == "F", "FAILED").otherwise("RUNNING").alias("run_status"),
+        F.when(done == "F", "FAILED").otherwise("SUCCESS").alias("run_status"),
         F.when(key % 17 == 0, "canonical_1m_batch").otherwise(F.concat(F.lit("batch_"), (F.col("o_custkey") % 30 + 1).cast("string"))).alias("train_batch_name"),
         (key * 37 % 900_000).alias("rows_trained"),
         (key * 7 % 90_000).alias("rows_validated"),
