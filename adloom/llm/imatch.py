@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of
+from adloom.llm.common import batch_of, shuffle_partitions, struct_of
 
 TERM = re.compile(r"\w+")
 #: Randomised lexicons.
@@ -40,13 +40,23 @@ def terms(text: str) -> list[str]:
     return sorted(set(TERM.findall(text.lower())))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[str]:
-    """The terms in the band, sorted. A term must also be in two documents.
+def term_hash(term: str) -> int:
+    """Terms are counted and looked up by this number, 64 bits."""
+    return xxhash.xxh64_intdigest(term)
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+    """The hashes of the terms in the band, sorted. A term must also be in two documents.
 
     Over n documents with d distinct terms each on average, at most d / band[0] terms can each be in a share band[0] of them, whatever
     n is: some hundred thousand. That bound is what allows the list to be collected and sent to every executor.
     """
-    out = struct_of("term string, n long")
+    out = struct_of("term long, n int")
+
+    def counted(counts: Counter[str]) -> pa.RecordBatch:
+        terms = np.fromiter(map(term_hash, counts), np.uint64, len(counts)).view(np.int64)
+        order = np.argsort(terms)
+        return batch_of({"term": terms[order], "n": np.fromiter(counts.values(), np.int32, len(counts))[order]}, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -54,23 +64,25 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[str]:
             for text in b.column(0):
                 counts.update(set(TERM.findall((text.as_py() or "").lower())))
                 if len(counts) >= HELD:
-                    yield batch_of({"term": list(counts), "n": list(counts.values())}, out)
+                    yield counted(counts)
                     counts.clear()
         if counts:
-            yield batch_of({"term": list(counts), "n": list(counts.values())}, out)
+            yield counted(counts)
 
     n = docs.count()
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, out).groupBy("term").agg(F.sum("n").alias("n"))
-    return sorted(r["term"] for r in counted.where(F.col("n").between(max(2, band[0] * n), band[1] * n)).select("term").collect())
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, out).groupBy("term").agg(F.sum("n").alias("n"))
+    found = sums.where(F.col("n").between(max(2, band[0] * n), band[1] * n)).select("term").collect()
+    return np.sort(np.array([r["term"] for r in found], np.int64).view(np.uint64))
 
 
 class Fingerprinter:
     """Hashes texts over the randomised lexicons."""
 
-    def __init__(self, words: list[str], lexicons: int = LEXICONS) -> None:
+    def __init__(self, words: np.ndarray, lexicons: int = LEXICONS) -> None:
+        """words: hashes of the lexicon's terms."""
         self.words = words
         self.seeds = np.array([xxhash.xxh64_intdigest(f"lexicon {i}") for i in range(lexicons)], np.uint64)
-        self.at: dict[str, int] | None = None
+        self.known: set[int] | None = None
 
     def _level(self, h: np.ndarray) -> np.ndarray:
         """For each term and lexicon, of the nested subsets the thinnest that holds the term: subset k holds 2**-k of all terms."""
@@ -85,19 +97,16 @@ class Fingerprinter:
         found = terms(text or "")
         if not found:
             return np.zeros(len(self.seeds), np.uint32)
-        if self.at is None:
-            self.at = {w: i for i, w in enumerate(self.words)}
-            self.hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
-        own = [i for t in found if (i := self.at.get(t)) is not None]
-        if own:
-            names, h = self.words, self.hash[own]
-        else:
-            names, own, h = found, range(len(found)), np.array([xxhash.xxh64_intdigest(t) for t in found], np.uint64)
+        if self.known is None:
+            self.known = set(self.words.tolist())
+        every = list(map(term_hash, found))
+        own = [i for i, x in enumerate(every) if x in self.known] or range(len(found))
+        h = np.array([every[i] for i in own], np.uint64)
         levels = self._level(h)
         term, place = np.nonzero((levels == levels.max(axis=0)).T)[::-1]
         kept: list[list[str]] = [[] for _ in self.seeds]
         for i, j in zip(term.tolist(), place.tolist()):
-            kept[j].append(names[own[i]])
+            kept[j].append(found[own[i]])
         return np.array([xxhash.xxh32_intdigest(" ".join(k)) for k in kept], np.uint32)
 
 
@@ -117,58 +126,48 @@ def compare(docs: DataFrame, band: tuple[float, float] = BAND, lexicons: int = L
     each text, that of the text with its last quarter replaced by the beginning of the next document's, and the likeness to the
     edited text's and to the next document's fingerprint. Documents are in ascending order of doc_id; after the last comes the first.
 
-    Texts are shuffled once, by ranges of doc_id. Each task passes over its range in order; the last row of a range waits for the
-    first row of the next range, and these few rows, two for each task, are finished afterwards.
+    Texts are shuffled once, by ranges of doc_id that are cut at quantiles. Each task passes over its ranges in order; the first row of
+    a range is also sent to the range before it, where it follows the last row. The driver gets the cuts and those first ids: a
+    few numbers for each task.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(Fingerprinter(lexicon(docs, band), lexicons))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    result = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    out = struct_of(f"{result}, part int, first boolean, text string")
+    parts = shuffle_partitions(spark)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    cuts = sorted({int(c) for c in texts.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts)})
+    place = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
+    texts = texts.withColumn("part", F.size(F.filter(place, lambda c: c <= F.col("key")))).withColumn("nth", F.xxhash64("text"))
+    # The quantiles are of rounded numbers, so where ranges begin is taken from the rows themselves.
+    firsts = texts.groupBy("part").agg(F.min("key").alias("key")).collect()
+    begin = sorted((r["part"], r["key"]) for r in firsts)
+    before = {k: p for (_, k), (p, _) in zip(begin[1:] + begin[:1], begin)}  # of a range's first id the range that it follows
+    follows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(p).alias("part")) for k, p in before.items()))
+    copies = texts.where(F.col("key").isin(list(before))).withColumn("to", F.explode(F.filter(follows, lambda f: f["key"] == F.col("key")))) if before else None
+    rows = texts.select("part", F.lit(0).alias("tail"), "key", "nth", "doc_id", "text")
+    if copies is not None:
+        rows = rows.unionByName(copies.select(F.col("to.part").alias("part"), F.lit(1).alias("tail"), "key", "nth", "doc_id", "text"))
+    rows = rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "tail", "key", "nth")
+    out = struct_of("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
     def finish(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
         changed = edited(text, following)
         other = own if changed == text else known.value.hashes(changed)
         return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.astype(">u4").tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(own, other), likeness(own, after)
 
-    def packed(found: list[tuple]) -> pa.RecordBatch:
-        return batch_of(dict(zip(out.fieldNames(), map(list, zip(*found)))), out)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, before = TaskContext.get().partitionId(), None
+        part, last = None, None  # last: the row that waits for the next
         for b in batches:
             found = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for p, tail, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+                if tail and (last is None or p != part):
+                    continue  # of several first rows with one id, the first follows
                 text = text.as_py()
                 own = known.value.hashes(text)
-                if before is None:
-                    found.append((doc_id, *[None] * 6, part, True, text))
-                else:
-                    found.append((*finish(*before, text, own), None, None, None))
-                before = doc_id, text, own
-            if found:
-                yield packed(found)
-        if before is not None:
-            yield packed([(before[0], *[None] * 6, part, False, before[1])])
-
-    done = saved(rows.mapInArrow(run, out), "imatch")
-    # A range's last row is followed by the first row of the next range that has rows. The driver gets the ranges' numbers.
-    ends = done.where("part is not null").select("part", "first", "doc_id", "text")
-    firsts = ends.where("first").select(F.col("part").alias("after"), F.col("text").alias("following"))
-    parts = sorted(r["after"] for r in firsts.select("after").collect())
-    order = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, after int")
-    lasts = ends.where("not first").join(order, "part").join(firsts, "after").select("doc_id", "text", "following")
-    final = struct_of(result)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for doc_id, text, following in zip(*(c.to_pylist() for c in b.columns)):
-                found.append(finish(doc_id, text, known.value.hashes(text), following, known.value.hashes(following)))
+                if last is not None:
+                    found.append(finish(*last, text, own))
+                part, last = p, None if tail else (doc_id, text, own)
             if found:
-                yield batch_of(dict(zip(final.fieldNames(), map(list, zip(*found)))), final)
+                yield batch_of(dict(zip(out.fieldNames(), map(list, zip(*found)))), out)
 
-    return done.where("part is null").select(*final.fieldNames()).unionByName(lasts.mapInArrow(close, final))
+    return rows.mapInArrow(run, out)
