@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +39,8 @@ Pattern = tuple[tuple[int, int], ...]  # length and how often, longest first
 
 
 class WordEncoder:
-    """A tokenizer file whose text is split at white space before anything else, so that words are encoded once and looked up after."""
+    """A tokenizer file whose text is split at white space, and letters from what isn't, before anything else. So each word is encoded once
+    and looked up after; a comma or full stop behind a word, and capitals of ASCII letters, don't make another word of it."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,19 +50,63 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.find = re.compile(r"[^ \n\r\t]+").findall
-
-    def encode(self, text: str) -> bytes:
-        """The ids, as little-endian unsigned 32-bit integers."""
-        words = self.find(text)
-        new = set(words).difference(self.known)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    @staticmethod
+    def base(word: str) -> str:
+        """The part of a word that is encoded: without one comma or full stop behind a letter, in lower case if it is ASCII."""
+        if word[-1] in ",." and word[-2:-1].isalpha():
+            word = word[:-1]
+        return word.lower() if word.isascii() else word
+
+    def _learn(self, bases: list[str]) -> None:
+        """Encodes words. Words of letters are one word to the tokenizer too, so many are encoded as one text and the ids cut behind each
+        token that ends a word; where the count shows that this isn't so, and for all other words, each is encoded by itself."""
+        plain = [w for w in bases if w.isalpha()]
+        alone = [w for w in bases if not w.isalpha()]
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                alone += group
+                continue
+            data = ids.tobytes()
+            for word, start, end in zip(group, [0, *ends], ends):
+                self.known[word] = data[start:end]
+        for word, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers. Texts are taken together, a million characters at a time."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= 1 << 20:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self.find(t) for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
         if len(new) + len(self.known) > MEMORY:
             self.known.clear()
-            new = set(words)
-        if new:
-            order = list(new)
-            for w, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            new = words
+        parts = {w: self.base(w) for w in new}
+        self._learn(list({*parts.values(), ",", "."}.difference(self.known)))
+        for word, base in parts.items():
+            if word not in self.known:
+                self.known[word] = self.known[base] + (self.known[word[-1]] if len(word) > len(base) else b"")
+        get = self.known.__getitem__
+        for i, own in enumerate(split):
+            split[i] = []
+            yield b"".join(map(get, own))
 
 
 @lru_cache(2)
@@ -82,8 +127,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int | None) -> Dat
         encoder, task, seen = word_encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             found: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(x.as_py() or "" for x in b.column(1))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
@@ -165,6 +210,21 @@ def _bound(counts: dict[int, int], capacity: int) -> int:
     return max(-(-sum(x * n for x, n in counts.items()) // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The best of the bounds that one gets by leaving out pieces shorter than some length a: pieces longer than capacity - a have a
+    sequence to themselves, others of over half one each, and what is left must go into the room beside those or into more."""
+    x = np.array(sorted(k for k, n in counts.items() if n), np.int64)
+    if not len(x):
+        return 0
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    best = _bound(counts, capacity)
+    for a in x[2 * x <= capacity].tolist():
+        alone, large, small = x > capacity - a, (x <= capacity - a) & (2 * x > capacity), (2 * x <= capacity) & (x >= a)
+        room = n[large].sum() * capacity - (n * x)[large].sum()
+        best = max(best, int(n[alone].sum() + n[large].sum() + max(0, -(-((n * x)[small].sum() - room) // capacity))))
+    return best
+
+
 def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     left, out = dict(counts), []
     order = sorted(left, reverse=True)
@@ -217,7 +277,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     out = _greedy(counts, capacity)
     total = sum(n for _, n in out)
     budget = [NODES]
-    if total > _bound(counts, capacity):
+    if total > lower_bound(counts, capacity):
         tail: list[Pattern] = []
         while out and len(tail) < TAIL:
             pattern, n = out.pop()
@@ -228,7 +288,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
         held: Counter[int] = Counter()
         for pattern in tail:
             held.update(dict(pattern))
-        while len(tail) > _bound(held, capacity) and (better := _search(dict(held), capacity, len(tail) - 1, budget)) is not None:
+        while len(tail) > lower_bound(held, capacity) and (better := _search(dict(held), capacity, len(tail) - 1, budget)) is not None:
             tail = better
         out += [(pattern, 1) for pattern in tail]
     return out
