@@ -16,6 +16,7 @@ import base64
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 
 #: Encoded words kept by a worker; beyond that it starts anew.
 MEMORY = 400_000
+#: Rows of a batch that are handled together.
+ROWS = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,38 +42,46 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of the token that a and b make together, or -1."""
-        rank = self.pairs.get((a, b))
-        if rank is None:
-            rank = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return rank
+        #: Of each token, the tokens that may follow it in a pair, with the rank of what the pair makes.
+        none: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [none] * (max(self.token, default=-1) + 1)
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    if self.after[a] is none:
+                        self.after[a] = {}
+                    self.after[a][b] = rank
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. A word that is a token as a whole is that token, by whatever merges it could be reached."""
         whole = [self.ranks.get(w) for w in words]
-        words = [b"" if r is not None else w for w, r in zip(words, whole)]
+        after, single = self.after, self.single
+        # All words one after another: ids, the neighbours of each position, and behind the last an id that pairs with nothing.
         ids: list[int] = []
-        starts: list[int] = []
-        single = self.single
-        for w in words:
-            starts.append(len(ids))
-            ids += [single[c] for c in w]
-        total = len(ids)
-        right, left = list(range(1, total + 1)), list(range(-1, total - 1))
-        ends = [*starts[1:], total]
-        for s, e in zip(starts, ends):
-            if s < e:
-                left[s] = -1
-                right[e - 1] = total
+        spans: list[tuple[int, int]] = []
         index: dict[int, list[int]] = {}
-        pair = self.pair
-        for s, e in zip(starts, ends):
-            for i in range(s, e - 1):
-                if (r := pair(ids[i], ids[i + 1])) >= 0:
-                    index.setdefault(r, []).append(i)
+        for w, r in zip(words, whole):
+            start = len(ids)
+            if r is None:
+                ids += [single[c] for c in w]
+            spans.append((start, len(ids)))
+        total = len(ids)
+        ids.append(-1)
+        right, left = list(range(1, total + 2)), list(range(-1, total))
+        for start, end in spans:
+            if start == end:
+                continue
+            left[start], right[end - 1] = -1, total
+            a = ids[start]
+            for i in range(start, end - 1):
+                b = ids[i + 1]
+                if (r := after[a].get(b)) is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                a = b
         ranks = list(index)
         heapq.heapify(ranks)
         while ranks:
@@ -78,39 +89,34 @@ class Vocabulary:
             at = index.pop(rank, None)
             if at is None:
                 continue
-            heapq.heapify(at)
-            lower = False
-            while at:
-                i = heapq.heappop(at)
-                j = right[i]
-                if ids[i] < 0 or j >= total or pair(ids[i], ids[j]) != rank:
+            at.sort()
+            follow, lower = after[rank], False
+            for n, i in enumerate(at):
+                a, j = ids[i], right[i]
+                if a < 0 or after[a].get(ids[j]) != rank:
                     continue  # a neighbour was merged meanwhile
-                ids[i], ids[j] = rank, -1
-                right[i] = k = right[j]
-                if k < total:
-                    left[k] = i
-                    if (r := pair(rank, ids[k])) >= 0:
-                        lower |= self._add(index, ranks, at, r, rank, i)
-                if (h := left[i]) >= 0 and (r := pair(ids[h], rank)) >= 0:
-                    lower |= self._add(index, ranks, at, r, rank, h)
-                if lower:
-                    if at:
-                        index.setdefault(rank, []).extend(at)
+                k, h = right[j], left[i]
+                ids[i], ids[j], right[i], left[k] = rank, -1, k, i
+                if (r := follow.get(ids[k])) is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        heapq.heappush(ranks, r)
+                    lower |= r < rank
+                if h >= 0 and (r := after[ids[h]].get(rank)) is not None:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        heapq.heappush(ranks, r)
+                    lower |= r < rank
+                if lower:  # a pair of lower rank has come up: it is next, and the rest of this rank waits
+                    if n + 1 < len(at):
+                        index[rank] = at[n + 1 :]
                         heapq.heappush(ranks, rank)
                     break
-        return [[x for x in ids[s:e] if x >= 0] if r is None else [r] for s, e, r in zip(starts, ends, whole)]
-
-    @staticmethod
-    def _add(index: dict[int, list[int]], ranks: list[int], at: list[int], r: int, rank: int, i: int) -> bool:
-        """Enters position i under rank r; true if r comes before the rank being replayed."""
-        if r == rank:
-            heapq.heappush(at, i)
-            return False
-        if r not in index:
-            index[r] = []
-            heapq.heappush(ranks, r)
-        index[r].append(i)
-        return r < rank
+        return [[x for x in ids[s:e] if x >= 0] if r is None else [r] for (s, e), r in zip(spans, whole)]
 
 
 class Encoder:
@@ -140,12 +146,11 @@ class Encoder:
         new = set().union(*split).difference(self.known)
         if len(new) + len(self.known) > MEMORY:
             self.known.clear()
-            self.words.pairs.clear()
             new = set().union(*split)
         if new:
             order = list(new)
             for w, ids in zip(order, self.words.encode([w.encode() for w in order])):
-                self.known[w] = np.array(ids, "<u4").tobytes()
+                self.known[w] = pack(f"<{len(ids)}I", *ids)
         get = self.known.__getitem__
         for i, words in enumerate(split):
             split[i] = []
@@ -164,14 +169,16 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _mapped(docs: DataFrame, keep: list[str | Column], source: Column, name: str, kind: T.DataType, run) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    own = docs.select(*keep, source.alias("_source"))
+    own = docs.select(*keep, source.alias("_source")).drop(name)  # a column of the result's name is replaced
     schema = T.StructType([*own.schema.fields[:-1], T.StructField(name, kind)])
     arrow = to_arrow_schema(schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            kept = [b.column(i).cast(f.type) for i, f in enumerate(list(arrow)[:-1])]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(run(b.column(b.num_columns - 1)), arrow.field(name).type)], schema=arrow)
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                kept = [b.column(i).cast(f.type) for i, f in enumerate(list(arrow)[:-1])]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(run(b.column(b.num_columns - 1)), arrow.field(name).type)], schema=arrow)
 
     return own.mapInArrow(batches, schema)
 
