@@ -28,15 +28,16 @@ from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of, wh
 #: Vectors the centroids are learned from, at most about.
 SAMPLE = 20_000
 #: Sample vectors to a centroid, at most; so there are at most 2 * SAMPLE / CELL centroids, whatever the table holds.
-CELL = 16
+CELL = 64
 #: Rows of a block of a posting list.
 BLOCK = 512
 #: Lists that a vector is put into at most, and how much farther than the nearest they may be.
-COPIES, COPY_RATIO = 4, 1.10
-#: Lists that a query searches at least and at most, and how much farther than the nearest they may be.
-LEAST, MOST, SEARCH_RATIO = 12, 64, 1.35
+COPIES, COPY_RATIO = 2, 1.03
+#: Lists that a query searches at least, and how much farther than the nearest others may be. Vectors without any clusters need
+#: about half of all lists for a recall of 0.95; the nearer a query's cluster is, the fewer lists are within the ratio.
+LEAST, SEARCH_RATIO = 64, 1.18
 #: Links of a centroid, and candidates that a search of the graph holds.
-LINKS, BEAM = 24, 96
+LINKS, BEAM = 24, 2 * SAMPLE // CELL
 
 
 def _halves(x: np.ndarray, rows: np.ndarray, cell: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -145,7 +146,7 @@ class Lists:
         out = []
         for row, dist in zip(ids, np.sqrt(d)):
             n = int((dist <= SEARCH_RATIO * dist[0]).sum())
-            out.append([j for j in row[: min(max(n, LEAST), MOST)].tolist() if j >= 0])
+            out.append([j for j in row[: max(n, LEAST)].tolist() if j >= 0])
         return out
 
 
@@ -176,6 +177,35 @@ def _posted(rows: DataFrame, id_name: str, out: str, which) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k nearest (query, id, score), nearest first, ties to the smaller id; an id counts once."""
+    order = np.lexsort((score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    fresh = np.ones(len(query), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, score = query[fresh], ids[fresh], score[fresh]
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(query)]))))
+    kept = place < k
+    return query[kept], ids[kept], score[kept]
+
+
+def scan(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries (ids asked, vectors x) the k nearest of the rows (ids, y) besides the query's own. Products of matrices find the rows that can
+    be among them, with room for rounding; their distances are then taken from the differences."""
+    d = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x @ y.T)
+    d[asked[:, None] == ids[None]] = np.inf
+    last = np.full(len(asked), np.inf)
+    if len(ids) > k and len(np.unique(ids)) == len(ids):
+        last = np.partition(d, k - 1, axis=1)[:, k - 1]
+        last = last + 1e-9 * (1 + np.abs(last) + (x**2).sum(axis=1))
+    q, r = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+    exact = np.sqrt(((y[r] - x[q]) ** 2).sum(axis=1))
+    return best(asked[q], ids[r], exact, k)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """rows, queries (vec_id, embedding). Returns (query_id, rank, vec_id, score): of each query the k nearest rows found besides the row
     with its own vec_id; score is the distance.
@@ -212,7 +242,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     met = base.unionByName(asked).repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "kind")
     out = struct_of("query_id long, vec_id long, score double")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, group):
             t = t.combine_chunks()
             keys = [t.column(c).to_numpy() for c in group]
@@ -227,19 +257,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip(starts, starts[1:]):
                 mid = s + int(np.searchsorted(kind[s:e], 1))
-                if mid == s or mid == e:
-                    continue
-                own, vectors = ids[mid:e], x[mid:e]
-                for q in range(s, mid):
-                    d = np.sqrt(((vectors - x[q]) ** 2).sum(axis=1))
-                    other = np.flatnonzero(own != ids[q])
-                    order = other[np.lexsort((own[other], d[other]))]
-                    first = np.sort(np.unique(own[order], return_index=True)[1])[:k]  # a repeated vec_id counts once
-                    order = order[first]
-                    found.append((np.full(len(order), ids[q]), own[order], d[order]))
+                if s < mid < e:
+                    found.append(scan(ids[s:mid], x[s:mid], ids[mid:e], x[mid:e], k))
             if found:
-                yield batch_of({c: np.concatenate(parts) for c, parts in zip(out.fieldNames(), zip(*found))}, out)
+                yield batch_of(dict(zip(out.fieldNames(), best(*(np.concatenate(parts) for parts in zip(*found)), k))), out)
 
-    best = met.mapInArrow(scan, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    merged = met.mapInArrow(meet, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
