@@ -12,6 +12,10 @@ a star for each group that it finds, never its pairs.
 Null, empty or blank texts have the fingerprint zero and are linked like any other. Rows without doc_id get a fingerprint, link
 nothing and have a null component. Rows that repeat a doc_id each go by their own fingerprint. Columns besides doc_id and text
 are ignored.
+
+keep_one, the pipeline's stage, has five-word shingles and a similarity of 0.8 or more, for which 64 bits and a small radius are too
+short. Its prints have 256 bits; tables keyed by sampled bits bring prints together; of each bucket the minimum spanning forest of near
+prints gives the links, and each link is verified by its texts' whole sets of shingles. Texts of equal lower-cased words are one.
 """
 
 from __future__ import annotations
@@ -180,10 +184,199 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return prints.join(to, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs without near-duplicates: of each component the rows of its least doc_id stay, one of them where the id is repeated,
-    as do rows without doc_id. All columns of docs stay."""
-    found = near_duplicates(docs, radius, shingle, seed)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+#: For keep_one: words of a shingle, bits of the long print, and how far apart prints of similar texts may be. Of a pair with similarity
+#: 0.8 each bit differs with probability 0.15, so 39 of 256 bits with a deviation of 6.
+SHINGLE, WORDS, FAR = 5, 4, 58
+#: A bit of such a pair agrees with this probability; the share of such pairs that some table must bring together.
+AGREE, CAUGHT = 0.8485, 0.995
+#: Rows that a bucket of long prints should hold on average, and rows of a piece of it.
+CROWD, LONG_PIECE = 128, 2048
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(words: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of all runs of `shingle` words, of all words if there are fewer; ascending."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter(map(digest, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    out = np.zeros(len(words) - k + 1, np.uint64)
+    for j in range(k):
+        out = _mixed(out + h[j : len(words) - k + 1 + j] + np.uint64(j + 1))
+    return np.unique(out)
+
+
+def long_print(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, in WORDS words of 64 bits."""
+    counts = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        for w in range(WORDS):
+            bits = np.unpackbits(_mixed(hashes[at : at + (1 << 15)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[w] += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
+def _lower_words(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def long_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n, w0, ...): of each row with doc_id a 128-bit hash of its lower-cased words, how many shingles they have, the print."""
+    names = [f"w{i}" for i in range(WORDS)]
+    out = struct_of("doc_id long, h1 long, h2 long, n long, " + ", ".join(f"{w} long" for w in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sizes, prints = [], [], np.zeros((b.num_rows, WORDS), np.uint64)
+            for i, x in enumerate(b.column(1)):
+                words = _lower_words(x.as_py())
+                digests.append(xxhash.xxh3_128_digest(" ".join(words)))
+                own = shingles(words)
+                sizes.append(len(own))
+                prints[i] = long_print(own)
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield batch_of({"doc_id": b.column(0), "h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "n": sizes} | {w: prints[:, i].copy().view(np.int64) for i, w in enumerate(names)}, out)
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+
+
+def samples(n: int, seed: int = 7) -> np.ndarray:
+    """The bits of a print that make each table's bucket key: a row of numbers for each table. More prints take more bits, so that
+    buckets stay small, and then more tables, so that a similar pair still meets in one."""
+    k = max(4, int(np.ceil(np.log2(max(n, 1) / CROWD + 1))))
+    tables = int(np.ceil(np.log(1 - CAUGHT) / np.log1p(-(AGREE**k))))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(64 * WORDS, k, replace=False) for _ in range(tables)])
+
+
+def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the pairs of prints within the radius. Whatever bound the links are held to after that, what is
+    connected by pairs within it is connected by links of the forest within it."""
+    n, near = len(prints), []
+    for at in range(0, n, 256):
+        d = np.zeros((min(256, n - at), n), np.uint16)
+        for w in range(prints.shape[1]):
+            d += np.bitwise_count(prints[at : at + 256, None, w] ^ prints[None, :, w])
+        near.append((d <= radius).sum(axis=1) > 1)
+    rows = np.flatnonzero(np.concatenate(near))
+    if not len(rows):
+        return []
+    own = prints[rows]
+    best, source, links = np.full(len(rows), 1 << 14, np.int64), np.zeros(len(rows), np.int64), []
+    done, at = np.zeros(len(rows), bool), 0
+    for _ in range(len(rows) - 1):
+        done[at] = True
+        d = np.bitwise_count(own ^ own[at]).sum(axis=1, dtype=np.int64)
+        closer = (d < best) & ~done
+        best[closer], source[closer] = d[closer], at
+        best[at] = 1 << 15
+        at = int(np.argmin(best))
+        if best[at] <= radius:
+            links.append((int(rows[source[at]]), int(rows[at])))
+    return links
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """classes (node, w0, ...). Returns (u, v): distinct pairs of nodes whose prints are within FAR, of each bucket a spanning forest."""
+    spark = classes.sparkSession
+    names = [f"w{i}" for i in range(WORDS)]
+    bits = samples(classes.count())
+    weights = (1 << np.arange(bits.shape[1])).astype(np.int64)
+    rows_out, key_out, out = struct_of("key long, node long, " + ", ".join(f"{w} long" for w in names)), struct_of("key long"), struct_of("u long, v long")
+
+    def keys(b: pa.RecordBatch) -> np.ndarray:
+        prints = np.ascontiguousarray(np.stack([b.column(1 + i).to_numpy() for i in range(WORDS)], axis=1))
+        on = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+        return np.stack([on[:, own] @ weights + (t << 40) for t, own in enumerate(bits)], axis=1)
+
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch_of({"key": keys(b).ravel()}, key_out)
+
+    def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                k = keys(part)
+                yield batch_of({"key": k.ravel()} | {c: np.repeat(part.column(i).to_numpy(), k.shape[1]) for i, c in enumerate(["node", *names])}, rows_out)
+
+    own = classes.select("node", *names)
+    big = saved(own.mapInArrow(only_keys, key_out).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LONG_PIECE), "crowds")
+    rows = own.mapInArrow(with_keys, rows_out).join(big, "key", "left")
+    rows = rows.withColumn("pieces", F.coalesce(F.ceil(F.col("m") / LONG_PIECE), F.lit(1)).cast("int"))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("long"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("key", F.least("piece", "j").alias("lo"), F.greatest("piece", "j").cast("long").alias("hi"), "node", *names)
+    group = ["key", "lo", "hi"]
+    rows = rows.repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, group):
+            cols = {c: t.column(c).to_numpy() for c in t.column_names}
+            change = np.ones(t.num_rows + 1, bool)
+            change[1:-1] = False
+            for c in group:
+                change[1:-1] |= cols[c][1:] != cols[c][:-1]
+            edges = np.flatnonzero(change)
+            wide = np.flatnonzero(np.diff(edges) > 1)
+            prints = np.stack([cols[w] for w in names], axis=1).view(np.uint64)
+            found = [(s + a, s + b) for s, e in zip(edges[wide].tolist(), edges[wide + 1].tolist()) for a, b in forest(prints[s:e], FAR)]
+            if found:
+                at = np.array(found)
+                u, v = cols["node"][at[:, 0]], cols["node"][at[:, 1]]
+                yield batch_of({"u": np.minimum(u, v), "v": np.maximum(u, v)}, out)
+
+    return rows.mapInArrow(run, out).distinct()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """docs (text). Returns (h1, h2, hashes array<long>) of each row: the hash of its words and the hashes of its shingles."""
+    out = struct_of("h1 long, h2 long, hashes array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sets = [], []
+            for x in b.column(0):
+                words = _lower_words(x.as_py())
+                digests.append(xxhash.xxh3_128_digest(" ".join(words)))
+                sets.append(shingles(words).view(np.int64))
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield batch_of({"h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "hashes": sets}, out)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, out)
+
+
+def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text). Returns (doc_id, component_id) of each row with doc_id: the least doc_id that can be reached over texts of equal
+    lower-cased words and over links whose sets of five-word shingles, compared whole, have a Jaccard similarity of `percent` or more."""
+    prints = saved(long_prints(docs), "prints")
+    words = [f"w{i}" for i in range(WORDS)]
+    classes = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in words))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    pairs = saved(candidates(classes.where("n > 0")), "pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    ends = saved(classes.join(ends, "node", "left_semi").select("node", "rep", "h1", "h2"), "ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends.select("rep").distinct(), "rep", "left_semi")
+    sets = saved(shingle_sets(texts).join(ends, ["h1", "h2"]).dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("shared"), (F.size("a") + F.size("b")).alias("total"))
+    links = saved(both.where(F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).select("u", "v"), "verified")
+    roots = saved(components(links), "roots")
+    linked = saved(classes.join(roots, "node").select("node", "root", "rep"), "linked")
+    least = saved(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    merged = linked.join(least, "root").select("node", "least")
+    to = saved(classes.join(merged, "node", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id")), "components")
+    return prints.join(to, ["h1", "h2"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs without near-duplicates: of each component of `similar` the rows of its least doc_id stay, one of them where the id is
+    repeated, as do rows without doc_id. All columns of docs stay."""
+    kept = similar(docs, percent).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
     rest = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return rest.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

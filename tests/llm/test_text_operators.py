@@ -77,6 +77,38 @@ def test_near_duplicates_of_edge_cases(edge, empty):
     assert kept == [0, 1, 2, 5, 6, 7]
 
 
+def test_stage_links_texts_by_five_word_similarity(spark):
+    """Of 60 words one other word in the middle leaves 51 of 61 shingles shared, two leave 46 of 66."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(0, 120, 3):
+        words = [f"W{x}" for x in rng.integers(0, 5000, 60)]
+        one, two = words[:30] + ["other"] + words[31:], words[:20] + ["other"] + words[21:40] + ["another"] + words[41:]
+        rows += [(i, " ".join(words)), (i + 1, "  ".join(one).lower()), (i + 2, " ".join(two))]
+        want |= {i: i, i + 1: i, i + 2: i + 2}
+    assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(want.values())
+
+
+def test_forest_connects_what_is_connected_at_each_bound():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (3, 4)).astype(np.uint64)
+    prints = base[rng.integers(0, 3, 300)] ^ (rng.integers(0, 1 << 63, (300, 4)) & rng.integers(0, 1 << 63, (300, 4)) & rng.integers(0, 1 << 63, (300, 4)) & rng.integers(0, 1 << 63, (300, 4))).astype(np.uint64)
+    d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+
+    def groups(links):
+        parent = list(range(len(prints)))
+        for a, b in links:
+            simhash._join(parent, a, b)
+        find = lambda x: x if parent[x] == x else find(parent[x])
+        return [find(i) for i in range(len(prints))]
+
+    found = simhash.forest(prints, 40)
+    for bound in (15, 20, 25, 30, 40):
+        assert groups([(a, b) for a, b in found if d[a, b] <= bound]) == groups(np.argwhere(d <= bound).tolist())
+
+
 def test_links_within_a_bucket_that_is_cut_into_tiles(spark, monkeypatch):
     """Chains of fingerprints that differ in few bits, all in one bucket, with pieces of a few rows."""
     monkeypatch.setattr(simhash, "PIECE", 8)
