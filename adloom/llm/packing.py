@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -56,8 +57,9 @@ class WordEncoder:
 
     @staticmethod
     def base(word: str) -> str:
-        """The part of a word that is encoded: without one comma or full stop behind a letter, in lower case if it is ASCII."""
-        if word[-1] in ",." and word[-2:-1].isalpha():
+        """The part of a word that is encoded: without one comma or full stop behind a letter that the normaliser leaves a letter (a mark
+        would join the stop), in lower case if it is ASCII."""
+        if word[-1] in ",." and word[-2:-1].isalpha() and (word[-2].isascii() or unicodedata.normalize("NFC", word[-2]).lower().isalpha()):
             word = word[:-1]
         return word.lower() if word.isascii() else word
 

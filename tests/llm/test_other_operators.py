@@ -240,6 +240,12 @@ def test_word_encoder_is_the_tokenizer(word_file):
     assert got == library_ids(word_file, texts)
 
 
+def test_word_encoder_keeps_stops_with_letters_that_get_a_mark(word_file):
+    texts = ["TÜRKİ,", "TAKSİ. x", "a TÜRKİ, b", "\u0915\u0958. \u0958,", "İ,", "Été. ñ,"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordEncoder(word_file).encode(texts)]
+    assert got == library_ids(word_file, texts)
+
+
 def test_packing_of_edge_cases(spark, word_file):
     rows = [(1, None), (1, None), (None, ""), (2, "word " * 9000), (3, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(1)).withColumn("task", F.lit("x"))
