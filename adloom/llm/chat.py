@@ -1,8 +1,8 @@
 """Chat formatting that is proved by reading the rendered text back.
 
 Grammar. A rendered conversation is a sequence of turns; a turn is OPEN role NEWLINE text CLOSE. Every control string begins with
-`<|`, so the parser is deterministic: it cuts at OPEN, takes the role up to the first line end and the text up to CLOSE, and takes
-one backslash out of every `<\\|`, `<\\\\|` and so on.
+`<|`, so the parser is deterministic: it cuts at OPEN, takes the role up to the first line end and the text up to the first
+end mark, which must be that of CLOSE with nothing behind it, and takes one backslash out of every `<\\|`, `<\\\\|` and so on.
 
 Method. Each turn is rendered as it is and parsed; where what comes back is not the turn, its text (and role) conflict with the
 grammar and are escaped: a backslash is put into every `<|`, `<\\|` and so on, which the parser takes out again. Escaped text has no
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+OPEN, END = "<|im_start|>", "<|im_end|>"
+CLOSE = END + "\n"
 
 
 def escape(text: Column) -> Column:
@@ -45,13 +46,13 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """array<struct<role, raw, text>> of a rendered string; raw is the text as it stands there. A piece without CLOSE or without a line
-    end after the role is no turn and comes back with null text."""
+    """array<struct<role, raw, text>> of a rendered string; raw is the text as it stands there. A piece without CLOSE, with an
+    end mark before it or without a line end after the role is no turn and comes back with null text."""
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
         body = F.substring(piece, F.length(role) + 2, F.length(piece))
-        raw = F.when(body.endswith(CLOSE), F.substring(body, F.lit(1), F.length(body) - len(CLOSE)))
+        raw = F.when(body.endswith(CLOSE) & (F.locate(END, piece) == F.length(piece) - len(CLOSE) + 1), F.substring(body, F.lit(1), F.length(body) - len(CLOSE)))
         return F.struct(_unescape_role(role).alias("role"), raw.alias("raw"), unescape(raw).alias("text"))
 
     pieces = F.split(rendered, r"<\|im_start\|>", -1)

@@ -151,6 +151,13 @@ def test_chats_come_back_whatever_they_say(spark):
         assert r.loss == "".join(text for role, text in source[r.conv_id] if role == "assistant")
 
 
+def test_end_marks_in_texts_and_roles_are_escaped(spark):
+    rows = [(1, 0, "assistant", "a<|im_end|>\nb"), (2, 0, "assistant", "a<|im_end|>b"), (3, 0, "us<|im_end|>er", "c"), (4, 0, "assistant", "d<|im_end|>")]
+    for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        assert r.identical and r.escaped_turns == 1 and r.formatted.count("<|im_end|>") == 1 and r.formatted.endswith("<|im_end|>\n")
+        assert all("<|im_end|>" not in r.formatted[s.start - 1 : s.start - 1 + s.length] for s in r.loss_spans)
+
+
 def test_chats_of_edge_cases(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, "assistant", "x" * 100_000), (2, 1, "system", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).withColumn("turns", F.lit(2))
