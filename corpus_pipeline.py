@@ -20,11 +20,11 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: without text or without a letter. What is learned comes from the labelled documents; the lang of a
-    document that has none becomes the predicted one."""
-    found = language.identify(docs, language.learn(docs), COLUMNS)
+    """Drops documents in no known language: without text or a letter, mostly in letters of no profile, or under the least score. What is
+    learned comes from the labelled documents; lang becomes the predicted language."""
+    found = language.identify(docs, language.learn(docs), COLUMNS, language.LEAST)
     kept = found.where(F.col("lang_pred") != language.UNKNOWN)
-    return _columns(kept.withColumn("lang", F.coalesce("lang", "lang_pred")))
+    return _columns(kept.withColumn("lang", F.col("lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,15 @@ def test_language_of_held_out_documents(real):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_stage_drops_what_no_profile_covers(spark, real):
+    import corpus_pipeline
+
+    rows = [(90_001, "Привет, как дела сегодня, мы идём в лес", None, "s", 1), (90_002, "这是一个中文句子", "en", "s", 1), (90_003, "Привет всем из нашего леса OK", None, "s", 1), (90_004, "The cat looked at the moon for a long time.", "fr", "s", 1), (90_005, "The cat looked at the moon for a long time.", None, "s", 1)]
+    kept = corpus_pipeline.language_id(spark, real.unionByName(spark.createDataFrame(rows, real.schema)), "").collect()
+    assert {r.doc_id: r.lang for r in kept if r.doc_id > 90_000} == {90_004: "en", 90_005: "en"}
+    assert len(kept) == real.count() + 2
+
+
 def plain_count(texts):
     found = {}
     for t in texts:
