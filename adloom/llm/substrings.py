@@ -2,9 +2,13 @@
 
 Method. Texts are cut into units (lines, and within lines sentences, so that a passage inside a longer line is found too). Units
 are normalised (case folded, white space collapsed), digested to 128 bits and grouped by digest over the whole corpus. The
-earliest occurrence, in order of doc_id and then of place, stays; later ones go where they form a run of at least `min_words`
-words of repeated units (single short sentences repeat by chance and stay). The offsets of all that is removed, in code
-points of the original text, are kept beside the text.
+earliest occurrence, in order of doc_id and then of place, stays. Of later ones whole lines go whatever their length, and sentences
+where they form a run of at least `min_words` words of repeated units (shorter ones repeat by chance and stay).
+
+A passage may begin and end inside sentences, so runs of WINDOW words that an earlier document has go too, word by word. First some
+windows of each document are digested, chosen by their digests so that any WINDOW + STEP - 1 words in a row hold one; then, where one
+of these repeats, all windows near it. The offsets of all that is removed, in code points of the original text, are kept beside
+the text.
 
 Null texts stay null, with no spans; empty texts stay empty. Rows without doc_id rank last. Rows that repeat a doc_id count as
 one document: units that they share with each other are not repeats. Repeats within one text are. Other columns pass
@@ -28,28 +32,98 @@ from adloom.llm.common import batch_of, saved, struct_of
 
 #: Ends of units: line ends, and white space after a sentence's last mark.
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
-#: Words of repeated units in a row from which they are removed.
-MIN_WORDS = 20
+#: Words of repeated sentences in a row from which they are removed.
+MIN_WORDS = 5
+#: Words of a window, and how many windows in a row have one that is chosen.
+WINDOW, STEP = 20, 31
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+WORD = re.compile(r"\S+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+def _digest(text: str) -> bytes:
+    """128 bits, of which one is clear: windows have it set."""
+    d = xxhash.xxh3_128_digest(text)
+    return d[:8] + bytes([d[8] & 0xFE]) + d[9:]
+
+
 def units(text: str) -> Iterator[tuple[int, int, bytes, int]]:
-    """start, end (with the break after it), digest and words of each unit that has words."""
+    """start, end (with the break after it), digest and words of each sentence that has words."""
     at = 0
     for m in BREAK.finditer(text):
         words = text[at : m.start()].casefold().split()
         if words:
-            yield at, m.end(), xxhash.xxh3_128_digest(" ".join(words)), len(words)
+            yield at, m.end(), _digest(" ".join(words)), len(words)
         at = m.end()
     words = text[at:].casefold().split()
     if words:
-        yield at, len(text), xxhash.xxh3_128_digest(" ".join(words)), len(words)
+        yield at, len(text), _digest(" ".join(words)), len(words)
+
 
+def lines(text: str, below: int) -> Iterator[tuple[int, int, bytes]]:
+    """start, end (with the line ends after it) and digest of each line of fewer than `below` words, but some. Longer lines go by their
+    sentences."""
+    at = 0
+    for m in re.finditer(r"\n\s*|$(?!\n)", text):
+        words = text[at : m.start()].casefold().split()
+        if 0 < len(words) < below:
+            yield at, m.end(), _digest("\n" + " ".join(words))
+        at = m.end()
 
-def cut(text: str, repeated: set[bytes], min_words: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its repeats, and their spans. repeated: digests that an earlier document has."""
+
+def windows(text: str) -> np.ndarray:
+    """The digests of all runs of WINDOW words, (n, 2) signed."""
+    words = text.casefold().split()
+    n = len(words) - WINDOW + 1
+    if n <= 0:
+        return np.zeros((0, 2), np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.empty((n, 2), np.uint64)
+    for i, factor in enumerate(FACTORS):
+        sums = np.zeros(n, np.uint64)
+        for j in range(WINDOW):
+            sums = sums * np.uint64(factor) + h[j : j + n]
+        sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, i] = sums ^ (sums >> np.uint64(29))
+    out[:, 1] |= np.uint64(1)
+    return out.view(np.int64)
+
+
+def chosen(digests: np.ndarray) -> np.ndarray:
+    """The places of the windows that are least among some STEP in a row."""
+    if len(digests) <= STEP:
+        return np.argmin(digests[:, :1], axis=0)[: len(digests)] if len(digests) else np.zeros(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(digests[:, 0], STEP)
+    return np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
+
+
+def near(text: str, repeated: np.ndarray) -> np.ndarray:
+    """The distinct digests of all windows within STEP of one whose digest's first half is in `repeated`."""
+    digests = windows(text)
+    hit = np.flatnonzero(np.isin(digests[:, 0], repeated))
+    mark = np.zeros(len(digests) + 1, np.int64)
+    np.add.at(mark, np.maximum(hit - STEP, 0), 1)
+    np.add.at(mark, np.minimum(hit + STEP + 1, len(digests)), -1)
+    return np.unique(digests[np.cumsum(mark)[:-1] > 0], axis=0)
+
+
+def cut(text: str, repeated: set[bytes], min_words: int, repeated_windows: np.ndarray | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its repeats, and their spans. repeated: digests that an earlier document has; repeated_windows: the first halves
+    of those of windows."""
     seen: set[bytes] = set()
     spans: list[tuple[int, int]] = []
+    for a, b, digest in lines(text, min_words):
+        if digest in repeated or digest in seen:
+            spans.append((a, b))
+        seen.add(digest)
+    if repeated_windows is not None and len(repeated_windows):
+        hit = np.flatnonzero(np.isin(windows(text)[:, 0], repeated_windows)).tolist()
+        places = [m.span() for m in WORD.finditer(text)] if hit else []
+        for i in hit:
+            end = places[i + WINDOW - 1][1]
+            while end < len(text) and text[end] != "\n" and text[end].isspace():
+                end += 1
+            spans.append((places[i][0], end))
     start, end, words = 0, 0, 0
     for a, b, digest, n in units(text):
         if digest in repeated or digest in seen:
@@ -63,6 +137,12 @@ def cut(text: str, repeated: set[bytes], min_words: int) -> tuple[str, list[tupl
         seen.add(digest)
     if words >= min_words:
         spans.append((start, end))
+    found, spans = sorted(spans), []
+    for a, b in found:
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -84,8 +164,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             doc, found = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             rows: list[int] = []
             parts: list[bytes] = []
-            for i, text in enumerate(found):
-                own = {u[2] for u in units(text.as_py() or "")}
+            for i, x in enumerate(found):
+                text = x.as_py() or ""
+                own = {u[2] for u in units(text)} | {u[2] for u in lines(text, min_words)}
+                w = windows(text)
+                w = w[chosen(w)].tobytes()
+                own.update(w[j : j + 16] for j in range(0, len(w), 16))
                 rows += [i] * len(own)
                 parts += own
                 if len(rows) > 200_000:
@@ -100,7 +184,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     found = saved(docs.select(rank.alias("doc"), F.col("text").cast("string")).where("text is not null").mapInArrow(digests, out), "units")
     shared = saved(found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"), "shared")
-    later = found.join(shared, ["h1", "h2"]).where("doc > first").select("doc", "h1", "h2").distinct()
+    is_window = F.col("h2").bitwiseAND(F.lit(1)) == 1
+
+    def all_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h = near(text.as_py() or "", own.values.to_numpy())
+                if len(h):
+                    yield batch_of({"doc": np.full(len(h), doc), "h1": h[:, 0].copy(), "h2": h[:, 1].copy()}, out)
+
+    spots = found.where(is_window).join(shared.where(is_window).select("h1", "h2"), ["h1", "h2"]).groupBy("doc").agg(F.collect_set("h1").alias("own"))
+    texts = docs.select(rank.alias("doc"), F.col("text").cast("string")).where("text is not null")
+    close = saved(texts.join(spots, "doc").mapInArrow(all_near, out), "windows")
+    later = found.where(~is_window).join(shared.where(~is_window), ["h1", "h2"]).where("doc > first").select("doc", "h1", "h2")
+    first = close.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
+    later = later.union(close.join(first, ["h1", "h2"]).where("doc > first").select("doc", "h1", "h2")).distinct()
     later = later.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_repeated")).withColumnRenamed("doc", "_doc")
 
     rest = [c for c in docs.columns if c not in ("text", "removed")]
@@ -122,8 +220,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     texts.append(None)
                     spans.append([])
                     continue
-                raw = pairs[offsets[i] : offsets[i + 1]].tobytes()
-                text, removed = cut(text, {raw[j : j + 16] for j in range(0, len(raw), 16)}, min_words)
+                own = pairs[offsets[i] : offsets[i + 1]]
+                of_window = (own[:, 1] & 1) == 1
+                raw = own[~of_window].tobytes()
+                text, removed = cut(text, {raw[j : j + 16] for j in range(0, len(raw), 16)}, min_words, own[of_window, 0])
                 texts.append(text)
                 spans.append([{"start": s, "end": e} for s, e in removed])
             columns = [b.column(i) for i in range(b.num_columns - 2)]

@@ -154,6 +154,23 @@ def test_passages_go_from_all_but_the_earliest(spark):
         assert "".join(kept) + text[at:] == got[doc_id].text
 
 
+def test_repeated_lines_go_whatever_their_length(spark):
+    rows = [(1, "Menu\nOne text of its own.\nRead more here"), (2, "Menu\nAnother one, which differs.\nRead more here"), (3, "The Menu. Menu of it.\nmenu"), (4, "It says: Read more here")]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Another one, which differs.\n", 3: "The Menu. Menu of it.\n", 4: rows[3][1]}
+
+
+@pytest.mark.parametrize("stops", [(), (30,), (25, 33)])
+def test_passages_that_begin_and_end_inside_sentences_go_to_the_word(spark, stops):
+    """51 words whose ends are inside longer sentences, with no, one and two sentence ends between."""
+    rng = np.random.default_rng(6)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = " ".join(w + "." * (i in stops) for i, w in enumerate(own(51).split()))
+    rows = [(i, f"{own(40 + i)} {shared} {own(45 + i)}.") for i in range(30)]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: text if i == 0 else text.replace(shared + " ", "") for i, text in rows}
+
+
 def test_passages_of_edge_cases(edge, empty):
     rows = substrings.dedup(edge, 10).collect()
     assert len(rows) == len(EDGE)
