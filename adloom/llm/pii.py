@@ -19,17 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: A card: 13 to 19 digits together, or in groups of four (the last of one to four) with one kind of separator.
+#: A card: 13 to 19 digits together, in groups of four (the last of one to seven) or of 4, 6 and 5, with one kind of separator.
 CARD = r"(?<![\p{L}\p{N}.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{1,7})(?![\p{L}\p{N}])"
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 SECRET = r"(?<![\p{L}\p{N}_-])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(?:\s?[=:]\s?)[\"']?[A-Za-z0-9+/_.=-]{8,}"
-PHONE = r"(?<![\p{L}\p{N}+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
+TEN = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+PHONE = rf"(?<![\p{{L}}\p{{N}}+(]){TEN}(?![\p{{L}}\p{{N}}])"
+#: A plus and 7 to 15 digits in any grouping.
+ABROAD = r"(?<![\p{L}\p{N}+])\+[0-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![\p{L}\p{N}])"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
-DATE = r"(?<![\p{L}\p{N}/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})(?![\p{L}\p{N}/-])"
-CARD = CARD.replace(r"([ -])[0-9]{4}\g[0-9]{4}\g", r"(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)")
+DATE = r"(?<![\p{L}\p{N}/.-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}(?:(?=T[0-9])|(?![\p{L}\p{N}/-]))|[0-9]{1,2}[/.][0-9]{1,2}[/.](?:19|20)[0-9]{2}(?![\p{L}\p{N}/-]))"
+CARD = CARD.replace(r"([ -])[0-9]{4}\g[0-9]{4}\g", r"(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)").replace("|[0-9]{4}(?:", "|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4}(?:")
 #: Most specific first: where two match at one place, the first wins.
-PATTERN = "|".join((MAIL, SECRET, SSN, DATE, IP, PHONE, CARD))
+PATTERN = "|".join((MAIL, SECRET, SSN, DATE, IP, PHONE, ABROAD, CARD))
 #: Days of 28 years without a century's exception, and the day from which blocks count.
 BLOCK, DAY_0 = 28 * 365 + 7, "1900-03-01"
 
@@ -99,8 +104,12 @@ def card(value: Column, key: str) -> Column:
 def phone(value: Column, key: str) -> Column:
     digits = _digits(value)
     n = F.length(digits)
-    pair = F.array(feistel(_int(digits, n - 9, 5), _int(digits, n - 4, 5), 100_000, 100_000, key, "phone"))
-    new = F.transform(pair, lambda p: F.concat(F.substring(digits, F.lit(1), n - 10), _padded(p["l"], 5), _padded(p["r"], 5)))
+    kept = F.when(value.rlike(f"^{TEN}$"), n - 10).otherwise(F.length(F.regexp_extract(digits, COUNTRY, 0)))
+    low = F.floor((n - kept) / 2).cast("int")
+    high = n - kept - low
+    ten = lambda k: F.pow(F.lit(10), k).cast("long")
+    pair = F.array(feistel(_int(digits, kept + 1, low), _int(digits, kept + low + 1, high), ten(low), ten(high), key, "phone"))
+    new = F.transform(pair, lambda p: F.concat(F.substring(digits, F.lit(1), kept), _padded(p["l"], low), _padded(p["r"], high)))
     return _lay(value, F.element_at(new, 1))
 
 
@@ -125,9 +134,11 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
-    """yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy (dd/mm/yyyy where the first can't be a month). A block of 28 years has 21 * 487 days."""
-    notes = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"]
-    shape = [r"^\d{4}-", r"^\d\d/", r"^\d\d/", r"^\d\d\."]
+    """yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy (dd/mm/yyyy where the first can't be a month), and the same without leading zeros. A block of
+    28 years has 21 * 487 days."""
+    notes = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy"]
+    shape = [r"^\d{4}-\d\d-\d\d$", r"^\d\d/\d\d/", r"^\d\d/\d\d/", r"^\d\d\.\d\d\."]
+    shape += [r"^\d{4}-(?!\d\d-\d\d$)", r"^(?!\d\d/\d\d/)\d+/", r"^(?!\d\d/\d\d/)\d+/", r"^(?!\d\d\.\d\d\.)\d+\."]
     day = F.array(*(F.when(value.rlike(s), F.try_to_timestamp(value, F.lit(n)).cast("date")) for s, n in zip(shape, notes)))
     which = F.array_position(F.transform(day, lambda d: d.isNotNull()), True)
     number = F.date_diff(F.element_at(day, which.cast("int")), F.lit(DAY_0).cast("date"))
@@ -157,9 +168,9 @@ def pseudonym(value: Column, key: str) -> Column:
         F.when(value.contains("@"), mail(value, key))
         .when(value.rlike("^[A-Za-z]"), secret(value, key))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn(value, key))
-        .when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}$"), date(value, key))
+        .when(value.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$|^[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}$"), date(value, key))
         .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), ip(value, key))
-        .when(value.rlike(r"^([0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]+)$"), card(value, key))
+        .when(value.rlike(r"^([0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]+|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"), card(value, key))
         .when(value.rlike(r"^[+(]|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), phone(value, key))
         .otherwise(value)
     )

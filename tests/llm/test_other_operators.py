@@ -114,6 +114,23 @@ def test_dates_and_numbers_are_permuted_within_their_format(spark):
     assert texts[4:] == ["000-45-6789", "666-45-6789", "1999-13-45", "300.1.1.1", "4111111111111112"]
 
 
+def test_usual_notations_of_numbers_and_dates_are_candidates(spark):
+    texts = ["3782 822463 10005", "3782-822463-10005", "2024-01-05T10:00", "1/5/2024", "5.1.2024", "2024-1-5", "25/1/2024", "+44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "+49 (0)30/123456", "+352 27 12 34", "01/05/2024"]
+    got = [t for t, _ in pseudonyms(spark, [f"see {t} now" for t in texts])]
+    got = [t.removeprefix("see ").removesuffix(" now") for t in got]
+    assert all(a != b for a, b in zip(texts, got))
+    assert got[0].replace(" ", "") == got[1].replace("-", "") == plain_card("378282246310005") and re.fullmatch(r"\d{4} \d{6} \d{5}", got[0])
+    assert re.fullmatch(r"(19|20)\d\d-\d\d-\d\dT10:00", got[2]) and all(re.fullmatch(r"[1-9]\d?([/.])[1-9]\d?\1(19|20)\d\d", t) for t in (*got[3:5], got[6]))
+    day = [int(x) for x in got[2][:10].split("-")]
+    assert [int(x) for x in got[5].split("-")] == day and [int(x) for x in got[3].split("/")] == [day[1], day[2], day[0]] and [int(x) for x in got[4].split(".")] == [day[2], day[1], day[0]]
+    for a, b in zip(texts[7:12], got[7:12]):
+        code = re.match(r"\+(44|33|49|352)", a)[0]
+        assert b.startswith(code) and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b)
+    assert got[7].replace(" ", "") == got[9]
+    left = ["+123456", "3782 822463 10006", "31/31/2024", "version 1.2.3"]
+    assert pseudonyms(spark, left) == [(t, 0) for t in left]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(21 * 487).select(pii.feistel(F.floor(F.col("id") / 487), F.col("id") % 487, 21, 487, KEY, "date").alias("p"))
     assert df.select("p.l", "p.r").distinct().count() == 21 * 487
