@@ -1,16 +1,18 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, in DataFrame functions only.
 
-Method. One pattern finds candidates; a candidate is validated by its kind (payment cards by their check digit, social security
-numbers and addresses of the internet by their ranges, dates by the calendar) and left alone where that fails. A valid number or
-date is taken as a pair of residues and put through a keyed Feistel network with modular addition, which permutes the values of
-its format: card numbers keep length, first digit, grouping and a right check digit; phone numbers keep country code and
-punctuation; dates stay dates within their 28-year block, in their own notation. Equal values under one key get equal
-pseudonyms in every document, and different values different ones. Mail addresses and secrets aren't numbers; they get a
-keyed digest in their own format.
+Method. One pattern finds candidates; a candidate is validated by its kind (payment cards and account numbers by their check digits,
+social security numbers and addresses of the internet by their ranges, dates by the calendar) and left alone where that fails. A valid
+number or date is taken as a pair of residues and put through a keyed Feistel network with modular addition, which permutes the
+values of its format: card numbers keep length, first digit, grouping and a right check digit; account numbers keep country, letters,
+grouping and right check digits; phone numbers keep country code and punctuation; dates stay dates within their quarter of a
+century (1900 to 1924 and so on to 2075 to 2099), in their own notation. Equal values under one key get equal pseudonyms in every
+document, and different values of one notation different ones. Mail addresses and secrets aren't numbers; they get a keyed digest
+in their own format, and keys that are known by their first letters keep those.
 
 Null texts stay null, empty texts stay empty, texts without candidates pass unchanged; each row stands alone, so ties, repeated
-rows and rows without doc_id are nothing special. Other columns pass through; n_private is replaced if the input has it. Texts of any
-length are handled whole, and nothing is shuffled.
+rows and rows without doc_id are nothing special. Other columns pass through; n_private is replaced if the input has it. Texts and
+candidates of any length are handled whole: what repeats without a bound in a pattern is a class of characters or possessive, which
+the matcher runs through without recursion. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +23,31 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: A card: 13 to 19 digits together, in groups of four (the last of one to seven) or of 4, 6 and 5, with one kind of separator.
 CARD = r"(?<![\p{L}\p{N}.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{1,7})(?![\p{L}\p{N}])"
-MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+#: All labels behind the sign if the last is of letters; else as many as a name can have (127) up to one of letters.
+MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++(?<=\.\p{L}{2,63})|[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,125}\.\p{L}{2,})"
 SECRET = r"(?<![\p{L}\p{N}_-])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(?:\s?[=:]\s?)[\"']?[A-Za-z0-9+/_.=-]{8,}"
+#: The first letters of keys that services give out.
+KEYS = {
+    "AKIA": "[0-9A-Z]{16}",
+    "ASIA": "[0-9A-Z]{16}",
+    "AIza": "[0-9A-Za-z_-]{35}",
+    "ghp_": "[0-9A-Za-z]{36}",
+    "gho_": "[0-9A-Za-z]{36}",
+    "ghs_": "[0-9A-Za-z]{36}",
+    "github_pat_": "[0-9A-Za-z_]{22,}",
+    "glpat-": "[0-9A-Za-z_-]{20,}",
+    "hf_": "[0-9A-Za-z]{30,}",
+    "sk-": "[0-9A-Za-z_-]{20,}",
+    "sk_live_": "[0-9A-Za-z]{16,}",
+    "xoxb-": "[0-9A-Za-z-]{20,}",
+    "xoxp-": "[0-9A-Za-z-]{20,}",
+}
+BARE = r"(?<![\p{L}\p{N}_-])(?:" + "|".join(f"{k}{v}" for k, v in KEYS.items()) + r")(?![\p{L}\p{N}_-])"
+NAMED = "^(" + "|".join(KEYS) + ")"
+#: Country, check digits, then 11 to 30 letters and digits, together or in groups of four.
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,4}))(?![\p{L}\p{N}])"
+#: Eight groups, or fewer with a double colon after a first group of four digits.
+IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])"
 TEN = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+(]){TEN}(?![\p{{L}}\p{{N}}])"
 #: A plus and 7 to 15 digits in any grouping.
@@ -34,9 +59,7 @@ SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 DATE = r"(?<![\p{L}\p{N}/.-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}(?:(?=T[0-9])|(?![\p{L}\p{N}/-]))|[0-9]{1,2}[/.][0-9]{1,2}[/.](?:19|20)[0-9]{2}(?![\p{L}\p{N}/-]))"
 CARD = CARD.replace(r"([ -])[0-9]{4}\g[0-9]{4}\g", r"(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)").replace("|[0-9]{4}(?:", "|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4}(?:")
 #: Most specific first: where two match at one place, the first wins.
-PATTERN = "|".join((MAIL, SECRET, SSN, DATE, IP, PHONE, ABROAD, CARD))
-#: Days of 28 years without a century's exception, and the day from which blocks count.
-BLOCK, DAY_0 = 28 * 365 + 7, "1900-03-01"
+PATTERN = "|".join((MAIL, SECRET, BARE, IBAN, IP6, SSN, DATE, IP, PHONE, ABROAD, CARD))
 
 
 def feistel(left: Column, right: Column, m_left: Column | int, m_right: Column | int, key: str, kind: str) -> Column:
@@ -134,21 +157,64 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
-    """yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy (dd/mm/yyyy where the first can't be a month), and the same without leading zeros. A block of
-    28 years has 21 * 487 days."""
+    """yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy (dd/mm/yyyy where the first can't be a month), and the same without leading zeros. A quarter
+    of a century has 9131 = 23 * 397 days, that from 2000 on 9132 = 12 * 761."""
     notes = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy"]
     shape = [r"^\d{4}-\d\d-\d\d$", r"^\d\d/\d\d/", r"^\d\d/\d\d/", r"^\d\d\.\d\d\."]
     shape += [r"^\d{4}-(?!\d\d-\d\d$)", r"^(?!\d\d/\d\d/)\d+/", r"^(?!\d\d/\d\d/)\d+/", r"^(?!\d\d\.\d\d\.)\d+\."]
     day = F.array(*(F.when(value.rlike(s), F.try_to_timestamp(value, F.lit(n)).cast("date")) for s, n in zip(shape, notes)))
     which = F.array_position(F.transform(day, lambda d: d.isNotNull()), True)
-    number = F.date_diff(F.element_at(day, which.cast("int")), F.lit(DAY_0).cast("date"))
-    block, place = F.floor(number / BLOCK), F.pmod(number, F.lit(BLOCK))
-    pair = F.array(feistel(F.floor(place / 487), F.pmod(place, F.lit(487)), 21, 487, key, "date"))
-    new = F.element_at(F.transform(pair, lambda p: F.date_add(F.lit(DAY_0).cast("date"), (block * BLOCK + p["l"] * 487 + p["r"]).cast("int"))), 1)
+    own = F.element_at(day, which.cast("int"))
+    first = F.make_date((F.floor(F.year(own) / 25) * 25).cast("int"), F.lit(1), F.lit(1))
+    place, leap = F.date_diff(own, first), F.year(first) == 2000
+    left, right = F.when(leap, 12).otherwise(23), F.when(leap, 761).otherwise(397)
+    pair = F.array(feistel(F.floor(place / right), F.pmod(place, right), left, right, key, "date"))
+    new = F.element_at(F.transform(pair, lambda p: F.date_add(first, (p["l"] * right + p["r"]).cast("int"))), 1)
     out = F.coalesce(*(F.when(which == i + 1, F.date_format(new, n)) for i, n in enumerate(notes)))
     return F.when(which > 0, out).otherwise(value)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of letters and digits read as one number, A as 10 and so on."""
+    number = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(F.pmod(a * F.when(c.between("0", "9"), 10).otherwise(100) + number(c), F.lit(97))).cast("int"))
+
+
+def iban(value: Column, key: str) -> Column:
+    """Country and letters stay, the digits of the account are permuted, and the check digits are made right again."""
+    packed = F.replace(value, F.lit(" "), F.lit(""))
+    account, country = F.substring(packed, F.lit(5), F.length(packed)), F.substring(packed, 1, 2)
+    valid = _mod97(F.concat(account, F.substring(packed, 1, 4))) == 1
+    digits = _digits(account)
+    low = F.floor(F.length(digits) / 2).cast("int")
+    high = F.length(digits) - low
+    ten = lambda k: F.pow(F.lit(10), k).cast("long")
+    pair = F.array(feistel(F.coalesce(_int(digits, 1, low), F.lit(0)), F.coalesce(_int(digits, low + 1, high), F.lit(0)), ten(low), ten(high), key, "iban"))
+
+    def out(p: Column) -> Column:
+        new = _lay(account, F.concat(F.when(low > 0, _padded(p["l"], low)).otherwise(""), F.when(high > 0, _padded(p["r"], high)).otherwise("")))
+        return F.concat(country, _padded(98 - _mod97(F.concat(new, country, F.lit("00"))), 2), new)
+
+    grouped = F.transform(pair, lambda p: F.when(value.contains(" "), F.regexp_replace(out(p), "(.{4})(?=.)", "$1 ")).otherwise(out(p)))
+    return F.when(valid, F.element_at(grouped, 1)).otherwise(value)
+
+
+def ip6(value: Column, key: str) -> Column:
+    """Written out in eight groups of four digits. Network and host are permuted each by itself, so addresses of one network stay in one."""
+    halves = F.split(value, "::")
+    groups = lambda h: F.filter(F.split(F.coalesce(h, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    missing = 8 - F.size(left) - F.size(right)
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    number = F.transform(full, lambda g: F.conv(g, 16, 10).cast("long"))
+    valid = (F.size(full) == 8) & F.when(value.contains("::"), missing > 0).otherwise(missing == 0)
+    word = lambda i: F.get(number, F.lit(i)) * 65_536 + F.get(number, F.lit(i + 1))
+    pairs = F.array(feistel(word(0), word(2), 1 << 32, 1 << 32, key, "network"), feistel(word(4), word(6), 1 << 32, 1 << 32, key, "host"))
+    hexed = lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))
+    new = F.array_join(F.transform(pairs, lambda p: F.concat(hexed(p["l"]), hexed(p["r"]))), "")
+    return F.when(valid, F.regexp_replace(new, "(.{4})(?=.)", "$1:")).otherwise(value)
+
+
 def mail(value: Column, key: str) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{key}|mail|"), F.lower(value)), 256)
     return F.concat(F.lit("user."), F.substring(digest, 1, 12), F.lit("@mail."), F.substring(digest, 13, 8), F.lit(".example"))
@@ -162,10 +228,22 @@ def secret(value: Column, key: str) -> Column:
     return F.concat(name, F.substring(F.repeat(digest, F.ceil(F.length(rest) / 128).cast("int")), F.lit(1), F.length(rest)))
 
 
+def bare(value: Column, key: str) -> Column:
+    """The first letters stay; what follows becomes as many hexadecimal digits, capitals where it had no small letters."""
+    name = F.regexp_extract(value, NAMED, 1)
+    rest = F.substring(value, F.length(name) + 1, F.length(value))
+    digest = F.sha2(F.concat(F.lit(f"{key}|secret|"), rest), 512)
+    new = F.substring(F.repeat(digest, F.ceil(F.length(rest) / 128).cast("int")), F.lit(1), F.length(rest))
+    return F.concat(name, F.when(rest == F.upper(rest), F.upper(new)).otherwise(new))
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """What stands for a candidate; the candidate itself where it isn't valid."""
     return (
         F.when(value.contains("@"), mail(value, key))
+        .when(value.rlike(f"^(?:{BARE})$"), bare(value, key))
+        .when(value.rlike(f"^(?:{IBAN})$"), iban(value, key))
+        .when(value.rlike(f"^(?:{IP6})$"), ip6(value, key))
         .when(value.rlike("^[A-Za-z]"), secret(value, key))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn(value, key))
         .when(value.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$|^[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}$"), date(value, key))
