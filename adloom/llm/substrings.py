@@ -1,24 +1,26 @@
 """Removal of passages that repeat across documents, by hashing units of text.
 
-Method. Texts are cut into units (lines, and within lines sentences, so that a passage inside a longer line is found too). Units
+Method. Texts are cut into units: lines, and within lines sentences, so that a passage inside a longer line is found too. Units
 are normalised (case folded, white space collapsed), digested to 128 bits and grouped by digest over the whole corpus. The
 earliest occurrence, in order of doc_id and then of place, stays. Of later ones whole lines go whatever their length, and sentences
 where they form a run of at least `min_words` words of repeated units (shorter ones repeat by chance and stay).
 
-A passage may begin and end inside sentences, so runs of WINDOW words that an earlier document has go too, word by word. First some
-windows of each document are digested, chosen by their digests so that any WINDOW + STEP - 1 words in a row hold one; then, where one
-of these repeats, all windows near it. The offsets of all that is removed, in code points of the original text, are kept beside
-the text.
+A passage may begin and end inside sentences, so runs of WINDOW words are units too. Of each document those are digested that have the
+least digest of some STEP in a row: whatever the text around it, any WINDOW + STEP - 1 words in a row hold one, and neighbouring ones
+leave no word between them out. Of a repeated passage less than STEP words stay at each end, and only where no repeated sentence or
+line covers them. The offsets of all that is removed, in code points of the original text, are kept beside the text.
 
-Null texts stay null, with no spans; empty texts stay empty. Rows without doc_id rank last. Rows that repeat a doc_id count as
-one document: units that they share with each other are not repeats. Repeats within one text are. Other columns pass
-through unchanged. A column named `removed` in the input is replaced.
+Null texts stay null, with no spans; empty texts stay empty. Rows without doc_id rank last, in the order of a hash of their text, each
+text a document by itself. Rows that repeat a doc_id, and rows without one that repeat a text, count as one document: units that they
+share with each other are not repeats. Repeats within one text are. Other columns pass through unchanged. A column named
+`removed` in the input is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,11 @@ from adloom.llm.common import batch_of, saved, struct_of
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
 #: Words of repeated sentences in a row from which they are removed.
 MIN_WORDS = 5
-#: Words of a window, and how many windows in a row have one that is chosen.
-WINDOW, STEP = 20, 31
+#: Words of a window, and how many windows in a row have one that is chosen; with STEP <= WINDOW chosen ones leave no gaps.
+WINDOW, STEP = 25, 25
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: A digest in more than one of so many rows is hot; there are fewer hot digests than this, whatever the corpus.
+HOT = 4096
 WORD = re.compile(r"\S+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -71,8 +75,19 @@ def lines(text: str, below: int) -> Iterator[tuple[int, int, bytes]]:
         at = m.end()
 
 
+@lru_cache(2)
+def _powers(factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number modulo 2**64 and of its inverse."""
+    out = []
+    for x in (factor, pow(factor, -1, 1 << 64)):
+        p = np.full(size, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
 def windows(text: str) -> np.ndarray:
-    """The digests of all runs of WINDOW words, (n, 2) signed."""
+    """The digests of all runs of WINDOW words, (n, 2) signed: polynomials of the words' hashes, from running sums."""
     words = text.casefold().split()
     n = len(words) - WINDOW + 1
     if n <= 0:
@@ -80,33 +95,24 @@ def windows(text: str) -> np.ndarray:
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     out = np.empty((n, 2), np.uint64)
     for i, factor in enumerate(FACTORS):
-        sums = np.zeros(n, np.uint64)
-        for j in range(WINDOW):
-            sums = sums * np.uint64(factor) + h[j : j + n]
-        sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, i] = sums ^ (sums >> np.uint64(29))
+        up, down = _powers(factor, 1 << max(14, len(words).bit_length()))
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(h * down[: len(words)], out=sums[1:])
+        own = (sums[WINDOW:] - sums[:-WINDOW]) * up[:n]
+        own = (own ^ (own >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, i] = own ^ (own >> np.uint64(29))
     out[:, 1] |= np.uint64(1)
     return out.view(np.int64)
 
 
 def chosen(digests: np.ndarray) -> np.ndarray:
-    """The places of the windows that are least among some STEP in a row."""
-    if len(digests) <= STEP:
-        return np.argmin(digests[:, :1], axis=0)[: len(digests)] if len(digests) else np.zeros(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(digests[:, 0], STEP)
+    """The places of the windows that are least among some STEP in a row, the first of equal ones."""
+    if not len(digests):
+        return np.zeros(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(digests[:, 0], min(STEP, len(digests)))
     return np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
 
 
-def near(text: str, repeated: np.ndarray) -> np.ndarray:
-    """The distinct digests of all windows within STEP of one whose digest's first half is in `repeated`."""
-    digests = windows(text)
-    hit = np.flatnonzero(np.isin(digests[:, 0], repeated))
-    mark = np.zeros(len(digests) + 1, np.int64)
-    np.add.at(mark, np.maximum(hit - STEP, 0), 1)
-    np.add.at(mark, np.minimum(hit + STEP + 1, len(digests)), -1)
-    return np.unique(digests[np.cumsum(mark)[:-1] > 0], axis=0)
-
-
 def cut(text: str, repeated: set[bytes], min_words: int, repeated_windows: np.ndarray | None = None) -> tuple[str, list[tuple[int, int]]]:
     """The text without its repeats, and their spans. repeated: digests that an earlier document has; repeated_windows: the first halves
     of those of windows."""
@@ -117,7 +123,9 @@ def cut(text: str, repeated: set[bytes], min_words: int, repeated_windows: np.nd
             spans.append((a, b))
         seen.add(digest)
     if repeated_windows is not None and len(repeated_windows):
-        hit = np.flatnonzero(np.isin(windows(text)[:, 0], repeated_windows)).tolist()
+        digests = windows(text)
+        at = chosen(digests)
+        hit = at[np.isin(digests[at, 0], repeated_windows)].tolist()
         places = [m.span() for m in WORD.finditer(text)] if hit else []
         for i in hit:
             end = places[i + WINDOW - 1][1]
@@ -153,10 +161,12 @@ def cut(text: str, repeated: set[bytes], min_words: int, repeated_windows: np.nd
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, any others). Returns its columns with text cut, and removed array<struct<start, end>>.
 
-    A row of docs gives a row. Digests are counted map-side first, so a unit in a third of all documents is a few rows; the join
-    that finds later occurrences is one that adaptive execution splits where a digest is hot.
+    A row of docs gives a row. Digests are counted map-side first, so a unit in a third of all documents is a few rows. Its later
+    occurrences are found by a broadcast of the hot digests, fewer than HOT; those of all others by a join in which each key has at
+    most one of HOT rows. What is collected for a document are its own repeated digests.
     """
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    text_hash = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2)
+    rank = F.coalesce(F.col("doc_id").cast("long"), text_hash + F.lit(1 << 62))
     out = struct_of("doc bigint, h1 bigint, h2 bigint")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,22 +193,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return batch_of({"doc": doc[rows], "h1": h[:, 0].copy(), "h2": h[:, 1].copy()}, out)
 
     found = saved(docs.select(rank.alias("doc"), F.col("text").cast("string")).where("text is not null").mapInArrow(digests, out), "units")
-    shared = saved(found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"), "shared")
-    is_window = F.col("h2").bitwiseAND(F.lit(1)) == 1
-
-    def all_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h = near(text.as_py() or "", own.values.to_numpy())
-                if len(h):
-                    yield batch_of({"doc": np.full(len(h), doc), "h1": h[:, 0].copy(), "h2": h[:, 1].copy()}, out)
-
-    spots = found.where(is_window).join(shared.where(is_window).select("h1", "h2"), ["h1", "h2"]).groupBy("doc").agg(F.collect_set("h1").alias("own"))
-    texts = docs.select(rank.alias("doc"), F.col("text").cast("string")).where("text is not null")
-    close = saved(texts.join(spots, "doc").mapInArrow(all_near, out), "windows")
-    later = found.where(~is_window).join(shared.where(~is_window), ["h1", "h2"]).where("doc > first").select("doc", "h1", "h2")
-    first = close.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = later.union(close.join(first, ["h1", "h2"]).where("doc > first").select("doc", "h1", "h2")).distinct()
+    rows = found.count()
+    shared = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = saved(shared.where("first < last").select("h1", "h2", "first", "n"), "shared")
+    hot = shared.where(F.col("n") * HOT > rows).select("h1", "h2", "first")
+    cold = shared.where(F.col("n") * HOT <= rows).select("h1", "h2", "first")
+    keys = ["h1", "h2"]
+    later = found.join(F.broadcast(hot), keys).unionByName(found.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    later = later.where("doc > first").select("doc", *keys)
     later = later.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_repeated")).withColumnRenamed("doc", "_doc")
 
     rest = [c for c in docs.columns if c not in ("text", "removed")]

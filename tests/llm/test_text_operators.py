@@ -161,14 +161,98 @@ def test_repeated_lines_go_whatever_their_length(spark):
 
 
 @pytest.mark.parametrize("stops", [(), (30,), (25, 33)])
-def test_passages_that_begin_and_end_inside_sentences_go_to_the_word(spark, stops):
-    """51 words whose ends are inside longer sentences, with no, one and two sentence ends between."""
+def test_passages_that_begin_and_end_inside_sentences_are_cut(spark, stops):
+    """51 words whose ends are inside longer sentences, with no, one and two sentence ends between: what goes is theirs alone, and
+    no document keeps a run of WINDOW + STEP - 1 words of an earlier one."""
     rng = np.random.default_rng(6)
     own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     shared = " ".join(w + "." * (i in stops) for i, w in enumerate(own(51).split()))
     rows = [(i, f"{own(40 + i)} {shared} {own(45 + i)}.") for i in range(30)]
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1]
+    for i, text in rows[1:]:
+        at, (start, end) = text.index(shared), got[i].removed[0]
+        assert len(got[i].removed) == 1 and at <= start and end <= at + len(shared) + 1 and len(text[start:end].split()) >= substrings.WINDOW
+        assert len(text[at:start].split()) < substrings.STEP and len(text[end : at + len(shared)].split()) < substrings.STEP
+
+
+def plain_dedup(rows, min_words):
+    """rows (doc_id, text) with different ids. Sentences, lines and windows as lists of words, compared with those of all earlier documents."""
+    earlier, out = set(), {}
+    for doc_id, text in sorted(rows):
+        own, spans, seen, run = set(), [], set(), []
+        for m in re.finditer(r"[^\n]*(?:\n\s*|$)", text):
+            line = tuple(m[0].casefold().split())
+            if 0 < len(line) < min_words:
+                own.add(("line", line))
+                if ("line", line) in earlier or ("line", line) in seen:
+                    spans.append(m.span())
+                seen.add(("line", line))
+        cuts = [0, *(m.end() for m in re.finditer(r"\n\s*|(?<=[.!?])[^\S\n]+", text)), len(text)]
+        for a, b in [*zip(cuts, cuts[1:]), (None, None)]:
+            words = tuple(text[a:b].casefold().split()) if a is not None else ("end",)
+            if not words:
+                continue
+            if a is not None and (("unit", words) in earlier or ("unit", words) in seen):
+                run.append((a, b, len(words)))
+            else:
+                if sum(n for _, _, n in run) >= min_words:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+            own.add(("unit", words))
+            seen.add(("unit", words))
+        digests, words, places = substrings.windows(text), text.casefold().split(), [m.span() for m in re.finditer(r"\S+", text)]
+        n = len(words) - substrings.WINDOW + 1
+        picked = {min(range(i, min(i + substrings.STEP, n)), key=lambda j: (digests[j, 0], j)) for i in range(max(1, n - substrings.STEP + 1))} if n > 0 else set()
+        for i in picked:
+            unit = ("window", tuple(words[i : i + substrings.WINDOW]))
+            own.add(unit)
+            if unit in earlier:
+                end = places[i + substrings.WINDOW - 1][1]
+                spans.append((places[i][0], end + len(re.match(r"[^\S\n]*", text[end:])[0])))
+        gone = {i for a, b in spans for i in range(a, b)}
+        out[doc_id] = "".join(c for i, c in enumerate(text) if i not in gone)
+        earlier |= own
+    return out
+
+
+def test_passages_are_those_of_brute_force(real):
+    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").where("text is not null").collect()]
+    got = substrings.dedup(real.select("doc_id", "text")).collect()
+    texts = dict(rows)
+    assert {r.doc_id: r.text for r in got if r.text is not None} == plain_dedup(rows, substrings.MIN_WORDS)
+    for r in got:
+        if r.text is not None:
+            kept, at = [], 0
+            for span in r.removed:
+                kept.append(texts[r.doc_id][at : span.start])
+                at = span.end
+            assert "".join(kept) + texts[r.doc_id][at:] == r.text
+
+
+def test_windows_are_runs_of_words():
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 3, 200)]
+    digests = substrings.windows(" ".join(words))
+    runs = [tuple(words[i : i + substrings.WINDOW]) for i in range(len(words) - substrings.WINDOW + 1)]
+    assert len(digests) == len(runs) and len({tuple(d) for d in digests.tolist()}) == len(set(runs))
+    again = substrings.windows(" ".join(words[50:]))
+    assert (again == digests[50:]).all() and (digests[:, 1] & 1 == 1).all()
+
+
+def test_passages_of_rows_without_id(spark):
+    """They come last and lose to each other what they share, but for equal texts, which are one document."""
+    passage = "One passage of quite a few words that several rows have in common."
+    rows = [(None, f"{passage} First of its kind here."), (None, f"{passage} Second of its kind here."), (None, "All of this text stands twice here."), (None, "All of this text stands twice here."), (7, f"{passage} With a number of its own.")]
+    got = sorted(r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[4][1], "First of its kind here.", "Second of its kind here.", rows[2][1], rows[2][1]])
+
+
+def test_hot_digests_are_broadcast_and_others_joined(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 8)
+    rows = [(i, f"This line stands in every document there is.\nThis line number {i // 2} stands in two of them.\nOwn line {i} of one document.") for i in range(60)]
     got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: text if i == 0 else text.replace(shared + " ", "") for i, text in rows}
+    assert got == plain_dedup(rows, substrings.MIN_WORDS) and got[1] == "Own line 1 of one document."
 
 
 def test_passages_of_edge_cases(edge, empty):
