@@ -33,35 +33,41 @@ from adloom.llm.common import batch_of, saved, struct_of
 FILLINGS, NODES = 400, 20_000
 #: Sequences at the end of the plan that branch and bound may do over.
 TAIL = 24
-#: Encoded words kept by a worker; beyond that it starts anew.
-MEMORY = 400_000
+#: Encoded words kept by a worker, some 200 bytes each; beyond that it starts anew.
+MEMORY = 1_000_000
+#: White space to str.split(), but part of a word to the tokenizer.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 Pattern = tuple[tuple[int, int], ...]  # length and how often, longest first
 
 
 class WordEncoder:
-    """A tokenizer file whose text is split at white space, and letters from what isn't, before anything else. So each word is encoded once
-    and looked up after; a comma or full stop behind a word, and capitals of ASCII letters, don't make another word of it."""
+    """A tokenizer file whose text is lower-cased and split at white space, and letters from what isn't, before anything else; for others
+    there is a ValueError. So each word is encoded once and looked up after; a comma or full stop behind a word, and capitals of ASCII
+    letters, don't make another word of it. Ids are those of the library's encode with add_special_tokens=False: a special token's
+    string in a text is that token."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ids("Ab cd,\n\tEF. ,") != [i for x in ("ab", "cd", ",", "ef", ".", ",") for i in ids(x)]:
+            raise ValueError(f"{path} doesn't encode lower-cased words one by one")
+        self.special = re.compile("|".join(re.escape(x.content.lower()) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
         self.find = re.compile(r"[^ \n\r\t]+").findall
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    @staticmethod
-    def base(word: str) -> str:
+    def base(self, word: str) -> str:
         """The part of a word that is encoded: without one comma or full stop behind a letter that the normaliser leaves a letter (a mark
-        would join the stop), in lower case if it is ASCII."""
+        would join the stop), in lower case if it is ASCII and has no special token's letters, whose case counts."""
         if word[-1] in ",." and word[-2:-1].isalpha() and (word[-2].isascii() or unicodedata.normalize("NFC", word[-2]).lower().isalpha()):
             word = word[:-1]
-        return word.lower() if word.isascii() else word
+        return word.lower() if word.isascii() and not ("<" in word and self.special.search(word.lower())) else word
 
     def _learn(self, bases: list[str]) -> None:
         """Encodes words. Words of letters are one word to the tokenizer too, so many are encoded as one text and the ids cut behind each
@@ -94,7 +100,7 @@ class WordEncoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.find(t) for t in texts]
+        split = [self.find(t) if SEPARATORS.search(t) else t.split() for t in texts]
         words = set().union(*split)
         new = words.difference(self.known)
         if len(new) + len(self.known) > MEMORY:
@@ -297,7 +303,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
 
 
 class Places:
-    """Where the r-th piece of a length stands, for each length and rank."""
+    """Where the r-th piece of a length stands, for each length and rank.
+
+    Its size has a bound that only the capacity sets. A pattern is used as often as the counts allow, so after it some length x in it
+    has fewer pieces left than the pattern takes, and the next pattern that x limits takes fewer of them; it began with capacity / x at
+    most. So there are at most the sum of capacity / x over all lengths x of them (35,000 for 4096), and TAIL, each with a few lengths.
+    """
 
     def __init__(self, patterns: list[tuple[Pattern, int]]) -> None:
         by: dict[int, list[tuple[int, int, int, int]]] = {}
