@@ -2,8 +2,10 @@
 
 import base64
 import datetime
+import gzip
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -262,7 +264,6 @@ def library_ids(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -336,6 +337,24 @@ def test_word_encoder_keeps_stops_with_letters_that_get_a_mark(word_file):
     assert got == library_ids(word_file, texts)
 
 
+def test_word_encoder_on_every_letter_before_a_stop(word_file):
+    """All letters, in both cases, behind and before another one, with a comma and a full stop."""
+    texts = [f"a{chr(i)}, x{chr(i)}. {chr(i)}b," for i in range(0x30000) if chr(i).isalpha()]
+    got = [b for b in packing.WordEncoder(word_file).encode(texts)]
+    for text, own, ids in zip(texts, got, library_ids(word_file, texts)):
+        assert np.frombuffer(own, "<u4").tolist() == ids, text
+
+
+def test_special_tokens_in_texts_are_those_of_the_library(word_file):
+    texts = ["<|endoftext|>", "a<|endoftext|>B, c", "<|ENDOFTEXT|> <|endofText|>,", "x <|startoftext|>. <|startoftext|><|endoftext|>", "<|endoftext |> İ<|endoftext|>.", "<| endoftext|>"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordEncoder(word_file).encode(texts)]
+    assert got == library_ids(word_file, texts) and got[0] == [49407]
+    import public_tokenizers as P
+
+    with pytest.raises(ValueError):
+        packing.WordEncoder(P.path("byte_bpe_50k.json"))
+
+
 def test_packing_of_edge_cases(spark, word_file):
     rows = [(1, None), (1, None), (None, ""), (2, "word " * 9000), (3, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(1)).withColumn("task", F.lit("x"))
@@ -375,6 +394,54 @@ def test_archive_filters_are_pushed_down(spark):
     assert warc.summary(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archives_are_added_to_and_replaced(spark, compression):
+    rows = lambda *ids: spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 20) for i in ids], "page_id long, url string, html string")
+    path = warc.archive(rows(1, 2, 3, 4, 5), compression=compression)
+    warc.write(rows(6, 7, 8), path, compression=compression)
+    ids = lambda: sorted(r.page_id for r in warc.summary(spark, path).collect())
+    assert ids() == list(range(1, 9))
+    warc.write(rows(9, 10), path, "overwrite", compression=compression)
+    assert ids() == [9, 10]
+    warc.write(rows(11), path, compression=compression)
+    assert ids() == [9, 10, 11]
+    folder = path.removeprefix("file:").replace("//", "/")
+    assert sum(f.endswith((".warc", ".warc.gz")) for f in os.listdir(folder)) <= 3 and sum(f.endswith(".json") for f in os.listdir(folder)) == 2
+
+
+def test_compressed_archives_of_others_are_read(spark, tmp_path):
+    """Without a list, with records that aren't HTTP, headers that aren't UTF-8, and payloads that hold a record's first line."""
+    body = b"WARC/1.1\r\n\r\n" * 3
+    head = lambda kind, n, more=b"": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://x/\xff\r\n" + more + b"Content-Length: %d\r\n\r\n" % n
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    records = [head(b"warcinfo", len(body)) + body, head(b"response", len(http), b"Content-Type: application/http\r\n") + http, head(b"request", 3) + b"abc"]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records))
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.record_type, bytes(r.payload)) for r in got) == sorted([("warcinfo", body), ("response", body), ("request", b"abc")] * 2)
+    assert {r.target_uri for r in got} == {"http://x/\ufffd"}
+    assert warc.read(spark, str(tmp_path)).where("record_type = 'request'").count() == 2
+
+
+def test_archives_of_repeated_rows_and_long_payloads(spark):
+    long = "é<p>" * 1_500_000
+    rows = [(9, "u", "same")] * 3 + [(9, "v", "same"), (4, "w", "same"), (None, "x", "same"), (7, "u", long), (8, "u", long), (1, "u", "one"), (1, "u", "one"), (None, "a", "none"), (None, "b", "none")]
+    for compression in ("none", "gzip"):
+        got = warc.summary(spark, warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("bytes", F.lit("x")), compression=compression)).collect()
+        digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+        found = sorted((r.page_id or 0, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got)
+        want = [(9, "same", "response", 0)] + [(9, "same", "revisit", 9)] * 3 + [(4, "same", "revisit", 9), (0, "same", "revisit", 9), (7, long, "revisit", 8), (8, long, "response", 0), (1, "one", "response", 0), (1, "one", "revisit", 1)] + [(0, "none", "response", 0)] * 2
+        assert found == sorted((i, digest(x), len(x.encode()), kind, to) for i, x, kind, to in want)
+
+
+def test_failed_writes_leave_no_files(spark, tmp_path):
+    bad = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("x").alias("html"), F.lit(1).cast("long").alias("bytes"), F.when(F.col("id") < 2, F.sha1(F.lit("x"))).otherwise("no digest").alias("sha"), F.lit(None).cast("long").alias("refers_to"))
+    warc.register(spark)
+    with pytest.raises(Exception):
+        bad.coalesce(1).write.format("warc").mode("append").save(str(tmp_path / "w"))
+    assert os.listdir(tmp_path / "w") == []
+
+
 def test_small_payloads_are_always_responses(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     path = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=3)
