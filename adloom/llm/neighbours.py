@@ -1,12 +1,14 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Method. A bounded sample is split again and again in two equal halves until parts are small; the parts' means are the centroids, so
-that posting lists are balanced. A graph over the centroids (each linked to near ones that no nearer link hides) is small enough
-to be in every executor's memory. Each vector is put into the list of its nearest centroid, which a beam search over the graph
-finds, and also into those of further centroids that are about as near (boundary vectors), as long as no list already chosen is
-nearer to that centroid than the vector is. A query searches the graph for its nearest lists and keeps those whose distance is
-within a ratio of the nearest one's. Queries meet lists block by block: a list is cut into blocks of bounded size, each block gives
-its own nearest rows to each query, and these few rows are merged.
+Method. Lists are learned in two levels, so that their number grows with the table and their size doesn't. A bounded sample is split
+again and again in two equal halves; the parts' means are the cells' centroids, and a graph over them (each linked to near ones
+that no nearer link hides) is small enough to be in every executor's memory. A beam search over the graph finds the cells of a
+vector; it looks at some of them only, and goes on until the nearest cell beyond the ratio is found. Each cell then learns the
+centroids of its posting lists, about LIST vectors each, in the same way from a bounded sample of its own. A vector is put into the list of
+its nearest centroid, and also into those of further centroids that are about as near (boundary vectors), in its own cell and in
+neighbouring ones. A query searches the lists whose centroid's distance is within a ratio of the nearest one's.
+Queries meet lists block by block: a list is cut into blocks of bounded size, each block gives its own nearest rows to each
+query, and these few rows are merged.
 
 Distances are Euclidean, in double precision, on the original vectors. Vectors that are null, zero or hold null or non-finite
 components take no part, nor do those whose length isn't the most frequent one (the longest, among equally frequent). Rows without
@@ -16,7 +18,7 @@ smaller vec_id. Columns besides vec_id and embedding are ignored. No vectors or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,18 @@ from pyspark.sql import functions as F
 
 from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of, whole_groups
 
-#: Vectors the centroids are learned from, at most about.
-SAMPLE = 20_000
-#: Sample vectors to a centroid, at most; so there are at most 2 * SAMPLE / CELL centroids, whatever the table holds.
-CELL = 64
-#: Rows of a block of a posting list.
-BLOCK = 512
-#: Lists that a vector is put into at most, and how much farther than the nearest they may be.
-COPIES, COPY_RATIO = 2, 1.03
-#: Lists that a query searches at least, and how much farther than the nearest others may be. Vectors without any clusters need
-#: about half of all lists for a recall of 0.95; the nearer a query's cluster is, the fewer lists are within the ratio.
-LEAST, SEARCH_RATIO = 64, 1.18
-#: Links of a centroid, and candidates that a search of the graph holds.
-LINKS, BEAM = 24, 2 * SAMPLE // CELL
+#: Vectors that the cells are learned from, and those that the lists of one cell are, at most about; and bytes of such a sample.
+SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
+#: Vectors to a list and lists to a cell, on average, and cells at most; with more vectors cells have more lists.
+LIST, SPLIT, CELLS = 256, 4, 2_500
+#: Rows of a cell, rows of a block of a list, and queries to it that are handled together.
+PIECE, BLOCK, CUT = 4_096, 1_024, 8_192
+#: Lists of its own cell and cells that a vector is put into at most, and how much farther than the nearest they may be.
+COPIES, COPY_RATIO = 2, 1.1
+#: How much farther than the nearest cell and list others may be that a query searches.
+SEARCH_RATIO = 1.12
+#: Links of a centroid, and candidates that a search of the graph holds at first; it holds twice as many while all are within the ratio.
+LINKS, BEAM = 24, 16
 
 
 def _halves(x: np.ndarray, rows: np.ndarray, cell: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -58,14 +59,17 @@ def _halves(x: np.ndarray, rows: np.ndarray, cell: int, rng: np.random.Generator
         stack += [part[near[: len(part) // 2]], part[near[len(part) // 2 :]]]
 
 
-class Lists:
+def centroids(sample: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
+    """The means of about that many equal parts of a sample of at least one row."""
+    size = max(1, -(-len(sample) // max(1, parts)))
+    return np.array([sample[p].mean(axis=0) for p in _halves(sample, np.arange(len(sample)), size, np.random.default_rng(seed))], np.float32)
+
+
+class Graph:
     """Centroids and the graph that leads to them."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 7) -> None:
-        """sample: distinct vectors in rows, at least one."""
-        rng = np.random.default_rng(seed)
-        parts = list(_halves(sample, np.arange(len(sample)), CELL, rng))
-        self.centre = np.array([sample[p].mean(axis=0) for p in parts], np.float32)
+    def __init__(self, centre: np.ndarray) -> None:
+        self.centre = centre
         self.norm = (self.centre.astype(np.float64) ** 2).sum(axis=1)
         n = len(self.centre)
         self.links = np.zeros((n, min(LINKS, max(n - 1, 1))), np.int32)
@@ -125,28 +129,19 @@ class Lists:
             merge(rows, np.where(np.isinf(d), -1, to), d)
         return beam, np.maximum(far, 0)
 
-    def copies(self, x: np.ndarray) -> list[list[int]]:
-        """The lists of each vector, nearest first."""
-        ids, d = self.search(x, 4 * COPIES)
-        out = []
-        for row, dist in zip(ids, np.sqrt(d)):
-            kept = [int(row[0])]
-            for j, dj in zip(row[1:].tolist(), dist[1:].tolist()):
-                if len(kept) == COPIES or j < 0 or dj > COPY_RATIO * dist[0]:
-                    break
-                between = ((self.centre[kept].astype(np.float64) - self.centre[j]) ** 2).sum(axis=1)
-                if (between > dj * dj).all():
-                    kept.append(j)
-            out.append(kept)
-        return out
-
-    def lists(self, x: np.ndarray) -> list[list[int]]:
-        """The lists that each query searches."""
-        ids, d = self.search(x, BEAM)
-        out = []
-        for row, dist in zip(ids, np.sqrt(d)):
-            n = int((dist <= SEARCH_RATIO * dist[0]).sum())
-            out.append([j for j in row[: max(n, LEAST)].tolist() if j >= 0])
+    def within(self, x: np.ndarray, ratio: float, most: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and distances of the centroids within the ratio of each row's nearest, nearest first, at most `most` if that is given."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(x)
+        rows, width = np.arange(len(x)), BEAM
+        while len(rows):
+            ids, d = self.search(x[rows], width)
+            d = np.sqrt(d)
+            n = ((d <= ratio * d[:, :1]) & (ids >= 0)).sum(axis=1)
+            enough = (n < ids.shape[1]) | (ids.shape[1] < width) | (width >= len(self.centre)) | (np.full(len(n), most is not None and most < width))
+            for i in np.flatnonzero(enough).tolist():
+                k = n[i] if most is None else min(most, n[i])
+                out[rows[i]] = ids[i, :k], d[i, :k]
+            rows, width = rows[~enough], 2 * width
         return out
 
 
@@ -161,22 +156,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _posted(rows: DataFrame, id_name: str, out: str, which) -> DataFrame:
-    """A row for each row and list that `which` names for it."""
-    schema = struct_of(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                x = _matrix(part.column(1))
-                found = which(x.astype(np.float32))
-                row = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                yield batch_of({id_name: part.column(0).take(pa.array(row)), "list": np.concatenate([np.array(f, np.int64) for f in found]), "v": part.column(1).take(pa.array(row))}, schema)
-
-    return rows.mapInArrow(run, schema)
-
-
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k nearest (query, id, score), nearest first, ties to the smaller id; an id counts once."""
     order = np.lexsort((score, ids, query))
@@ -206,62 +185,153 @@ def scan(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: in
     return best(asked[q], ids[r], exact, k)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """rows, queries (vec_id, embedding). Returns (query_id, rank, vec_id, score): of each query the k nearest rows found besides the row
-    with its own vec_id; score is the distance.
+def _flat(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    Shuffled are the vectors, once for each list they are in, and the queries, once for each block they meet. What is sent to all
-    executors (centroids and graph) and to the driver (the sample) has a size set by SAMPLE and CELL.
-    """
+
+def _groups(t: pa.Table, keys: list[str]) -> list[int]:
+    """Where groups of equal keys start, and the end."""
+    change = np.zeros(t.num_rows, bool)
+    change[0] = True
+    for c in keys:
+        column = t.column(c).to_numpy()
+        change[1:] |= column[1:] != column[:-1]
+    return [*np.flatnonzero(change).tolist(), t.num_rows]
+
+
+def _celled(rows: DataFrame, dim: int, which: Callable[[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(id, cell, nth, v): a row for each row and cell that `which` names for it, nth counting a row's cells from 0."""
+    schema = struct_of("id long, cell long, nth int, v array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = [ids for ids, _ in which(_flat(part.column(1), dim).astype(np.float32))]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+                yield batch_of({"id": part.column(0).take(row), "cell": np.concatenate(found), "nth": np.concatenate([np.arange(len(f)) for f in found]), "v": part.column(1).take(row)}, schema)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _leaves(placed: DataFrame, dim: int) -> DataFrame:
+    """(cell, leaf, v): the centroids of the lists of each cell, learned from a sample of the vectors at home in it."""
+    out = struct_of("cell long, leaf long, v array<double>")
+    limit = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))
+    home = placed.where("nth = 0")
+    sizes = saved(home.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cells")  # CELLS rows at most
+    sample = home.join(F.broadcast(sizes), "cell").where(F.rand(7) * F.col("n") <= limit).select("cell", "n", "v")
+    sample = sample.repartition(shuffle_partitions(placed.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["cell"]):
+            cell, n, x = t.column("cell").to_numpy(), t.column("n").to_numpy(), _flat(t.column("v"), dim).astype(np.float32)
+            starts = _groups(t, ["cell"])
+            for s, e in zip(starts, starts[1:]):
+                centre = centroids(x[s:e], -(-int(n[s]) // LIST)).astype(np.float64)
+                yield batch_of({"cell": np.full(len(centre), cell[s]), "leaf": np.arange(len(centre)), "v": list(centre)}, out)
+
+    return saved(sample.mapInArrow(run, out), "leaves")
+
+
+def _listed(placed: DataFrame, leaves: DataFrame, dim: int, ratio: float, copies: int | None) -> DataFrame:
+    """(id, list, d, v): placed rows (id, cell, nth, v) in the lists of their cells whose distance d is within the ratio of the cell's nearest,
+    at most `copies` if that is given, and one only in cells that aren't a row's first. Cells of many rows are cut into pieces, each of
+    which meets a copy of the cell's centroids."""
+    out = struct_of("id long, list long, d double, v array<double>")
+    pieces = saved(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("long").alias("pieces")), "pieces")  # CELLS rows at most
+    base = leaves.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    base = base.select("cell", "piece", F.lit(0).alias("kind"), F.col("leaf").alias("id"), F.lit(0).alias("nth"), "v")
+    rows = placed.join(F.broadcast(pieces), "cell").select("cell", F.pmod(F.monotonically_increasing_id(), F.col("pieces")).alias("piece"), F.lit(1).alias("kind"), "id", "nth", "v")
+    group = ["cell", "piece"]
+    met = base.unionByName(rows).repartition(shuffle_partitions(placed.sparkSession), *group).sortWithinPartitions(*group, "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, group):
+            t = t.combine_chunks()
+            cell, kind, ids, nth, v = t.column("cell").to_numpy(), t.column("kind").to_numpy(), t.column("id").to_numpy(), t.column("nth").to_numpy(), t.column("v").combine_chunks()
+            x = _flat(v, dim)
+            starts = _groups(t, group)
+            for s, e in zip(starts, starts[1:]):
+                mid = s + int(np.searchsorted(kind[s:e], 1))
+                if mid == s:
+                    continue  # no vector is at home here
+                y = x[s:mid]
+                for at in range(mid, e, 512):
+                    own = x[at : min(e, at + 512)]
+                    d = np.sqrt(np.maximum((own**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * own @ y.T, 0))
+                    order = np.argsort(d, axis=1, kind="stable")
+                    d = np.take_along_axis(d, order, 1)
+                    near = d <= ratio * d[:, :1]
+                    if copies is not None:
+                        near &= np.arange(d.shape[1])[None] < np.where(nth[at : at + len(own)] == 0, copies, 1)[:, None]
+                    r, c = np.nonzero(near)
+                    yield batch_of({"id": ids[at + r], "list": (cell[s] << 32) | ids[s + order[r, c]], "d": d[r, c], "v": v.take(pa.array(at + r))}, out)
+
+    return met.mapInArrow(run, out)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What `nearest` returns, and (query_id, lists, scanned): how many lists each query searches and how many rows, copies too, these hold."""
     spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema, told = "query_id long, rank int, vec_id long, score double", "query_id long, lists long, scanned long"
     valid = usable(rows)
     sizes = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), spark.createDataFrame([], told)
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     valid = valid.where(F.size("embedding") == dim)
-    share = max(1, n // SAMPLE)
+    limit = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))
     # The bound holds for distinct vectors; of one that is repeated, one is taken.
-    sample = valid.select("embedding").where(F.pmod(F.xxhash64("embedding"), F.lit(share)) == 0).distinct().orderBy(F.xxhash64(F.lit(1), "embedding")).limit(SAMPLE).collect()
-    if not sample:
-        sample = valid.select("embedding").limit(1).collect()
-    learned = spark.sparkContext.broadcast(Lists(np.array([r["embedding"] for r in sample], np.float32)))
-
-    posted = saved(_posted(valid, "vec_id", "vec_id long, list long, v array<double>", lambda x: learned.value.copies(x)), "postings")
-    blocks = saved(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "blocks")  # a row for each centroid
-    base = posted.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("kind"), F.col("vec_id").alias("id"), "v")
-    asked = _posted(usable(queries).where(F.size("embedding") == dim), "vec_id", "vec_id long, list long, v array<double>", lambda x: learned.value.lists(x))
-    asked = saved(asked, "asked")
-    # Queries to one block are cut too, so that many alike ones don't meet in one task: each cut meets a copy of the block.
-    cuts = saved(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("cuts")), "cuts")
-    base = base.join(F.broadcast(cuts), "list").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).drop("cuts")
-    asked = asked.join(F.broadcast(blocks), "list").join(F.broadcast(cuts), "list").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asked = asked.select("list", "block", F.lit(0).cast("long").alias("kind"), F.col("vec_id").alias("id"), "v", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("cuts")).alias("cut"))
+    sample = valid.select("embedding").where(F.pmod(F.xxhash64("embedding"), F.lit(max(1, n // limit))) == 0).distinct().orderBy(F.xxhash64(F.lit(1), "embedding")).limit(limit).toArrow()
+    if not sample.num_rows:
+        sample = valid.select("embedding").limit(1).toArrow()
+    graph = spark.sparkContext.broadcast(Graph(centroids(_flat(sample.column(0), dim).astype(np.float32), min(CELLS, n // (LIST * SPLIT)))))
+
+    placed = saved(_celled(valid, dim, lambda x: graph.value.within(x, COPY_RATIO, COPIES)), "placed")
+    leaves = _leaves(placed, dim)
+    posted = saved(_listed(placed, leaves, dim, COPY_RATIO, COPIES).drop("d"), "postings")
+    asked = saved(_celled(usable(queries).where(F.size("embedding") == dim), dim, lambda x: graph.value.within(x, SEARCH_RATIO)), "queries")
+    asked = saved(_listed(asked, leaves, dim, SEARCH_RATIO, None), "asked")
+    least = asked.groupBy("id", F.xxhash64("v").alias("h")).agg(F.min("d").alias("least"))
+    asked = saved(asked.withColumn("h", F.xxhash64("v")).join(least, ["id", "h"]).where(F.col("d") <= SEARCH_RATIO * F.col("least")).select("id", "list", "v"), "pruned")
+
+    blocks = saved(posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "blocks")
+    cuts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CUT).cast("long").alias("cuts"))
+    shape = saved(blocks.join(cuts, "list").select("list", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), "cuts"), "shape")
+    zero = F.lit(0).cast("long")
+    base = posted.join(shape, "list").withColumn("cut", F.explode(F.sequence(zero, F.col("cuts") - 1)))
+    base = base.select("list", F.pmod(F.monotonically_increasing_id(), F.col("blocks")).alias("block"), "cut", F.lit(0).alias("kind"), "id", "v")
+    to = asked.join(shape, "list").withColumn("cut", F.pmod(F.monotonically_increasing_id(), F.col("cuts"))).withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     group = ["list", "block", "cut"]
-    met = base.unionByName(asked).repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "kind")
+    met = base.unionByName(to.select(*group, F.lit(1).alias("kind"), "id", "v")).repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "kind")
     out = struct_of("query_id long, vec_id long, score double")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, group):
             t = t.combine_chunks()
-            keys = [t.column(c).to_numpy() for c in group]
-            change = np.zeros(t.num_rows, bool)
-            change[0] = True
-            for c in keys:
-                change[1:] |= c[1:] != c[:-1]
-            starts = [*np.flatnonzero(change).tolist(), t.num_rows]
-            ids, kind = t.column("id").to_numpy(), t.column("kind").to_numpy()
-            x = t.column("v").combine_chunks()
-            x = x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            ids, kind, x = t.column("id").to_numpy(), t.column("kind").to_numpy(), _flat(t.column("v"), dim)
+            starts, found = _groups(t, group), []
             for s, e in zip(starts, starts[1:]):
                 mid = s + int(np.searchsorted(kind[s:e], 1))
                 if s < mid < e:
-                    found.append(scan(ids[s:mid], x[s:mid], ids[mid:e], x[mid:e], k))
+                    found += [scan(ids[at : min(e, at + 512)], x[at : min(e, at + 512)], ids[s:mid], x[s:mid], k) for at in range(mid, e, 512)]
             if found:
                 yield batch_of(dict(zip(out.fieldNames(), best(*(np.concatenate(parts) for parts in zip(*found)), k))), out)
 
     merged = met.mapInArrow(meet, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    result = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return result, asked.join(blocks, "list").groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("lists"), F.sum("n").alias("scanned"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """rows, queries (vec_id, embedding). Returns (query_id, rank, vec_id, score): of each query the k nearest rows found besides the row
+    with its own vec_id; score is the distance.
+
+    Shuffled are the vectors, once for each cell and list that they are in (COPIES cells and COPIES lists at most), and the queries, once
+    for each list they search. What is sent to all executors (the cells' centroids and graph) and to the driver (the sample) has a
+    size set by SAMPLE, SAMPLE_BYTES and CELLS; centroids of lists are a table.
+    """
+    return search(rows, queries, k)[0]

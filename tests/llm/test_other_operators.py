@@ -19,22 +19,56 @@ from adloom.llm import chat, neighbours, packing, pii, warc
 DATA = "/root/testdata/sf0.001"
 
 
-def test_neighbours_reach_the_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    x = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
-    ids = np.array([r.vec_id for r in rows.orderBy("vec_id").select("vec_id").collect()])
+def recall(rows, queries, k=10):
+    """Recall against brute force, and the mean of lists searched and of the share of rows (copies too) that these hold."""
+    table = rows.orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in table]), np.array([r.vec_id for r in table])
+    result, told = neighbours.search(rows, queries, k)
     got = {}
-    for r in neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 10).collect():
+    for r in result.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     hits = []
-    for q, found in got.items():
-        found.sort()
+    for q in [r.vec_id for r in queries.collect()]:
+        found = sorted(got[q])
         d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
         d[ids == q] = np.inf
-        hits.append(len({v for _, v, _ in found} & set(ids[np.lexsort((ids, d))[:10]])) / 10)
-        assert [k for k, _, _ in found] == list(range(1, 11))
-        assert all(s == d[ids == v][0] for _, v, s in found)
-    assert len(got) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.9
+        hits.append(len({v for _, v, _ in found} & set(ids[np.lexsort((ids, d))[:k]].tolist())) / k)
+        assert [i for i, _, _ in found] == list(range(1, k + 1)) and all(s == d[ids == v][0] for _, v, s in found)
+    return np.mean(hits), np.mean([r.lists for r in told.collect()]), np.mean([r.scanned for r in told.collect()]) / len(ids)
+
+
+def test_neighbours_reach_the_recall(spark):
+    """Vectors with hardly any clusters, for which most lists are within the ratio."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    assert recall(rows, rows.where("vec_id % 50 = 0"))[0] >= 0.9
+
+
+@pytest.mark.parametrize("n", [4_000, 16_000])
+def test_neighbours_in_clusters_are_found_in_few_lists(spark, n):
+    """The number of lists grows with the table, that of lists searched doesn't; boundary vectors are in several."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(n // 100, 24))
+    x = centre[rng.integers(0, len(centre), n)] + 0.5 * rng.normal(size=(n, 24))
+    rows = spark.createDataFrame(list(zip(range(n), x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    found, lists, scanned = recall(rows, rows.where("vec_id % 200 = 0"))
+    assert found >= 0.9 and lists < 12 and scanned < 0.2
+
+
+def test_the_graph_leads_to_all_centroids_within_the_ratio():
+    """And looks at few of them where few are near."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(600, 12)).astype(np.float32) * 4
+    graph = neighbours.Graph(centre)
+    x = centre[rng.integers(0, 600, 200)] + rng.normal(size=(200, 12)).astype(np.float32)
+    d = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(axis=2))
+    for ratio in (1.0, 1.3, 5.0):
+        hits = [len(set(ids.tolist()) & set(np.flatnonzero(own <= ratio * own.min()).tolist())) / (own <= ratio * own.min()).sum() for (ids, _), own in zip(graph.within(x, ratio), d)]
+        assert np.mean(hits) > 0.97
+    looked = []
+    search = graph.search
+    graph.search = lambda x, width: looked.append(width) or search(x, width)
+    graph.within(x, 1.05)
+    assert looked[0] == neighbours.BEAM and max(looked) < 600
 
 
 def test_neighbours_of_edge_cases(spark):
@@ -49,7 +83,8 @@ def test_neighbours_of_edge_cases(spark):
 
 def test_neighbours_in_one_hot_list(spark, monkeypatch):
     """More copies of one vector than a block holds: the ten smallest ids are the nearest."""
-    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    for name in ("BLOCK", "PIECE", "CUT", "LIST"):
+        monkeypatch.setattr(neighbours, name, 16)
     df = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     got = {}
     for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), 10).collect():
