@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,7 +49,52 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.saved_path = path
+    _written(spark).append(path)
+    return written
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """The intermediate tables of the session that are still there."""
+    context = spark.sparkContext
+    if not hasattr(context, "_adloom_written"):
+        context._adloom_written = []
+    return context._adloom_written
+
+
+def mark(spark: SparkSession) -> int:
+    """A place in the order of intermediate tables, for drop_saved."""
+    return len(_written(spark))
+
+
+def drop_saved(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables written since that mark. Results that are computed from them must have been written before."""
+    for path in _written(spark)[since:]:
+        _delete(spark, path)
+    del _written(spark)[since:]
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table that `saved` has returned."""
+    _delete(df.sparkSession, df.saved_path)
+    _written(df.sparkSession).remove(df.saved_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with more than one of so many rows is hot; there are fewer hot keys than this, whatever the number of rows.
+HOT = 4096
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: int, hot: int = HOT) -> DataFrame:
+    """The inner join of big with small (keys, n, ...), in which each key is once and n counts its rows in big, of `rows` in all. Hot keys, fewer
+    than `hot`, are broadcast, so that their rows stay where they are; the others are joined by a shuffle."""
+    few, many = (small.where(c).drop("n") for c in (F.col("n") * hot > rows, F.col("n") * hot <= rows))
+    return big.join(F.broadcast(few), keys).unionByName(big.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import saved
+from adloom.llm.common import drop, saved
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -33,10 +33,14 @@ def components(links: DataFrame) -> DataFrame:
         least = _least(both)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = saved(large.distinct(), "large")
+        drop(least)
+        drop(edges)
         least = _least(large)
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         edges = saved(small.distinct(), "small")
+        drop(least)
+        drop(large)
         mark, before = _mark(edges), mark
         if mark == before:
             break

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of, whole_groups
+from adloom.llm.common import batch_of, join_counted, saved, shuffle_partitions, struct_of, whole_groups
 from adloom.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -175,13 +175,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     """docs (doc_id, text). Returns (doc_id, fp, component_id): component_id is the least doc_id that can be reached over links between
     fingerprints at radius or fewer differing bits, the row's own included."""
     prints = saved(fingerprints(docs, shingle, seed), "prints")
-    classes = saved(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = saved(classes.where("rep is not null"), "classes")
     roots = saved(components(links(classes.select("fp"), radius)), "roots")
     linked = saved(classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep"), "linked")
     least = saved(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
     merged = linked.join(least, "root").select("fp", "least")
-    to = saved(classes.join(merged, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "components")
-    return prints.join(to, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    to = saved(classes.join(merged, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")), "components")
+    found = join_counted(prints.where("doc_id is not null"), to, ["fp"], prints.count()).select("doc_id", "fp", "component_id")
+    return found.unionByName(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id")))
 
 
 #: For keep_one: words of a shingle, bits of the long print, and how far apart prints of similar texts may be. Of a pair with similarity
@@ -356,9 +358,9 @@ def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     lower-cased words and over links whose sets of five-word shingles, compared whole, have a Jaccard similarity of `percent` or more."""
     prints = saved(long_prints(docs), "prints")
     words = [f"w{i}" for i in range(WORDS)]
-    classes = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in words))
+    classes = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("shingles"), F.count(F.lit(1)).alias("n"), *(F.first(w).alias(w) for w in words))
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs = saved(candidates(classes.where("n > 0")), "pairs")
+    pairs = saved(candidates(classes.where("shingles > 0")), "pairs")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     ends = saved(classes.join(ends, "node", "left_semi").select("node", "rep", "h1", "h2"), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends.select("rep").distinct(), "rep", "left_semi")
@@ -370,13 +372,20 @@ def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     linked = saved(classes.join(roots, "node").select("node", "root", "rep"), "linked")
     least = saved(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
     merged = linked.join(least, "root").select("node", "least")
-    to = saved(classes.join(merged, "node", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id")), "components")
-    return prints.join(to, ["h1", "h2"]).select("doc_id", "component_id")
+    to = saved(classes.join(merged, "node", "left").select("h1", "h2", "n", F.coalesce("least", "rep").alias("component_id")), "components")
+    return join_counted(prints, to, ["h1", "h2"], prints.count()).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without near-duplicates: of each component of `similar` the rows of its least doc_id stay, one of them where the id is
-    repeated, as do rows without doc_id. All columns of docs stay."""
-    kept = similar(docs, percent).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    rest = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return rest.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs without near-duplicates: of each component of `similar` the row of its least doc_id stays, as do all rows without doc_id. Where rows
+    repeat that id, one of them stays, the one with the least hash of all its columns. Null, empty and blank texts are one class. All
+    columns of docs stay, texts aren't shuffled for repeated ids unless there are any, and no rows give no rows."""
+    kept = similar(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rest = rows.where("id is not null").join(kept, "id", "left_semi")
+    nameless = rows.where("id is null").select("row.*")
+    repeated = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return rest.select("row.*").unionByName(nameless)
+    one = rest.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rest.join(repeated, "id", "left_anti").select("row.*").unionByName(one.select("row.*")).unionByName(nameless)

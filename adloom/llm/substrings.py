@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from adloom.llm.common import batch_of, saved, struct_of
+from adloom.llm.common import HOT, batch_of, join_counted, saved, struct_of
 
 #: Ends of units: line ends, and white space after a sentence's last mark.
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
@@ -39,8 +39,6 @@ MIN_WORDS = 5
 #: Words of a window, and how many windows in a row have one that is chosen; with STEP <= WINDOW chosen ones leave no gaps.
 WINDOW, STEP = 25, 25
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: A digest in more than one of so many rows is hot; there are fewer hot digests than this, whatever the corpus.
-HOT = 4096
 WORD = re.compile(r"\S+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -196,17 +194,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = found.count()
     shared = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = saved(shared.where("first < last").select("h1", "h2", "first", "n"), "shared")
-    hot = shared.where(F.col("n") * HOT > rows).select("h1", "h2", "first")
-    cold = shared.where(F.col("n") * HOT <= rows).select("h1", "h2", "first")
-    keys = ["h1", "h2"]
-    later = found.join(F.broadcast(hot), keys).unionByName(found.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
-    later = later.where("doc > first").select("doc", *keys)
-    later = later.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_repeated")).withColumnRenamed("doc", "_doc")
+    later = join_counted(found, shared, ["h1", "h2"], rows, HOT)
+    later = later.where("doc > first").select("doc", "h1", "h2")
+    later = later.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("repeated"))
 
     rest = [c for c in docs.columns if c not in ("text", "removed")]
-    own = docs.select(*rest, F.col("text").cast("string"), rank.alias("_rank"))
-    joined = own.join(later, F.col("_rank") == F.col("_doc"), "left").select(*rest, "text", "_repeated")
-    schema = T.StructType([*own.select(*rest, "text").schema.fields, T.StructField("removed", SPAN)])
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string"), rank.alias("doc"))
+    joined = own.join(later, "doc", "left").select("rest", "text", "repeated")
+    schema = T.StructType([*joined.schema["rest"].dataType.fields, joined.schema["text"], T.StructField("removed", SPAN)])
     arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +223,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 text, removed = cut(text, {raw[j : j + 16] for j in range(0, len(raw), 16)}, min_words, own[of_window, 0])
                 texts.append(text)
                 spans.append([{"start": s, "end": e} for s, e in removed])
-            columns = [b.column(i) for i in range(b.num_columns - 2)]
+            columns = b.column(0).flatten()
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, arrow)), pa.array(texts, arrow.field("text").type), pa.array(spans, arrow.field("removed").type)], schema=arrow)
 
     return joined.mapInArrow(apply, schema).select(*[c for c in docs.columns if c != "removed"], "removed")
