@@ -7,11 +7,13 @@ end mark, which must be that of CLOSE with nothing behind it, and takes one back
 Method. Each turn is rendered as it is and parsed; where what comes back is not the turn, its text (and role) conflict with the
 grammar and are escaped: a backslash is put into every `<|`, `<\\|` and so on, which the parser takes out again. Escaped text has no
 `<|`, and a turn is cut out by strings that have it, so one escape ends with an equal turn. The turns of a conversation are then
-joined, the whole is parsed, and what comes back is compared with the source. Only DataFrame functions are used.
+joined, the whole is parsed, and what comes back is compared with the source; a conversation that differs is an error, not a row.
+Only DataFrame functions are used.
 
-Null roles and texts are empty. Turns are ordered by turn (nulls first), then role, then text; repeated rows stay. Rows without
-conv_id form one conversation. Line ends in a role are escaped too. Columns besides conv_id, turn, role and text are ignored; no
-rows give no conversations. A conversation is one row of output, so its turns meet in one group.
+Null roles and texts are empty, and texts of any length are whole. Turns are ordered by turn (nulls first), then role, then text;
+repeated rows stay. Each row without conv_id is a conversation by itself, so that such rows don't form one group of any size. Line ends in
+a role are escaped too. Columns besides conv_id, turn, role and text are ignored; no rows give no conversations. A conversation is
+one row of output, so its turns meet in one group.
 """
 
 from __future__ import annotations
@@ -66,28 +68,31 @@ def _plain(turns: Column) -> Column:
 def format_chats(rows: DataFrame, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """rows (conv_id, turn, role, text). Returns (conv_id, formatted string, loss_spans array<struct<start, length>>, escaped_turns long,
     identical boolean): the rendered conversation; where in it, in code points from 1, the texts of trained roles stand; how many
-    turns had to be escaped; whether the turns that the parser reads from the whole are the source's.
+    turns had to be escaped; whether the turns that the parser reads from the whole are the source's, which is true of each row: reading
+    `formatted` of a conversation of which it isn't raises an error.
 
     One shuffle by conv_id serves the running lengths and the grouping.
     """
-    turns = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = ["conv_id", "alone_id"]
+    turns = rows.select("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     alone = F.col("alone")
     turns = turns.withColumn("alone", parse(render_turn(F.col("role"), F.col("text"))))
     turns = turns.withColumn("fits", (F.size(alone) == 1) & (F.element_at(alone, 1)["role"] == F.col("role")) & F.coalesce(F.element_at(alone, 1)["text"] == F.col("text"), F.lit(False))).drop("alone")
     turns = turns.withColumn("out_role", F.when(F.col("fits"), F.col("role")).otherwise(_escape_role(F.col("role")))).withColumn("out_text", F.when(F.col("fits"), F.col("text")).otherwise(escape(F.col("text"))))
     turns = turns.withColumn("piece", render_turn(F.col("out_role"), F.col("out_text")))
-    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*own).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turns = turns.withColumn("end", F.sum(F.length("piece").cast("long")).over(so_far)).withColumn("at", F.row_number().over(so_far))
     start = F.col("end") - len(CLOSE) - F.length("out_text") + 1
     turns = turns.withColumn("span", F.when(F.col("role").isin(*trained_roles), F.struct(start.alias("start"), F.length("out_text").cast("long").alias("length"))))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "piece", "span", "fits"))).alias("turns"))
+    chats = turns.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "piece", "span", "fits"))).alias("turns"))
     chats = chats.withColumn("formatted", F.array_join(F.col("turns")["piece"], ""))
+    chats = chats.withColumn("identical", F.coalesce(_plain(parse(F.col("formatted"))) == _plain(F.col("turns")), F.lit(False)))
     return chats.select(
         "conv_id",
-        "formatted",
+        F.when(F.col("identical"), F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("a conversation doesn't come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))).alias("formatted"),
         F.filter(F.col("turns")["span"], lambda s: s.isNotNull()).alias("loss_spans"),
         F.size(F.filter("turns", lambda t: ~t["fits"])).cast("long").alias("escaped_turns"),
-        F.coalesce(_plain(parse(F.col("formatted"))) == _plain(F.col("turns")), F.lit(False)).alias("identical"),
+        "identical",
     )
 
 

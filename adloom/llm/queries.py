@@ -100,12 +100,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP6_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, length(role) + 1 + length('<|im_start|>') + length('<|im_end|>') + 1 + length(
-    CASE WHEN regexp_replace(text, '<\\(\\*)\|', '<\1|', 'g') = text AND NOT contains(text, '<|im_start|>')
+    CASE WHEN regexp_replace(text, '<\\(\\*)\|', '<\1|', 'g') = text AND NOT contains(text, '<|im_start|>') AND NOT contains(text, '<|im_end|>')
          THEN text ELSE regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') END) AS chars
   FROM rows
 )
@@ -114,7 +114,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 
