@@ -116,7 +116,8 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     counted = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
     sums = counted.mapInArrow(run, out).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return sums.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("lang", "gram", "place")
+    # The limit stands on the row number itself, so that tasks pass on their own first rows of a language only.
+    return sums.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select("lang", "gram", (F.col("nth") - 1).alias("place"))
 
 
 class Classifier:
@@ -128,9 +129,12 @@ class Classifier:
         self.langs = sorted({r[0] for r in rows})
         grams = sorted({r[1] for r in rows})
         at = {g: i for i, g in enumerate(grams)}
-        self.places = np.full((len(self.langs), len(grams)), -1, np.int32)
-        for lang, gram, place in rows:
-            self.places[self.langs.index(lang), at[gram]] = place
+        # For each gram the languages that have it and its place there, one after another: as many numbers as the profiles have rows.
+        number = {x: i for i, x in enumerate(self.langs)}
+        entries = sorted((at[gram], number[lang], place) for lang, gram, place in rows)
+        self.having = np.array([e[1] for e in entries], np.int64)
+        self.place = np.array([e[2] for e in entries], np.int64)
+        self.start = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(grams) + 1))
         signs = sorted({c for g in grams for c in g})
         self.base = len(signs) + 1
         self.signs = np.array([ord(c) for c in signs], np.uint32)
@@ -153,7 +157,7 @@ class Classifier:
         if self.code is None:
             self.code = np.zeros(sys.maxunicode + 1, np.int32)
             self.code[self.signs] = np.arange(1, self.base)
-        counts = np.zeros(self.places.shape[1], np.int64)
+        counts = np.zeros(len(self.start) - 1, np.int64)
         for at in range(0, len(a), PIECE):
             part = a[max(0, at - 2) : at + PIECE]
             skip = min(at, 2)
@@ -170,8 +174,10 @@ class Classifier:
         own = own[np.lexsort((own, -counts[own]))][: self.size]
         if not len(own):
             return self.langs[0], 0.0
-        places = self.places[:, own]
-        distance = np.where(places < 0, self.size, np.abs(places - np.arange(len(own)))).sum(axis=1)
+        n = self.start[own + 1] - self.start[own]
+        entry = np.repeat(self.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        saved = self.size - np.abs(self.place[entry] - np.repeat(np.arange(len(own)), n))  # of the penalty for a gram that is missing
+        distance = self.size * len(own) - np.bincount(self.having[entry], saved, len(self.langs)).astype(np.int64)
         best = int(np.argmin(distance))
         return self.langs[best], float(1 - distance[best] / (self.size * len(own)))
 
@@ -193,12 +199,12 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Classifier:
 def identify(docs: DataFrame, learned: Classifier, keep: list[str | Column], least: float | None = None) -> DataFrame:
     """The columns `keep` of docs (text, ...) with lang_pred string and score double, in place of any columns of these names. The text
     alone decides. With `least`, a text that no profile accepts at that score is `und`."""
-    own = docs.select(*keep, F.col("text").cast("string").alias("_text")).drop("lang_pred", "score")
-    names = own.columns[:-1]
+    own = docs.select(*keep).drop("lang_pred", "score").columns
+    own = docs.select(*keep, F.col("text").cast("string").alias(next(n for n in ("_text", "_text_", "_text__") if n not in own))).drop("lang_pred", "score")
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*own.select(*[f"`{c}`" for c in names]).schema.fields, *struct_of("lang_pred string, score double").fields])
+    schema = T.StructType([*own.schema.fields[:-1], *struct_of("lang_pred string, score double").fields])
     arrow = to_arrow_schema(schema)
     known = docs.sparkSession.sparkContext.broadcast(learned)
 
