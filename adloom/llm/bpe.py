@@ -6,8 +6,10 @@ the positions of the least rank are merged from left to right, and only the pair
 anew. A pair that a merge creates may have a lower rank than the merge itself (vocabularies of ranks don't say by which pair a
 token was built); such a rank is then next, as it is in a word-by-word encoder.
 
-Words are the matches of the pattern; encoded words are kept between batches in a memory of bounded size. Null and empty texts
-have no tokens. Special tokens are never produced. Columns besides those named are ignored.
+Words are the matches of the pattern; encoded words are kept between batches in a memory of bounded size, so each worker replays the
+words of all its tasks about once. (One replay for the whole corpus would send every occurrence of a word through a shuffle to meet
+its ids; see the README for what that costs.) Null and empty texts have no tokens, repeated rows are encoded each for itself. Special
+tokens are never produced. Columns besides those named are ignored.
 """
 
 from __future__ import annotations

@@ -259,11 +259,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     were replaced. The text is cut at the candidates and put together again around their pseudonyms, so that nothing that was put
     in is looked at again."""
     rest = [c for c in docs.columns if c not in ("text", "n_private")]
-    own = docs.select(*rest, F.col("text").cast("string"))
-    own = own.withColumn("_found", F.when(F.col("text").rlike(PATTERN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    own = own.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
+    own = docs.select(*([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []), F.col("text").cast("string"))
+    own = own.withColumn("found", F.when(F.col("text").rlike(PATTERN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    own = own.withColumn("new", F.transform("found", lambda v: pseudonym(v, key)))
     between = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(joined)
-    return own.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_private"], F.when(F.col("_new").isNull(), F.lit(0)).otherwise(changed).cast("long").alias("n_private"))
+    joined = F.array_join(F.zip_with(between, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    text = F.when(F.col("new").isNull(), F.col("text")).otherwise(joined)
+    return own.select(*[text.alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c != "n_private"], F.when(F.col("new").isNull(), F.lit(0)).otherwise(changed).cast("long").alias("n_private"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import language, packing, pii, simhash, substrings
-from adloom.llm.common import new_path
+from adloom.llm.common import drop_saved, mark, new_path
 from adloom.llm.queries import KEY, table, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,23 +28,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Documents without doc_id stay, null
+    and blank texts are one group, of rows that repeat a doc_id one stays, no rows give none."""
     return _columns(simhash.keep_one(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; documents of which nothing is left go."""
+    """Cuts passages that an earlier document has; documents of which nothing is left go, and so do null texts."""
     cut = substrings.dedup(docs)
     return _columns(cut.where(F.trim("text") != ""))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts pseudonyms in place of personal data."""
+    """Puts pseudonyms in place of personal data. Each row stands alone: null and empty texts, repeated rows and no rows pass as they are."""
     return _columns(pii.pseudonymise(docs, KEY))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 4096 tokens."""
+    """Packs the documents into sequences of 4096 tokens. Null texts are empty ones, repeated rows are packed each for itself, no rows give
+    no sequences."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 4096, 1)
 
 
@@ -61,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage is written to the shared folder and read again."""
+    """The rows of the last stage. Each stage is written to the shared folder and read again, and its intermediate tables are deleted."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        since = mark(spark)
         docs = stage(spark, docs, sf_dir)
         path = new_path(spark, f"stage{i}")
         docs.write.parquet(path)
+        drop_saved(spark, since)
         docs = spark.read.parquet(path)
     return docs

@@ -4,7 +4,6 @@ import base64
 import datetime
 import gzip
 import hashlib
-import itertools
 import os
 import random
 import re
@@ -14,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import chat, neighbours, packing, pii, warc
+from adloom.llm import chat, common, neighbours, packing, pii, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -278,6 +277,29 @@ def test_end_marks_in_texts_and_roles_are_escaped(spark):
         assert all("<|im_end|>" not in r.formatted[s.start - 1 : s.start - 1 + s.length] for s in r.loss_spans)
 
 
+def test_chats_are_those_of_the_sql(spark, tmp_path):
+    """Texts with both marks, and rows without conv_id, each of them a conversation."""
+    import duckdb
+
+    from adloom.llm import queries
+
+    rows = [(1, 0, "user", "a<|im_end|>\nb"), (1, 1, "assistant", "x <|im_start|> y"), (2, 0, "assistant", "<\\|im_end|> z"), (3, 0, "assistant", None), (None, 0, "user", "one"), (None, 0, "user", "one"), (None, 1, "assistant", "two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_chats(spark, str(tmp_path))
+    sql = duckdb.sql(queries.OP6_SQL.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.select(*sql.columns).collect())) == sorted(map(key, sql.fetchall())) and got.count() == 7
+
+
+def test_a_conversation_that_differs_is_an_error(spark, monkeypatch):
+    """An escape that doesn't work: what is read back isn't the source."""
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "user", "a<|im_start|>b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="doesn't come back"):
+        chat.format_chats(df).collect()
+
+
 def test_chats_of_edge_cases(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, "assistant", "x" * 100_000), (2, 1, "system", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).withColumn("turns", F.lit(2))
@@ -513,4 +535,19 @@ def test_pipeline_stages(spark):
         if not private.search(text) and not re.search(r"\d{7}|\d\.\d+\.\d|\d{3}-\d{4}|password", text):
             assert after[i] == text
     assert {r[0] for r in seen[4].select("doc_id").collect()} == set(after)
-    assert corpus_pipeline.run(spark, DATA).count() > 0 and list(itertools.islice(corpus_pipeline.STAGES, 1))
+    before = common.mark(spark)
+    assert corpus_pipeline.run(spark, DATA).count() > 0 and common.mark(spark) == before
+
+
+def test_pipeline_stages_of_edge_cases(spark):
+    """No rows, and columns whose names the operators use themselves."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clashing = docs.limit(30)
+    for name in ("id", "row", "rest", "doc", "repeated", "removed", "found", "new", "_text", "fp", "n", "h1", "score", "lang_pred", "n_private", "length", "task"):
+        clashing = clashing.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        got = stage(spark, clashing, DATA)
+        assert got.count() > 0 and (name == "best-fit packing" or got.columns == docs.columns), name

@@ -77,6 +77,23 @@ def test_near_duplicates_of_edge_cases(edge, empty):
     assert kept == [0, 1, 2, 5, 6, 7]
 
 
+def test_hot_fingerprints_are_broadcast(edge, monkeypatch):
+    from adloom.llm import common
+
+    rows = lambda: sorted(tuple(r) for r in simhash.near_duplicates(edge.where("doc_id is not null")).collect())
+    before = rows()
+    monkeypatch.setattr(common, "join_counted", lambda *a, f=common.join_counted: f(*a[:4], 3))
+    monkeypatch.setattr(simhash, "join_counted", common.join_counted)
+    assert rows() == before
+
+
+def test_one_of_rows_that_repeat_an_id_stays(spark):
+    rows = [(1, "a text of several words that is its own", "x"), (1, "another text of several words, not like it", "y"), (1, "another text of several words, not like it", "y"), (2, "the third of the texts here", "z"), (None, "a text of several words that is its own", "n"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted((r.doc_id or 0, r.source) for r in simhash.keep_one(df.repartition(n)).collect()) for n in (1, 2, 4)]
+    assert got[0] == got[1] == got[2] and [i for i, _ in got[0]] == [0, 0, 1, 2] and got[0][2][1] in "xy"
+
+
 def test_stage_links_texts_by_five_word_similarity(spark):
     """Of 60 words one other word in the middle leaves 51 of 61 shingles shared, two leave 46 of 66."""
     rng = np.random.default_rng(4)
@@ -301,7 +318,8 @@ def plain_predict(profiles, text, size):
     counts = {g: n for g, n in plain_count([text]).items() if any(g in p for p in profiles.values())}
     own = sorted(counts, key=lambda g: (-counts[g], g))[:size]
     distance = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
-    return min(sorted(distance), key=distance.get) if own else None
+    best = min(sorted(distance), key=distance.get) if own else None
+    return (best, 1 - distance[best] / (size * len(own))) if own else (None, 0.0)
 
 
 def test_language_is_that_of_brute_force(real):
@@ -316,7 +334,7 @@ def test_language_is_that_of_brute_force(real):
     assert got == profiles
     learned = language.Classifier([(x, g, i) for x, p in profiles.items() for g, i in p.items()], size)
     for text, _ in rows:
-        assert learned.predict(text)[0] == plain_predict(profiles, text, size)
+        assert learned.predict(text) == pytest.approx(plain_predict(profiles, text, size))
 
 
 def test_language_of_edge_cases(edge, empty):
@@ -342,6 +360,66 @@ def test_fingerprints_of_texts_edited_and_next(real):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.3
 
 
+def subset_of(term, family):
+    """The last of a family's nested subsets that the term is in: k if the term's mixed hash ends in k zero bits."""
+    m = (1 << 64) - 1
+    x = xxhash.xxh64_intdigest(term) ^ xxhash.xxh64_intdigest(f"lexicon {family}")
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = ((x ^ x >> 30) * factor) & m
+    x ^= x >> 31
+    return next((k for k in range(64) if x >> k & 1), 64)
+
+
+def test_fingerprints_are_those_of_brute_force(real):
+    """All subsets of the lexicon are laid out as sets before any document is looked at, and each document is hashed over every one."""
+    rows = sorted((r.doc_id, r.text or "") for r in real.select("doc_id", "text").collect())
+    rows = [*rows[:60], (rows[60][0], ""), (rows[61][0], "zzzz only here")]
+    docs = [(i, t) for i, t in rows]
+    counts = {}
+    for _, t in docs:
+        for w in set(re.findall(r"\w+", t.lower())):
+            counts[w] = counts.get(w, 0) + 1
+    band = (0.02, 0.3)
+    lexicon = {w for w, n in counts.items() if max(2, band[0] * len(docs)) <= n <= band[1] * len(docs)}
+    subsets = [[{w for w in lexicon if subset_of(w, f) >= k} for k in range(20)] for f in range(8)]
+
+    def kept(text, family, k):
+        own = set(re.findall(r"\w+", text.lower()))
+        known = own & lexicon
+        return frozenset(known & subsets[family][k] if known else {w for w in own if subset_of(w, family) >= k})
+
+    def value(text, family):
+        k = max((k for k in range(20) if kept(text, family, k)), default=None)
+        return 0 if k is None else xxhash.xxh32_intdigest(" ".join(sorted(kept(text, family, k))))
+
+    def likeness(a, b):
+        same = 0
+        for f in range(8):
+            k = max((k for k in range(20) if kept(a, f, k) or kept(b, f, k)), default=0)
+            same += kept(a, f, k) == kept(b, f, k)
+        return same / 8
+
+    got = {r.doc_id: r for r in imatch.compare(real.sparkSession.createDataFrame(docs, "doc_id long, text string"), band, 8).collect()}
+    assert len(got) == len(docs)
+    for (i, text), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        k, r = len(text) // 4, got[i]
+        changed = text[: len(text) - k] + following[:k]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert r.fingerprint == "".join(f"{value(text, f):08x}" for f in range(8)) and r.edited_fingerprint == "".join(f"{value(changed, f):08x}" for f in range(8))
+        assert r.near_edited == likeness(text, changed) and r.near_next == likeness(text, following)
+
+
+def test_fingerprints_of_rows_that_share_an_id(spark):
+    """They follow each other in the order of a hash of their text, wherever ranges are cut."""
+    rows = [(i // 3, f"text number {i} of some words") for i in range(60)] + [(None, "first of all"), (None, "or second")]
+    got = {r.edited_sha256: r for r in imatch.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    order = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("coalesce(doc_id, -1) as i", "text", "xxhash64(text) as h").orderBy("i", "h").collect()
+    assert len(got) == len(rows)
+    for a, b in zip(order, order[1:] + order[:1]):
+        k = len(a.text) // 4
+        assert got[hashlib.sha256((a.text[: len(a.text) - k] + b.text[:k]).encode()).hexdigest()].doc_id == (None if a.i < 0 else a.i)
+
+
 def test_fingerprints_of_edge_cases(edge, empty, spark):
     rows = imatch.compare(edge).collect()
     assert len(rows) == len(EDGE)
