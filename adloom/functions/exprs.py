@@ -88,6 +88,15 @@ def duration_s(start: Column | str, end: Column | str, as_of: Column | None = No
     return F.round(micros / 1e6, 3)
 
 
+def fixed(c: Column | str, precision: int = 12, places: int = 6) -> Column:
+    """A number as a decimal of fixed places, halves away from zero."""
+    return _c(c).cast(f"decimal({precision},{places})")
+
+
+def is_unknown(c: Column | str) -> Column:
+    return _c(c) == UNKNOWN
+
+
 def cents(c: Column | str, places: int = 6) -> Column:
     """A number held to fixed places, as a double."""
     return F.round(_c(c).cast("double"), places)

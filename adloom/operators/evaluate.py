@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.ranks import ranked, running_sums
@@ -17,20 +17,26 @@ def _by_score(scored: DataFrame, group: list[str]) -> DataFrame:
     return running_sums(counts, group, "s", ["pos", "neg"])  # descending score
 
 
+def _auc() -> Column:
+    below = F.col("neg_total") - F.col("neg_before") - F.col("neg")
+    won = F.sum(F.col("pos") * (below + F.col("neg") / 2))
+    return F.round(F.try_divide(won, F.max("pos_total").cast("double") * F.max("neg_total")), 6).alias("roc_auc")
+
+
+def _precision() -> Column:
+    precision = (F.col("pos_before") + F.col("pos")) / (F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg"))
+    return F.round(F.coalesce(F.try_divide(F.sum(F.col("pos") * precision), F.max("pos_total").cast("double")), F.lit(0.0)), 6).alias("pr_auc")
+
+
 def roc_auc(scored: DataFrame, group: list[str]) -> DataFrame:
     """(group, roc_auc): the share of pairs of a positive and a negative in which the positive scores higher, ties counting half. Scores are
     grouped first, so only distinct scores are put in order. Null without both classes."""
-    s = _by_score(scored, group)
-    below = F.col("neg_total") - F.col("neg_before") - F.col("neg")
-    won = F.sum(F.col("pos") * (below + F.col("neg") / 2))
-    return s.groupBy(*group).agg(F.round(F.try_divide(won, F.max("pos_total").cast("double") * F.max("neg_total")), 6).alias("roc_auc"))
+    return _by_score(scored, group).groupBy(*group).agg(_auc())
 
 
 def average_precision(scored: DataFrame, group: list[str]) -> DataFrame:
     """(group, pr_auc): the mean over positives of the precision at their score, in steps; 0 without positives."""
-    s = _by_score(scored, group)
-    precision = (F.col("pos_before") + F.col("pos")) / (F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg"))
-    return s.groupBy(*group).agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("pos") * precision), F.max("pos_total").cast("double")), F.lit(0.0)), 6).alias("pr_auc"))
+    return _by_score(scored, group).groupBy(*group).agg(_precision())
 
 
 def log_loss_brier(scored: DataFrame, group: list[str]) -> DataFrame:
@@ -49,9 +55,9 @@ def at_top(scored: DataFrame, group: list[str], share: float = 0.10, tie: str =
 
 
 def evaluate(scored: DataFrame, group: list[str], tie: str = "raw_event_id") -> DataFrame:
-    """All six metrics of each group of (score, label)."""
-    out = roc_auc(scored, group)
-    for other in (average_precision(scored, group), log_loss_brier(scored, group), at_top(scored, group, 0.10, tie)):
+    """All six metrics of each group of (score, label). Distinct scores are put in order once for both areas."""
+    out = _by_score(scored, group).groupBy(*group).agg(_auc(), _precision())
+    for other in (log_loss_brier(scored, group), at_top(scored, group, 0.10, tie)):
         out = out.join(other, group) if group else out.crossJoin(F.broadcast(other))
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adloom.functions import exprs as X
 from adloom.functions.columns import NUMERIC, STORED
 from adloom.operators.warehouse import unpivot
+from adloom.sources.work import saved
 
 CODES = [f"{c}_bucket_code" for c in NUMERIC]
 BUCKET_LIFTS = [f"{c}_bucket_ctr_lift" for c in NUMERIC]
@@ -20,40 +21,71 @@ LOGS = [f"{c}_log_scale" for c in NUMERIC]
 ENCODED = [*STORED, *CODES]
 NOT_FEATURES = ["dataset_split", "raw_event_id", "batch_id", "label", "click_flag", "impression_count", "click_count"]
 PRIOR = 50.0
+#: Rows of a lookup table that is sent to all tasks, at most; and of how many rows more than one makes a value a frequent one.
+BROADCAST_ROWS, HOT = 100_000, 4096
 
 
 def feature_store(staged: DataFrame, buckets: DataFrame, values: DataFrame, total: DataFrame, recorded_at: Column | None = None) -> DataFrame:
     """One wide row an event: measures, flags, logs, bucket codes, and the lift and support of its buckets and values.
 
-    The 13 bucket lookups are one row of 91 numbers, folded into a map; values may be many, so each of the seven columns is a
-    left join that Spark broadcasts where the mart is small and shuffles where it isn't.
+    The lifts of each numeric column's seven buckets are one small map; those of values come from `looked_up`.
     """
     base = staged.select(
         "raw_event_id", "batch_id", "label", "event_day_number", "event_batch", "click_flag", "impression_count", "click_count", "missing_numeric_count", "missing_categorical_count",
-        (F.col("missing_numeric_count") > 0).cast("int").alias("has_missing_numeric"),
-        (F.col("missing_categorical_count") > 0).cast("int").alias("has_missing_categorical"),
-        (F.col("missing_numeric_count") + F.col("missing_categorical_count") >= 5).cast("int").alias("high_missingness_flag"),
+        *missing_flags(),
         *NUMERIC,
         *(X.log_scale(c).alias(f"{c}_log_scale") for c in NUMERIC),
         *STORED,
         *(X.bucket_code(c).alias(f"{c}_bucket_code") for c in NUMERIC),
     )
-    entry = F.struct(F.concat_ws("|", "feature_name", "bucket_code"), F.col("ctr_lift_vs_overall"))
-    lifts = buckets.agg(F.map_from_entries(F.collect_list(entry)).alias("_lifts"))  # 91 entries
-    out = base.crossJoin(F.broadcast(lifts)).crossJoin(F.broadcast(total.select(F.col("ctr").alias("overall_ctr"))))
-    for c in STORED:
-        one = values.where(F.col("feature_name") == c).select(F.col("feature_value").alias(c), F.col("ctr_lift_vs_overall").alias(f"_{c}_lift"), F.col("impressions").alias(f"_{c}_n"))
-        out = out.join(one, c, "left")
+    out = base.crossJoin(F.broadcast(_small_maps(buckets, "feature_name", NUMERIC, F.struct("bucket_code", "ctr_lift_vs_overall"))))
+    out = out.crossJoin(F.broadcast(total.select(F.col("ctr").alias("overall_ctr"))))
+    table = values.where(F.col("feature_name").isin(STORED)).select("feature_name", "feature_value", F.col("impressions").alias("n"), F.col("ctr_lift_vs_overall").alias("lift"), F.col("impressions").alias("shown"))
+    out = looked_up(out, "raw_event_id", table, {c: F.col(c) for c in STORED}, ["lift", "shown"])
     return out.select(
         *base.columns,
-        *(F.coalesce(F.try_element_at("_lifts", F.concat(F.lit(f"{c}|"), F.col(f"{c}_bucket_code"))), F.lit(0.0)).alias(f"{c}_bucket_ctr_lift") for c in NUMERIC),
+        *(F.coalesce(F.try_element_at(f"_{c}_map", F.col(f"{c}_bucket_code")), F.lit(0.0)).alias(f"{c}_bucket_ctr_lift") for c in NUMERIC),
         *(F.coalesce(f"_{c}_lift", F.lit(0.0)).alias(f"{c}_ctr_lift") for c in STORED),
-        *(F.coalesce(f"_{c}_n", F.lit(0)).cast("long").alias(f"{c}_feature_impressions") for c in STORED),
+        *(F.coalesce(f"_{c}_shown", F.lit(0)).cast("long").alias(f"{c}_feature_impressions") for c in STORED),
         "overall_ctr",
         *([recorded_at.alias("feature_recorded_at")] if recorded_at is not None else []),
     )
 
 
+def missing_flags() -> list[Column]:
+    numeric, categorical = F.col("missing_numeric_count"), F.col("missing_categorical_count")
+    return [(numeric > 0).cast("int").alias("has_missing_numeric"), (categorical > 0).cast("int").alias("has_missing_categorical"), (numeric + categorical >= 5).cast("int").alias("high_missingness_flag")]
+
+
+def _small_maps(table: DataFrame, name: str, columns: list[str], entry: Column) -> DataFrame:
+    """One row with a map `_<column>_map` of the entries of each column, which are few."""
+    return table.agg(*(F.map_from_entries(F.collect_list(F.when(F.col(name) == c, entry))).alias(f"_{c}_map") for c in columns))
+
+
+def looked_up(frame: DataFrame, row_id: str, table: DataFrame, columns: dict[str, Column], found: list[str]) -> DataFrame:
+    """frame with `_<column>_<name>` for each column and each name in found: what table (feature_name, feature_value, n, found ...) holds for the
+    column's value, null where it holds nothing. row_id is unique; n counts a value's rows in the frame, or in one like it.
+
+    A table of at most BROADCAST_ROWS rows is sent to all tasks. Beyond that rows are looked up by their ids: a narrow row for each row and
+    column meets the table, frequent values (fewer than HOT) by a broadcast and others by a shuffle, and what was found is put back
+    together by id, so wide rows are shuffled once and not for each column.
+    """
+    table = saved(table, "lookup")
+    if table.count() <= BROADCAST_ROWS:
+        for c, value in columns.items():
+            one = table.where(F.col("feature_name") == c).select(F.col("feature_value").alias(f"_{c}_value"), *(F.col(x).alias(f"_{c}_{x}") for x in found))
+            frame = frame.join(F.broadcast(one), value == F.col(f"_{c}_value"), "left").drop(f"_{c}_value")
+        return frame
+    pairs = F.array(*(F.struct(F.lit(c).alias("feature_name"), value.alias("feature_value")) for c, value in columns.items()))
+    long = frame.select(row_id, F.inline(pairs))
+    limit = table.agg(F.sum("n")).first()[0] or 0
+    keys = ["feature_name", "feature_value"]
+    few, many = table.where(F.col("n") * HOT > limit).drop("n"), table.where(F.col("n") * HOT <= limit).drop("n")
+    met = long.join(F.broadcast(few), keys).unionByName(long.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys))
+    back = met.groupBy(row_id).agg(*(F.max(F.when(F.col("feature_name") == c, F.col(x))).alias(f"_{c}_{x}") for c in columns for x in found))
+    return frame.join(back, row_id, "left")
+
+
 def parse_days(text: str) -> frozenset[int]:
     """The day numbers of a list such as "1,2,5"; they are from 1 to 7."""
     days = frozenset(int(x) for x in text.split(",") if x.strip())
@@ -97,22 +129,20 @@ def encodings(train: DataFrame, prior: float = PRIOR, columns: list[str] = ENCOD
     return e.select(F.col("feature_name").alias("column_name"), F.col("feature_value").alias("value"), ((F.col("clicks") + F.col("global_ctr") * prior) / (F.col("n") + prior)).alias("smoothed_ctr"), (F.col("n") / F.col("train_rows")).alias("frequency"), F.log1p(F.col("n").cast("double")).alias("log_count"))
 
 
-def apply_encodings(frame: DataFrame, encoding: DataFrame, total: DataFrame, columns: list[str] = ENCODED) -> DataFrame:
+def apply_encodings(frame: DataFrame, encoding: DataFrame, total: DataFrame, columns: list[str] = ENCODED, row_id: str = "raw_event_id") -> DataFrame:
     """Adds for each column its encoded rate, the lift over the global rate and the log count; unseen values get the global rate and 0.
-    Bucket codes have seven values, so their encodings travel as one small map; categorical values are left joins."""
-    small = [c for c in columns if c in CODES]
-    key = F.concat_ws("|", "column_name", "value")
-    of_codes = encoding.where(F.col("column_name").isin(small)).agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("smoothed_ctr", "log_count")))).alias("_codes"))
-    out = frame.crossJoin(F.broadcast(of_codes)).crossJoin(F.broadcast(total.select(F.col("global_ctr").alias("_global"))))
+    Bucket codes have seven values, so their encodings are small maps; those of categorical values come from `looked_up`."""
+    small, large = [c for c in columns if c in CODES], [c for c in columns if c not in CODES]
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns}
+    out = frame.crossJoin(F.broadcast(_small_maps(encoding, "column_name", small, F.struct("value", F.struct("smoothed_ctr", "log_count")))))
+    out = out.crossJoin(F.broadcast(total.select(F.col("global_ctr").alias("_global"))))
+    if large:
+        table = encoding.where(F.col("column_name").isin(large)).select(F.col("column_name").alias("feature_name"), F.col("value").alias("feature_value"), F.expm1("log_count").alias("n"), F.col("smoothed_ctr").alias("rate"), F.col("log_count").alias("count"))
+        out = looked_up(out, row_id, table, {c: text[c] for c in large}, ["rate", "count"])
     added: list[Column] = []
     for c in columns:
-        if c in small:
-            hit = F.try_element_at("_codes", F.concat(F.lit(f"{c}|"), F.coalesce(F.col(c).cast("string"), F.lit("unknown"))))
-            rate, count = hit["smoothed_ctr"], hit["log_count"]
-        else:
-            one = encoding.where(F.col("column_name") == c).select(F.col("value").alias(f"_{c}_value"), F.col("smoothed_ctr").alias(f"_{c}_rate"), F.col("log_count").alias(f"_{c}_count"))
-            out = out.join(one, F.coalesce(F.col(c).cast("string"), F.lit("unknown")) == F.col(f"_{c}_value"), "left")
-            rate, count = F.col(f"_{c}_rate"), F.col(f"_{c}_count")
+        hit = F.try_element_at(f"_{c}_map", text[c]) if c in small else None
+        rate, count = (hit["smoothed_ctr"], hit["log_count"]) if c in small else (F.col(f"_{c}_rate"), F.col(f"_{c}_count"))
         rate = F.coalesce(rate, F.col("_global"))
         added += [rate.alias(f"{c}_enc_ctr"), (rate - F.col("_global")).alias(f"{c}_enc_ctr_lift"), F.coalesce(count, F.lit(0.0)).alias(f"{c}_enc_log_count")]
     return out.select(*frame.columns, *added)

@@ -49,7 +49,7 @@ def decide(candidates: DataFrame, active: DataFrame, base: DataFrame, base_versi
 def apply(registry: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
     """The registry after promotions: of a name with a promoted candidate, the one of the newest run is active and no other."""
     won = latest(decisions.where("promoted"), ["model_name"], [F.desc("training_run_id")]).select("model_name", F.col("model_id").alias("_won"), "decision_reason")
-    j = registry.join(F.broadcast(won), "model_name", "left")
+    j = registry.join(won, "model_name", "left")
     now = F.col("model_id") == F.col("_won")
     return j.select("model_id", "model_name", "model_version", F.when(F.col("_won").isNull(), F.col("is_active_canonical")).otherwise(now).alias("is_active_canonical"), F.when(now, at).otherwise(F.col("canonical_promoted_at")).alias("canonical_promoted_at"), F.when(now, F.col("decision_reason")).otherwise(F.col("canonical_promotion_note")).alias("canonical_promotion_note"))
 
@@ -60,4 +60,4 @@ def normalise(registry: DataFrame, compared: DataFrame, base_version: str) -> Da
     active = registry.where("is_active_canonical").join(newest, ["model_name", "model_version"], "left")
     order = [F.desc(F.col("model_version") == base_version), *(F.desc_nulls_last(m) for m in METRICS), F.desc_nulls_last("training_run_id"), F.desc("model_id")]
     best = latest(active, ["model_name"], order).select(F.col("model_id").alias("_best"), F.lit(True).alias("_keep"))
-    return registry.join(F.broadcast(best), F.col("model_id") == F.col("_best"), "left").withColumn("is_active_canonical", F.coalesce("_keep", F.lit(False))).select(*registry.columns)
+    return registry.join(best, F.col("model_id") == F.col("_best"), "left").withColumn("is_active_canonical", F.coalesce("_keep", F.lit(False))).select(*registry.columns)

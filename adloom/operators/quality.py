@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
@@ -172,6 +172,6 @@ def layer_report(df: DataFrame, keys: list[str], counters: dict[str, Column]) ->
 
 def violations(scores: DataFrame) -> DataFrame:
     """One row: how many scores break each rule that a constrained table would enforce."""
-    pair = Window.partitionBy("raw_event_id", "model_id")
-    own = scores.withColumn("_n", F.count(F.lit(1)).over(pair))
-    return own.agg(F.count_if(~F.col("predicted_ctr").between(0, 1)).alias("predicted_out_of_range"), F.count_if(~F.col("score_decile").between(1, 10)).alias("decile_out_of_range"), F.count_if(~F.col("actual_click").isin(0, 1)).alias("click_not_binary"), F.count_if(F.col("_n") > 1).alias("repeated_rows"))
+    rules = scores.agg(F.count_if(~F.col("predicted_ctr").between(0, 1)).alias("predicted_out_of_range"), F.count_if(~F.col("score_decile").between(1, 10)).alias("decile_out_of_range"), F.count_if(~F.col("actual_click").isin(0, 1)).alias("click_not_binary"))
+    repeats = scores.groupBy("raw_event_id", "model_id").count().agg(F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("repeated_rows"))
+    return _beside(rules, repeats)

@@ -1,4 +1,5 @@
-"""Ranked and rolling marts of each batch. All windows are partitioned by batch too, so many batches are ranked together."""
+"""Ranked and rolling marts of each batch, many batches together. Values of a feature and pairs of an interaction may be any number, so their
+ranks don't come from windows, which would sort a feature in one task, but from ranges of the order; windows are over days only."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import HIGH, INTERACTION_MIN, MEDIUM, MEDIUM_BUCKET, SEGMENT_MIN
+from adloom.operators.ranks import ntile_of, placed, ranked
 
 
 def _against(mart: DataFrame, b_overall: DataFrame) -> DataFrame:
@@ -22,13 +24,14 @@ def feature_ranked(b_feature: DataFrame, b_overall: DataFrame, high: int = HIGH,
     """Row number, dense rank, percent rank (ascending) and quartile of each value within its feature; ties in the quartile go by value."""
     f = _against(b_feature, b_overall).withColumn("volume_band", X.volume_band("impressions", high, medium))
     best = [F.desc_nulls_first("ctr"), F.desc("impressions")]
-    return f.select(
-        "*",
-        F.row_number().over(_over(["feature_name"], *best, F.asc("feature_value"))).alias("row_number_in_feature"),
-        F.dense_rank().over(_over(["feature_name"], *best)).alias("dense_rank_in_feature"),
-        F.round(F.percent_rank().over(_over(["feature_name"], F.asc_nulls_last("ctr"))), 6).alias("percent_rank_in_feature"),
-        F.ntile(4).over(_over(["feature_name"], *best, F.asc("feature_value"))).alias("ctr_quartile_in_feature"),
-    )
+    p = placed(f, ["batch_id", "feature_name"], [*best, F.asc("feature_value")], ["ctr", "impressions"], ["ctr"])
+    return p.select(*f.columns, (F.col("rank0") + 1).cast("int").alias("row_number_in_feature"), F.col("dense").cast("int").alias("dense_rank_in_feature"), _percent().alias("percent_rank_in_feature"), ntile_of(F.col("rank0"), F.col("total"), 4).alias("ctr_quartile_in_feature"))
+
+
+def _percent() -> Column:
+    """percent_rank by ascending rate (nulls last) of rows in descending order: the rows behind the last one of the same rate are those before
+    it the other way."""
+    return F.round(F.coalesce(F.try_divide(F.col("total") - F.col("tie_end"), F.col("total") - 1), F.lit(0.0)), 6)
 
 
 def event_day_rolling(b_day: DataFrame) -> DataFrame:
@@ -82,19 +85,18 @@ def lift_ranked(b_feature: DataFrame, b_bucket: DataFrame, b_overall: DataFrame,
     buckets = b_bucket.select("batch_id", F.lit("numeric_bucket").alias("feature_family"), "feature_name", F.col("bucket_label").alias("segment_value"), "impressions", "clicks", "ctr", X.volume_band("impressions", high, medium_bucket).alias("volume_band"))
     s = _against(values.unionByName(buckets), b_overall)
     best = [F.desc_nulls_first("ctr_lift_vs_overall"), F.desc("impressions")]
-    own = ["feature_family", "feature_name"]
-    return s.select("*", F.row_number().over(_over(own, *best, F.asc("segment_value"))).alias("row_number_by_lift"), F.dense_rank().over(_over(own, *best)).alias("dense_rank_by_lift"), F.ntile(5).over(_over(["feature_family"], *best, F.asc("feature_name"), F.asc("segment_value"))).alias("lift_quintile"))
+    p = placed(s, ["batch_id", "feature_family", "feature_name"], [*best, F.asc("segment_value")], ["ctr_lift_vs_overall", "impressions"])
+    p = p.select(*s.columns, (F.col("rank0") + 1).cast("int").alias("row_number_by_lift"), F.col("dense").cast("int").alias("dense_rank_by_lift"))
+    whole = ranked(p, ["batch_id", "feature_family"], [*best, F.asc("feature_name"), F.asc("segment_value")])
+    return whole.withColumn("lift_quintile", ntile_of(F.col("rank0"), F.col("total"), 5)).drop("rank0", "total")
 
 
 def interaction_ranked(b_inter: DataFrame, b_overall: DataFrame, high: int = HIGH, medium: int = MEDIUM) -> DataFrame:
     s = _against(b_inter, b_overall).withColumn("volume_band", X.volume_band("impressions", high, medium))
     best = [F.desc_nulls_first("ctr"), F.desc("impressions")]
     values = [F.asc("left_feature_value"), F.asc("right_feature_value")]
-    running = _over(["interaction_name"], F.desc("clicks"), F.desc("impressions"), *values).rowsBetween(Window.unboundedPreceding, 0)
-    return s.select(
-        "*",
-        F.row_number().over(_over(["interaction_name"], *best, *values)).alias("row_number_in_interaction"),
-        F.dense_rank().over(_over(["interaction_name"], *best)).alias("dense_rank_in_interaction"),
-        F.round(F.percent_rank().over(_over(["interaction_name"], F.asc_nulls_last("ctr"))), 6).alias("percent_rank_in_interaction"),
-        F.sum("clicks").over(running).alias("cumulative_clicks_by_interaction"),
-    )
+    group = ["batch_id", "interaction_name"]
+    p = placed(s, group, [*best, *values], ["ctr", "impressions"], ["ctr"])
+    p = p.select(*s.columns, (F.col("rank0") + 1).cast("int").alias("row_number_in_interaction"), F.col("dense").cast("int").alias("dense_rank_in_interaction"), _percent().alias("percent_rank_in_interaction"))
+    sums = placed(p, group, [F.desc("clicks"), F.desc("impressions"), *values], ["clicks"], None, ("clicks",))
+    return sums.withColumnRenamed("clicks_so_far", "cumulative_clicks_by_interaction").drop("rank0", "total", "dense")

@@ -32,6 +32,58 @@ def ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     return out.select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first")).alias("rank0"), F.col("_total").alias("total"))
 
 
+def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Adds `name`: start, start + 1 and so on, in the order in which the rows are read, without a gap, however the input is split into
+    tasks. The rows are written once; the only ones that are put in order are those of a count for each task."""
+    written = saved(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    heads = written.groupBy(F.shiftright("_id", 33).alias("_task")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    out = written.withColumn("_task", F.shiftright("_id", 33)).join(heads, "_task")
+    return out.select((F.lit(start).cast("long") + F.col("_before") + F.col("_id") - F.col("_first")).alias(name), *df.columns)
+
+
+def placed(df: DataFrame, group: list[str], order: list[Column], dense: list[str], tie: list[str] | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds what windows over a group of any size would: rank0 (from 0), total, dense (from 1, by the columns `dense`, on which the order begins),
+    tie_end (rows up to the last one with the same values in `tie`, likewise the first of the order) and for each c in sums c_so_far.
+
+    Rows are dealt out by ranges of the order. Within a task windows are over its rows of a group; what spans tasks is put right from a
+    row for each task and group: how many rows, sums and distinct values come before, and whether its first value is the last of
+    the task before. Where a run of equal values ends is known to its tasks from their first and last values.
+    """
+    dealt, heads = _tasks(df, group, order)
+    dealt = dealt.withColumn("_task", F.shiftright("_id", 33))
+    own = Window.partitionBy(*group, "_task").orderBy("_id")
+    value = F.struct(*dense)
+    new = F.when(F.lag(value).over(own).isNull() | ~F.lag(value).over(own).eqNullSafe(value), 1).otherwise(0)
+    local = dealt.select("*", new.alias("_new"))
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.select("*", F.sum("_new").over(so_far).alias("_dense"), *(F.sum(c).over(so_far).alias(f"_{c}") for c in sums))
+    more = local.groupBy(*group, "_task").agg(F.max("_dense").alias("_kinds"), F.min_by(value, "_id").alias("_head"), F.max_by(value, "_id").alias("_tail"), *(F.sum(c).alias(f"_{c}_n") for c in sums))
+    tasks = Window.partitionBy(*group).orderBy("_task")
+    earlier = tasks.rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.join(more, [*group, "_task"])
+    heads = heads.withColumn("_same", F.when(F.lag("_tail").over(tasks).eqNullSafe(F.col("_head")) & F.lag("_task").over(tasks).isNotNull(), 1).otherwise(0))
+    heads = heads.withColumn("_kinds_before", F.coalesce(F.sum(F.col("_kinds") - F.col("_same")).over(earlier), F.lit(0)) - F.col("_same"))
+    for c in sums:
+        heads = heads.withColumn(f"_{c}_before", F.coalesce(F.sum(f"_{c}_n").over(earlier), F.lit(0)))
+    heads = saved(heads.drop("_head", "_tail"), "heads")
+    joined = local.join(heads, [*group, "_task"])
+    place = F.col("_before") + F.col("_id") - F.col("_first")
+    columns = [place.alias("rank0"), F.col("_total").alias("total"), (F.col("_dense") + F.col("_kinds_before")).alias("dense"), *((F.col(f"_{c}") + F.col(f"_{c}_before")).alias(f"{c}_so_far") for c in sums)]
+    if not tie:
+        return joined.select(*df.columns, *columns)
+    # Of each task's runs of equal values only the first and the last can go on in another task.
+    run = F.struct(*tie)
+    joined = joined.select("*", *columns).withColumn("_end", F.max("rank0").over(Window.partitionBy(*group, "_task", *tie)) + 1)
+    edge = joined.groupBy(*group, "_task").agg(F.min_by(F.struct(run.alias("run"), F.col("_end").alias("end")), "_id").alias("a"), F.max_by(F.struct(run.alias("run"), F.col("_end").alias("end")), "_id").alias("b"))
+    edge = edge.select(*group, F.explode(F.array("a", "b")).alias("e")).groupBy(*group, F.col("e.run").alias("_run")).agg(F.max("e.end").alias("_last"))
+    edge = saved(edge.select(*(F.col(g).alias(f"_g_{g}") for g in group), "_run", "_last"), "edges")  # two rows a task and group at most
+    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    whole = joined.join(edge, [*on, run.eqNullSafe(F.col("_run"))], "left")
+    return whole.select(*df.columns, "rank0", "total", "dense", *(f"{c}_so_far" for c in sums), F.greatest("_end", F.coalesce("_last", F.col("_end"))).alias("tie_end"))
+
+
 def ntile_of(rank0: Column, total: Column, k: int) -> Column:
     """The tile, from 1 to k, of a rank: the first total % k tiles hold one row more."""
     q, r = F.floor(total / k), F.pmod(total, F.lit(k))

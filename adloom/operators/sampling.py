@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.ranks import ranked
+from adloom.sources.work import saved
 
 
 def stratum_sizes(rows: DataFrame) -> DataFrame:
@@ -30,10 +31,26 @@ def key(seed: int, row_id: Column) -> Column:
 
 def nested_samples(rows: DataFrame, sizes: dict[str, int], row_id: str = "event_id", seed: int = 7) -> DataFrame:
     """rows with sample_name: a row for each sample that it is in. One order serves all sizes, so a smaller sample is within a larger.
-    Only id and label are put in order; the wide rows are joined afterwards."""
+
+    Only rows whose digest is under a bound are put in order: the bound lets through somewhat more rows of each label than the largest
+    sample takes, and is raised until it lets through enough. Wide rows are joined afterwards.
+    """
+    wanted = saved(targets(rows, sizes), "targets")
+    most = {r["label"]: r["most"] for r in wanted.groupBy("label").agg(F.max("target").alias("most")).collect()}
+    have = {r["label"]: r["row_count"] for r in stratum_sizes(rows).collect()}
     own = rows.select(row_id, "label").withColumn("_key", key(seed, F.col(row_id)))
-    order = ranked(own, ["label"], [F.col("_key"), F.col(row_id)]).select(row_id, "label", "rank0")
-    hit = order.join(F.broadcast(targets(rows, sizes)), "label").where("rank0 < target").select(row_id, "sample_name")
+    first = F.conv(F.substring("_key", 1, 12), 16, 10).cast("long")  # 48 bits
+    bound = {x: (n + 6 * n**0.5 + 20) / max(have.get(x, 1), 1) for x, n in most.items()}
+    while True:
+        under = F.coalesce(*(F.when(F.col("label") == x, first <= int(min(1.0, b) * (1 << 48))) for x, b in bound.items()))
+        near = saved(own.where(under), "near")
+        found = {r["label"]: r["row_count"] for r in stratum_sizes(near).collect()}
+        short = [x for x, n in most.items() if found.get(x, 0) < min(n, have.get(x, 0))]
+        if not short:
+            break
+        bound |= {x: 2 * bound[x] for x in short}
+    order = ranked(near, ["label"], [F.col("_key"), F.col(row_id)]).select(row_id, "label", "rank0")
+    hit = order.join(F.broadcast(wanted), "label").where("rank0 < target").select(row_id, "sample_name")
     return rows.join(hit, row_id)
 
 

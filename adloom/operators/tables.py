@@ -34,7 +34,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: s
 
 
 def register_by_checksum(registry: DataFrame, incoming: DataFrame, seen_at: Column) -> DataFrame:
-    """incoming (checksum, batch_name): known checksums get a new last_seen_at, unknown ones a row with status REGISTERED."""
+    """incoming (checksum, batch_name): known checksums get a new last_seen_at, unknown ones a row with status REGISTERED, one also where
+    incoming repeats them (the least name)."""
+    incoming = incoming.groupBy("checksum").agg(F.min("batch_name").alias("batch_name"))
     known = registry.join(incoming.select("checksum"), "checksum", "left_semi").withColumn("last_seen_at", seen_at)
     other = registry.join(incoming.select("checksum"), "checksum", "left_anti")
     fresh = incoming.join(registry.select("checksum"), "checksum", "left_anti").select("checksum", "batch_name", F.lit("REGISTERED").alias("batch_status"), seen_at.alias("last_seen_at"))
@@ -72,8 +74,9 @@ def batch_name(file_name: Column, checksum: Column) -> Column:
 
 
 def content_digest(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """(by, row_count, digest): a digest of each source's rows that doesn't depend on their order."""
-    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.hash(*columns).cast("decimal(38,0)")).alias("b"))
+    """(by, row_count, digest): a digest of each source's rows that doesn't depend on their order. Nulls count, and so does where they are."""
+    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]  # hash functions pass over nulls
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *(F.sum(F.xxhash64(F.lit(i), *cells).cast("decimal(38,0)")).alias(n) for i, n in enumerate("ab")))
     return sums.select(*by, "row_count", F.sha2(F.concat_ws("|", "row_count", "a", "b"), 256).alias("digest"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adloom.operators.evaluate import evaluate, halves, leaderboard
 from adloom.operators.features import class_weights, positive_weight
+from adloom.sources.work import saved
 
 
 def encoder(numeric: list[str], categorical: list[str]) -> Pipeline:
@@ -74,9 +75,12 @@ def fit_engineered(train: DataFrame, columns: list[str], model: str = "logistic"
     return PipelineModel(stages=[*prepared.stages, estimator.fit(prepared.transform(frame))])
 
 
-def score(frame: DataFrame, model: Transformer, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` and the model's probability of a click."""
-    return model.transform(frame).select(*keep, vector_to_array("probability")[1].alias(name))
+def score(frame: DataFrame, model: Transformer, keep: list[str], name: str = "score", calibrator: Calibrator | None = None) -> DataFrame:
+    """The columns `keep` and the model's probability of a click, put through the calibrator where the model comes with one."""
+    raw = model.transform(frame).select(*keep, vector_to_array("probability")[1].alias("score"))
+    if calibrator is None:
+        return raw.withColumnRenamed("score", name)
+    return calibrator.apply(raw, "_calibrated").drop("score").withColumnRenamed("_calibrated", name)
 
 
 @dataclass
@@ -95,7 +99,7 @@ CONFIGS = [Config("l2_small", 1e-5), Config("l2_medium", 1e-4), Config("l2_large
 def tune(train: DataFrame, validation: DataFrame, columns: list[str], configs: list[Config] = CONFIGS) -> DataFrame:
     """The metrics of each setting on the validation rows, best first."""
     prepared = assembler(columns).fit(train)
-    frame, held = prepared.transform(with_class_weight(train)).select("features", "label", "weight").cache(), prepared.transform(validation)
+    frame, held = saved(prepared.transform(with_class_weight(train)).select("features", "label", "weight"), "prepared"), prepared.transform(validation)
     scored = None
     for c in configs:
         one = score(held, logistic(c.reg, c.elastic, **c.options).fit(frame), ["raw_event_id", "label"]).withColumn("config", F.lit(c.name))
@@ -147,7 +151,3 @@ def coefficients(model: PipelineModel, columns: list[str], spark) -> DataFrame:
     last = model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, values.toArray())], "feature_name string, importance_value double")
-
-
-def chance(c: Column) -> Column:
-    return c.between(0, 1)

@@ -32,10 +32,9 @@ def _numbered(seeds: DataFrame, existing: DataFrame | None, keys: list[str], nam
 
 
 def dim_numeric_bucket(spark: SparkSession) -> DataFrame:
-    """The 91 seed rows: each numeric column with each bucket."""
-    schema = T.StructType.fromDDL("bucket_code string, bucket_label string, bucket_order int, lower_bound long, upper_bound long")
-    features = spark.createDataFrame([(c,) for c in NUMERIC], "feature_name string")
-    return features.crossJoin(F.broadcast(spark.createDataFrame(BUCKETS, schema)))
+    """The 91 seed rows: each numeric column with each bucket, numbered column by column."""
+    rows = [(7 * i + b[2], c, *b) for i, c in enumerate(NUMERIC) for b in BUCKETS]
+    return spark.createDataFrame(rows, T.StructType.fromDDL("numeric_bucket_key long, feature_name string, bucket_code string, bucket_label string, bucket_order int, lower_bound long, upper_bound long"))
 
 
 def dim_categorical_value(staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -56,15 +55,16 @@ def fact_ad_events(staged: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def bridge_numeric_bucket(staged: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(raw_event_id, batch_id, feature_name, bucket_code, bucket_order): 13 rows an event."""
+    """(raw_event_id, batch_id, numeric_bucket_key, feature_name, feature_value): 13 rows an event. The dimension has 91 rows."""
     long = unpivot(staged, NUMERIC, ["raw_event_id", "batch_id"]).withColumn("bucket_code", X.bucket_code("feature_value"))
-    return long.join(F.broadcast(buckets.select("feature_name", "bucket_code", "bucket_order")), ["feature_name", "bucket_code"]).select("raw_event_id", "batch_id", "feature_name", "bucket_code", "bucket_order")
+    return long.join(F.broadcast(buckets.select("feature_name", "bucket_code", "numeric_bucket_key")), ["feature_name", "bucket_code"]).select("raw_event_id", "batch_id", "numeric_bucket_key", "feature_name", "feature_value")
 
 
 def bridge_categorical_value(staged: DataFrame, values: DataFrame) -> DataFrame:
-    """(raw_event_id, batch_id, feature_name, feature_value, is_unknown): 26 rows an event. Spark picks the join: the dimension may be large."""
+    """(raw_event_id, batch_id, categorical_value_key, feature_name, feature_value): 26 rows an event. Spark picks the join: the dimension may
+    be large."""
     long = unpivot(staged, CATEGORICAL, ["raw_event_id", "batch_id"])
-    return long.join(values.select("feature_name", "feature_value", "is_unknown"), ["feature_name", "feature_value"]).select("raw_event_id", "batch_id", "feature_name", "feature_value", "is_unknown")
+    return long.join(values.select("feature_name", "feature_value", "categorical_value_key"), ["feature_name", "feature_value"]).select("raw_event_id", "batch_id", "categorical_value_key", "feature_name", "feature_value")
 
 
 def event_day_summary(fact: DataFrame, days: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from adloom.functions.columns import CATEGORICAL, NUMERIC, STORED, source_schema
 from adloom.operators import evaluate, features, importance, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
 from adloom.plans import oracle as O
 from adloom.sources import binding, files
-from adloom.sources.work import saved, shared_dir
+from adloom.sources.work import compiled, saved, shared_dir
 
 HIGH, MEDIUM, MEDIUM_BUCKET, LEAST, LEAST_PAIR = O.HIGH, O.MEDIUM, O.MEDIUM_BUCKET, O.LEAST, O.LEAST_PAIR
 LOOKUP = features.split_lookup(features.parse_days("1,2,3,4,5"), features.parse_days("6"), features.parse_days("7"))
@@ -21,10 +21,11 @@ LOOKUP = features.split_lookup(features.parse_days("1,2,3,4,5"), features.parse_
 
 class Frames:
     """The tables of one scale, built when a query first asks for them. Staging and the split feature store, which many operators read, are
-    written as tables, as the layers of a warehouse are."""
+    written as tables, as the layers of a warehouse are, and so are the marts of batches."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        compiled(spark)
 
     def of(self, read) -> DataFrame:
         return read(self.spark, self.dir)
@@ -38,25 +39,25 @@ class Frames:
     stg = cached_property(lambda s: saved(staging.build(s.imp), "staging"))
     days = cached_property(lambda s: warehouse.dim_event_day(s.stg))
     fact = cached_property(lambda s: warehouse.fact_ad_events(s.stg, s.days))
-    b_overall = cached_property(lambda s: marts.batch_overall(s.fact))
-    b_day = cached_property(lambda s: marts.batch_event_day(s.fact, s.days))
-    b_bucket = cached_property(lambda s: marts.batch_numeric_bucket(s.stg))
-    b_feature = cached_property(lambda s: marts.batch_feature(s.stg))
-    b_missing = cached_property(lambda s: marts.batch_missing(s.fact))
-    b_inter = cached_property(lambda s: marts.batch_interactions(s.stg))
+    b_overall = cached_property(lambda s: saved(marts.batch_overall(s.fact), "b_overall"))
+    b_day = cached_property(lambda s: saved(marts.batch_event_day(s.fact, s.days), "b_day"))
+    b_bucket = cached_property(lambda s: saved(marts.batch_numeric_bucket(s.stg), "b_bucket"))
+    b_feature = cached_property(lambda s: saved(marts.batch_feature(s.stg), "b_feature"))
+    b_missing = cached_property(lambda s: saved(marts.batch_missing(s.fact), "b_missing"))
+    b_inter = cached_property(lambda s: saved(marts.batch_interactions(s.stg), "b_inter"))
     m_overall = cached_property(lambda s: marts.overall(s.b_overall))
     m_day = cached_property(lambda s: marts.event_day(s.b_day))
     m_bucket = cached_property(lambda s: marts.numeric_bucket(s.b_bucket, s.m_overall, HIGH, MEDIUM_BUCKET))
-    m_feature = cached_property(lambda s: marts.feature(s.b_feature, s.m_overall, HIGH, MEDIUM))
+    m_feature = cached_property(lambda s: saved(marts.feature(s.b_feature, s.m_overall, HIGH, MEDIUM), "m_feature"))
     m_missing = cached_property(lambda s: marts.missing(s.b_missing, s.m_overall))
-    m_inter = cached_property(lambda s: marts.interactions(s.b_inter, s.m_overall, HIGH, MEDIUM))
-    r_feature = cached_property(lambda s: ranked.feature_ranked(s.b_feature, s.b_overall, HIGH, MEDIUM))
+    m_inter = cached_property(lambda s: saved(marts.interactions(s.b_inter, s.m_overall, HIGH, MEDIUM), "m_inter"))
+    r_feature = cached_property(lambda s: saved(ranked.feature_ranked(s.b_feature, s.b_overall, HIGH, MEDIUM), "r_feature"))
     r_rolling = cached_property(lambda s: ranked.event_day_rolling(s.b_day))
     r_high = cached_property(lambda s: ranked.high_value_segments(s.b_feature, s.b_bucket, s.b_inter, s.b_overall, LEAST, LEAST_PAIR, 0.05, HIGH, MEDIUM, MEDIUM_BUCKET))
     r_low = cached_property(lambda s: ranked.low_performing_segments(s.b_feature, s.b_bucket, s.b_inter, s.b_overall, LEAST, LEAST_PAIR, -0.05, -0.02, HIGH, MEDIUM, MEDIUM_BUCKET))
-    r_lift = cached_property(lambda s: ranked.lift_ranked(s.b_feature, s.b_bucket, s.b_overall, HIGH, MEDIUM, MEDIUM_BUCKET))
-    r_inter = cached_property(lambda s: ranked.interaction_ranked(s.b_inter, s.b_overall, HIGH, MEDIUM))
-    store = cached_property(lambda s: features.feature_store(s.stg, saved(s.m_bucket, "buckets"), saved(s.m_feature, "values"), saved(s.m_overall, "overall")))
+    r_lift = cached_property(lambda s: saved(ranked.lift_ranked(s.b_feature, s.b_bucket, s.b_overall, HIGH, MEDIUM, MEDIUM_BUCKET), "r_lift"))
+    r_inter = cached_property(lambda s: saved(ranked.interaction_ranked(s.b_inter, s.b_overall, HIGH, MEDIUM), "r_inter"))
+    store = cached_property(lambda s: features.feature_store(s.stg, saved(s.m_bucket, "buckets"), s.m_feature, saved(s.m_overall, "overall")))
     split = cached_property(lambda s: saved(features.with_split(s.store, LOOKUP), "split"))
     train_rows = cached_property(lambda s: s.split.where("dataset_split = 'train'"))
     enc = cached_property(lambda s: saved(features.encodings(s.train_rows), "encodings"))
@@ -124,15 +125,21 @@ def _tsv(f: Frames) -> DataFrame:
 
 
 def _loaded(f: Frames) -> DataFrame:
+    """Two batches of the same file: ids are unique over both and number the rows of each."""
     path = f.path("csv")
     _file_rows(f).write.option("header", True).csv(path)
-    raw = files.load_raw(files.read_csv(f.spark, path), 7, F.lit("2024-01-01").cast("timestamp"))
-    return raw.groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("event_id").alias("ids"), F.count_if(F.col("c1").isNull()).alias("c1_null"), F.count_if(F.col("c1") == "").alias("c1_empty"), F.sum("label").alias("clicks"), F.count_if(F.col("source_file").endswith(".csv")).alias("named"))
+    raw = None
+    for batch in (7, 8):
+        one = files.load_raw(files.read_csv(f.spark, path), batch, F.lit("2024-01-01").cast("timestamp"))
+        raw = one if raw is None else raw.unionByName(one)
+    raw = saved(raw, "raw")
+    whole = raw.agg(F.countDistinct("event_id").alias("ids_in_all"))
+    return raw.crossJoin(F.broadcast(whole)).groupBy("batch_id", "ids_in_all").agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("event_id").alias("ids"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count_if(F.col("c1").isNull()).alias("c1_null"), F.count_if(F.col("c1") == "").alias("c1_empty"), F.sum("label").alias("clicks"), F.count_if(F.col("source_file").endswith(".csv")).alias("named"))
 
 
 add("s1_csv_scan", _csv, f"SELECT label, {UPPER} FROM imp")
 add("s2_tsv_scan", _tsv, f"SELECT label, {UPPER} FROM imp")
-add("s3_raw_load", _loaded, "SELECT CAST(7 AS BIGINT) AS batch_id, count(*) AS row_count, count(*) AS ids, count(*) FILTER (WHERE nullif(c1, '') IS NULL) AS c1_null, CAST(0 AS BIGINT) AS c1_empty, CAST(sum(label) AS BIGINT) AS clicks, count(*) AS named FROM imp")
+add("s3_raw_load", _loaded, "SELECT CAST(b AS BIGINT) AS batch_id, 2 * count(*) AS ids_in_all, count(*) AS row_count, count(*) AS ids, CAST(b AS BIGINT) * 1099511627776 AS first_id, CAST(b AS BIGINT) * 1099511627776 + count(*) - 1 AS last_id, count(*) FILTER (WHERE nullif(c1, '') IS NULL) AS c1_null, CAST(0 AS BIGINT) AS c1_empty, CAST(sum(label) AS BIGINT) AS clicks, count(*) AS named FROM imp, (VALUES (7), (8)) v(b) GROUP BY b")
 EXPECTED = "SELECT CAST(floor((day(ts) - 1) / 10.0) + 1 AS BIGINT) AS batch_id, count(*) + CASE WHEN min(day(ts)) > 20 THEN 1 ELSE 0 END AS expected_row_count FROM events GROUP BY 1 UNION ALL SELECT 99, 5"
 
 
@@ -277,11 +284,20 @@ add("a23_store_by_label", lambda f: f.store.groupBy("batch_id", "label").agg(F.c
 add("a24_status_counts", lambda f: quality.status_counts(f.of(binding.validation_results)), "SELECT layer_name, check_status, count(*) AS checks FROM vres GROUP BY 1, 2")
 add("a26_storage_rollup", lambda f: ops.storage_rollup(f.bench), "SELECT * FROM storage")
 add("m1_dim_event_day", lambda f: f.days, "SELECT * FROM dday")
-add("m2_dim_numeric_bucket", lambda f: warehouse.dim_numeric_bucket(f.spark).join(f.b_bucket.groupBy("feature_name", "bucket_code").agg(F.sum("impressions").alias("impressions")), ["feature_name", "bucket_code"], "left"), "SELECT n.f AS feature_name, b.c AS bucket_code, b.l AS bucket_label, b.o AS bucket_order, CAST(b.lo AS BIGINT) AS lower_bound, CAST(b.hi AS BIGINT) AS upper_bound, x.impressions FROM (VALUES " + J(f"('{c}')" for c in NUMERIC) + ") n(f), (VALUES ('negative', 'negative values', 1, NULL, -1), ('zero', '0', 2, 0, 0), ('1_10', '1 to 10', 3, 1, 10), ('11_100', '11 to 100', 4, 11, 100), ('101_1000', '101 to 1000', 5, 101, 1000), ('1001_10000', '1001 to 10000', 6, 1001, 10000), ('10001_plus', '10001 and above', 7, 10001, NULL)) b(c, l, o, lo, hi) LEFT JOIN (SELECT feature_name, bucket_code, CAST(sum(impressions) AS BIGINT) AS impressions FROM b_bucket GROUP BY 1, 2) x ON x.feature_name = n.f AND x.bucket_code = b.c")
+add("m2_dim_numeric_bucket", lambda f: warehouse.dim_numeric_bucket(f.spark).join(f.b_bucket.groupBy("feature_name", "bucket_code").agg(F.sum("impressions").alias("impressions")), ["feature_name", "bucket_code"], "left"), "SELECT CAST(7 * (CAST(substr(n.f, 2) AS INT) - 1) + b.o AS BIGINT) AS numeric_bucket_key, n.f AS feature_name, b.c AS bucket_code, b.l AS bucket_label, b.o AS bucket_order, CAST(b.lo AS BIGINT) AS lower_bound, CAST(b.hi AS BIGINT) AS upper_bound, x.impressions FROM (VALUES " + J(f"('{c}')" for c in NUMERIC) + ") n(f), (VALUES ('negative', 'negative values', 1, NULL, -1), ('zero', '0', 2, 0, 0), ('1_10', '1 to 10', 3, 1, 10), ('11_100', '11 to 100', 4, 11, 100), ('101_1000', '101 to 1000', 5, 101, 1000), ('1001_10000', '1001 to 10000', 6, 1001, 10000), ('10001_plus', '10001 and above', 7, 10001, NULL)) b(c, l, o, lo, hi) LEFT JOIN (SELECT feature_name, bucket_code, CAST(sum(impressions) AS BIGINT) AS impressions FROM b_bucket GROUP BY 1, 2) x ON x.feature_name = n.f AND x.bucket_code = b.c")
 add("m3_dim_categorical_value", lambda f: warehouse.dim_categorical_value(f.stg).drop("categorical_value_key"), "SELECT DISTINCT feature_name, feature_value, feature_value = 'unknown' AS is_unknown FROM long_c")
 add("m4_fact_ad_events", lambda f: f.fact, "SELECT * FROM fact")
-add("m5_bridge_numeric_bucket", lambda f: warehouse.bridge_numeric_bucket(f.stg, warehouse.dim_numeric_bucket(f.spark)), f"SELECT raw_event_id, batch_id, feature_name, bucket_code, {O._order('bucket_code')} AS bucket_order FROM long_n")
-add("m6_bridge_categorical_value", lambda f: warehouse.bridge_categorical_value(f.stg, warehouse.dim_categorical_value(f.stg)), "SELECT raw_event_id, batch_id, feature_name, feature_value, feature_value = 'unknown' AS is_unknown FROM long_c")
+add("m5_bridge_numeric_bucket", lambda f: warehouse.bridge_numeric_bucket(f.stg, warehouse.dim_numeric_bucket(f.spark)), f"SELECT raw_event_id, batch_id, CAST(7 * (CAST(substr(feature_name, 2) AS INT) - 1) + {O._order('bucket_code')} AS BIGINT) AS numeric_bucket_key, feature_name, feature_value FROM long_n")
+
+
+def _bridged(f: Frames) -> DataFrame:
+    """What the bridge's keys stand for in the dimension."""
+    values = saved(warehouse.dim_categorical_value(f.stg), "values")
+    bridge = warehouse.bridge_categorical_value(f.stg, values).withColumnRenamed("feature_value", "bridge_value")
+    return bridge.select("raw_event_id", "batch_id", "categorical_value_key", "bridge_value").join(values, "categorical_value_key").drop("categorical_value_key")
+
+
+add("m6_bridge_categorical_value", _bridged, "SELECT raw_event_id, batch_id, feature_value AS bridge_value, feature_name, feature_value, feature_value = 'unknown' AS is_unknown FROM long_c")
 add("m7_overall", lambda f: f.m_overall, "SELECT * FROM m_overall")
 add("m8_event_day_trend", lambda f: f.m_day, "SELECT * FROM m_day")
 add("m9_numeric_bucket_ctr", lambda f: f.m_bucket, "SELECT * FROM m_bucket")
@@ -299,7 +315,9 @@ add("m18_feature_interaction_ranked", lambda f: f.r_inter, "SELECT * FROM r_inte
 add("w1_event_day_window", lambda f: staging.with_event_day_window(f.imp).select("event_id", "event_day_number"), "SELECT raw_event_id AS event_id, event_day_number FROM stg")
 add("w1_event_day_distributed", lambda f: staging.with_event_day(f.imp).select("event_id", "event_day_number"), "SELECT raw_event_id AS event_id, event_day_number FROM stg")
 add("w18_score_deciles", lambda f: f.scores.select("raw_event_id", "batch_id", "model_id", "score_decile", "is_top_decile"), "SELECT raw_event_id, batch_id, model_id, score_decile, is_top_decile FROM scores")
-add("w20_one_active_model", lambda f: promote.normalise(f.models.withColumn("is_active_canonical", F.col("model_id") < 8), f.mcomp, "v4").where("is_active_canonical").select("model_name"), "SELECT DISTINCT model_name FROM models WHERE model_id < 8")
+MARKED = "SELECT m.*, c.validation_roc_auc, c.validation_pr_auc, c.validation_lift_at_10pct, c.training_run_id FROM (SELECT * FROM models WHERE model_id < 8) m LEFT JOIN (" + O.newest("(SELECT DISTINCT model_name, model_version, training_run_id, validation_roc_auc, validation_pr_auc, validation_lift_at_10pct FROM mcomp)", "model_name, model_version", "training_run_id DESC") + ") c USING (model_name, model_version)"
+V4 = "CAST(model_version = 'v4' AS INT) DESC"
+add("w20_one_active_model", lambda f: promote.normalise(f.models.withColumn("is_active_canonical", F.col("model_id") < 8), f.mcomp, "v4").where("is_active_canonical").select("model_id", "model_name"), f"SELECT model_id, model_name FROM ({O.newest(f'({MARKED})', 'model_name', '{V4}, validation_roc_auc DESC NULLS LAST, validation_pr_auc DESC NULLS LAST, validation_lift_at_10pct DESC NULLS LAST, training_run_id DESC NULLS LAST, model_id DESC')})")
 add("t1_staging_in_order", lambda f: f.stg.select("raw_event_id", "batch_id").repartitionByRange("raw_event_id").sortWithinPartitions("raw_event_id"), "SELECT raw_event_id, batch_id FROM stg")
 add("t2_top_buckets", lambda f: marts.top(f.m_bucket, "ctr_rank_in_feature", MEDIUM_BUCKET), f"SELECT * FROM m_bucket WHERE impressions >= {MEDIUM_BUCKET} AND ctr_rank_in_feature <= 5")
 add("t2_top_features", lambda f: marts.top(f.m_feature, "ctr_rank_in_feature", MEDIUM), f"SELECT * FROM m_feature WHERE impressions >= {MEDIUM} AND ctr_rank_in_feature <= 5")
@@ -472,9 +490,15 @@ def _tuned(f: Frames) -> DataFrame:
 
 
 def _calibrated(kind: str) -> Callable[[Frames], DataFrame]:
+    """Each model's scores calibrated by themselves."""
+
     def run(f: Frames) -> DataFrame:
-        fitted, rest = train.calibrate(f.ev.where("model_id = 1").drop("model_id"), kind)
-        return fitted.apply(rest).select("raw_event_id", "label", "score", "calibrated")
+        ev, out = saved(f.ev, "scores"), None
+        for row in ev.select("model_id").distinct().orderBy("model_id").collect():  # a row a model
+            fitted, rest = train.calibrate(ev.where(F.col("model_id") == row["model_id"]).drop("model_id"), kind)
+            one = fitted.apply(rest).select(F.lit(row["model_id"]).alias("model_id"), "raw_event_id", "label", "score", "calibrated")
+            out = one if out is None else out.unionByName(one)
+        return out
 
     return run
 
@@ -485,7 +509,7 @@ def _trees_onehot(f: Frames) -> DataFrame:
     own = train.with_positive_weight(rows.where("dataset_split = 'train'"))
     prepared = train.encoder(numeric, categorical).fit(own)
     model = train.boosted(rounds=5, depth=3).fit(prepared.transform(own))
-    return train.score(prepared.transform(rows.where("dataset_split = 'test'")), model, ["raw_event_id", "label"])
+    return train.score(prepared.transform(rows.where("dataset_split != 'train'")), model, ["raw_event_id", "dataset_split", "label"])
 
 
 add("l6_logistic_baseline", _baseline)
@@ -591,6 +615,9 @@ def _streamed(f: Frames) -> DataFrame:
 add("x1_file_intake", _streamed, "SELECT impressions, clicks, ctr, avg_missing_numeric_count, avg_missing_categorical_count FROM b_overall")
 
 
+from adloom.plans import single  # noqa: E402, F401  (registers the queries of single operators)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which feature buckets do better or worse than the whole?"""
     return QUERIES["m9_numeric_bucket_ctr"](spark, sf_dir)

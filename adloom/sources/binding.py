@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt out to all cores where their files are fewer."""
+    e, cores = table(spark, sf_dir, "events"), spark.sparkContext.defaultParallelism
+    return e if e.rdd.getNumPartitions() >= cores else e.repartition(cores)
+
+
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ad impressions from `events`: event_id, batch_id, label, i1..i13, c1..c26, source_file, ingested_at."""
-    e = table(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     day, hour = F.dayofmonth("ts"), F.hour("ts")
     event, user = F.col("event_id"), F.col("user_id")
     numbers = [

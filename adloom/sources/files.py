@@ -9,6 +9,7 @@ from adloom.functions.columns import source_schema
 from adloom.operators.features import manifest
 from adloom.operators.importance import top_features
 from adloom.operators.monitor import group_importance
+from adloom.operators.ranks import numbered
 from adloom.operators.staging import batch_metrics, missing_profile
 from adloom.operators.tables import replace_batch
 
@@ -23,11 +24,18 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(source_schema()).option("sep", "\t").csv(path)
 
 
+#: Ids that a batch has to itself.
+BATCH_IDS = 1 << 40
+
+
 def load_raw(source: DataFrame, batch_id: int, ingested_at: Column | None = None) -> DataFrame:
-    """A file's rows as raw impressions: empty values are null; an id from file and place, its batch, its file and the time of loading."""
-    names = {c: c.lower() for c in source.columns}
+    """A file's rows as raw impressions: empty values are null; an id, its batch, its file and the time of loading. Ids number the rows in
+    the order of the file and begin at batch_id * BATCH_IDS, so they are unique over all batches and don't depend on how files are split."""
+    names = {c: c.lower() for c in source.columns if c not in ("source_file", "_metadata")}
     columns = [F.nullif(F.col(c), F.lit("")).alias(n) if n.startswith("c") else F.col(c).alias(n) for c, n in names.items()]
-    return source.select(F.monotonically_increasing_id().alias("event_id"), F.lit(batch_id).cast("long").alias("batch_id"), *columns, F.col("_metadata.file_name").alias("source_file"), (ingested_at if ingested_at is not None else F.current_timestamp()).alias("ingested_at"))
+    file = F.col("source_file") if "source_file" in source.columns else F.col("_metadata.file_name")
+    rows = source.select(F.lit(batch_id).cast("long").alias("batch_id"), *columns, file.alias("source_file"), (ingested_at if ingested_at is not None else F.current_timestamp()).alias("ingested_at"))
+    return numbered(rows, "event_id", batch_id * BATCH_IDS)
 
 
 def reconcile(loaded: DataFrame, expected: DataFrame) -> DataFrame:

@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def compiled(spark: SparkSession) -> None:
+    """Projections of a hundred columns make methods that the JVM doesn't compile; with this setting Spark splits them. Set for the session,
+    unless it has a setting of its own."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; a new local folder where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

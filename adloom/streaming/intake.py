@@ -10,52 +10,75 @@ from pyspark.sql.utils import AnalysisException
 from adloom.functions.columns import CATEGORICAL, NUMERIC, source_schema
 from adloom.operators import marts, staging, warehouse
 from adloom.operators.tables import content_digest, insert_new, replace_batch
+from adloom.sources.files import load_raw
+from adloom.sources.work import saved
 
 COLUMNS = [c.upper() for c in NUMERIC + CATEGORICAL]
 
 
-def incoming(spark: SparkSession, inbox: str, archive: str | None = None) -> DataFrame:
-    """A stream of the inbox's csv files, oldest first, one a micro-batch; with archive, files leave the inbox once they are done."""
-    reader = spark.readStream.schema(source_schema()).option("header", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", 1).option("latestFirst", False)
+#: Contents with these statuses are not processed again; others, such as FAILED, are.
+DONE = ("QUALITY_CHECKED", "ARCHIVED")
+
+
+def incoming(spark: SparkSession, inbox: str, archive: str | None = None, files: int = 1) -> DataFrame:
+    """A stream of the inbox's csv files, oldest first, so many a micro-batch; with archive, files leave the inbox once they are done."""
+    reader = spark.readStream.schema(source_schema()).option("header", True).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files).option("latestFirst", False)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.csv(inbox).select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """What has been processed: (digest, source_file, batch_id, row_count)."""
-    schema = "digest string, source_file string, batch_id long, row_count long"
+    """What has been processed: (digest, source_file, batch_id, row_count, batch_status)."""
+    schema = "digest string, source_file string, batch_id long, row_count long, batch_status string"
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
+def _register(entries: DataFrame, store: str, status: str) -> None:
+    """Writes a batch's entries in place of those that it has."""
+    entries = entries.select("digest", "source_file", "batch_id", "row_count", F.lit(status).alias("batch_status"))
+    replace_batch(entries, f"{store}/registry")
+
+
+def set_status(spark: SparkSession, store: str, batch_id: int, status: str) -> None:
+    """Gives a batch another status, such as ARCHIVED or FAILED."""
+    own = registry(spark, f"{store}/registry").where(F.col("batch_id") == batch_id)
+    _register(saved(own, "registry"), store, status)
+
+
 def process(batch: DataFrame, batch_id: int, store: str) -> int:
-    """Puts one micro-batch through staging and the batch marts, unless its content was processed before; returns how many files were new.
+    """Puts one micro-batch through staging and the batch marts, unless its content was processed before and is done; returns how many
+    files were new.
 
     The batch's partitions are replaced and the registry gets its entry last, so a batch that is run again after a failure gives the
-    same tables.
+    same tables. A batch that fails is registered as FAILED, and its content is taken in when it comes again.
     """
     spark = batch.sparkSession
     digests = content_digest(batch, ["source_file"], ["label", *COLUMNS])
-    done = registry(spark, f"{store}/registry").where(F.col("batch_id") != batch_id)
-    fresh = insert_new(digests, done, ["digest"]).withColumn("batch_id", F.lit(batch_id).cast("long")).select("digest", "source_file", "batch_id", "row_count").cache()
+    done = registry(spark, f"{store}/registry").where((F.col("batch_id") != batch_id) & F.col("batch_status").isin(*DONE))
+    fresh = insert_new(digests, done, ["digest"]).groupBy("digest").agg(F.min("source_file").alias("source_file"), F.first("row_count").alias("row_count"))
+    fresh = saved(fresh.withColumn("batch_id", F.lit(batch_id).cast("long")), "fresh")
     n = fresh.count()
-    if n:
-        own = batch.join(F.broadcast(fresh.select("source_file")), "source_file", "left_semi")
-        raw = own.select(F.monotonically_increasing_id().alias("event_id"), F.lit(batch_id).cast("long").alias("batch_id"), "label", *(F.col(c).alias(c.lower()) for c in COLUMNS), "source_file", F.current_timestamp().alias("ingested_at"))
+    if not n:
+        return 0
+    try:
+        raw = load_raw(batch.join(fresh.select("source_file"), "source_file", "left_semi"), batch_id)
         replace_batch(staging.build(raw), f"{store}/staging")
         staged = spark.read.parquet(f"{store}/staging").where(F.col("batch_id") == batch_id)
         days = warehouse.dim_event_day(staged)
         fact = warehouse.fact_ad_events(staged, days)
         for name, mart in (("overall", marts.batch_overall(fact)), ("event_day", marts.batch_event_day(fact, days)), ("bucket", marts.batch_numeric_bucket(staged)), ("feature", marts.batch_feature(staged)), ("missing", marts.batch_missing(fact)), ("interaction", marts.batch_interactions(staged))):
             replace_batch(mart, f"{store}/marts/{name}")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store}/registry")
-    fresh.unpersist()
+    except Exception:
+        _register(fresh, store, "FAILED")
+        raise
+    _register(fresh, store, "QUALITY_CHECKED")
     return n
 
 
-def run(spark: SparkSession, inbox: str, store: str, checkpoint: str, archive: str | None = None) -> StreamingQuery:
+def run(spark: SparkSession, inbox: str, store: str, checkpoint: str, archive: str | None = None, files: int = 1) -> StreamingQuery:
     """Processes all files that are in the inbox and stops; the checkpoint remembers which were seen."""
-    return incoming(spark, inbox, archive).writeStream.foreachBatch(lambda df, i: process(df, i, store) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return incoming(spark, inbox, archive, files).writeStream.foreachBatch(lambda df, i: process(df, i, store) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
