@@ -34,7 +34,9 @@ FILLINGS, NODES = 400, 20_000
 #: Sequences at the end of the plan that branch and bound may do over.
 TAIL = 24
 #: Encoded words kept by a worker, some 200 bytes each; beyond that it starts anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
+#: A comma or full stop that ends a word of ASCII letters: the two are encoded apart.
+STOP = re.compile(r"([a-z])([,.])(?=[ \n])")
 #: White space to str.split(), but part of a word to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -100,7 +102,7 @@ class WordEncoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.find(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        split = [self.find(t) if SEPARATORS.search(t) else STOP.sub(r"\1 \2", t).split() for t in texts]
         words = set().union(*split)
         new = words.difference(self.known)
         if len(new) + len(self.known) > MEMORY:
