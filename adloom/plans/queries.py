@@ -316,8 +316,8 @@ add("w1_event_day_window", lambda f: staging.with_event_day_window(f.imp).select
 add("w1_event_day_distributed", lambda f: staging.with_event_day(f.imp).select("event_id", "event_day_number"), "SELECT raw_event_id AS event_id, event_day_number FROM stg")
 add("w18_score_deciles", lambda f: f.scores.select("raw_event_id", "batch_id", "model_id", "score_decile", "is_top_decile"), "SELECT raw_event_id, batch_id, model_id, score_decile, is_top_decile FROM scores")
 MARKED = "SELECT m.*, c.validation_roc_auc, c.validation_pr_auc, c.validation_lift_at_10pct, c.training_run_id FROM (SELECT * FROM models WHERE model_id < 8) m LEFT JOIN (" + O.newest("(SELECT DISTINCT model_name, model_version, training_run_id, validation_roc_auc, validation_pr_auc, validation_lift_at_10pct FROM mcomp)", "model_name, model_version", "training_run_id DESC") + ") c USING (model_name, model_version)"
-V4 = "CAST(model_version = 'v4' AS INT) DESC"
-add("w20_one_active_model", lambda f: promote.normalise(f.models.withColumn("is_active_canonical", F.col("model_id") < 8), f.mcomp, "v4").where("is_active_canonical").select("model_id", "model_name"), f"SELECT model_id, model_name FROM ({O.newest(f'({MARKED})', 'model_name', '{V4}, validation_roc_auc DESC NULLS LAST, validation_pr_auc DESC NULLS LAST, validation_lift_at_10pct DESC NULLS LAST, training_run_id DESC NULLS LAST, model_id DESC')})")
+BEST = "CAST(model_version = 'v4' AS INT) DESC, validation_roc_auc DESC NULLS LAST, validation_pr_auc DESC NULLS LAST, validation_lift_at_10pct DESC NULLS LAST, training_run_id DESC NULLS LAST, model_id DESC"
+add("w20_one_active_model", lambda f: promote.normalise(f.models.withColumn("is_active_canonical", F.col("model_id") < 8), f.mcomp, "v4").where("is_active_canonical").select("model_id", "model_name"), "SELECT model_id, model_name FROM (" + O.newest(f"({MARKED})", "model_name", BEST) + ")")
 add("t1_staging_in_order", lambda f: f.stg.select("raw_event_id", "batch_id").repartitionByRange("raw_event_id").sortWithinPartitions("raw_event_id"), "SELECT raw_event_id, batch_id FROM stg")
 add("t2_top_buckets", lambda f: marts.top(f.m_bucket, "ctr_rank_in_feature", MEDIUM_BUCKET), f"SELECT * FROM m_bucket WHERE impressions >= {MEDIUM_BUCKET} AND ctr_rank_in_feature <= 5")
 add("t2_top_features", lambda f: marts.top(f.m_feature, "ctr_rank_in_feature", MEDIUM), f"SELECT * FROM m_feature WHERE impressions >= {MEDIUM} AND ctr_rank_in_feature <= 5")

@@ -207,3 +207,114 @@ def test_streaming_takes_each_content_once(spark):
     got = QUERIES["x1_file_intake"](spark, SF).collect()
     rows = binding.impressions(spark, SF)
     assert sorted(r.impressions for r in got) == sorted(r["count"] for r in rows.groupBy("batch_id").count().collect())
+
+
+def test_places_in_groups_of_any_size_are_the_window_functions(spark):
+    """Half of all rows share one value, so runs of equal values go over many tasks."""
+    from pyspark.sql import Window
+
+    rows = [(g, (0 if i % 2 else i % 7) if i % 11 else None, i % 5, i) for g in "ab" for i in range(300 if g == "a" else 40)]
+    df = spark.createDataFrame(rows, "g string, x int, y int, id long")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    got = ranks.placed(df, ["g"], [F.desc_nulls_first("x"), F.desc("y"), F.asc("id")], ["x", "y"], ["x"], ("y",)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    w = Window.partitionBy("g").orderBy(F.desc_nulls_first("x"), F.desc("y"), F.asc("id"))
+    want = df.select("*", (F.row_number().over(w) - 1).alias("rank0"), F.count("id").over(Window.partitionBy("g")).alias("total"), F.dense_rank().over(Window.partitionBy("g").orderBy(F.desc_nulls_first("x"), F.desc("y"))).alias("dense"), F.sum("y").over(w).alias("y_so_far"), F.count("id").over(Window.partitionBy("g").orderBy(F.desc_nulls_first("x"))).alias("tie_end"))
+    key = lambda r: tuple(str(r[c]) for c in ("g", "x", "y", "id", "rank0", "total", "dense", "y_so_far", "tie_end"))
+    assert sorted(map(key, got)) == sorted(map(key, want.collect()))
+
+
+def test_numbers_of_rows_have_no_gaps(spark):
+    for n in (1, 5):
+        got = ranks.numbered(spark.range(0, 103, 1, n).withColumnRenamed("id", "x"), "k", 1000).orderBy("k").collect()
+        assert [(r.k, r.x) for r in got] == [(1000 + i, i) for i in range(103)]
+    assert ranks.numbered(spark.range(0), "k").count() == 0
+
+
+def test_content_digest_counts_nulls_and_their_places(spark):
+    rows = [("a", "x", None), ("b", None, "x"), ("c", None, None), ("d", "", None), ("e", "x", None), ("f", "x", None), ("f", "x", None)]
+    got = {r.s: r.digest for r in tables.content_digest(spark.createDataFrame(rows, "s string, u string, v string"), ["s"], ["u", "v"]).collect()}
+    assert got["a"] == got["e"] and len(set(got.values())) == 5
+
+
+def test_lookups_beyond_a_broadcast_find_the_same(spark, monkeypatch):
+    """Frequent, rare, unknown and null values, looked up by a broadcast and by narrow rows."""
+    frame = spark.createDataFrame([(i, "unknown" if i % 3 else f"v{i}", None if i % 5 == 0 else f"w{i % 4}") for i in range(200)], "id long, a string, b string")
+    table = frame.unpivot(["id"], ["a", "b"], "feature_name", "feature_value").where("feature_value is not null and feature_value != 'v9'").groupBy("feature_name", "feature_value").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    columns = {"a": F.col("a"), "b": F.col("b")}
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select("id", "a", "b", "_a_last", "_b_last").collect())
+    small = key(features.looked_up(frame, "id", table, columns, ["last"]))
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(features, "HOT", 20)
+    assert key(features.looked_up(frame, "id", table, columns, ["last"])) == small and len(small) == 200
+
+
+def test_samples_take_the_least_digests_whatever_the_bound(spark):
+    import hashlib
+
+    rows = [(i, int(i % 9 == 0)) for i in range(3000)]
+    got = {}
+    for r in sampling.nested_samples(spark.createDataFrame(rows, "event_id long, label int"), {"s": 40, "l": 300, "all": 5000}).collect():
+        got.setdefault(r.sample_name, set()).add(r.event_id)
+    place = lambda i: (hashlib.md5(f"7|{i}".encode()).hexdigest(), i)
+    for name, size in (("s", 40), ("l", 300)):
+        ones = round(size * 334 / 3000)
+        want = {i for label, n in ((1, ones), (0, size - ones)) for i in sorted((i for i, y in rows if y == label), key=place)[:n]}
+        assert got[name] == want
+    assert got["all"] == set(range(3000))
+
+
+def test_logistic_models_are_at_their_optimum(spark):
+    """The gradient of the weighted, penalised loss is near zero at the fitted coefficients."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.0] - 1)))).astype(int)
+    frame = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "a double, b double, c double, label int")
+    model = train.fit_engineered(frame, ["a", "b", "c"], "logistic", reg=0.01)
+    beta, intercept = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    wrong = weight * (1 / (1 + np.exp(-(x @ beta + intercept))) - y) / weight.sum()
+    assert np.abs(x.T @ wrong + 0.01 * beta).max() < 1e-3 and abs(wrong.sum()) < 1e-3
+    scored = train.score(frame, model, ["label"])
+    curve = train.calibrator(scored, "sigmoid")
+    rows = curve.apply(scored).collect()
+    wrong = np.array([r.calibrated - r.label for r in rows])
+    assert abs(wrong.mean()) < 1e-3 and abs((wrong * [r.score for r in rows]).mean()) < 1e-3
+    chained = train.score(frame, model, ["label"], "p", curve).collect()
+    assert sorted(r.p for r in chained) == pytest.approx(sorted(r.calibrated for r in rows))
+
+
+def test_isotonic_calibration_pools_adjacent_violators(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i / 60, int(rng.random() < i / 60)) for i in range(60)]
+    blocks = []
+    for score, label in rows:
+        blocks.append([label, 1, [score]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + scores]
+    want = {s: total / n for total, n, scores in blocks for s in scores}
+    df = spark.createDataFrame(rows, "score double, label int")
+    got = {r.score: r.calibrated for r in train.calibrator(df, "isotonic").apply(df).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_failed_batches_are_taken_in_again(spark, tmp_path, monkeypatch):
+    from adloom.streaming import intake
+
+    (tmp_path / "a.csv").write_text("label," + ",".join(intake.COLUMNS) + "\n" + "\n".join("1," + ",".join([str(i)] * 39) for i in range(5)) + "\n")
+    batch = spark.read.schema(intake.source_schema()).option("header", True).csv(str(tmp_path / "a.csv")).select("*", F.col("_metadata.file_name").alias("source_file"))
+    store = str(tmp_path / "store")
+    broken = intake.marts.batch_overall
+    monkeypatch.setattr(intake.marts, "batch_overall", lambda fact: fact.select("nothing"))
+    with pytest.raises(Exception):
+        intake.process(batch, 0, store)
+    assert [r.batch_status for r in intake.registry(spark, f"{store}/registry").collect()] == ["FAILED"]
+    monkeypatch.setattr(intake.marts, "batch_overall", broken)
+    assert [intake.process(batch, i, store) for i in (1, 2)] == [1, 0]
+    ids = [r.raw_event_id for r in spark.read.parquet(f"{store}/staging").where("batch_id = 1").collect()]
+    assert sorted(ids) == [files.BATCH_IDS + i for i in range(5)]
