@@ -28,7 +28,7 @@ BROADCAST_ROWS, HOT = 100_000, 4096
 def feature_store(staged: DataFrame, buckets: DataFrame, values: DataFrame, total: DataFrame, recorded_at: Column | None = None) -> DataFrame:
     """One wide row an event: measures, flags, logs, bucket codes, and the lift and support of its buckets and values.
 
-    The lifts of each numeric column's seven buckets are one small map; those of values come from `looked_up`.
+    The lifts of the 91 buckets become literals of the expression; those of values come from `looked_up`.
     """
     base = staged.select(
         "raw_event_id", "batch_id", "label", "event_day_number", "event_batch", "click_flag", "impression_count", "click_count", "missing_numeric_count", "missing_categorical_count",
@@ -38,13 +38,13 @@ def feature_store(staged: DataFrame, buckets: DataFrame, values: DataFrame, tota
         *STORED,
         *(X.bucket_code(c).alias(f"{c}_bucket_code") for c in NUMERIC),
     )
-    out = base.crossJoin(F.broadcast(_small_maps(buckets, "feature_name", NUMERIC, F.struct("bucket_code", "ctr_lift_vs_overall"))))
-    out = out.crossJoin(F.broadcast(total.select(F.col("ctr").alias("overall_ctr"))))
+    out = base.crossJoin(F.broadcast(total.select(F.col("ctr").alias("overall_ctr"))))
+    lifts = _few(buckets.select("feature_name", "bucket_code", "ctr_lift_vs_overall"))
     table = values.where(F.col("feature_name").isin(STORED)).select("feature_name", "feature_value", F.col("impressions").alias("n"), F.col("ctr_lift_vs_overall").alias("lift"), F.col("impressions").alias("shown"))
     out = looked_up(out, "raw_event_id", table, {c: F.col(c) for c in STORED}, ["lift", "shown"])
     return out.select(
         *base.columns,
-        *(F.coalesce(F.try_element_at(f"_{c}_map", F.col(f"{c}_bucket_code")), F.lit(0.0)).alias(f"{c}_bucket_ctr_lift") for c in NUMERIC),
+        *(_by_code(f"{c}_bucket_code", lifts.get(c, {}), 0, F.lit(0.0)).alias(f"{c}_bucket_ctr_lift") for c in NUMERIC),
         *(F.coalesce(f"_{c}_lift", F.lit(0.0)).alias(f"{c}_ctr_lift") for c in STORED),
         *(F.coalesce(f"_{c}_shown", F.lit(0)).cast("long").alias(f"{c}_feature_impressions") for c in STORED),
         "overall_ctr",
@@ -57,9 +57,21 @@ def missing_flags() -> list[Column]:
     return [(numeric > 0).cast("int").alias("has_missing_numeric"), (categorical > 0).cast("int").alias("has_missing_categorical"), (numeric + categorical >= 5).cast("int").alias("high_missingness_flag")]
 
 
-def _small_maps(table: DataFrame, name: str, columns: list[str], entry: Column) -> DataFrame:
-    """One row with a map `_<column>_map` of the entries of each column, which are few."""
-    return table.agg(*(F.map_from_entries(F.collect_list(F.when(F.col(name) == c, entry))).alias(f"_{c}_map") for c in columns))
+def _few(table: DataFrame) -> dict[str, dict[str, tuple]]:
+    """column -> code -> values of a table (column, code, values ...) with a row for each bucket of each numeric column, 91 at most."""
+    out: dict[str, dict[str, tuple]] = {}
+    for name, code, *values in table.collect():
+        out.setdefault(name, {})[code] = tuple(values)
+    return out
+
+
+def _by_code(code: str, values: dict[str, tuple], i: int, default: Column) -> Column:
+    """The i-th value of a row's bucket, the default where there is none."""
+    out = None
+    for key, found in values.items():
+        if found[i] is not None:
+            out = F.when(F.col(code) == key, F.lit(found[i])) if out is None else out.when(F.col(code) == key, F.lit(found[i]))
+    return default if out is None else out.otherwise(default)
 
 
 def looked_up(frame: DataFrame, row_id: str, table: DataFrame, columns: dict[str, Column], found: list[str]) -> DataFrame:
@@ -131,19 +143,20 @@ def encodings(train: DataFrame, prior: float = PRIOR, columns: list[str] = ENCOD
 
 def apply_encodings(frame: DataFrame, encoding: DataFrame, total: DataFrame, columns: list[str] = ENCODED, row_id: str = "raw_event_id") -> DataFrame:
     """Adds for each column its encoded rate, the lift over the global rate and the log count; unseen values get the global rate and 0.
-    Bucket codes have seven values, so their encodings are small maps; those of categorical values come from `looked_up`."""
+    Bucket codes have seven values, so their encodings become literals; those of categorical values come from `looked_up`."""
     small, large = [c for c in columns if c in CODES], [c for c in columns if c not in CODES]
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns}
-    out = frame.crossJoin(F.broadcast(_small_maps(encoding, "column_name", small, F.struct("value", F.struct("smoothed_ctr", "log_count")))))
-    out = out.crossJoin(F.broadcast(total.select(F.col("global_ctr").alias("_global"))))
+    few = _few(encoding.where(F.col("column_name").isin(small)).select("column_name", "value", "smoothed_ctr", "log_count")) if small else {}
+    out = frame.crossJoin(F.broadcast(total.select(F.col("global_ctr").alias("_global"))))
     if large:
         table = encoding.where(F.col("column_name").isin(large)).select(F.col("column_name").alias("feature_name"), F.col("value").alias("feature_value"), F.expm1("log_count").alias("n"), F.col("smoothed_ctr").alias("rate"), F.col("log_count").alias("count"))
         out = looked_up(out, row_id, table, {c: text[c] for c in large}, ["rate", "count"])
     added: list[Column] = []
     for c in columns:
-        hit = F.try_element_at(f"_{c}_map", text[c]) if c in small else None
-        rate, count = (hit["smoothed_ctr"], hit["log_count"]) if c in small else (F.col(f"_{c}_rate"), F.col(f"_{c}_count"))
-        rate = F.coalesce(rate, F.col("_global"))
+        if c in small:
+            rate, count = (_by_code(c, few.get(c, {}), i, default) for i, default in enumerate((F.col("_global"), F.lit(0.0))))
+        else:
+            rate, count = F.coalesce(f"_{c}_rate", "_global"), F.col(f"_{c}_count")
         added += [rate.alias(f"{c}_enc_ctr"), (rate - F.col("_global")).alias(f"{c}_enc_ctr_lift"), F.coalesce(count, F.lit(0.0)).alias(f"{c}_enc_log_count")]
     return out.select(*frame.columns, *added)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, HIGH, MEDIUM, MEDIUM_BUCKET, NUMERIC, UNKNOWN, BUCKETS
-from adloom.operators.ranks import placed
+from adloom.operators.ranks import placed, ranges
 from adloom.operators.warehouse import unpivot
 
 MEASURES = ["impressions", "clicks", "ctr"]
@@ -103,9 +103,9 @@ def _dense(partition: list[str], *order: Column) -> Column:
     return F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order))
 
 
-def _ranked(mart: DataFrame, group: str, order: list[Column], by: list[str], name: str) -> DataFrame:
+def _ranked(mart: DataFrame, group: str, order: list[Column], by: list[str], name: str, n: int) -> DataFrame:
     """The same for groups of any number of values, such as those of a feature."""
-    return placed(mart, [group], order, by).withColumn(name, F.col("dense").cast("int")).drop("rank0", "total", "dense")
+    return placed(mart, [group], order, by, n=n).withColumn(name, F.col("dense").cast("int")).drop("rank0", "total", "dense")
 
 
 def event_day(b_day: DataFrame) -> DataFrame:
@@ -120,9 +120,9 @@ def numeric_bucket(b_bucket: DataFrame, total: DataFrame, high: int = HIGH, medi
 
 def feature(b_feature: DataFrame, total: DataFrame, high: int = HIGH, medium: int = MEDIUM) -> DataFrame:
     sums = _against(_summed(b_feature, ["feature_name", "feature_value"], F.bool_or("is_unknown").alias("is_unknown")), total)
-    sums = sums.withColumn("volume_band", X.volume_band("impressions", high, medium))
-    ranked = _ranked(sums, "feature_name", [F.desc_nulls_first("ctr"), F.desc("impressions")], ["ctr", "impressions"], "ctr_rank_in_feature")
-    return _ranked(ranked, "feature_name", [F.desc("impressions"), F.desc_nulls_first("ctr")], ["impressions", "ctr"], "impression_rank_in_feature")
+    sums, n = sums.withColumn("volume_band", X.volume_band("impressions", high, medium)), ranges(b_feature)
+    ranked = _ranked(sums, "feature_name", [F.desc_nulls_first("ctr"), F.desc("impressions")], ["ctr", "impressions"], "ctr_rank_in_feature", n)
+    return _ranked(ranked, "feature_name", [F.desc("impressions"), F.desc_nulls_first("ctr")], ["impressions", "ctr"], "impression_rank_in_feature", n)
 
 
 def missing(b_missing: DataFrame, total: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def missing(b_missing: DataFrame, total: DataFrame) -> DataFrame:
 def interactions(b_inter: DataFrame, total: DataFrame, high: int = HIGH, medium: int = MEDIUM) -> DataFrame:
     keys = ["interaction_name", "left_feature_name", "left_feature_value", "right_feature_name", "right_feature_value"]
     sums = _against(_summed(b_inter, keys), total).withColumn("volume_band", X.volume_band("impressions", high, medium))
-    return _ranked(sums, "interaction_name", [F.desc_nulls_first("ctr"), F.desc("impressions")], ["ctr", "impressions"], "ctr_rank_in_interaction")
+    return _ranked(sums, "interaction_name", [F.desc_nulls_first("ctr"), F.desc("impressions")], ["ctr", "impressions"], "ctr_rank_in_interaction", ranges(b_inter))
 
 
 def top(mart: DataFrame, rank: str, least: int, n: int = 5) -> DataFrame:

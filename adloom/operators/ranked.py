@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import HIGH, INTERACTION_MIN, MEDIUM, MEDIUM_BUCKET, SEGMENT_MIN
-from adloom.operators.ranks import ntile_of, placed, ranked
+from adloom.operators.ranks import ntile_of, placed, ranges, ranked
 
 
 def _against(mart: DataFrame, b_overall: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def feature_ranked(b_feature: DataFrame, b_overall: DataFrame, high: int = HIGH,
     """Row number, dense rank, percent rank (ascending) and quartile of each value within its feature; ties in the quartile go by value."""
     f = _against(b_feature, b_overall).withColumn("volume_band", X.volume_band("impressions", high, medium))
     best = [F.desc_nulls_first("ctr"), F.desc("impressions")]
-    p = placed(f, ["batch_id", "feature_name"], [*best, F.asc("feature_value")], ["ctr", "impressions"], ["ctr"])
+    p = placed(f, ["batch_id", "feature_name"], [*best, F.asc("feature_value")], ["ctr", "impressions"], ["ctr"], n=ranges(b_feature))
     return p.select(*f.columns, (F.col("rank0") + 1).cast("int").alias("row_number_in_feature"), F.col("dense").cast("int").alias("dense_rank_in_feature"), _percent().alias("percent_rank_in_feature"), ntile_of(F.col("rank0"), F.col("total"), 4).alias("ctr_quartile_in_feature"))
 
 
@@ -85,9 +85,9 @@ def lift_ranked(b_feature: DataFrame, b_bucket: DataFrame, b_overall: DataFrame,
     buckets = b_bucket.select("batch_id", F.lit("numeric_bucket").alias("feature_family"), "feature_name", F.col("bucket_label").alias("segment_value"), "impressions", "clicks", "ctr", X.volume_band("impressions", high, medium_bucket).alias("volume_band"))
     s = _against(values.unionByName(buckets), b_overall)
     best = [F.desc_nulls_first("ctr_lift_vs_overall"), F.desc("impressions")]
-    p = placed(s, ["batch_id", "feature_family", "feature_name"], [*best, F.asc("segment_value")], ["ctr_lift_vs_overall", "impressions"])
+    p = placed(s, ["batch_id", "feature_family", "feature_name"], [*best, F.asc("segment_value")], ["ctr_lift_vs_overall", "impressions"], n=ranges(b_feature))
     p = p.select(*s.columns, (F.col("rank0") + 1).cast("int").alias("row_number_by_lift"), F.col("dense").cast("int").alias("dense_rank_by_lift"))
-    whole = ranked(p, ["batch_id", "feature_family"], [*best, F.asc("feature_name"), F.asc("segment_value")])
+    whole = ranked(p, ["batch_id", "feature_family"], [*best, F.asc("feature_name"), F.asc("segment_value")], ranges(b_feature))
     return whole.withColumn("lift_quintile", ntile_of(F.col("rank0"), F.col("total"), 5)).drop("rank0", "total")
 
 
@@ -96,7 +96,8 @@ def interaction_ranked(b_inter: DataFrame, b_overall: DataFrame, high: int = HIG
     best = [F.desc_nulls_first("ctr"), F.desc("impressions")]
     values = [F.asc("left_feature_value"), F.asc("right_feature_value")]
     group = ["batch_id", "interaction_name"]
-    p = placed(s, group, [*best, *values], ["ctr", "impressions"], ["ctr"])
+    n = ranges(b_inter)
+    p = placed(s, group, [*best, *values], ["ctr", "impressions"], ["ctr"], n=n)
     p = p.select(*s.columns, (F.col("rank0") + 1).cast("int").alias("row_number_in_interaction"), F.col("dense").cast("int").alias("dense_rank_in_interaction"), _percent().alias("percent_rank_in_interaction"))
-    sums = placed(p, group, [F.desc("clicks"), F.desc("impressions"), *values], ["clicks"], None, ("clicks",))
+    sums = placed(p, group, [F.desc("clicks"), F.desc("impressions"), *values], ["clicks"], None, ("clicks",), n)
     return sums.withColumnRenamed("clicks_so_far", "cumulative_clicks_by_interaction").drop("rank0", "total", "dense")

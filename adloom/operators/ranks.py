@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from adloom.sources.work import saved
 
 
-def _tasks(df: DataFrame, group: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+#: Rows of a range at least, where a table's size is known.
+RANGE_ROWS = 50_000
+
+
+def ranges(table: DataFrame) -> int:
+    """Into how many ranges the rows of a written table are dealt out."""
+    return min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-table.count() // RANGE_ROWS)))
+
+
+def _tasks(df: DataFrame, group: list[str], order: list[Column], n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows in order, written with _id (task and place), and for each task and group: rows, first place, rows before, rows in all."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
     dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
     dealt = saved(dealt.withColumn("_id", F.monotonically_increasing_id()), "ordered")
@@ -24,9 +33,9 @@ def _tasks(df: DataFrame, group: list[str], order: list[Column]) -> tuple[DataFr
     return dealt, heads.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0))).withColumn("_total", F.sum("_n").over(whole))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds rank0 (from 0, in order within the group) and total (rows of the group). The order should be total."""
-    dealt, heads = _tasks(df, group, order)
+def ranked(df: DataFrame, group: list[str], order: list[Column], n: int | None = None) -> DataFrame:
+    """Adds rank0 (from 0, in order within the group) and total (rows of the group). The order should be total. n: how many ranges."""
+    dealt, heads = _tasks(df, group, order, n)
     dealt = dealt.withColumn("_task", F.shiftright("_id", 33))
     out = dealt.join(heads, [*group, "_task"])
     return out.select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first")).alias("rank0"), F.col("_total").alias("total"))
@@ -43,7 +52,7 @@ def numbered(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     return out.select((F.lit(start).cast("long") + F.col("_before") + F.col("_id") - F.col("_first")).alias(name), *df.columns)
 
 
-def placed(df: DataFrame, group: list[str], order: list[Column], dense: list[str], tie: list[str] | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+def placed(df: DataFrame, group: list[str], order: list[Column], dense: list[str], tie: list[str] | None = None, sums: tuple[str, ...] = (), n: int | None = None) -> DataFrame:
     """Adds what windows over a group of any size would: rank0 (from 0), total, dense (from 1, by the columns `dense`, on which the order begins),
     tie_end (rows up to the last one with the same values in `tie`, likewise the first of the order) and for each c in sums c_so_far.
 
@@ -51,7 +60,7 @@ def placed(df: DataFrame, group: list[str], order: list[Column], dense: list[str
     row for each task and group: how many rows, sums and distinct values come before, and whether its first value is the last of
     the task before. Where a run of equal values ends is known to its tasks from their first and last values.
     """
-    dealt, heads = _tasks(df, group, order)
+    dealt, heads = _tasks(df, group, order, n)
     dealt = dealt.withColumn("_task", F.shiftright("_id", 33))
     own = Window.partitionBy(*group, "_task").orderBy("_id")
     value = F.struct(*dense)

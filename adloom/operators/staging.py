@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, NUMERIC
 from adloom.operators.ranks import tile_starts
+from adloom.sources.work import saved
 
 DAYS = 7
+BROADCAST_FILES = 100_000
 
 
 def with_event_day(raw: DataFrame, days: int = DAYS) -> DataFrame:
     """Adds event_day_number: the tile of the event within its source file, by event id. Only file and id are sorted; the few ids at which
-    tiles begin are then compared with each row, so wide rows aren't shuffled. Rows without a file form one group."""
+    tiles begin are then compared with each row. They are a row a file: for up to BROADCAST_FILES files they are sent to all tasks, so
+    wide rows aren't shuffled; beyond that rows and files are joined. Rows without a file form one group."""
     name = F.coalesce(F.col("source_file"), F.lit(""))
-    starts = tile_starts(raw.select(name.alias("_file"), "event_id"), ["_file"], "event_id", days)
-    joined = raw.join(starts, name == F.col("_file"), "left")
+    starts = saved(tile_starts(raw.select(name.alias("_file"), "event_id"), ["_file"], "event_id", days), "starts")
+    joined = raw.join(F.broadcast(starts) if starts.count() <= BROADCAST_FILES else starts, name == F.col("_file"), "left")
     tile = F.coalesce(F.size(F.filter("starts", lambda s: s <= F.col("event_id"))), F.lit(0)) + 1
     return joined.withColumn("event_day_number", tile.cast("int")).drop("_file", "starts")
 
