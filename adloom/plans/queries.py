@@ -465,10 +465,18 @@ add("l5_metrics_by_model", lambda f: evaluate.evaluate(f.ev, M), "SELECT * FROM
 add("t5_leaderboard", lambda f: evaluate.leaderboard(evaluate.evaluate(f.ev, M)), "SELECT * FROM e_all")
 
 
+CATEGORIES = ["event_batch", *STORED, *features.CODES]
+NUMBERS = [c for c in MANIFEST_COLUMNS if c not in CATEGORIES]
+
+
+def _source_rows(f: Frames) -> DataFrame:
+    """All source columns of the data set: numbers as doubles, categories as they are."""
+    return saved(f.split.select("raw_event_id", "dataset_split", "label", *(F.col(c).cast("double").alias(c) for c in NUMBERS), *CATEGORIES), "source")
+
+
 def _baseline(f: Frames) -> DataFrame:
-    numeric, categorical = ["i1_log_scale", "i2_log_scale", "missing_numeric_count"], ["c22", "i1_bucket_code"]
-    rows = f.split.select("raw_event_id", "dataset_split", "label", *(F.col(c).cast("double").alias(c) for c in numeric), *categorical)
-    model = train.fit_logistic(rows.where("dataset_split = 'train'"), numeric, categorical, reg=0.01)
+    rows = _source_rows(f)
+    model = train.fit_logistic(rows.where("dataset_split = 'train'"), NUMBERS, CATEGORIES, reg=0.01)
     return train.score(rows.where("dataset_split != 'train'"), model, ["raw_event_id", "dataset_split", "label"])
 
 
@@ -480,7 +488,7 @@ def _logistic(f: Frames) -> DataFrame:
 
 def _boosted(f: Frames) -> DataFrame:
     frame, names = f.ml
-    model = train.fit_engineered(frame.where("dataset_split = 'train'"), names, "boosted", validation=frame.where("dataset_split = 'validation'"), rounds=5, depth=3)
+    model = train.fit_engineered(frame.where("dataset_split = 'train'"), names, "boosted", validation=frame.where("dataset_split = 'validation'"), rounds=5, depth=6)
     return evaluate.evaluate(train.score(frame, model, ["raw_event_id", "dataset_split", "label"]), ["dataset_split"])
 
 
@@ -504,11 +512,10 @@ def _calibrated(kind: str) -> Callable[[Frames], DataFrame]:
 
 
 def _trees_onehot(f: Frames) -> DataFrame:
-    numeric, categorical = ["i1_log_scale", "missing_numeric_count"], ["c22", "i1_bucket_code"]
-    rows = f.split.select("raw_event_id", "dataset_split", "label", *(F.col(c).cast("double").alias(c) for c in numeric), *categorical)
+    rows = _source_rows(f)
     own = train.with_positive_weight(rows.where("dataset_split = 'train'"))
-    prepared = train.encoder(numeric, categorical).fit(own)
-    model = train.boosted(rounds=5, depth=3).fit(prepared.transform(own))
+    prepared = train.encoder(NUMBERS, CATEGORIES).fit(own)
+    model = train.boosted(rounds=5, depth=6).fit(prepared.transform(own))
     return train.score(prepared.transform(rows.where("dataset_split != 'train'")), model, ["raw_event_id", "dataset_split", "label"])
 
 
