@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adloom.llm.common import task_of
+
 #: Encoded words kept by a worker; beyond that it starts anew.
 MEMORY = 400_000
 #: Rows of a batch that are handled together.
@@ -176,6 +178,7 @@ def _mapped(docs: DataFrame, keep: list[str | Column], source: Column, name: str
     arrow = to_arrow_schema(schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("bpe", encoder.cache_clear)
         for whole in it:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, struct_of
+from adloom.llm.common import batch_of, struct_of, task_of
 
 #: N-grams in a profile.
 PROFILE = 400
@@ -94,6 +94,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     out = struct_of("lang string, gram string, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("language")
         held: dict[str, list[str]] = {}
         sizes: dict[str, int] = {}
 
@@ -209,6 +210,7 @@ def identify(docs: DataFrame, learned: Classifier, keep: list[str | Column], lea
     known = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("language")
         for b in batches:
             found = [known.value.predict(x.as_py()) for x in b.column(b.num_columns - 1)]
             if least is not None:

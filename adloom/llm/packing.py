@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, saved, struct_of
+from adloom.llm.common import batch_of, saved, struct_of, task_of
 
 #: Fillings looked at for a sequence, and in all while the last sequences are done over.
 FILLINGS, NODES = 400, 20_000
 #: Sequences at the end of the plan that branch and bound may do over.
 TAIL = 24
 #: Encoded words kept by a worker, some 200 bytes each; beyond that it starts anew.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: A comma or full stop that ends a word of ASCII letters: the two are encoded apart.
 STOP = re.compile(r"([a-z])([,.])(?=[ \n])")
 #: White space to str.split(), but part of a word to the tokenizer.
@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int | None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        task_of("packing", word_encoder.cache_clear)
         encoder, task, seen = word_encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             found: list[tuple] = []

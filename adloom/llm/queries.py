@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import bpe, chat, imatch, language, neighbours, packing, pii, simhash, substrings, warc
-from adloom.llm.common import ship
+from adloom.llm.common import ship, small_batches
 
 #: The key under which the registered queries permute personal data. A deployment passes its own.
 KEY = "adloom-demonstration-key"
@@ -22,6 +22,7 @@ def tokenizer_file(name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

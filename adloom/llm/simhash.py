@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, join_counted, saved, shuffle_partitions, struct_of, whole_groups
+from adloom.llm.common import batch_of, join_counted, saved, shuffle_partitions, struct_of, task_of, whole_groups
 from adloom.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     out = struct_of("doc_id long, fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in b.column(1)), np.uint64, b.num_rows)
             yield batch_of({"doc_id": b.column(0), "fp": fp.view(np.int64)}, out)
@@ -234,6 +235,7 @@ def long_prints(docs: DataFrame) -> DataFrame:
     out = struct_of("doc_id long, h1 long, h2 long, n long, " + ", ".join(f"{w} long" for w in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("simhash")
         for b in batches:
             digests, sizes, prints = [], [], np.zeros((b.num_rows, WORDS), np.uint64)
             for i, x in enumerate(b.column(1)):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from adloom.llm.common import HOT, batch_of, join_counted, saved, struct_of
+from adloom.llm.common import HOT, batch_of, join_counted, saved, struct_of, task_of
 
 #: Ends of units: line ends, and white space after a sentence's last mark.
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
@@ -168,6 +168,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = struct_of("doc bigint, h1 bigint, h2 bigint")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("substrings")
         for b in batches:
             doc, found = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             rows: list[int] = []
@@ -205,6 +206,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("substrings")
         for b in batches:
             lists = b.column(b.num_columns - 1)
             flat, offsets = lists.flatten(), None

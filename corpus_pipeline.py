@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import language, packing, pii, simhash, substrings
-from adloom.llm.common import drop_saved, mark, new_path
+from adloom.llm.common import drop_saved, mark, new_path, small_batches
 from adloom.llm.queries import KEY, table, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,6 +22,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: without text or a letter, mostly in letters of no profile, or under the least score. What is
     learned comes from the labelled documents; lang becomes the predicted language."""
+    small_batches(spark)
     found = language.identify(docs, language.learn(docs), COLUMNS, language.LEAST)
     kept = found.where(F.col("lang_pred") != language.UNKNOWN)
     return _columns(kept.withColumn("lang", F.col("lang_pred")))
@@ -30,11 +31,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Documents without doc_id stay, null
     and blank texts are one group, of rows that repeat a doc_id one stays, no rows give none."""
+    small_batches(spark)
     return _columns(simhash.keep_one(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has; documents of which nothing is left go, and so do null texts."""
+    small_batches(spark)
     cut = substrings.dedup(docs)
     return _columns(cut.where(F.trim("text") != ""))
 
@@ -47,6 +50,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 4096 tokens. Null texts are empty ones, repeated rows are packed each for itself, no rows give
     no sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 4096, 1)
 
 
