@@ -216,9 +216,9 @@ add("q12_score_columns", lambda f: f.spark.createDataFrame([(n, k) for n, k, _ i
 
 def listing(name: str, make, table: str, columns: list[str], order: list[str], n: int | None = None, where: str = "true") -> None:
     """A listing and its SQL. order: columns, with a minus for descending ones (nulls last either way); n rows, or all."""
-    spark_order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order]
+    spark_order = lambda: [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order]
     sql_order = J(f"{c[1:]} DESC NULLS LAST" if c.startswith("-") else f"{c} NULLS LAST" for c in order)
-    add(name, lambda f: reports.listing(make(f).where(where), columns, spark_order, n), f"SELECT {J(columns)} FROM {table} WHERE {where} ORDER BY {sql_order}" + (f" LIMIT {n}" if n else ""))
+    add(name, lambda f: reports.listing(make(f).where(where), columns, spark_order(), n), f"SELECT {J(columns)} FROM {table} WHERE {where} ORDER BY {sql_order}" + (f" LIMIT {n}" if n else ""))
 
 
 RATE = ["impressions", "clicks", "ctr"]
