@@ -49,3 +49,11 @@ def test_entry(spark):
 
 def test_every_query_has_a_name_of_its_own():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=__file__.rsplit("/", 2)[0], capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout.split()[-2]) >= len(QUERIES) and out.stdout.split()[-1] == "True"
