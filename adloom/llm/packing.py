@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        if ids("Ab cd,\n\tEF. ,") != [i for x in ("ab", "cd", ",", "ef", ".", ",") for i in ids(x)]:
+        words = ("ab", "cd", ",", "ef", ".", ",")
+        if ids("Ab cd,\n\tEF. ,") != [i for x in words for i in ids(x)] or ids("ab cd") != [t.id for x in words[:2] for t in self.tokenizer.model.tokenize(x)]:
             raise ValueError(f"{path} doesn't encode lower-cased words one by one")
         self.special = re.compile("|".join(re.escape(x.content.lower()) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
@@ -72,10 +74,19 @@ class WordEncoder:
         return word.lower() if word.isascii() and not ("<" in word and self.special.search(word.lower())) else word
 
     def _learn(self, bases: list[str]) -> None:
-        """Encodes words. Words of letters are one word to the tokenizer too, so many are encoded as one text and the ids cut behind each
-        token that ends a word; where the count shows that this isn't so, and for all other words, each is encoded by itself."""
-        plain = [w for w in bases if w.isalpha()]
-        alone = [w for w in bases if not w.isalpha()]
+        """Encodes words. One of small ASCII letters is one word to the tokenizer too, and nothing normalises it, so it goes straight to the
+        merges. Other words of letters are encoded many as one text, and the ids cut behind each token that ends a word; where the count
+        shows that they aren't one word each, and for all other words, each is encoded by itself."""
+        merges, known = self.tokenizer.model.tokenize, self.known
+        plain, alone = [], []
+        for w in bases:
+            if not w.isalpha():
+                alone.append(w)
+            elif w.isascii() and w.islower():
+                ids = [t.id for t in merges(w)]
+                known[w] = packed(f"<{len(ids)}I", *ids)
+            else:
+                plain.append(w)
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(encoded.ids, "<u4")
@@ -85,9 +96,9 @@ class WordEncoder:
                 continue
             data = ids.tobytes()
             for word, start, end in zip(group, [0, *ends], ends):
-                self.known[word] = data[start:end]
+                known[word] = data[start:end]
         for word, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
+            known[word] = np.array(encoded.ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers. Texts are taken together, a million characters at a time."""
