@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bpe, chat, imatch, language, neighbours, packing, pii, simhash, substrings, warc
+from adloom.llm import bpe, chat, imatch, language, neighbours, packing, pii, repeats, simhash, substrings, warc
 from adloom.llm.common import ship, small_batches
 
 #: The key under which the registered queries permute personal data. A deployment passes its own.
@@ -88,6 +88,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """Every tenth text by the hash of its doc_id, made to go round: from some word on its words repeat a number of times."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(text, r"[ \x09-\x0D]+"), "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    round_ = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    made = F.array_join(F.concat(F.slice(words, 1, a.cast("int")), F.slice(round_, 1, (n - a).cast("int"))), " ")
+    return F.when((h % 10 == 0) & text.rlike(r"[^ \x09-\x0D]"), made).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = repeats.collapse(docs)
+    by_exponent = lambda x, y: F.coalesce(F.nullif(F.signum(y["length"] * x["period"] - x["length"] * y["period"]), F.lit(0.0)), F.nullif(F.signum(x["start"] - y["start"]), F.lit(0.0)), F.signum(x["period"] - y["period"])).cast("int")
+    best = F.get(F.array_sort("runs", by_exponent), 0)
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")), F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_neighbours, op2_pseudonyms, op3_imatch, op4_language, op5_passages, op6_chats, op7_packing, op8_warc, op9_bpe, op10_simhash, pipeline)
+    own = (op1_neighbours, op2_pseudonyms, op3_imatch, op4_language, op5_passages, op6_chats, op7_packing, op8_warc, op9_bpe, op10_simhash, op11_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
