@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm import bpe, chat, imatch, language, neighbours, packing, pii, repeats, simhash, substrings, warc
+from adloom.llm import bpe, chat, imatch, language, lexical, neighbours, oracle, packing, pii, repeats, simhash, sketches, substrings, warc
 from adloom.llm.common import ship, small_batches
 
 #: The key under which the registered queries permute personal data. A deployment passes its own.
@@ -111,6 +111,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")), F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.join(table(spark, sf_dir, "documents"))
+
+
+def op13_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_neighbours, op2_pseudonyms, op3_imatch, op4_language, op5_passages, op6_chats, op7_packing, op8_warc, op9_bpe, op10_simhash, op11_runs, pipeline)
+    own = (op1_neighbours, op2_pseudonyms, op3_imatch, op4_language, op5_passages, op6_chats, op7_packing, op8_warc, op9_bpe, op10_simhash, op11_runs, op12_jaccard, op13_nra, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -144,4 +152,4 @@ FROM sized GROUP BY conv_id, alone
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chats": OP6_SQL}
+    return {"op6_chats": OP6_SQL, "op11_runs": oracle.OP11_SQL, "op12_jaccard": oracle.OP12_SQL, "op13_nra": oracle.OP13_SQL}
