@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adloom.operators.monitor import active_canonical
 from adloom.operators.tables import latest
 
 METRICS = ["validation_roc_auc", "validation_pr_auc", "validation_lift_at_10pct"]
@@ -54,10 +55,21 @@ def apply(registry: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
     return j.select("model_id", "model_name", "model_version", F.when(F.col("_won").isNull(), F.col("is_active_canonical")).otherwise(now).alias("is_active_canonical"), F.when(now, at).otherwise(F.col("canonical_promoted_at")).alias("canonical_promoted_at"), F.when(now, F.col("decision_reason")).otherwise(F.col("canonical_promotion_note")).alias("canonical_promotion_note"))
 
 
-def normalise(registry: DataFrame, compared: DataFrame, base_version: str) -> DataFrame:
-    """The registry with one active model a name: of several, the best by version (base first), metrics, run and id stays."""
-    newest = latest(compared, ["model_name", "model_version"], [F.desc("training_run_id")]).select("model_name", "model_version", "training_run_id", *METRICS)
-    active = registry.where("is_active_canonical").join(newest, ["model_name", "model_version"], "left")
-    order = [F.desc(F.col("model_version") == base_version), *(F.desc_nulls_last(m) for m in METRICS), F.desc_nulls_last("training_run_id"), F.desc("model_id")]
-    best = latest(active, ["model_name"], order).select(F.col("model_id").alias("_best"), F.lit(True).alias("_keep"))
+def normalise(registry: DataFrame, runs: DataFrame, compared: DataFrame, base_version: str) -> DataFrame:
+    """The registry with one active model a name: of several, the one stays that has the best successful run, by ROC-AUC, PR-AUC and lift (0 where
+    unknown), then the base version, then the one promoted last, then the newest run, then the larger id."""
+    own = compared.select("model_name", "model_version", "training_run_id", *METRICS).distinct()
+    tried = registry.where("is_active_canonical").join(runs.where("run_status = 'SUCCESS'").select("model_id", "training_run_id"), "model_id", "left").join(own, ["model_name", "model_version", "training_run_id"], "left")
+    order = [*(F.desc(F.coalesce(m, F.lit(0.0))) for m in METRICS), F.desc(F.col("model_version") == base_version), F.desc_nulls_last("canonical_promoted_at"), F.desc_nulls_last("training_run_id"), F.desc("model_id")]
+    best = latest(tried, ["model_name"], order).select(F.col("model_id").alias("_best"), F.lit(True).alias("_keep"))
     return registry.join(best, F.col("model_id") == F.col("_best"), "left").withColumn("is_active_canonical", F.coalesce("_keep", F.lit(False))).select(*registry.columns)
+
+
+def review(registry: DataFrame, runs: DataFrame, compared: DataFrame, base_version: str, **thresholds: float) -> tuple[DataFrame, DataFrame]:
+    """The registry normalised, and the decision on each run of each of its models against the model that is active then."""
+    columns = ["model_name", "model_version", "training_run_id", *METRICS]
+    registry = normalise(registry, runs, compared, base_version)
+    active = active_canonical(registry, runs, compared).select(*columns).distinct().where("training_run_id is not null")
+    candidates = compared.select(*columns, "rows_trained").distinct().join(registry.select("model_name", "model_version", "model_id"), ["model_name", "model_version"])
+    base = latest(candidates.where(F.col("model_version") == base_version), ["model_name"], [F.desc("training_run_id")]).select(*columns)
+    return registry, decide(candidates, active, base, base_version, **thresholds)

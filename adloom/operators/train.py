@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -17,19 +17,21 @@ from adloom.operators.features import class_weights, positive_weight
 from adloom.sources.work import saved
 
 
-def encoder(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """One-hot categories (unseen ones in a place of their own) and standardised numbers in one vector."""
-    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_hot" for c in categorical])
-    fill = Imputer(inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric], strategy="median")
-    numbers = VectorAssembler(inputCols=fill.getOutputCols(), outputCol="numbers")
-    scale = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True)
-    stages = [fill, numbers, scale]
-    inputs = ["scaled"]
+def fit_encoder(frame: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
+    """Standardised numbers (by the population's deviation, 1 for a constant) and one-hot categories in one vector. A missing number is 0, a missing
+    category is `unknown`; a category that the frame doesn't have sets no place."""
+    filled = {c: F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in numeric}
+    stats = frame.agg(*(F.avg(x).alias(f"a_{c}") for c, x in filled.items()), *(F.stddev_pop(x).alias(f"d_{c}") for c, x in filled.items())).first()
+    number = lambda c: f"(coalesce(nanvl(CAST(`{c}` AS DOUBLE), 0D), 0D) - ({float(stats[f'a_{c}'] or 0)!r}D)) / {float(stats[f'd_{c}'] or 1)!r}D AS `{c}_scaled`"
+    made = [*map(number, numeric), *(f"coalesce(CAST(`{c}` AS STRING), 'unknown') AS `{c}_filled`" for c in categorical)]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")]
+    inputs = [f"{c}_scaled" for c in numeric]
     if categorical:
+        index = StringIndexer(inputCols=[f"{c}_filled" for c in categorical], outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep")
+        hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_hot" for c in categorical])
         stages += [index, hot]
         inputs += hot.getOutputCols()
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(frame)
 
 
 def assembler(columns: list[str]) -> Pipeline:
@@ -55,11 +57,13 @@ def boosted(rounds: int = 20, depth: int = 4, rate: float = 0.1, subsample: floa
     return model.setValidationIndicatorCol(validation) if validation else model
 
 
-def fit_logistic(frame: DataFrame, numeric: list[str], categorical: list[str], reg: float = 0.0, elastic: float = 0.0) -> PipelineModel:
-    """A balanced logistic model over encoded columns, fitted by all executors."""
+def fit_logistic(frame: DataFrame, numeric: list[str], categorical: list[str], c: float = 1.0) -> PipelineModel:
+    """A balanced logistic model over encoded columns, fitted by all executors. c: the inverse of the penalty on half the squared weights, beside
+    the sum of all rows' losses."""
     weighted = with_class_weight(frame)
-    prepared = encoder(numeric, categorical).fit(weighted)
-    return PipelineModel(stages=[*prepared.stages, logistic(reg, elastic).fit(prepared.transform(weighted))])
+    prepared = fit_encoder(weighted, numeric, categorical)
+    total = weighted.agg(F.coalesce(F.sum("weight"), F.lit(1.0))).first()[0]
+    return PipelineModel(stages=[*prepared.stages, logistic(1 / (c * total)).fit(prepared.transform(weighted))])
 
 
 def fit_engineered(train: DataFrame, columns: list[str], model: str = "logistic", validation: DataFrame | None = None, **options) -> PipelineModel:

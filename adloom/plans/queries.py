@@ -315,9 +315,17 @@ add("m18_feature_interaction_ranked", lambda f: f.r_inter, "SELECT * FROM r_inte
 add("w1_event_day_window", lambda f: staging.with_event_day_window(f.imp).select("event_id", "event_day_number"), "SELECT raw_event_id AS event_id, event_day_number FROM stg")
 add("w1_event_day_distributed", lambda f: staging.with_event_day(f.imp).select("event_id", "event_day_number"), "SELECT raw_event_id AS event_id, event_day_number FROM stg")
 add("w18_score_deciles", lambda f: f.scores.select("raw_event_id", "batch_id", "model_id", "score_decile", "is_top_decile"), "SELECT raw_event_id, batch_id, model_id, score_decile, is_top_decile FROM scores")
-MARKED = "SELECT m.*, c.validation_roc_auc, c.validation_pr_auc, c.validation_lift_at_10pct, c.training_run_id FROM (SELECT * FROM models WHERE model_id < 8) m LEFT JOIN (" + O.newest("(SELECT DISTINCT model_name, model_version, training_run_id, validation_roc_auc, validation_pr_auc, validation_lift_at_10pct FROM mcomp)", "model_name, model_version", "training_run_id DESC") + ") c USING (model_name, model_version)"
-BEST = "CAST(model_version = 'v4' AS INT) DESC, validation_roc_auc DESC NULLS LAST, validation_pr_auc DESC NULLS LAST, validation_lift_at_10pct DESC NULLS LAST, training_run_id DESC NULLS LAST, model_id DESC"
-add("w20_one_active_model", lambda f: promote.normalise(f.models.withColumn("is_active_canonical", F.col("model_id") < 8), f.mcomp, "v4").where("is_active_canonical").select("model_id", "model_name"), "SELECT model_id, model_name FROM (" + O.newest(f"({MARKED})", "model_name", BEST) + ")")
+# Of several active models of a name one stays; the order of these keys is part of the behaviour.
+MARKED = "SELECT * EXCLUDE (is_active_canonical), model_id < 8 AS is_active_canonical FROM models"
+STAYS = "coalesce(c.validation_roc_auc, 0) DESC, coalesce(c.validation_pr_auc, 0) DESC, coalesce(c.validation_lift_at_10pct, 0) DESC, CASE WHEN m.model_version = 'v4' THEN 0 ELSE 1 END, m.canonical_promoted_at DESC NULLS LAST, t.training_run_id DESC NULLS LAST, m.model_id DESC"
+ONE_ACTIVE = f"SELECT model_id, model_name FROM (SELECT m.model_id, m.model_name, row_number() OVER (PARTITION BY m.model_name ORDER BY {STAYS}) AS rk FROM ({MARKED}) m LEFT JOIN truns t ON t.model_id = m.model_id AND t.run_status = 'SUCCESS' LEFT JOIN (SELECT DISTINCT model_name, model_version, training_run_id, validation_roc_auc, validation_pr_auc, validation_lift_at_10pct FROM mcomp) c ON c.model_name = m.model_name AND c.model_version = m.model_version AND c.training_run_id = t.training_run_id WHERE m.is_active_canonical) WHERE rk = 1"
+
+
+def _several_active(f: Frames) -> DataFrame:
+    return f.models.withColumn("is_active_canonical", F.col("model_id") < 8)
+
+
+add("w20_one_active_model", lambda f: promote.normalise(_several_active(f), f.truns, f.mcomp, "v4").where("is_active_canonical").select("model_id", "model_name"), ONE_ACTIVE)
 add("t1_staging_in_order", lambda f: f.stg.select("raw_event_id", "batch_id").repartitionByRange("raw_event_id").sortWithinPartitions("raw_event_id"), "SELECT raw_event_id, batch_id FROM stg")
 add("t2_top_buckets", lambda f: marts.top(f.m_bucket, "ctr_rank_in_feature", MEDIUM_BUCKET), f"SELECT * FROM m_bucket WHERE impressions >= {MEDIUM_BUCKET} AND ctr_rank_in_feature <= 5")
 add("t2_top_features", lambda f: marts.top(f.m_feature, "ctr_rank_in_feature", MEDIUM), f"SELECT * FROM m_feature WHERE impressions >= {MEDIUM} AND ctr_rank_in_feature <= 5")
@@ -476,7 +484,7 @@ def _source_rows(f: Frames) -> DataFrame:
 
 def _baseline(f: Frames) -> DataFrame:
     rows = _source_rows(f)
-    model = train.fit_logistic(rows.where("dataset_split = 'train'"), NUMBERS, CATEGORIES, reg=0.01)
+    model = train.fit_logistic(rows.where("dataset_split = 'train'"), NUMBERS, CATEGORIES)
     return train.score(rows.where("dataset_split != 'train'"), model, ["raw_event_id", "dataset_split", "label"])
 
 
@@ -514,7 +522,7 @@ def _calibrated(kind: str) -> Callable[[Frames], DataFrame]:
 def _trees_onehot(f: Frames) -> DataFrame:
     rows = _source_rows(f)
     own = train.with_positive_weight(rows.where("dataset_split = 'train'"))
-    prepared = train.encoder(NUMBERS, CATEGORIES).fit(own)
+    prepared = train.fit_encoder(own, NUMBERS, CATEGORIES)
     model = train.boosted(rounds=5, depth=6).fit(prepared.transform(own))
     return train.score(prepared.transform(rows.where("dataset_split != 'train'")), model, ["raw_event_id", "dataset_split", "label"])
 
@@ -532,16 +540,14 @@ add("l16_model_lookup", lambda f: train.find_model(f.models, f.truns, "model_1")
 add("l17_importance", lambda f: importance.importance(f.coef, ["model_id", "training_run_id"]), "SELECT * FROM imp0")
 
 
-def _candidates(f: Frames) -> DataFrame:
-    columns = ["model_name", "model_version", "training_run_id", "rows_trained", *promote.METRICS]
-    return f.mcomp.select(*columns).distinct().join(f.models.select("model_name", "model_version", "model_id"), ["model_name", "model_version"])
+def _decided(f: Frames) -> DataFrame:
+    return promote.review(f.models, f.truns, f.mcomp, "v4")[1]
 
 
-def _decided(f: Frames) -> DataFrame:
-    columns = ["model_name", "model_version", "training_run_id", *promote.METRICS]
-    active = f.active.select(*columns).distinct().where("training_run_id is not null")
-    base = tables.latest(_candidates(f).where("model_version = 'v4'"), ["model_name"], [F.desc("training_run_id")]).select(*columns)
-    return promote.decide(_candidates(f), active, base, "v4")
+def _promoted(f: Frames) -> DataFrame:
+    """Several models of a name are active before; the one that stays is what candidates are held against."""
+    registry, decided = promote.review(_several_active(f), f.truns, f.mcomp, "v4")
+    return promote.apply(registry, decided, F.lit("2024-06-01").cast("date")).select("model_id", "model_name", "is_active_canonical", "canonical_promoted_at")
 
 
 CAND = "SELECT DISTINCT m.model_id, c.model_name, c.model_version, c.training_run_id, c.rows_trained, c.validation_roc_auc, c.validation_pr_auc, c.validation_lift_at_10pct FROM mcomp c JOIN models m USING (model_name, model_version)"
@@ -564,9 +570,14 @@ def _rule(then: Callable[[str, str], str]) -> str:
 
 
 WHY = "concat_ws('; ', " + J(f"CASE WHEN c.{m} >= coalesce(a.{m}, 0) + {by} THEN NULL ELSE '{n} threshold not met' END" for m, by, n in zip(MET, ("0.005e0", "0.005e0", "0.05e0"), ("ROC-AUC", "PR-AUC", "lift"))) + ") || '.'"
-DECIDE = f"SELECT c.*, CASE {_rule(lambda yes, why: yes)} ELSE false END AS promoted, CASE {_rule(lambda yes, why: chr(39) + why + chr(39))} ELSE {WHY} END AS decision_reason FROM ({CAND}) c LEFT JOIN (SELECT * FROM active1 WHERE training_run_id IS NOT NULL) a ON a.model_name = c.model_name LEFT JOIN ({O.newest(f'({CAND} WHERE c.model_version = {chr(39)}v4{chr(39)})', 'model_name', 'training_run_id DESC')}) b ON b.model_name = c.model_name"
-add("l20_promotion", _decided, DECIDE)
-add("l22_apply_promotion", lambda f: promote.apply(f.models, _decided(f), F.lit("2024-06-01").cast("date")).select("model_id", "model_name", "is_active_canonical", "canonical_promoted_at"), f"SELECT m.model_id, m.model_name, CASE WHEN w.model_id IS NULL THEN m.is_active_canonical ELSE m.model_id = w.model_id END AS is_active_canonical, CASE WHEN m.model_id = w.model_id THEN DATE '2024-06-01' ELSE m.canonical_promoted_at END AS canonical_promoted_at FROM models m LEFT JOIN (SELECT model_name, max_by(model_id, training_run_id) AS model_id FROM ({DECIDE}) WHERE promoted GROUP BY 1) w USING (model_name)")
+def _decide(active: str) -> str:
+    return f"SELECT c.*, CASE {_rule(lambda yes, why: yes)} ELSE false END AS promoted, CASE {_rule(lambda yes, why: chr(39) + why + chr(39))} ELSE {WHY} END AS decision_reason FROM ({CAND}) c LEFT JOIN (SELECT * FROM ({active}) WHERE training_run_id IS NOT NULL) a ON a.model_name = c.model_name LEFT JOIN ({O.newest(f'({CAND} WHERE c.model_version = {chr(39)}v4{chr(39)})', 'model_name', 'training_run_id DESC')}) b ON b.model_name = c.model_name"
+
+
+add("l20_promotion", _decided, _decide("active1"))
+# The active models after normalising, with their newest successful runs.
+ACTIVE = f"SELECT DISTINCT m.model_name, m.model_version, t.run AS training_run_id, c.validation_roc_auc, c.validation_pr_auc, c.validation_lift_at_10pct FROM models m JOIN ({ONE_ACTIVE}) o USING (model_id) LEFT JOIN (SELECT model_id, max(training_run_id) AS run FROM truns WHERE run_status = 'SUCCESS' GROUP BY 1) t USING (model_id) JOIN mcomp c ON c.model_name = m.model_name AND c.model_version = m.model_version AND c.training_run_id = t.run"
+add("l22_apply_promotion", _promoted, f"SELECT m.model_id, m.model_name, CASE WHEN w.model_id IS NULL THEN o.model_id IS NOT NULL ELSE m.model_id = w.model_id END AS is_active_canonical, CASE WHEN m.model_id = w.model_id THEN DATE '2024-06-01' ELSE m.canonical_promoted_at END AS canonical_promoted_at FROM models m LEFT JOIN ({ONE_ACTIVE}) o USING (model_id) LEFT JOIN (SELECT model_name, max_by(model_id, training_run_id) AS model_id FROM ({_decide(ACTIVE)}) WHERE promoted GROUP BY 1) w ON w.model_name = m.model_name")
 
 # --- 2.14 monitoring ---
 add("n1_latest_training_metrics", lambda f: monitor.latest_training_metrics(f.models, f.truns, f.tmetrics), "SELECT model_name, model_version, training_run_id, run_status, dataset_split, roc_auc, pr_auc, log_loss, precision_at_10pct, lift_at_10pct, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY model_name, model_version, dataset_split ORDER BY recorded_at DESC, metric_id DESC) AS rk FROM models JOIN truns USING (model_id) JOIN tmetrics USING (training_run_id)) WHERE rk = 1")
@@ -605,21 +616,27 @@ add("a25_stratum_sizes", lambda f: sampling.stratum_sizes(f.imp), "SELECT label,
 
 
 # --- 2.16 streaming ---
+def inbox_of(f: Frames, folders: dict[str, int]) -> str:
+    """An inbox with a folder for each name, with a file of that batch's rows."""
+    inbox = f.path("inbox")
+    source = f.imp.select("batch_id", "label", *(F.col(c).alias(c.upper()) for c in NUMERIC), *(F.nullif(F.col(c), F.lit("")).alias(c.upper()) for c in CATEGORICAL))
+    for folder, part in folders.items():
+        source.where(F.col("batch_id") == part).drop("batch_id").coalesce(1).write.option("header", True).csv(f"{inbox}/{folder}")
+    return inbox
+
+
 def _streamed(f: Frames) -> DataFrame:
-    """Three files arrive, and a copy of one of them under another name: the marts hold each content once."""
+    """Two inboxes, each with a checkpoint of its own, bring three contents into one store, one of them in both and twice in the first: the marts hold
+    each content once."""
     from adloom.streaming import intake
 
-    inbox, store = f.path("inbox"), f.path("store")
-    source = f.imp.select("batch_id", "label", *(F.col(c).alias(c.upper()) for c in NUMERIC), *(F.nullif(F.col(c), F.lit("")).alias(c.upper()) for c in CATEGORICAL))
-    for i, part in enumerate((1, 2, 3, 2)):
-        source.where(F.col("batch_id") == part).drop("batch_id").coalesce(1).write.option("header", True).csv(f"{inbox}/{i}")
-    query = intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"))
-    query.awaitTermination()
-    mart = f.spark.read.parquet(f"{store}/marts/overall")
-    return mart.select("impressions", "clicks", "ctr", "avg_missing_numeric_count", "avg_missing_categorical_count")
+    store = f.path("store")
+    for folders in ({"1": 1, "2": 2, "3": 1}, {"1": 3, "2": 1}):
+        intake.run(f.spark, f"{inbox_of(f, folders)}/*", store, f.path("checkpoint"))
+    return intake.table(f.spark, store, "marts/overall").select("impressions", "clicks", "ctr", "avg_missing_numeric_count", "avg_missing_categorical_count")
 
 
-add("x1_file_intake", _streamed, "SELECT impressions, clicks, ctr, avg_missing_numeric_count, avg_missing_categorical_count FROM b_overall")
+add("x1_file_intake", _streamed, "SELECT impressions, clicks, ctr, avg_missing_numeric_count, avg_missing_categorical_count FROM b_overall WHERE batch_id IN (1, 2, 3)")
 
 
 from adloom.plans import single  # noqa: E402, F401  (registers the queries of single operators)

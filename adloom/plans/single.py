@@ -8,6 +8,7 @@ from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, NUMERIC, STORED
 from adloom.operators import evaluate, features, importance, marts, monitor, ops, promote, quality, ranked, reports, sampling, tables, train, warehouse
 from adloom.plans import oracle as O
+from adloom.plans import queries
 from adloom.plans.queries import HIGH, LOOKUP, MEDIUM, MEDIUM_BUCKET, SAMPLES, SIZES, STORE_KEYS, Frames, J, _decided, add
 from adloom.sources import binding
 from adloom.sources.work import saved
@@ -105,19 +106,19 @@ for _name, _columns in (("f6_bucket_lift_aggregates", BUCKET_SUMS), ("f7_value_a
 
 
 def _encoded(f: Frames):
-    """How many places the one-hot vector has, with the one for unseen categories, and which standardised numbers it holds."""
+    """How many places the one-hot vector has, how many of them are set, and which standardised numbers it holds; of raw impressions, with their nulls."""
     from pyspark.ml.functions import vector_to_array
 
     numeric, categorical = ["i1", "i2"], ["c22"]
-    rows = f.split.where("dataset_split = 'train'").select("raw_event_id", *(F.col(c).cast("double").alias(c) for c in numeric), *categorical)
+    rows = f.imp.select("event_id", *numeric, *categorical)
     vector = vector_to_array("features")
-    out = train.encoder(numeric, categorical).fit(rows).transform(rows)
+    out = train.fit_encoder(rows, numeric, categorical).transform(rows)
     n = len(numeric)
-    return out.select("raw_event_id", F.size(vector).alias("places"), F.round(F.aggregate(F.slice(vector, n + 1, F.size(vector) - n), F.lit(0.0), lambda a, x: a + x), 6).alias("ones"), *(F.round(vector[i], 5).alias(c) for i, c in enumerate(numeric)))
+    return out.select(F.col("event_id").alias("raw_event_id"), F.size(vector).alias("places"), F.round(F.aggregate(F.slice(vector, n + 1, F.size(vector) - n), F.lit(0.0), lambda a, x: a + x), 6).alias("ones"), *(F.round(vector[i], 5).alias(c) for i, c in enumerate(numeric)))
 
 
-STANDARD = J(f"round((s.{c} - m.a_{c}) / m.d_{c}, 5) AS {c}" for c in ("i1", "i2"))
-add("f13_onehot_standardised", _encoded, f"SELECT s.raw_event_id, CAST(m.kinds + 2 AS INT) AS places, 1e0 AS ones, {STANDARD} FROM split s, (SELECT count(DISTINCT c22) AS kinds, avg(i1) AS a_i1, stddev_samp(i1) AS d_i1, avg(i2) AS a_i2, stddev_samp(i2) AS d_i2 FROM split WHERE dataset_split = 'train') m WHERE s.dataset_split = 'train'")
+STANDARD = J(f"round((coalesce(s.{c}, 0) - m.a_{c}) / m.d_{c}, 5) AS {c}" for c in ("i1", "i2"))
+add("f13_onehot_standardised", _encoded, f"SELECT s.event_id AS raw_event_id, CAST(m.kinds + 2 AS INT) AS places, 1e0 AS ones, {STANDARD} FROM imp s, (SELECT count(DISTINCT coalesce(c22, 'unknown')) AS kinds, avg(coalesce(i1, 0)) AS a_i1, stddev_pop(coalesce(i1, 0)) AS d_i1, avg(coalesce(i2, 0)) AS a_i2, stddev_pop(coalesce(i2, 0)) AS d_i2 FROM imp) m")
 
 
 def _bundle(f: Frames):
@@ -139,61 +140,73 @@ add("k2_stratified_sample", lambda f: sampling.nested_samples(f.imp.select("even
 
 
 # --- streaming ---
-def _inbox(f: Frames, parts: tuple[int, ...]) -> str:
-    inbox = f.path("inbox")
-    source = f.imp.select("batch_id", "label", *(F.col(c).alias(c.upper()) for c in NUMERIC), *(F.nullif(F.col(c), F.lit("")).alias(c.upper()) for c in CATEGORICAL))
-    for i, part in enumerate(parts):
-        source.where(F.col("batch_id") == part).drop("batch_id").coalesce(1).write.option("header", True).csv(f"{inbox}/{i}")
-    return inbox
+def _batch_of(f: Frames, path: str):
+    from adloom.streaming import intake
+
+    return f.spark.read.schema(intake.source_schema()).option("header", True).csv(path).select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
 
 
 def _status_driven(f: Frames):
-    """The same content comes four times. The second is passed over, as the first is done; after that the first is marked as failed, so the third
-    is taken in; then that is archived, so the fourth is passed over."""
+    """The same content comes four times, and once more within the first micro-batch under the same file name in another folder. The second is passed over,
+    as the first is done; after that the first is marked as failed, so the third is taken in; then that is archived, so the fourth is passed over."""
     from adloom.streaming import intake
 
-    path, store = f"{_inbox(f, (1,))}/0", f.path("store")
-    batch = f.spark.read.schema(intake.source_schema()).option("header", True).csv(path).select("*", F.col("_metadata.file_name").alias("source_file"))
-    taken = [intake.process(batch, 0, store), intake.process(batch, 1, store)]
-    intake.set_status(f.spark, store, 0, "FAILED")
-    taken.append(intake.process(batch, 2, store))
-    intake.set_status(f.spark, store, 2, "ARCHIVED")
-    taken.append(intake.process(batch, 3, store))
-    rows = intake.registry(f.spark, f"{store}/registry").select("batch_id", "row_count", "batch_status")
-    return rows.withColumn("taken", F.lit("".join(map(str, taken))))
+    inbox, store = queries.inbox_of(f, {"a": 1}), f.path("store")
+    log = intake.log_of(f.spark, store)
+    file = f.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{inbox}/a").select("path").first()["path"]
+    log.copy(file, f"{inbox}/b")
+    first, again = _batch_of(f, f"{inbox}/*"), _batch_of(f, f"{inbox}/a")
+    taken = [intake.process(first, 0, store), intake.process(again, 1, store)]
+    intake.set_status(f.spark, store, 1, "FAILED")
+    taken.append(intake.process(again, 2, store))
+    intake.set_status(f.spark, store, 3, "ARCHIVED")
+    taken.append(intake.process(again, 3, store))
+    rows = intake.registry(f.spark, store).groupBy("batch_id", "batch_status").agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("files"))
+    staged = intake.table(f.spark, store, "staging").agg(F.count(F.lit(1)).alias("staged"))
+    return rows.withColumn("taken", F.lit("".join(map(str, taken)))).crossJoin(F.broadcast(staged))
 
 
-add("x2_status_driven_intake", _status_driven, "SELECT CAST(b AS BIGINT) AS batch_id, count(*) AS row_count, s AS batch_status, '1010' AS taken FROM imp, (VALUES (0, 'FAILED'), (2, 'ARCHIVED')) v(b, s) WHERE batch_id = 1 GROUP BY b, s")
+add("x2_status_driven_intake", _status_driven, "SELECT CAST(b AS BIGINT) AS batch_id, s AS batch_status, CAST(count(*) * files AS BIGINT) AS row_count, CAST(files AS BIGINT) AS files, '1010' AS taken, count(*) AS staged FROM imp, (VALUES (1, 'FAILED', 2), (2, 'DUPLICATE', 1), (3, 'ARCHIVED', 1), (4, 'DUPLICATE', 1)) v(b, s, files) WHERE batch_id = 1 GROUP BY b, s, files")
 
 
 def _micro_batches(f: Frames):
-    """Staged rows of three files that came one by one: their ids are unique, and each batch has its days and marts."""
+    """Staged rows of three files that came one by one; then the last micro-batch comes again, after its commit and, as if that had been lost, before it.
+    Each row is there once, ids are unique, and each batch has its days and marts."""
     from adloom.streaming import intake
 
-    store = f.path("store")
-    intake.run(f.spark, f"{_inbox(f, (1, 2, 3))}/*", store, f.path("checkpoint")).awaitTermination()
-    staged = f.spark.read.parquet(f"{store}/staging")
-    ids = staged.agg(F.countDistinct("raw_event_id").alias("ids"), F.count(F.lit(1)).alias("row_count"), F.sum("click_count").alias("clicks"), F.countDistinct("batch_id").alias("batches"))
-    mart = f.spark.read.parquet(f"{store}/marts/event_day").agg(F.sum("impressions").alias("impressions"), F.count(F.lit(1)).alias("days"))
+    inbox, store = queries.inbox_of(f, {"1": 1, "2": 2, "3": 3}), f.path("store")
+    intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"))
+    last = intake.registry(f.spark, store).orderBy(F.desc("epoch")).first()
+    batch = f.spark.read.schema(intake.source_schema()).option("header", True).csv(last["source_path"]).withColumn("source_file", F.lit(last["source_file"])).withColumn("source_path", F.lit(last["source_path"]))
+    intake.process(batch, last["epoch"], store, last["query"])
+    intake.set_status(f.spark, store, last["batch_id"], "STARTED")
+    intake.process(batch, last["epoch"], store, last["query"])
+    staged = intake.table(f.spark, store, "staging")
+    ids = staged.agg(F.countDistinct("raw_event_id").alias("ids"), F.count(F.lit(1)).alias("row_count"), F.sum("click_count").alias("clicks"), F.countDistinct("batch_id").alias("batches"), F.max("batch_id").alias("last_batch"))
+    mart = intake.table(f.spark, store, "marts/event_day").agg(F.sum("impressions").alias("impressions"), F.count(F.lit(1)).alias("days"))
     return ids.crossJoin(F.broadcast(mart))
 
 
-add("x3_micro_batches", _micro_batches, "SELECT count(*) AS ids, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS clicks, count(DISTINCT batch_id) AS batches, count(*) AS impressions, CAST(sum(days) FILTER (WHERE first) AS BIGINT) AS days FROM (SELECT *, least(7, count(*) OVER (PARTITION BY batch_id)) AS days, row_number() OVER (PARTITION BY batch_id ORDER BY event_id) = 1 AS first FROM imp WHERE batch_id IN (1, 2, 3))")
+add("x3_micro_batches", _micro_batches, "SELECT count(*) AS ids, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS clicks, count(DISTINCT batch_id) AS batches, CAST(3 AS BIGINT) AS last_batch, count(*) AS impressions, CAST(sum(days) FILTER (WHERE first) AS BIGINT) AS days FROM (SELECT *, least(7, count(*) OVER (PARTITION BY batch_id)) AS days, row_number() OVER (PARTITION BY batch_id ORDER BY event_id) = 1 AS first FROM imp WHERE batch_id IN (1, 2, 3))")
 
 
 def _archived(f: Frames):
-    """Files of an inbox that archives: those of all micro-batches but the last have left it, and all rows are staged."""
+    """An inbox of four files, one of them a copy, that is archived: every file has left it, all are in the archive and the registry has their places,
+    and each content is staged once."""
     from adloom.streaming import intake
 
-    inbox, store, archive = _inbox(f, (1, 2, 3)), f.path("store"), f.path("archive")
-    f.spark.createDataFrame([(0,)], "x int").coalesce(1).write.parquet(archive)
-    intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"), archive).awaitTermination()
-    names = lambda path: f.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select(F.lit(1).alias("one"))
-    kept = names(inbox).unionByName(names(archive)).agg(F.count(F.lit(1)).alias("files"))
-    return kept.crossJoin(F.broadcast(f.spark.read.parquet(f"{store}/staging").agg(F.count(F.lit(1)).alias("row_count"))))
+    inbox, store, archive = queries.inbox_of(f, {"1": 1, "2": 2, "3": 3, "4": 2}), f.path("store"), f.path("archive")
+    intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"), archive)
+    intake.run(f.spark, f"{inbox}/*", store, f.path("checkpoint"), archive)  # an inbox that is empty now, and a new checkpoint
+    names = lambda path, name: f.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).agg(F.count(F.lit(1)).alias(name))
+    placed = intake.registry(f.spark, store).join(f.spark.read.format("binaryFile").load(archive).select(F.col("path").alias("archive_path")), "archive_path").agg(F.count(F.lit(1)).alias("placed"), F.count(F.when(F.col("batch_status") == "ARCHIVED", 1)).alias("archived"))
+    out = intake.table(f.spark, store, "staging").agg(F.count(F.lit(1)).alias("row_count"))
+    for one in (names(inbox, "in_inbox"), names(archive, "in_archive"), placed):
+        out = out.crossJoin(F.broadcast(one))
+    return out
 
 
-add("x4_archived_inbox", _archived, "SELECT count(DISTINCT batch_id) AS files, count(*) AS row_count FROM imp WHERE batch_id IN (1, 2, 3)")
+add("x4_archived_inbox", _archived, "SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS in_inbox, count(DISTINCT batch_id) + 1 AS in_archive, count(DISTINCT batch_id) + 1 AS placed, count(DISTINCT batch_id) AS archived FROM imp WHERE batch_id IN (1, 2, 3)")
 
 # --- reports on layers, listings and pages ---
 LAYERS = {"raw": ("imp", lambda f: f.imp), "staging": ("stg", lambda f: f.stg), "fact": ("fact", lambda f: f.fact), "dim_event_day": ("dday", lambda f: f.days), "numeric_bridge": ("long_n", lambda f: warehouse.unpivot(f.stg, NUMERIC, [])), "categorical_bridge": ("long_c", lambda f: warehouse.unpivot(f.stg, CATEGORICAL, []))}
