@@ -1,15 +1,16 @@
 """Ranked lexical search by NRA: sorted reads only, with a lower and an upper bound of each document's score.
 
-Index. Terms are counted in one pass over the texts; of each posting the impact (what the term adds to the document's score) is known
-once all texts are counted. Postings are sorted by term and falling impact and cut into blocks: block 0 holds the first DEPTH of a list, and each
-further one takes it GROWTH times as deep. Equal impacts are in one block. A histogram of impacts a term says where to cut, so no list is
-ever in one task: ranges of (block, term, impact) are. Only lists of terms that the queries have are laid out.
+Index. Terms are counted in one pass over the texts, and written with a row for each document. Counts over all documents give the terms' weights; then
+what each posting adds to its document's score, its impact, is known. The index is cut by documents: a shard holds some documents and,
+of each term that the queries have, the list of its postings among them in order of falling impact. Shards are built and searched where
+the counts are read, so no list is ever in one place and no posting is shuffled; each shard gives its best documents to each query, and those
+few are merged.
 
-Search. In round k block k of each list is read, for all queries at once. A document's lower bound is the sum of the impacts read; its
+Search. Lists of a query are read from their tops, all as deep, in steps. A document's lower bound is the sum of the impacts read; its
 upper bound adds, for each term not read, the impact that comes next in that term's list. Once what is still to come in all lists
-together is under the k-th lower bound, no new document can enter; from then on only postings of candidates, documents whose upper bound
-reaches that mark, are kept of what is read. A query ends when no document outside can pass or tie with those inside and their bounds
-are equal, so membership, ties and scores are all final; at the latest when its lists end.
+together is under the k-th lower bound, no new document can enter; from then on, of what is read only postings of candidates count, documents whose
+upper bound reaches that mark. It ends when no document outside can pass or tie with those inside and their bounds are equal, so
+membership, ties and scores are all final; at the latest when the lists end.
 
 Each row of the documents is ranked by itself, also rows that repeat a doc_id or a text, and rows without doc_id (which come last of equal scores); null
 and empty texts have no terms. Texts are counted whole. Rows of the queries that repeat an item_id are one query, rows without
@@ -28,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, drop, new_path, saved, shuffle_partitions, struct_of, task_of
+from adloom.llm.common import batch_of, saved, struct_of, task_of
 
-#: Postings of a list that block 0 holds, and how many times as deep each further block goes.
-DEPTH, GROWTH = 1024, 4
-#: Steps of the histogram of impacts; a step's postings stay together.
-STEPS = 200
+#: How deep a search first reads in each list, and how many times as deep in each further step.
+DEPTH, GROWTH = 256, 4
+#: Postings of a shard, but for the last document's.
+SHARD = 2_000_000
 #: Pairs of a query and a term that are searched together; more are searched in several passes over the texts.
 TOGETHER = 100_000
-#: Candidates that are broadcast; more are joined by a shuffle.
-FEW = 200_000
 #: Letters and digits of ASCII and all that isn't ASCII make terms; capitals of ASCII become small.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -66,9 +65,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """docs (doc_id, text). Returns (row, doc_id, n, term, tf): for each row and known term that it has how often it occurs, and a row with term -1
-    for each row with any term. n counts all terms of the row."""
-    sent, out = docs.sparkSession.sparkContext.broadcast(known), struct_of("row long, doc_id long, n long, term int, tf long")
+    """docs (doc_id, text). Returns (row, doc_id, n, terms, tf): of each row with any term how many terms it has, and how often it has the known ones."""
+    sent, out = docs.sparkSession.sparkContext.broadcast(known), struct_of("row long, doc_id long, n long, terms array<int>, tf array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("lexical")
@@ -81,105 +79,111 @@ def counted(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
                     continue
                 counts = Counter(own)
                 both = counts.keys() & known.keys()
-                at.append(np.full(len(both) + 1, i))
-                n.append(np.full(len(both) + 1, len(own)))
-                found += [-1, *(known[t] for t in both)]
-                tf += [0, *(counts[t] for t in both)]
-            if at:
-                at = np.concatenate(at)
-                yield batch_of({"row": b.column(0).take(pa.array(at)), "doc_id": b.column(1).take(pa.array(at)), "n": np.concatenate(n), "term": found, "tf": tf}, out)
+                at.append(i)
+                n.append(len(own))
+                found.append([known[t] for t in both])
+                tf.append([counts[t] for t in both])
+            yield batch_of({"row": b.column(0).take(pa.array(at, pa.int64())), "doc_id": b.column(1).take(pa.array(at, pa.int64())), "n": n, "terms": found, "tf": tf}, out)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
-class Index:
-    """The lists of the known terms, in blocks. next[t, k]: the largest impact in term t's list behind block k, 0 where there is none."""
-
-    def __init__(self, docs: DataFrame, known: dict[bytes, int]) -> None:
-        spark = docs.sparkSession
-        raw = saved(counted(docs, known), "counts")
-        sums = raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("l")).toPandas()  # a row a term
-        df = dict(zip(sums["term"].tolist(), sums["df"].tolist()))
-        n, length = df.pop(-1, 0), int(sums.loc[sums["term"] == -1, "l"].sum())
-        weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) for t, d in df.items()}
-        weights = spark.createDataFrame(list(weight.items()), "term int, w long")
-        self.blocks = 1
-        while DEPTH * GROWTH ** (self.blocks - 1) < n:
-            self.blocks += 1
-        m = F.lit(10) + F.expr(f"(90 * n * {n}L) div {max(1, length)}L")
-        rows = raw.join(F.broadcast(weights.where("w > 0")), "term").withColumn("m", m).withColumn("share", F.expr("(1000000000L * tf) div (1000 * tf + 8 * m)"))
-        rows = rows.withColumn("step", F.expr(f"share div {1_000_000 // STEPS}")).select("row", "doc_id", "term", "w", "share", "step")
-        steps = rows.groupBy("term", "step").agg(F.count(F.lit(1)).alias("n"), F.max("share").alias("most"), F.first("w").alias("w"))
-        above = F.coalesce(F.sum("n").over(Window.partitionBy("term").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        block = reduce(lambda a, b: a + b, (F.when(above >= DEPTH * GROWTH**k, 1).otherwise(0) for k in range(self.blocks - 1)), F.lit(0))
-        steps = steps.withColumn("block", block)
-        cuts = steps.groupBy("term").agg(F.first("w").alias("w"), *(F.min(F.when(F.col("block") <= k, F.col("step"))).alias(f"step{k}") for k in range(self.blocks)), *(F.coalesce(F.max(F.when(F.col("block") > k, F.col("most"))), F.lit(0)).alias(f"next{k}") for k in range(self.blocks)))
-        cuts = saved(cuts, "cuts")
-        heads = cuts.toPandas()  # a row a term
-        self.next = np.zeros((len(known), self.blocks), np.int64)
-        for k in range(self.blocks):
-            self.next[heads["term"], k] = heads["w"] * heads[f"next{k}"]
-        below = reduce(lambda a, b: a + b, (F.when(F.col("step") < F.col(f"step{k}"), 1).otherwise(0) for k in range(self.blocks)), F.lit(0))
-        rows = rows.join(F.broadcast(cuts.drop("w")), "term").select(below.alias("block"), "term", (F.col("w") * F.col("share")).alias("impact"), "row", "doc_id").where("impact > 0")
-        order = [F.col("block"), F.col("term"), F.desc("impact")]
-        path = new_path(spark, "lists")
-        rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).write.partitionBy("block").parquet(path)
-        drop(raw)
-        self.lists = spark.read.schema("term int, impact long, row long, doc_id long, block int").parquet(path)
-
-
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    order = [F.desc("lower"), F.col("doc_id").asc_nulls_last(), F.col("row")]
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
-
-
-def _search(index: Index, pairs: list[tuple[int, int]], items: int, k: int) -> list[DataFrame]:
-    """pairs: query and term. Returns tables (item, rank, doc_id, lower) of the queries' k best."""
-    spark = index.lists.sparkSession
+class Shard:
+    """Documents and their lists. order: where a document stands among those of equal scores."""
+
+    def __init__(self, order: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, size: int) -> None:
+        by = np.lexsort((-impact, term))
+        self.order, self.doc, self.impact = order, doc[by], impact[by]
+        self.begin = np.searchsorted(term[by], np.arange(size + 1))
+
+    def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents of a query and their scores, best first."""
+        begin, end = self.begin[terms], self.begin[terms + 1]
+        n, depth, read = len(self.order), DEPTH, begin.copy()
+        candidate, doc, impact, which = None, [], [], []
+        while True:
+            to = np.minimum(begin + depth, end)
+            for j, (a, b) in enumerate(zip(read.tolist(), to.tolist())):
+                d, x = self.doc[a:b], self.impact[a:b]
+                if candidate is not None:
+                    d, x = d[candidate[d]], x[candidate[d]]
+                doc.append(d)
+                impact.append(x)
+                which.append(np.full(len(d), j))
+            read = to
+            coming = np.where(to < end, self.impact[np.minimum(to, len(self.impact) - 1)], 0) if len(self.impact) else np.zeros(len(terms), np.int64)
+            doc, impact, which = [np.concatenate(doc)], [np.concatenate(impact)], [np.concatenate(which)]
+            # Sums in doubles are exact: impacts are whole numbers under 2**36, and a query has under 2**17 terms.
+            lower = np.bincount(doc[0], impact[0], n).astype(np.int64)
+            upper = lower + int(coming.sum()) - np.bincount(doc[0], coming[which[0]], n).astype(np.int64)
+            met = np.flatnonzero(lower > 0)
+            bar = np.partition(lower[met], len(met) - k)[len(met) - k] if len(met) >= k else 0
+            best = met[lower[met] >= bar]
+            best = best[np.lexsort((self.order[best], -lower[best]))][:k]
+            last = self.order[best[-1]] if len(best) == k else n
+            inside = (lower > 0) & ((upper > bar) | ((upper == bar) & (self.order <= last)))
+            if not coming.any():
+                return best, lower[best]
+            if int(coming.sum()) < bar:
+                if int(inside.sum()) <= k and (upper[best] == lower[best]).all():
+                    return best, lower[best]
+                candidate = inside
+                kept = inside[doc[0]]
+                doc, impact, which = [doc[0][kept]], [impact[0][kept]], [which[0][kept]]
+            depth *= GROWTH
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for b in batches:
+        lists = b.column(3)
+        offsets = lists.offsets.to_numpy()
+        at = 0
+        while at < b.num_rows:
+            to = min(b.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SHARD - size, "right")) - 1))
+            held.append(b.slice(at, to - at))
+            size += int(offsets[to] - offsets[at])
+            at = to
+            if size >= SHARD or at < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _best(counts: DataFrame, pairs: list[tuple[int, int]], items: int, known: int, k: int) -> DataFrame:
+    """counts: of `counted`; pairs: query and term, by query. Returns (item, row, doc_id, score): the k best documents of each query in each shard."""
+    context = counts.sparkSession.sparkContext
+    total = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l")).first()
+    n, length = total["n"], max(1, total["l"])
+    df = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row a term
+    weight = np.zeros(known, np.int64)
+    for t, d in zip(df["term"].to_pylist(), df["df"].to_pylist()):
+        weight[t] = math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1)))
     item, term = (np.array(x, np.int64) for x in zip(*pairs))
-    unresolved, entry = np.ones(items, bool), np.ones(items, bool)  # not yet final; new documents can still enter
-    seen, candidates, done = None, None, []
-    for block in range(index.blocks):
-        coming = index.next[term, block]
-        rest = np.bincount(item, coming, items).astype(np.int64)
-        some = unresolved[item]
-        ahead = spark.createDataFrame(pa.table({"item": item[some].astype(np.int32), "term": term[some].astype(np.int32), "coming": coming[some], "entry": entry[item[some]]}))
-        read = index.lists.where(F.col("block") == block).drop("block")
-        fresh = read.join(F.broadcast(ahead.where("entry").select("item", "term")), "term").select("item", "row", "doc_id", "term", "impact")
-        if candidates is not None:
-            few = F.broadcast(candidates) if candidates.count() <= FEW else candidates
-            known = read.join(few, "row").join(F.broadcast(ahead.where("not entry").select("item", "term")), ["item", "term"])
-            fresh = fresh.unionByName(known.select(*fresh.columns)).unionByName(seen.join(few, ["item", "row"], "left_semi").select(*fresh.columns))
-        seen = saved(fresh, "seen")
-        own = seen.join(F.broadcast(ahead.select("item", "term", "coming")), ["item", "term"])
-        sums = own.groupBy("item", "row").agg(F.max("doc_id").alias("doc_id"), F.sum("impact").alias("lower"), F.sum(F.col("impact") - F.col("coming")).alias("more"))
-        bound = spark.createDataFrame(pa.table({"item": np.arange(items, dtype=np.int32), "rest": rest}))
-        scores = saved(sums.join(F.broadcast(bound), "item").select("item", "row", "doc_id", "lower", (F.col("rest") + F.col("more")).alias("upper")), "scores")
-        top = saved(_ranked(scores, k), "top")
-        state = top.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("lower", "doc_id", "row"), F.struct(-F.col("rank"))).alias("last"), F.max(F.col("upper") - F.col("lower")).alias("open")).collect()  # a row a query
-        bars, final = [(i, 0, LAST, LAST) for i in np.flatnonzero(unresolved).tolist()], np.ones(items, bool)
-        found = {r["item"]: r for r in state}
-        for at, (i, *_) in enumerate(bars):
-            r = found.get(i)
-            if r is not None and r["n"] == k:
-                doc = r["last"]["doc_id"]
-                bars[at] = (i, r["last"]["lower"], LAST if doc is None else doc, r["last"]["row"])
-            final[i] = r is None or r["open"] == 0
-            entry[i] = rest[i] > 0 and rest[i] >= bars[at][1]
-        bar = F.broadcast(spark.createDataFrame(bars, "item int, bar long, bar_doc long, bar_row long"))
-        doc = F.coalesce("doc_id", F.lit(LAST))
-        before = (doc < F.col("bar_doc")) | ((doc == F.col("bar_doc")) & (F.col("row") <= F.col("bar_row")))
-        inside = scores.join(bar, "item").where((F.col("upper") > F.col("bar")) | ((F.col("upper") == F.col("bar")) & before))
-        candidates = saved(inside.select("item", "row"), "candidates")
-        rivals = {r["item"]: r["count"] for r in candidates.groupBy("item").count().collect()}
-        over = np.array([unresolved[i] and (block == index.blocks - 1 or (final[i] and not entry[i] and rivals.get(i, 0) <= k)) for i in range(items)])
-        ended = spark.createDataFrame([(i,) for i in np.flatnonzero(over).tolist()], "item int")
-        done.append(top.join(F.broadcast(ended), "item").select("item", "rank", "doc_id", "lower"))
-        candidates = candidates.join(F.broadcast(ended), "item", "left_anti")
-        unresolved &= ~over
-        if not unresolved.any():
-            break
-    return done
+    queries = np.split(term, np.searchsorted(item, np.arange(1, items)))
+    sent, out = context.broadcast((weight, queries)), struct_of("item int, row long, doc_id long, score long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("lexical")
+        weight, queries = sent.value
+        for t in _shards(batches):
+            t = t.combine_chunks()
+            row, ids = t["row"].to_numpy(), t["doc_id"].fill_null(LAST).to_numpy()
+            order = np.empty(len(row), np.int64)
+            order[np.lexsort((row, ids))] = np.arange(len(row))
+            m = 10 + (90 * t["n"].to_numpy() * n) // length
+            lists = t["terms"].combine_chunks()
+            doc = np.repeat(np.arange(len(row)), lists.value_lengths().to_numpy())
+            terms, tf = lists.flatten().to_numpy().astype(np.int64), t["tf"].combine_chunks().flatten().to_numpy()
+            impact = weight[terms] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[doc]))
+            some = impact > 0
+            shard = Shard(order, doc[some], terms[some], impact[some], len(weight))
+            found = [shard.search(q, k) for q in queries]
+            at = np.concatenate([d for d, _ in found])
+            yield batch_of({"item": np.repeat(np.arange(len(found)), [len(d) for d, _ in found]), "row": row[at], "doc_id": t["doc_id"].combine_chunks().take(pa.array(at)), "score": np.concatenate([s for _, s in found])}, out)
+
+    return counts.mapInArrow(run, out)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -192,18 +196,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     own = saved(query_terms(queries), "terms")
     passes = max(1, math.ceil(own.count() / TOGETHER))
-    schema = docs.select(F.lit(0).alias("rank"), F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("score")).schema
     results = []
     for p in range(passes):
         pairs = own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toArrow()  # about TOGETHER rows
         if not len(pairs):
             continue
         ids, words = pairs["item_id"].combine_chunks().dictionary_encode(), pairs["term"].combine_chunks().dictionary_encode()
-        index = Index(docs, {t: i for i, t in enumerate(words.dictionary.to_pylist())})
-        done = _search(index, list(zip(ids.indices.to_pylist(), words.indices.to_pylist())), len(ids.dictionary), k)
-        names = spark.createDataFrame(pa.table({"item": np.arange(len(ids.dictionary), dtype=np.int32), "item_id": ids.dictionary}))
-        found = reduce(DataFrame.unionByName, done).join(F.broadcast(names), "item")
-        results.append(found.select("item_id", F.col("rank").cast("int"), "doc_id", F.col("lower").alias("score")))
+        counts = saved(counted(docs, {t: i for i, t in enumerate(words.dictionary.to_pylist())}), "counts")
+        best = _best(counts, sorted(zip(ids.indices.to_pylist(), words.indices.to_pylist())), len(ids.dictionary), len(words.dictionary), k)
+        order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pa.table({"item": pa.array(np.arange(len(ids.dictionary)), pa.int32()), "item_id": ids.dictionary}))
+        results.append(best.join(F.broadcast(names), "item").select("item_id", F.col("rank").cast("int"), "doc_id", "score"))
     if not results:
-        return queries.select("item_id").limit(0).crossJoin(spark.createDataFrame([], schema))
+        return queries.limit(0).select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     return reduce(DataFrame.unionByName, results)
