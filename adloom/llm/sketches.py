@@ -209,7 +209,7 @@ def tiles(rows: DataFrame, across: bool, seed: int) -> DataFrame:
     keys = labels.groupBy("key").agg(F.sum("c").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.collect_list(F.when(large, own)).alias("large"), F.coalesce(F.sum(F.when(~large, F.col("c"))), F.lit(0)).alias("small"))
     # A label that is listed has over PIECE / 2 rows of the bucket, so the list is short beside it.
     keys = saved(keys.where("a < b").select("key", "n", F.col("n").alias("rows"), "small", F.when(F.col("n") > PIECE, F.col("large")).otherwise(F.array().cast(keys.schema["large"].dataType)).alias("large")), "tiles")
-    rows = join_counted(rows, keys, ["key"], rows.count())
+    rows = _joined(rows, keys, ["key"], rows)
     pools = F.ceil(F.when(F.size("large") > 0, F.col("small")).otherwise(F.col("rows")) / PIECE).cast("int")
     code = lambda label, sub: F.xxhash64(label, sub.cast("long"))
     none = F.lit(None).cast("long")
@@ -229,8 +229,8 @@ def tiles(rows: DataFrame, across: bool, seed: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
-    """rows (key, lo, hi, piece, node, label, n, s0 ..., refuted). Returns (u, v), u < v: distinct pairs to verify."""
-    group, out = ["key", "lo", "hi"], struct_of("u long, v long")
+    """rows (key, lo, hi, piece, node, label, n, s0 ..., refuted). Returns (key, u, v), u < v: pairs to verify, and the buckets that they are from."""
+    group, out = ["key", "lo", "hi"], struct_of("key long, u long, v long")
     rows = rows.select(*group, "piece", "node", "label", "n", *SKETCH, "refuted")
     rows = rows.repartition(shuffle_partitions(rows.sparkSession), *group).sortWithinPartitions(*group, "node")
 
@@ -253,7 +253,7 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
             refuted = np.flatnonzero(np.nan_to_num(some[a]) + np.nan_to_num(some[a + 1]) > 0)
             wrong = [k for k in refuted.tolist() if cols["node"][a[k]] in (lists[int(a[k]) + 1].as_py() or ()) or cols["node"][a[k] + 1] in (lists[int(a[k])].as_py() or ())]
             a = np.delete(a, wrong)
-            u, v = [cols["node"][a]], [cols["node"][a + 1]]
+            u, v, key = [cols["node"][a]], [cols["node"][a + 1]], [cols["key"][a]]
             for i, k in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
                 part = slice(i, i + k)
                 found = pairs_of(cols["node"][part], cols["label"][part], cols["n"][part], s[part], cols["piece"][part], lists.slice(i, k).to_pylist(), percent, more)
@@ -261,17 +261,32 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
                     x, y = cols["node"][part][np.array(found)].T
                     u.append(np.minimum(x, y))
                     v.append(np.maximum(x, y))
-            u, v = np.concatenate(u), np.concatenate(v)
+                    key.append(np.full(len(x), cols["key"][i]))
+            u, v, key = np.concatenate(u), np.concatenate(v), np.concatenate(key)
             if len(u):
-                yield batch_of({"u": u, "v": v}, out)
+                yield batch_of({"key": key, "u": u, "v": v}, out)
 
-    return rows.mapInArrow(run, out).distinct()
+    return rows.mapInArrow(run, out)
 
 
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def _joined(big: DataFrame, small: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
+    """big with small (keys, n, ...), in which each key is once and n counts its rows in `rows`: by a broadcast if small is short."""
+    return big.join(F.broadcast(small.drop("n")), keys) if small.count() <= FEW else join_counted(big, small, keys, rows.count())
+
+
+def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """pairs (u, v), own (node, hashes). Returns (u, v, link): whether the whole sets have that similarity. The sets go to the pairs of their first nodes where they
+    are, if these are few; then each pair brings one set to the other."""
+    left = own.select(F.col("node").alias("u"), F.col("hashes").alias("a")).join(_few(pairs), "u")
+    right = own.join(_few(pairs.select(F.col("v").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    both = left.join(right, "v").select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("total"))
+    return both.select("u", "v", (F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).alias("link")).distinct()
+
+
 def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text). Returns (doc_id, n_shingles, component_id): component_id is the least doc_id that can be reached over links; two rows link
     if their sets of shingles have a Jaccard similarity of `percent` or more."""
@@ -280,10 +295,10 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
     classes = saved(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     met = classes.select("node", F.explode("keys").alias("key"))
     keys = saved(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    buckets = saved(join_counted(met, keys, ["key"], keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("key", "node"), "buckets")
+    buckets = saved(_joined(met, keys, ["key"], met).select("key", "node"), "buckets")
     ends = saved(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2", "n", *SKETCH), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_few(ends.select("rep").distinct()), "rep", "left_semi")
-    own = saved(members(texts, shingle).join(_few(ends.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "hashes").dropDuplicates(["node"]), "members")
+    own = saved(members(texts, shingle).join(_few(ends.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "hashes"), "members")
     hot = keys.where(F.col("n") > PIECE).limit(1).count() > 0
 
     links, refuted, roots, turn = None, None, None, 0
@@ -291,27 +306,27 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
         across = turn > 1 or not hot
         rows = buckets
         if roots is not None:
-            rows = rows.join(roots.withColumnRenamed("root", "label"), "node", "left")
+            rows = rows.join(_few(roots.withColumnRenamed("root", "label")), "node", "left")
             rows = rows.withColumn("label", F.coalesce("label", "node"))
         else:
             rows = rows.withColumn("label", F.col("node"))
-        rows = tiles(rows.select("key", "node", "label"), across, turn).join(ends.select("node", F.col("n").alias("size"), *SKETCH), "node")
+        rows = tiles(rows.select("key", "node", "label"), across, turn).join(_few(ends.select("node", F.col("n").alias("size"), *SKETCH)), "node")
         rows = rows.withColumnRenamed("size", "n")
         if refuted is None:
             rows = rows.withColumn("refuted", F.lit(None).cast("array<long>"))
         else:
-            rows = rows.join(refuted.groupBy(F.col("v").alias("node")).agg(F.collect_list("u").alias("refuted")), "node", "left")
-        more = 0 if turn < 2 else 4 ** (turn - 1)
-        pairs = saved(candidates(rows, percent, more), "pairs")
+            rows = rows.join(_few(refuted.groupBy(F.col("v").alias("node")).agg(F.collect_list("u").alias("refuted"))), "node", "left")
+        found_pairs = saved(candidates(rows, percent, 4 ** (turn + 1) if turn else 0), "pairs")
+        pairs = saved(found_pairs.select("u", "v").distinct(), "distinct")
         n = pairs.count()
         turn += 1
         if not n and across:
             break
+        if across:  # a bucket without such pairs won't have any later
+            buckets = saved(buckets.join(_few(found_pairs.select("key").distinct()), "key", "left_semi"), "buckets")
         if not n:
             continue
-        both = pairs.join(own.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").join(own.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-        both = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("total"))
-        checked = saved(both.select("u", "v", (F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).alias("link")), "checked")
+        checked = saved(verified(pairs, own, percent), "checked")
         links = checked.where("link") if links is None else links.unionByName(checked.where("link"))
         refuted = checked.where("not link") if refuted is None else refuted.unionByName(checked.where("not link"))
         roots = saved(components(links.select("u", "v")), "roots")
