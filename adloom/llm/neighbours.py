@@ -7,6 +7,9 @@ vector; it looks at some of them only, and goes on until the nearest cell beyond
 centroids of its posting lists, about LIST vectors each, in the same way from a bounded sample of its own. A vector is put into the list of
 its nearest centroid, and also into those of further centroids that are about as near (boundary vectors), in its own cell and in
 neighbouring ones. A query searches the lists whose centroid's distance is within a ratio of the nearest one's.
+Both ratios are chosen on the sample: that of copies so that about SHARE of the vectors get one, that of the search so that a share
+TARGET of the sample's own nearest neighbours is in the lists searched: as many of them as the k nearest of the table should have in the
+sample, one at least.
 Queries meet lists block by block: a list is cut into blocks of bounded size, each block gives its own nearest rows to each
 query, and these few rows are merged.
 
@@ -29,14 +32,18 @@ from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of, wh
 
 #: Vectors that the cells are learned from, and those that the lists of one cell are, at most about; and bytes of such a sample.
 SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
-#: Vectors to a list and lists to a cell, on average, and cells at most; with more vectors cells have more lists.
-LIST, SPLIT, CELLS = 256, 4, 2_500
+#: Vectors to a list, on average, and cells at most. While there are no more lists than cells each cell is a list; with more vectors
+#: cells have more lists.
+LIST, CELLS = 64, 1_250
+#: Times that centroids are moved to the means of what is nearest to them, after the halving.
+MOVES = 4
 #: Rows of a cell, rows of a block of a list, and queries to it that are handled together.
 PIECE, BLOCK, CUT = 4_096, 1_024, 8_192
-#: Lists of its own cell and cells that a vector is put into at most, and how much farther than the nearest they may be.
-COPIES, COPY_RATIO = 2, 1.1
-#: How much farther than the nearest cell and list others may be that a query searches.
-SEARCH_RATIO = 1.12
+#: Lists of its own cell and cells that a vector is put into at most, how much farther than the nearest they may be at most, and the share
+#: of vectors that should get a copy.
+COPIES, COPY_RATIO, SHARE = 2, 1.1, 0.1
+#: Vectors of the sample that are asked to choose the search's ratios, and the shares of their neighbours that must be in the cells and lists.
+ASKED, IN_CELLS, TARGET = 512, 0.99, 0.94
 #: Links of a centroid, and candidates that a search of the graph holds at first; it holds twice as many while all are within the ratio.
 LINKS, BEAM = 24, 16
 
@@ -62,7 +69,14 @@ def _halves(x: np.ndarray, rows: np.ndarray, cell: int, rng: np.random.Generator
 def centroids(sample: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
     """The means of about that many equal parts of a sample of at least one row."""
     size = max(1, -(-len(sample) // max(1, parts)))
-    return np.array([sample[p].mean(axis=0) for p in _halves(sample, np.arange(len(sample)), size, np.random.default_rng(seed))], np.float32)
+    centre = np.array([sample[p].mean(axis=0) for p in _halves(sample, np.arange(len(sample)), size, np.random.default_rng(seed))], np.float32)
+    for _ in range(MOVES if len(centre) > 1 else 0):
+        norm = (centre**2).sum(axis=1)
+        near = np.concatenate([(norm - 2 * (sample[at : at + 2048] @ centre.T)).argmin(axis=1) for at in range(0, len(sample), 2048)])
+        order = np.argsort(near, kind="stable")
+        begin = np.flatnonzero(np.append(True, near[order][1:] != near[order][:-1]))
+        centre[near[order][begin]] = np.add.reduceat(sample[order], begin, axis=0) / np.diff(np.append(begin, len(order)))[:, None]
+    return centre
 
 
 class Graph:
@@ -229,7 +243,7 @@ def _leaves(placed: DataFrame, dim: int) -> DataFrame:
             cell, n, x = t.column("cell").to_numpy(), t.column("n").to_numpy(), _flat(t.column("v"), dim).astype(np.float32)
             starts = _groups(t, ["cell"])
             for s, e in zip(starts, starts[1:]):
-                centre = centroids(x[s:e], -(-int(n[s]) // LIST)).astype(np.float64)
+                centre = centroids(x[s:e], max(1, int(n[s]) // LIST) if int(n[s]) > 3 * LIST else 1).astype(np.float64)
                 yield batch_of({"cell": np.full(len(centre), cell[s]), "leaf": np.arange(len(centre)), "v": list(centre)}, out)
 
     return saved(sample.mapInArrow(run, out), "leaves")
@@ -272,6 +286,53 @@ def _listed(placed: DataFrame, leaves: DataFrame, dim: int, ratio: float, copies
     return met.mapInArrow(run, out)
 
 
+def _pruned(listed: DataFrame, ratio: float) -> DataFrame:
+    """Of (id, list, d, v) the rows whose d is within the ratio of their vector's least."""
+    hashed = listed.withColumn("h", F.xxhash64("v"))
+    least = hashed.groupBy("id", "h").agg(F.min("d").alias("least"))
+    return hashed.join(least, ["id", "h"]).where(F.col("d") <= ratio * F.col("least")).select("id", "list", "v")
+
+
+def _tuned(sample: np.ndarray, graph: Graph, placing: Callable[[DataFrame], DataFrame], leaves: DataFrame, k: int, of: int) -> tuple[float, float, float]:
+    """The ratios for copies, for cells and for lists. sample has SAMPLE rows at most, and so have what is collected here: their lists, a few
+    each, and these lists' centroids."""
+    spark, n = leaves.sparkSession, len(sample)
+    listed = placing(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(sample), pa.list_(pa.float64()))}))).select("id", "list", "d").toPandas().sort_values(["id", "d"])
+    first = listed.groupby("id")["d"].min()
+    listed["ratio"] = listed["d"] / np.maximum(listed["id"].map(first), 1e-300)
+    second = listed[listed.groupby("id").cumcount() == 1]["ratio"].to_numpy()
+    all_second = np.sort(np.append(second, np.full(n - len(second), np.inf)))
+    copy = float(min(COPY_RATIO, max(1.0, all_second[int(SHARE * (n - 1))])))
+    listed = listed[listed["ratio"] <= copy]
+    used = spark.createDataFrame(pa.table({"list": listed["list"].unique()}))
+    there = leaves.withColumn("list", F.col("cell") * (1 << 32) + F.col("leaf")).join(F.broadcast(used), "list").select("list", "v").toArrow()
+    number = {x: i for i, x in enumerate(there["list"].to_pylist())}
+    centre = _flat(there["v"], sample.shape[1])
+    # Vectors that centroids were learned from are nearer to them than others: as large a share of them is asked as the table has.
+    apart = min(ASKED, n // 5)
+    fresh = max(1, round(apart * (1 - (n - apart) / of)))
+    asked = np.append(np.arange(fresh), np.arange(apart, min(n, apart + max(1, apart - fresh))))
+    gap = lambda x, y: np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x @ y.T), 0))
+    d = gap(sample[asked], sample)
+    d[np.arange(len(asked)), asked] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(max(1, round(k * n / of)), max(1, n - 1))]  # of so many rows these are among the k nearest
+    own = [[number[x] for x in g] for _, g in listed.groupby("id")["list"]]
+    if len(own) < n or n < 2:
+        return copy, 1.5, 1.5
+    to_list, home = gap(sample[asked], centre), np.maximum(first.to_numpy()[asked], 1e-300)
+    cell = np.array([x >> 32 for x in there["list"].to_pylist()])
+    to_cell = gap(sample[asked], graph.centre.astype(np.float64))
+    lists, cells = [], []
+    for q in range(len(asked)):
+        for j in near[q].tolist():
+            best_list = min(own[j], key=lambda x: to_list[q, x])
+            lists.append(to_list[q, best_list] / home[q])
+            cells.append(to_cell[q, cell[best_list]] / max(to_cell[q].min(), 1e-300))
+    ratio = max(1.0, float(np.quantile(lists, TARGET)))
+    in_cells = float(np.quantile([c for c, x in zip(cells, lists) if x <= ratio] or [1.5], IN_CELLS))
+    return copy, min(max(1.0, in_cells), 1.25 * ratio), ratio
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """What `nearest` returns, and (query_id, lists, scanned): how many lists each query searches and how many rows, copies too, these hold."""
     spark = rows.sparkSession
@@ -287,15 +348,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame,
     sample = valid.select("embedding").where(F.pmod(F.xxhash64("embedding"), F.lit(max(1, n // limit))) == 0).distinct().orderBy(F.xxhash64(F.lit(1), "embedding")).limit(limit).toArrow()
     if not sample.num_rows:
         sample = valid.select("embedding").limit(1).toArrow()
-    graph = spark.sparkContext.broadcast(Graph(centroids(_flat(sample.column(0), dim).astype(np.float32), min(CELLS, n // (LIST * SPLIT)))))
+    drawn = _flat(sample.column(0), dim)
+    learned = drawn[min(ASKED, len(drawn) // 5) :]
+    graph = spark.sparkContext.broadcast(Graph(centroids(learned.astype(np.float32), min(CELLS, n // LIST))))
 
-    placed = saved(_celled(valid, dim, lambda x: graph.value.within(x, COPY_RATIO, COPIES)), "placed")
+    celled = lambda df: _celled(df, dim, lambda x: graph.value.within(x, COPY_RATIO, COPIES))
+    placed = saved(celled(valid), "placed")
     leaves = _leaves(placed, dim)
-    posted = saved(_listed(placed, leaves, dim, COPY_RATIO, COPIES).drop("d"), "postings")
-    asked = saved(_celled(usable(queries).where(F.size("embedding") == dim), dim, lambda x: graph.value.within(x, SEARCH_RATIO)), "queries")
-    asked = saved(_listed(asked, leaves, dim, SEARCH_RATIO, None), "asked")
-    least = asked.groupBy("id", F.xxhash64("v").alias("h")).agg(F.min("d").alias("least"))
-    asked = saved(asked.withColumn("h", F.xxhash64("v")).join(least, ["id", "h"]).where(F.col("d") <= SEARCH_RATIO * F.col("least")).select("id", "list", "v"), "pruned")
+    copy, cell_ratio, ratio = _tuned(drawn, graph.value, lambda df: _listed(saved(celled(df), "sample"), leaves, dim, COPY_RATIO, COPIES), leaves, k, n)
+    posted = saved(_pruned(saved(_listed(placed, leaves, dim, COPY_RATIO, COPIES), "listed"), copy), "postings")
+    asked = saved(_celled(usable(queries).where(F.size("embedding") == dim), dim, lambda x: graph.value.within(x, cell_ratio)), "queries")
+    asked = saved(_listed(asked, leaves, dim, float("inf"), None), "asked")
+    asked = saved(_pruned(asked, ratio), "pruned")
 
     blocks = saved(posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "blocks")
     cuts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CUT).cast("long").alias("cuts"))
