@@ -7,7 +7,7 @@ anew. A pair that a merge creates may have a lower rank than the merge itself (v
 token was built); such a rank is then next, as it is in a word-by-word encoder.
 
 Words are the matches of the pattern; encoded words are kept between batches in a memory of bounded size, so each worker replays the
-words of all its tasks about once. (One replay for the whole corpus would send every occurrence of a word through a shuffle to meet
+words of all its tasks about once. Long words cost as many bytes as they have, so the memory is bounded in bytes, whatever the words. (One replay for the whole corpus would send every occurrence of a word through a shuffle to meet
 its ids; see the README for what that costs.) Null and empty texts have no tokens, repeated rows are encoded each for itself. Special
 tokens are never produced. Columns besides those named are ignored.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from struct import pack
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from adloom.llm.common import task_of
 
-#: Encoded words kept by a worker; beyond that it starts anew.
-MEMORY = 400_000
+#: Bytes of encoded words that a worker keeps; beyond that it starts anew. Bytes of words that are replayed at once; a longer word is alone.
+MEMORY, REPLAY = 100 << 20, 1 << 19
 #: Rows of a batch that are handled together.
 ROWS = 1024
 
@@ -62,17 +63,19 @@ class Vocabulary:
         whole = [self.ranks.get(w) for w in words]
         after, single = self.after, self.single
         # All words one after another: ids, the neighbours of each position, and behind the last an id that pairs with nothing.
-        ids: list[int] = []
+        # Of words with many bytes the numbers are held in arrays, 12 bytes each; lists are faster while they are short.
+        long = sum(map(len, words)) > 2 * REPLAY
+        ids = array("i") if long else []
         spans: list[tuple[int, int]] = []
         index: dict[int, list[int]] = {}
         for w, r in zip(words, whole):
             start = len(ids)
             if r is None:
-                ids += [single[c] for c in w]
+                ids.extend(single[c] for c in w) if long else ids.extend([single[c] for c in w])
             spans.append((start, len(ids)))
         total = len(ids)
         ids.append(-1)
-        right, left = list(range(1, total + 2)), list(range(-1, total))
+        right, left = (array("i", x) if long else list(x) for x in (range(1, total + 2), range(-1, total)))
         for start, end in spans:
             if start == end:
                 continue
@@ -130,6 +133,7 @@ class Encoder:
             raise ValueError(f"{path} lacks single bytes")
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.size = 0
         size = max(self.words.token) + 1
         self.table = [self.words.token.get(i) for i in range(size)]
 
@@ -147,14 +151,19 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.find(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(new) + len(self.known) > MEMORY:
+        if self.size > MEMORY:
             self.known.clear()
-            new = set().union(*split)
-        if new:
-            order = list(new)
-            for w, ids in zip(order, self.words.encode([w.encode() for w in order])):
+            self.size = 0
+        order, at = list(set().union(*split).difference(self.known)), 0
+        while at < len(order):
+            to, size = at, 0
+            while to < len(order) and (to == at or size + 4 * len(order[to]) <= REPLAY):
+                size += 4 * len(order[to])
+                to += 1
+            some, at = order[at:to], to
+            for w, ids in zip(some, self.words.encode([w.encode() for w in some])):
                 self.known[w] = pack(f"<{len(ids)}I", *ids)
+                self.size += 200 + 4 * (len(w) + len(ids))
         get = self.known.__getitem__
         for i, words in enumerate(split):
             split[i] = []
