@@ -34,8 +34,8 @@ from adloom.llm.common import batch_of, saved, struct_of, task_of
 FILLINGS, NODES = 400, 20_000
 #: Sequences at the end of the plan that branch and bound may do over.
 TAIL = 24
-#: Encoded words kept by a worker, some 200 bytes each; beyond that it starts anew.
-MEMORY = 1_000_000
+#: Bytes of encoded words that a worker keeps, about a million words; beyond that it starts anew.
+MEMORY = 240 << 20
 #: A comma or full stop that ends a word of ASCII letters: the two are encoded apart.
 STOP = re.compile(r"([a-z])([,.])(?=[ \n])")
 #: White space to str.split(), but part of a word to the tokenizer.
@@ -61,6 +61,7 @@ class WordEncoder:
             raise ValueError(f"{path} doesn't encode lower-cased words one by one")
         self.special = re.compile("|".join(re.escape(x.content.lower()) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.find = re.compile(r"[^ \n\r\t]+").findall
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -114,16 +115,16 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [self.find(t) if SEPARATORS.search(t) else STOP.sub(r"\1 \2", t).split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(new) + len(self.known) > MEMORY:
+        if self.size > MEMORY:
             self.known.clear()
-            new = words
+            self.size = 0
+        new = set().union(*split).difference(self.known)
         parts = {w: self.base(w) for w in new}
         self._learn(list({*parts.values(), ",", "."}.difference(self.known)))
         for word, base in parts.items():
             if word not in self.known:
                 self.known[word] = self.known[base] + (self.known[word[-1]] if len(word) > len(base) else b"")
+        self.size += 160 * len(new) + 8 * sum(map(len, new)) + sum(len(self.known[w]) for w in new)
         get = self.known.__getitem__
         for i, own in enumerate(split):
             split[i] = []
