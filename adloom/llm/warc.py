@@ -161,17 +161,19 @@ class Plain:
 
     def head(self) -> bytes | None:
         """All up to an empty line, which is passed over; null at the end of the file."""
-        found, start = b"", self.at
+        found, start, looked, size = bytearray(), self.at, 0, 1024
         self.f.seek(start)
-        while (cut := found.find(b"\r\n\r\n")) < 0:
-            more = self.f.read(1024)
+        while (cut := found.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(found) - 3)
+            more = self.f.read(size)
+            size = min(2 * size, 1 << 24)
             if not more:
                 if found.strip():
                     raise ValueError(f"a record at {start} has no end of headers")
                 return None
             found += more
         self.at = start + cut + 4
-        return found[:cut]
+        return bytes(found[:cut])
 
     def take(self, n: int) -> bytes:
         self.f.seek(self.at)
@@ -201,13 +203,16 @@ class Inflated:
                 return True
 
     def head(self) -> bytes | None:
-        while (cut := self.held.find(b"\r\n\r\n")) < 0:
+        held, looked = bytearray(self.held), 0
+        while (cut := held.find(b"\r\n\r\n", looked)) < 0:
+            looked, self.held = max(0, len(held) - 3), b""
             if not self._more():
-                if self.held.strip():
+                if held.strip():
                     raise ValueError("the last record has no end of headers")
                 return None
-        found, self.held = self.held[:cut], self.held[cut + 4 :]
-        return found
+            held += self.held
+        self.held = bytes(held[cut + 4 :])
+        return bytes(held[:cut])
 
     def take(self, n: int) -> bytes:
         parts, left = [], n
