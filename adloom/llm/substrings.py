@@ -10,10 +10,10 @@ least digest of some STEP in a row: whatever the text around it, any WINDOW + ST
 leave no word between them out. Of a repeated passage less than STEP words stay at each end, and only where no repeated sentence or
 line covers them. The offsets of all that is removed, in code points of the original text, are kept beside the text.
 
-Null texts stay null, with no spans; empty texts stay empty. Rows without doc_id rank last, in the order of a hash of their text, each
-text a document by itself. Rows that repeat a doc_id, and rows without one that repeat a text, count as one document: units that they
-share with each other are not repeats. Repeats within one text are. Other columns pass through unchanged. A column named
-`removed` in the input is replaced.
+Null texts stay null, with no spans; empty texts stay empty. Rows without doc_id rank last, each a document by itself, also where they
+repeat a text. Rows that repeat a doc_id count as one document: units that they share with each other are not repeats. Repeats of lines
+and sentences within one text are; of a window that only one text has, nothing is cut. Other columns pass through unchanged. A column
+named `removed` in the input is replaced.
 """
 
 from __future__ import annotations
@@ -163,8 +163,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     occurrences are found by a broadcast of the hot digests, fewer than HOT; those of all others by a join in which each key has at
     most one of HOT rows. What is collected for a document are its own repeated digests.
     """
-    text_hash = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2)
-    rank = F.coalesce(F.col("doc_id").cast("long"), text_hash + F.lit(1 << 62))
+    rest = [c for c in docs.columns if c not in ("text", "removed")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string"), F.col("doc_id").cast("long").alias("doc"))
+    nameless = rows.where("doc is null")
+    if not nameless.isEmpty():  # these are written once, so that their ranks are the same whenever they are read
+        nameless = saved(nameless.withColumn("doc", F.lit(1 << 62) + F.monotonically_increasing_id()), "nameless")
+        rows = rows.where("doc is not null").unionByName(nameless)
     out = struct_of("doc bigint, h1 bigint, h2 bigint")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +195,15 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         h = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
         return batch_of({"doc": doc[rows], "h1": h[:, 0].copy(), "h2": h[:, 1].copy()}, out)
 
-    found = saved(docs.select(rank.alias("doc"), F.col("text").cast("string")).where("text is not null").mapInArrow(digests, out), "units")
-    rows = found.count()
+    found = saved(rows.select("doc", "text").where("text is not null").mapInArrow(digests, out), "units")
+    total = found.count()
     shared = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = saved(shared.where("first < last").select("h1", "h2", "first", "n"), "shared")
-    later = join_counted(found, shared, ["h1", "h2"], rows, HOT)
+    later = join_counted(found, shared, ["h1", "h2"], total, HOT)
     later = later.where("doc > first").select("doc", "h1", "h2")
     later = later.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("repeated"))
 
-    rest = [c for c in docs.columns if c not in ("text", "removed")]
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("text").cast("string"), rank.alias("doc"))
-    joined = own.join(later, "doc", "left").select("rest", "text", "repeated")
+    joined = rows.join(later, "doc", "left").select("rest", "text", "repeated")
     schema = T.StructType([*joined.schema["rest"].dataType.fields, joined.schema["text"], T.StructField("removed", SPAN)])
     arrow = to_arrow_schema(schema)
 
