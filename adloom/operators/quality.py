@@ -1,13 +1,21 @@
-"""Data-quality checks: one row of metrics a layer, turned into result rows, and reports over the results."""
+"""Data-quality checks: one row of metrics a layer, turned into result rows, and reports over the results.
+
+A layer's metrics are aggregates of its rows. They can be taken from a table that is there (`raw_checks` and its like), or while it is being
+written (`Observer`), so that a run of all checks reads no layer again. Whether ids are unique takes a shuffle of the ids alone, of all layers at once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from datetime import date, datetime
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import SPARSE
 from adloom.operators.tables import latest
+from adloom.sources.work import saved
 
 COLUMNS = ["layer_name", "table_name", "check_name", "check_type", "severity", "check_status", "actual_value", "expected_value", "threshold_value", "check_message"]
 RAW, STAGING, FACT, STORE = "raw.ad_events", "staging.stg_ad_events", "warehouse.fact_ad_events", "feature_store.ctr_training_features"
@@ -48,8 +56,54 @@ def _rate(c: str) -> Column:
     return F.col(c).between(0, 1)
 
 
+def duplicates(layers: dict[str, DataFrame], key: str = "raw_event_id") -> DataFrame:
+    """One row: of each layer how many keys it has more than once. One shuffle of the keys of all layers."""
+    both = None
+    for name, df in layers.items():
+        own = df.select(key, *(F.lit(int(name == n)).alias(n) for n in layers))
+        both = own if both is None else both.unionByName(own)
+    return both.groupBy(key).agg(*(F.sum(n).alias(n) for n in layers)).agg(*(F.count_if(F.col(n) > 1).alias(n) for n in layers))
+
+
+class Observer:
+    """Writes tables and keeps what was seen of their rows meanwhile."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, name: str, metrics: list[Column]) -> DataFrame:
+        """df, whose metrics are known when it has been computed."""
+        self._seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self._seen[name], *metrics)
+
+    def write(self, df: DataFrame, name: str, metrics: list[Column]) -> DataFrame:
+        return saved(self.watch(df, name, metrics), name)
+
+    def has(self, name: str) -> bool:
+        return name in self._seen
+
+    def row(self, spark: SparkSession, values: dict[str, tuple[str, str]]) -> DataFrame:
+        """One row of metrics: column to (table, metric)."""
+        return constants(spark, {c: self._seen[t].get[m] for c, (t, m) in values.items()})
+
+    def of(self, spark: SparkSession, name: str) -> DataFrame:
+        return constants(spark, self._seen[name].get)
+
+
+def constants(spark: SparkSession, values: dict) -> DataFrame:
+    """One row of values; one that isn't known counts as a double."""
+    return spark.range(1).select(*((F.lit(v) if isinstance(v, (str, bool, int, float, date, datetime, list)) else F.lit(None if v is None else float(v)).cast("double")).alias(c) for c, v in values.items()))
+
+
+def raw_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(~F.col("label").isin(0, 1), F.lit(True))).alias("labels"), F.count_if(F.col("source_file").isNull()).alias("files"), F.count_if(F.col("ingested_at").isNull()).alias("times")]
+
+
 def raw_checks(raw: DataFrame) -> DataFrame:
-    m = raw.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(~F.col("label").isin(0, 1), F.lit(True))).alias("labels"), F.count_if(F.col("source_file").isNull()).alias("files"), F.count_if(F.col("ingested_at").isNull()).alias("times"))
+    return raw_results(raw.agg(*raw_metrics()))
+
+
+def raw_results(m: DataFrame) -> DataFrame:
     return _rows(
         m,
         _check("raw", RAW, "raw row count greater than zero", "row_count", F.col("n") > 0, F.col("n"), "> 0", "Raw layer should contain rows after ingestion."),
@@ -59,9 +113,16 @@ def raw_checks(raw: DataFrame) -> DataFrame:
     )
 
 
+def staging_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *(F.count_if(~F.col(c).isin(0, 1)).alias(c) for c in ("click_flag", "click_count")), F.count_if(F.col("impression_count") != 1).alias("impressions")]
+
+
 def staging_checks(raw: DataFrame, staged: DataFrame) -> DataFrame:
-    m = staged.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(~F.col(c).isin(0, 1)).alias(c) for c in ("click_flag", "click_count")), F.count_if(F.col("impression_count") != 1).alias("impressions"))
-    m = _beside(m, _count(raw, "raw_n"), _duplicates(staged, "raw_event_id"))
+    return staging_results(_beside(staged.agg(*staging_metrics()), _count(raw, "raw_n"), _duplicates(staged, "raw_event_id")))
+
+
+def staging_results(m: DataFrame) -> DataFrame:
+    """m: staging_metrics, raw_n, duplicate_groups."""
     return _rows(
         m,
         _check("staging", STAGING, "row count parity with raw", "consistency", F.col("n") == F.col("raw_n"), F.col("n"), F.col("raw_n"), "Staging row count should match raw row count."),
@@ -77,10 +138,17 @@ def thresholds(spark, values: dict[str, tuple[float, float]] = SPARSE) -> DataFr
     return spark.createDataFrame([(c, *v) for c, v in values.items()], "column_name string, warning_threshold double, error_threshold double")
 
 
+def sparsity_metrics() -> list[Column]:
+    return [F.round(F.avg((F.col(c) == "unknown").cast("int")), 6).alias(c) for c in SPARSE]
+
+
 def sparsity_checks(staged: DataFrame, limits: DataFrame) -> DataFrame:
     """The rate of `unknown` of each column with a threshold: PASS up to the warning, WARN up to the error threshold, else FAIL."""
+    return sparsity_results(staged.agg(*sparsity_metrics()), limits)
+
+
+def sparsity_results(rates: DataFrame, limits: DataFrame) -> DataFrame:
     columns = list(SPARSE)
-    rates = staged.agg(*(F.round(F.avg((F.col(c) == "unknown").cast("int")), 6).alias(c) for c in columns))
     rates = rates.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rate")) for c in columns))))
     j = rates.join(F.broadcast(limits), "column_name")
     status = F.when(F.col("rate") <= F.col("warning_threshold"), "PASS").when(F.col("rate") <= F.col("error_threshold"), "WARN").otherwise("FAIL")
@@ -89,9 +157,16 @@ def sparsity_checks(staged: DataFrame, limits: DataFrame) -> DataFrame:
     return j.select(*(v.alias(c) for v, c in zip(values, COLUMNS)))
 
 
+def fact_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_day_key").isNull()).alias("keys"), X.ratio(F.sum("click_count"), F.sum("impression_count")).alias("ctr")]
+
+
 def warehouse_checks(staged: DataFrame, fact: DataFrame) -> DataFrame:
-    m = fact.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_day_key").isNull()).alias("keys"), X.ratio(F.sum("click_count"), F.sum("impression_count")).alias("ctr"))
-    m = _beside(m, _count(staged, "staged_n"), _duplicates(fact, "raw_event_id"))
+    return warehouse_results(_beside(fact.agg(*fact_metrics()), _count(staged, "staged_n"), _duplicates(fact, "raw_event_id")))
+
+
+def warehouse_results(m: DataFrame) -> DataFrame:
+    """m: fact_metrics, staged_n, duplicate_groups."""
     return _rows(
         m,
         _check("warehouse", FACT, "row count parity with staging", "consistency", F.col("n") == F.col("staged_n"), F.col("n"), F.col("staged_n"), "Warehouse fact row count should match staging row count."),
@@ -101,32 +176,54 @@ def warehouse_checks(staged: DataFrame, fact: DataFrame) -> DataFrame:
     )
 
 
-def _populated(layer: str, table: str, name: str, tables: dict[str, DataFrame], expected: str, message: str) -> DataFrame:
-    m = _beside(*(_count(df, n) for n, df in tables.items()))
+def _populated(m: DataFrame, layer: str, table: str, name: str, tables: list[str], expected: str, message: str) -> DataFrame:
     said = F.concat(*(x for i, n in enumerate(tables) for x in (F.lit(f"{', ' * (i > 0)}{n}="), F.col(n).cast("string"))))
-    ok = F.least(*tables) > 0 if len(tables) > 1 else F.col(next(iter(tables))) > 0
+    ok = F.least(*tables) > 0 if len(tables) > 1 else F.col(tables[0]) > 0
     return _rows(m, _check(layer, table, name, "row_count", ok, said, expected, message))
 
 
+def mart_metrics(name: str) -> list[Column]:
+    """Of a mart or a ranked table."""
+    more = {"overall": [F.max("ctr").alias("ctr")], "event_day": [F.max("ctr").alias("ctr")], "rolling": [F.min("rolling_3_day_weighted_ctr").alias("low"), F.max("rolling_3_day_weighted_ctr").alias("high")]}
+    return [F.count(F.lit(1)).alias("n"), *more.get(name, [])]
+
+
 def marts_checks(marts: dict[str, DataFrame]) -> DataFrame:
     """marts: overall, event_day, numeric, feature, missing, interaction."""
-    rows = _populated("marts", "marts layer", "mart row counts greater than zero", marts, "all mart row counts > 0", "All primary mart objects should be populated.")
-    m = _beside(marts["overall"].agg(F.max("ctr").alias("overall")), marts["event_day"].agg(F.max("ctr").alias("day")))
-    said = F.concat(F.lit("overall="), F.format_string("%.6f", "overall"), F.lit(", max_event_day="), F.format_string("%.6f", "day"))
-    return rows.unionByName(_rows(m, _check("marts", "marts layer", "mart ctr values between 0 and 1", "range", _rate("overall") & _rate("day"), said, "0 to 1", "Mart CTR outputs must stay within valid probability bounds.")))
+    counts = _beside(*(_count(df, n) for n, df in marts.items()))
+    return marts_results(_beside(counts, marts["overall"].agg(F.max("ctr").alias("overall_ctr")), marts["event_day"].agg(F.max("ctr").alias("day_ctr"))), list(marts))
+
+
+def marts_results(m: DataFrame, marts: list[str]) -> DataFrame:
+    """m: the number of rows of each mart, overall_ctr, day_ctr."""
+    rows = _populated(m, "marts", "marts layer", "mart row counts greater than zero", marts, "all mart row counts > 0", "All primary mart objects should be populated.")
+    said = F.concat(F.lit("overall="), F.format_string("%.6f", "overall_ctr"), F.lit(", max_event_day="), F.format_string("%.6f", "day_ctr"))
+    return rows.unionByName(_rows(m, _check("marts", "marts layer", "mart ctr values between 0 and 1", "range", _rate("overall_ctr") & _rate("day_ctr"), said, "0 to 1", "Mart CTR outputs must stay within valid probability bounds.")))
 
 
 def advanced_checks(ranked: dict[str, DataFrame]) -> DataFrame:
     """ranked: feature_ranked, rolling, high_value, low_value, lift_ranked, interaction_ranked."""
-    rows = _populated("advanced_sql", "advanced sql layer", "advanced outputs populated", ranked, "all advanced outputs > 0", "All advanced SQL assets should be populated.")
-    m = ranked["rolling"].agg(F.min("rolling_3_day_weighted_ctr").alias("low"), F.max("rolling_3_day_weighted_ctr").alias("high"))
+    counts = _beside(*(_count(df, n) for n, df in ranked.items()))
+    return advanced_results(_beside(counts, ranked["rolling"].agg(*mart_metrics("rolling")[1:])), list(ranked))
+
+
+def advanced_results(m: DataFrame, ranked: list[str]) -> DataFrame:
+    """m: the number of rows of each table, low and high of the rolling rate."""
+    rows = _populated(m, "advanced_sql", "advanced sql layer", "advanced outputs populated", ranked, "all advanced outputs > 0", "All advanced SQL assets should be populated.")
     said = F.concat(F.lit("min="), F.format_string("%.6f", "low"), F.lit(", max="), F.format_string("%.6f", "high"))
     return rows.unionByName(_rows(m, _check("advanced_sql", "marts.event_day_ctr_rolling", "rolling ctr between 0 and 1", "range", _rate("low") & _rate("high"), said, "0 to 1", "Rolling CTR outputs must stay within valid probability bounds.")))
 
 
+def store_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.count_if(~F.col("label").isin(0, 1)).alias("labels"), F.count_if(~F.col("event_day_number").between(1, 7)).alias("days")]
+
+
 def feature_store_checks(fact: DataFrame, store: DataFrame) -> DataFrame:
-    m = store.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("label").isin(0, 1)).alias("labels"), F.count_if(~F.col("event_day_number").between(1, 7)).alias("days"))
-    m = _beside(m, _count(fact, "fact_n"), _duplicates(store, "raw_event_id"))
+    return store_results(_beside(store.agg(*store_metrics()), _count(fact, "fact_n"), _duplicates(store, "raw_event_id")))
+
+
+def store_results(m: DataFrame) -> DataFrame:
+    """m: store_metrics, fact_n, duplicate_groups."""
     return _rows(
         m,
         _check("feature_store", STORE, "feature store row count parity", "consistency", F.col("n") == F.col("fact_n"), F.col("n"), F.col("fact_n"), "Feature store rows should match warehouse fact rows."),
@@ -136,6 +233,24 @@ def feature_store_checks(fact: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def observed_checks(seen: Observer, layers: dict[str, DataFrame], marts: list[str], ranked: list[str], limits: DataFrame) -> list[DataFrame]:
+    """All checks from what `seen` has of raw, staging, fact, store, the marts and the ranked tables. layers: staging, fact and store as written, of which
+    the ids are read."""
+    spark = limits.sparkSession
+    repeats = saved(duplicates(layers), "repeats")
+    group = lambda name: repeats.select(F.col(name).alias("duplicate_groups"))
+    counts = lambda names, **more: seen.row(spark, {n: (n, "n") for n in names} | more)
+    return [
+        raw_results(seen.of(spark, "raw")),
+        staging_results(_beside(seen.of(spark, "staging"), seen.row(spark, {"raw_n": ("raw", "n")}), group("staging"))),
+        sparsity_results(seen.of(spark, "staging"), limits),
+        warehouse_results(_beside(seen.of(spark, "fact"), seen.row(spark, {"staged_n": ("staging", "n")}), group("fact"))),
+        marts_results(counts(marts, overall_ctr=("overall", "ctr"), day_ctr=("event_day", "ctr")), marts),
+        advanced_results(counts(ranked, low=("rolling", "low"), high=("rolling", "high")), ranked),
+        store_results(_beside(seen.of(spark, "store"), seen.row(spark, {"fact_n": ("fact", "n")}), group("store"))),
+    ]
+
+
 def all_checks(parts: list[DataFrame], run_id: int, batch_id: int, raw: DataFrame) -> DataFrame:
     """The results of a run, tagged with it and with the names of the source files."""
     files = raw.agg(F.coalesce(F.array_join(F.array_sort(F.collect_set("source_file")), ", "), F.lit("unknown")).alias("source_file"))
