@@ -130,7 +130,8 @@ def calibrator(scored: DataFrame, kind: str = "sigmoid") -> Calibrator:
     """Fitted on (score, label): a logistic curve over the score, or the best monotone step function."""
     if kind == "sigmoid":
         frame = VectorAssembler(inputCols=["score"], outputCol="features").transform(scored)
-        return Calibrator(LogisticRegression(featuresCol="features", labelCol="label").fit(frame), kind)
+        penalty = 1 / max(1, frame.count())  # half the squared slope beside the sum of all rows' losses
+        return Calibrator(LogisticRegression(featuresCol="features", labelCol="label", regParam=penalty, standardization=False, tol=1e-9).fit(frame), kind)
     if kind == "isotonic":
         return Calibrator(IsotonicRegression(featuresCol="score", labelCol="label").fit(scored.withColumn("label", F.col("label").cast("double"))), kind)
     raise ValueError(f"no such calibration: {kind}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, NUMERIC, STORED, source_schema
-from adloom.operators import evaluate, features, importance, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
+from adloom.operators import calibrate, evaluate, features, importance, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
 from adloom.plans import oracle as O
 from adloom.sources import binding, files
 from adloom.sources.work import compiled, saved, shared_dir
@@ -525,19 +525,42 @@ def _tuned(f: Frames) -> DataFrame:
 
 
 def _calibrated(kind: str) -> Callable[[Frames], DataFrame]:
-    """Each model's scores calibrated by themselves."""
+    """Each model's scores, the later half calibrated by the earlier one; all models together."""
 
     def run(f: Frames) -> DataFrame:
-        ev, out = saved(f.ev, "scores"), None
-        for row in ev.select("model_id").distinct().orderBy("model_id").collect():  # a row a model
-            fitted, rest = train.calibrate(ev.where(F.col("model_id") == row["model_id"]).drop("model_id"), kind)
-            one = fitted.apply(rest).select(F.lit(row["model_id"]).alias("model_id"), "raw_event_id", "label", "score", "calibrated")
-            out = one if out is None else out.unionByName(one)
-        return out
+        by = ["model_id"]
+        split = saved(calibrate.halves(f.ev, by), "halves")
+        fit, rest = (split.where(F.col("calibration_half") == h).drop("calibration_half") for h in ("fit", "evaluate"))
+        out = calibrate.apply_sigmoid(rest, calibrate.sigmoid(fit, by), by) if kind == "sigmoid" else calibrate.apply_isotonic(rest, calibrate.isotonic(fit, by), by)
+        return out.select("model_id", "raw_event_id", "label", "score", F.round("calibrated", 6).alias("calibrated"))
 
     return run
 
 
+EV = "SELECT model_id, raw_event_id, predicted_ctr AS score, actual_click AS label, row_number() OVER (PARTITION BY model_id ORDER BY raw_event_id) - 1 < count(*) OVER (PARTITION BY model_id) // 2 AS fit FROM scores0"
+CELLS = "SELECT model_id, score, count(*) AS n, sum(label) AS clicks FROM halved WHERE fit GROUP BY 1, 2"
+CURVE = "1 / (1 + exp(-(slope * score + intercept)))"
+
+
+def _newton(steps: int = 12) -> str:
+    """Newton's steps one after another, from a flat curve."""
+    parts = ["c0 AS (SELECT DISTINCT model_id, 0e0 AS slope, 0e0 AS intercept FROM cells)"]
+    for k in range(steps):
+        parts.append(f"g{k} AS (SELECT model_id, slope, intercept, sum((n * p - clicks) * score) + slope AS ga, sum(n * p - clicks) AS gb, sum(n * p * (1 - p) * score * score) + 1 AS haa, sum(n * p * (1 - p) * score) AS hab, sum(n * p * (1 - p)) AS hbb FROM (SELECT *, {CURVE} AS p FROM cells JOIN c{k} USING (model_id)) GROUP BY model_id, slope, intercept)")
+        parts.append(f"c{k + 1} AS (SELECT model_id, slope - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS slope, intercept - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS intercept FROM g{k})")
+    return ", ".join(parts)
+
+
+SIGMOID = f"WITH halved AS ({EV}), cells AS ({CELLS}), {_newton()} SELECT model_id, raw_event_id, label, score, round({CURVE}, 6) AS calibrated FROM halved JOIN c12 USING (model_id) WHERE NOT fit"
+# The best rising function at place i is the largest over beginnings a <= i of the least over ends b >= i of the rate from a to b.
+ISOTONIC = f"""WITH halved AS ({EV}), cells AS ({CELLS}), sums AS (SELECT model_id, score, row_number() OVER w AS i, sum(n) OVER w AS n, sum(clicks) OVER w AS clicks, n AS own_n, clicks AS own_clicks FROM cells WINDOW w AS (PARTITION BY model_id ORDER BY score)),
+spans AS (SELECT a.model_id, a.i AS a, b.i AS b, min((b.clicks - a.clicks + a.own_clicks)::DOUBLE / (b.n - a.n + a.own_n)) OVER (PARTITION BY a.model_id, a.i ORDER BY b.i DESC) AS least FROM sums a JOIN sums b ON a.model_id = b.model_id AND a.i <= b.i),
+fitted AS (SELECT s.model_id, s.score, m.rate FROM (SELECT model_id, b AS i, max(least) AS rate FROM spans GROUP BY 1, 2) m JOIN sums s USING (model_id, i)),
+lower_of AS (SELECT e.*, f.score AS s0, f.rate AS r0 FROM (SELECT DISTINCT model_id, score FROM halved WHERE NOT fit) e ASOF LEFT JOIN fitted f ON e.model_id = f.model_id AND e.score >= f.score),
+near AS (SELECT l.*, f.score AS s1, f.rate AS r1 FROM lower_of l ASOF LEFT JOIN fitted f ON l.model_id = f.model_id AND l.score <= f.score)
+SELECT e.model_id, e.raw_event_id, e.label, e.score, round(CASE WHEN s0 IS NULL THEN r1 WHEN s1 IS NULL OR s0 = s1 THEN r0 ELSE r0 + (r1 - r0) * (e.score - s0) / (s1 - s0) END, 6) AS calibrated FROM halved e JOIN near USING (model_id, score) WHERE NOT fit"""
+
+
 def _trees_onehot(f: Frames) -> DataFrame:
     rows = _source_rows(f)
     own = train.with_positive_weight(rows.where("dataset_split = 'train'"))
@@ -551,8 +574,8 @@ add("l7_logistic_engineered", _logistic)
 add("l8_boosted_onehot", _trees_onehot)
 add("l9_boosted_engineered", _boosted)
 add("l10_tuning", _tuned)
-add("l11_sigmoid_calibration", _calibrated("sigmoid"))
-add("l12_isotonic_calibration", _calibrated("isotonic"))
+add("l11_sigmoid_calibration", _calibrated("sigmoid"), SIGMOID)
+add("l12_isotonic_calibration", _calibrated("isotonic"), ISOTONIC)
 add("l14_scored_batch", lambda f: f.scores.select("raw_event_id", "model_id", "training_run_id", "predicted_ctr", "actual_click", "score_decile", "is_top_decile"), "SELECT raw_event_id, model_id, training_run_id, predicted_ctr, actual_click, score_decile, is_top_decile FROM scores")
 add("l15_score_summary", lambda f: evaluate.score_summary(f.scores, ["model_id"]), "SELECT model_id, count(*) AS row_count, round(avg(predicted_ctr), 6) AS avg_predicted_ctr, round(avg(actual_click), 6) AS actual_ctr, count(*) FILTER (WHERE is_top_decile) AS top_decile_row_count, round(avg(actual_click) FILTER (WHERE is_top_decile), 6) AS top_decile_actual_ctr, round(avg(predicted_ctr) FILTER (WHERE is_top_decile), 6) AS top_decile_avg_predicted_ctr FROM scores GROUP BY model_id")
 add("l16_model_lookup", lambda f: train.find_model(f.models, f.truns, "model_1").select("model_id", "model_version", "training_run_id", "completed_at"), "SELECT model_id, model_version, training_run_id, completed_at FROM models JOIN truns USING (model_id) WHERE model_name = 'model_1' AND model_status = 'READY' AND is_active_canonical AND run_status = 'SUCCESS' ORDER BY completed_at DESC NULLS LAST, training_run_id DESC LIMIT 1")
