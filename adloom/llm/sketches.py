@@ -279,11 +279,11 @@ def _joined(big: DataFrame, small: DataFrame, keys: list[str], rows: DataFrame)
 
 
 def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """pairs (u, v), own (node, hashes). Returns (u, v, link): whether the whole sets have that similarity. The sets go to the pairs of their first nodes where they
-    are, if these are few; then each pair brings one set to the other."""
-    left = own.select(F.col("node").alias("u"), F.col("hashes").alias("a")).join(_few(pairs), "u")
-    right = own.join(_few(pairs.select(F.col("v").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    both = left.join(right, "v").select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("total"))
+    """pairs (u, v), own (node, hashes). Returns (u, v, link): whether the whole sets have that similarity. A forest hangs many v on one u, so each v brings
+    its set to u. It gets its pairs where it is, if these are few."""
+    right = own.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(_few(pairs), "v")
+    left = own.join(_few(pairs.select(F.col("u").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    both = right.join(left, "u").select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("total"))
     return both.select("u", "v", (F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).alias("link")).distinct()
 
 
