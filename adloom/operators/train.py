@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -12,9 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.operators.evaluate import evaluate, halves, leaderboard
+from adloom.operators.evaluate import halves
 from adloom.operators.features import class_weights, positive_weight
-from adloom.sources.work import saved
 
 
 def fit_encoder(frame: DataFrame, numeric: list[str], categorical: list[str]) -> PipelineModel:
@@ -87,30 +86,6 @@ def score(frame: DataFrame, model: Transformer, keep: list[str], name: str = "sc
     return calibrator.apply(raw, "_calibrated").drop("score").withColumnRenamed("_calibrated", name)
 
 
-@dataclass
-class Config:
-    """A named setting of the logistic model."""
-
-    name: str
-    reg: float
-    elastic: float = 0.0
-    options: dict = field(default_factory=dict)
-
-
-CONFIGS = [Config("l2_small", 1e-5), Config("l2_medium", 1e-4), Config("l2_large", 1e-3), Config("elastic", 1e-4, 0.15), Config("l1", 1e-5, 1.0)]
-
-
-def tune(train: DataFrame, validation: DataFrame, columns: list[str], configs: list[Config] = CONFIGS) -> DataFrame:
-    """The metrics of each setting on the validation rows, best first."""
-    prepared = assembler(columns).fit(train)
-    frame, held = saved(prepared.transform(with_class_weight(train)).select("features", "label", "weight"), "prepared"), prepared.transform(validation)
-    scored = None
-    for c in configs:
-        one = score(held, logistic(c.reg, c.elastic, **c.options).fit(frame), ["raw_event_id", "label"]).withColumn("config", F.lit(c.name))
-        scored = one if scored is None else scored.unionByName(one)
-    return leaderboard(evaluate(scored, ["config"]))
-
-
 @dataclass
 class Calibrator:
     """A map from scores to probabilities."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, NUMERIC, STORED, source_schema
-from adloom.operators import calibrate, evaluate, features, importance, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
+from adloom.operators import calibrate, evaluate, features, importance, incremental, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
 from adloom.plans import oracle as O
 from adloom.sources import binding, files
 from adloom.sources.work import compiled, saved, shared_dir
@@ -508,9 +508,14 @@ def _baseline(f: Frames) -> DataFrame:
 
 
 def _logistic(f: Frames) -> DataFrame:
+    """Trained in two halves: the state after half the steps is written, read and gone on from."""
     frame, names = f.ml
-    model = train.fit_engineered(frame.where("dataset_split = 'train'"), names, "logistic", reg=1e-3)
-    return evaluate.evaluate(train.score(frame, model, ["raw_event_id", "dataset_split", "label"]), ["dataset_split"])
+    own = frame.where("dataset_split = 'train'")
+    state = incremental.begin(own, names, [incremental.Setting("sgd")])
+    path, kept = incremental.chunked(own, state, max(1000, own.count() // 8)), f.path("state")
+    incremental.fit(state, f.spark, path, 12).save(f.spark, kept)
+    state = incremental.fit(incremental.State.load(f.spark, kept), f.spark, path)
+    return evaluate.evaluate(incremental.scored(frame, state, ["raw_event_id", "dataset_split", "label"]).drop("config"), ["dataset_split"])
 
 
 def _boosted(f: Frames) -> DataFrame:
@@ -521,7 +526,9 @@ def _boosted(f: Frames) -> DataFrame:
 
 def _tuned(f: Frames) -> DataFrame:
     frame, names = f.ml
-    return train.tune(frame.where("dataset_split = 'train'"), frame.where("dataset_split = 'validation'"), names, train.CONFIGS)
+    own = frame.where("dataset_split = 'train'")
+    state = incremental.train(own, names, incremental.SETTINGS, max(1000, own.count() // 8))
+    return evaluate.leaderboard(evaluate.evaluate(incremental.scored(frame.where("dataset_split = 'validation'"), state, ["raw_event_id", "label"]), ["config"]))
 
 
 def _calibrated(kind: str) -> Callable[[Frames], DataFrame]:
