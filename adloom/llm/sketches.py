@@ -239,7 +239,7 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
         for t in whole_groups(batches, group):
             cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "refuted"}
             lists = t.column("refuted")
-            s = np.stack([cols[c] for c in SKETCH], axis=1)
+            s = np.stack([cols[c] for c in SKETCH], axis=1).view(np.uint64)
             change = np.ones(t.num_rows + 1, bool)
             change[1:-1] = False
             for c in group:
