@@ -34,7 +34,7 @@ from adloom.llm.common import batch_of, saved, shuffle_partitions, struct_of, wh
 SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 #: Vectors to a list, on average, and cells at most. While there are no more lists than cells each cell is a list; with more vectors
 #: cells have more lists.
-LIST, CELLS = 64, 1_250
+LIST, CELLS = 128, 1_250
 #: Times that centroids are moved to the means of what is nearest to them, after the halving.
 MOVES = 4
 #: Rows of a cell, rows of a block of a list, and queries to it that are handled together.
@@ -44,6 +44,8 @@ PIECE, BLOCK, CUT = 4_096, 1_024, 8_192
 COPIES, COPY_RATIO, SHARE = 2, 1.1, 0.1
 #: Vectors of the sample that are asked to choose the search's ratios, and the shares of their neighbours that must be in the cells and lists.
 ASKED, IN_CELLS, TARGET = 512, 0.99, 0.94
+#: Rows found that a task holds.
+HELD = 250_000
 #: Links of a centroid, and candidates that a search of the graph holds at first; it holds twice as many while all are within the ratio.
 LINKS, BEAM = 24, 16
 
@@ -330,7 +332,7 @@ def _tuned(sample: np.ndarray, graph: Graph, placing: Callable[[DataFrame], Data
             cells.append(to_cell[q, cell[best_list]] / max(to_cell[q].min(), 1e-300))
     ratio = max(1.0, float(np.quantile(lists, TARGET)))
     in_cells = float(np.quantile([c for c, x in zip(cells, lists) if x <= ratio] or [1.5], IN_CELLS))
-    return copy, min(max(1.0, in_cells), 1.25 * ratio), ratio
+    return copy, min(max(1.0, in_cells), 1.08 * ratio), ratio
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -373,16 +375,27 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame,
     out = struct_of("query_id long, vec_id long, score double")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A query's rows from the lists of a task are cut down to its k nearest there, as long as not more than HELD are left.
+        found: list[tuple] = []
+        size = 0
         for t in whole_groups(batches, group):
             t = t.combine_chunks()
             ids, kind, x = t.column("id").to_numpy(), t.column("kind").to_numpy(), _flat(t.column("v"), dim)
-            starts, found = _groups(t, group), []
+            starts = _groups(t, group)
             for s, e in zip(starts, starts[1:]):
                 mid = s + int(np.searchsorted(kind[s:e], 1))
                 if s < mid < e:
-                    found += [scan(ids[at : min(e, at + 512)], x[at : min(e, at + 512)], ids[s:mid], x[s:mid], k) for at in range(mid, e, 512)]
-            if found:
-                yield batch_of(dict(zip(out.fieldNames(), best(*(np.concatenate(parts) for parts in zip(*found)), k))), out)
+                    more = [scan(ids[at : min(e, at + 512)], x[at : min(e, at + 512)], ids[s:mid], x[s:mid], k) for at in range(mid, e, 512)]
+                    size += sum(len(m[0]) for m in more)
+                    found += more
+                if size > 2 * HELD:
+                    found = [best(*(np.concatenate(parts) for parts in zip(*found)), k)]
+                    size = len(found[0][0])
+                    if size > HELD:
+                        yield batch_of(dict(zip(out.fieldNames(), found[0])), out)
+                        found, size = [], 0
+        if found:
+            yield batch_of(dict(zip(out.fieldNames(), best(*(np.concatenate(parts) for parts in zip(*found)), k))), out)
 
     merged = met.mapInArrow(meet, out).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
