@@ -1,10 +1,11 @@
 """Expected values of single operators, and what holds for those that SQL can't express."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adloom.functions import exprs as X
-from adloom.operators import evaluate, features, importance, promote, ranks, sampling, staging, tables, train
+from adloom.operators import evaluate, features, importance, promote, quality, ranks, sampling, staging, tables, train
 from adloom.sources import binding, files
 
 SF = "/root/testdata/sf0.001"
@@ -303,18 +304,172 @@ def test_isotonic_calibration_pools_adjacent_violators(spark):
     assert got == pytest.approx(want)
 
 
-def test_failed_batches_are_taken_in_again(spark, tmp_path, monkeypatch):
+def csv_of(folder, name, values, label=1):
     from adloom.streaming import intake
 
-    (tmp_path / "a.csv").write_text("label," + ",".join(intake.COLUMNS) + "\n" + "\n".join("1," + ",".join([str(i)] * 39) for i in range(5)) + "\n")
-    batch = spark.read.schema(intake.source_schema()).option("header", True).csv(str(tmp_path / "a.csv")).select("*", F.col("_metadata.file_name").alias("source_file"))
-    store = str(tmp_path / "store")
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text("label," + ",".join(intake.COLUMNS) + "\n" + "".join(f"{label}," + ",".join([str(v)] * 39) + "\n" for v in values))
+
+
+def batch_at(spark, *paths):
+    from adloom.streaming import intake
+
+    return spark.read.schema(intake.source_schema()).option("header", True).csv([str(p) for p in paths]).select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+
+
+def test_failed_batches_are_registered_and_taken_in_again(spark, tmp_path, monkeypatch):
+    from adloom.streaming import intake
+
+    csv_of(tmp_path / "in", "a.csv", range(5))
+    batch, store = batch_at(spark, tmp_path / "in"), str(tmp_path / "store")
     broken = intake.marts.batch_overall
     monkeypatch.setattr(intake.marts, "batch_overall", lambda fact: fact.select("nothing"))
     with pytest.raises(Exception):
         intake.process(batch, 0, store)
-    assert [r.batch_status for r in intake.registry(spark, f"{store}/registry").collect()] == ["FAILED"]
+    assert [r.batch_status for r in intake.registry(spark, store).collect()] == ["FAILED"]
+    assert intake.table(spark, store, "staging").count() == 0  # written, but not committed
     monkeypatch.setattr(intake.marts, "batch_overall", broken)
     assert [intake.process(batch, i, store) for i in (1, 2)] == [1, 0]
-    ids = [r.raw_event_id for r in spark.read.parquet(f"{store}/staging").where("batch_id = 1").collect()]
-    assert sorted(ids) == [files.BATCH_IDS + i for i in range(5)]
+    ids = [r.raw_event_id for r in intake.table(spark, store, "staging").collect()]
+    assert sorted(ids) == [2 * files.BATCH_IDS + i for i in range(5)]
+
+
+def test_two_checkpoints_lose_nothing(spark, tmp_path):
+    from adloom.streaming import intake
+
+    csv_of(tmp_path / "one", "a.csv", range(30))
+    csv_of(tmp_path / "two", "a.csv", range(100, 150))
+    store = str(tmp_path / "store")
+    for name in ("one", "two"):
+        intake.run(spark, str(tmp_path / name), store, str(tmp_path / f"checkpoint_{name}"))
+    rows = intake.table(spark, store, "staging")
+    assert rows.count() == 80 and rows.select("raw_event_id").distinct().count() == 80 and rows.select("batch_id").distinct().count() == 2
+
+
+def test_equal_files_of_one_name_and_replayed_epochs(spark, tmp_path):
+    from adloom.streaming import intake
+
+    for folder in ("a", "b"):
+        csv_of(tmp_path / folder, "same.csv", range(30))
+    batch, store = batch_at(spark, tmp_path / "a", tmp_path / "b"), str(tmp_path / "store")
+    assert [intake.process(batch, 0, store, "q"), intake.process(batch, 0, store, "q"), intake.process(batch, 0, store, "other")] == [1, 0, 0]
+    assert intake.table(spark, store, "staging").count() == 30
+    statuses = [r.batch_status for r in intake.registry(spark, store).collect()]
+    assert sorted(statuses) == ["DUPLICATE", "DUPLICATE", "DUPLICATE", "QUALITY_CHECKED"]
+
+
+def test_every_processed_file_is_archived(spark, tmp_path):
+    from adloom.streaming import intake
+
+    inbox, archive, failed = tmp_path / "in", tmp_path / "archive", tmp_path / "failed"
+    for n in range(3):
+        csv_of(inbox, f"f{n}.csv", range(n * 10, n * 10 + 10))
+    csv_of(archive, "f0.csv", [7])  # its name is taken there
+    store = str(tmp_path / "store")
+    intake.run(spark, str(inbox), store, str(tmp_path / "checkpoint"), str(archive), str(failed))
+    assert not list(inbox.glob("*.csv")) and sorted(p.name for p in archive.glob("*.csv")) == ["f0.csv", "f0_1.csv", "f1.csv", "f2.csv"]
+    got = intake.registry(spark, store).collect()
+    assert {r.batch_status for r in got} == {"ARCHIVED"} and sorted(r.archive_path.rsplit("/", 1)[1] for r in got) == ["f0_1.csv", "f1.csv", "f2.csv"]
+    csv_of(inbox, "later.csv", range(90, 95))
+    intake.run(spark, str(inbox), store, str(tmp_path / "checkpoint"), str(archive), str(failed))
+    assert intake.table(spark, store, "staging").count() == 35 and not list(inbox.glob("*.csv"))
+
+
+def test_a_commit_is_one_writers(spark, tmp_path):
+    from adloom.streaming.commits import CommitLog
+
+    one, two = CommitLog(spark, f"{tmp_path}/log"), CommitLog(spark, f"{tmp_path}/log")
+    entry = {"batch_id": 1, "query": "q", "epoch": 0, "digest": "d", "source_path": "p", "source_file": "f", "row_count": 1, "batch_status": "STARTED"}
+    asked = []
+
+    def decide(states):
+        asked.append(states.count())
+        if len(asked) == 1:
+            two.append(lambda _: [entry | {"batch_id": 9}])  # another writer is faster
+        return [entry | {"batch_id": states.count() + 1}]
+
+    assert [r["commit"] for r in one.append(decide)] == [2] and asked == [0, 1]
+    assert sorted(r.batch_id for r in two.states().collect()) == [2, 9] and two.last() == 2
+    assert one.append(lambda states: []) == [] and one.last() == 2
+
+
+def test_the_active_model_that_stays_is_the_best_one(spark):
+    """A stronger model stays before the base version; the base version only decides between equals."""
+    registry = spark.createDataFrame([(1, "m", "v4", True, None, None), (2, "m", "v5", True, None, None), (3, "k", "v4", True, None, None), (4, "k", "v6", True, "2024-01-01", None), (5, "s", "v1", True, None, None), (6, "s", "v2", False, None, None)], "model_id long, model_name string, model_version string, is_active_canonical boolean, canonical_promoted_at string, canonical_promotion_note string")
+    runs = spark.createDataFrame([(1, 11, "SUCCESS"), (2, 12, "SUCCESS"), (2, 13, "FAILED"), (3, 14, "SUCCESS"), (4, 15, "SUCCESS")], "model_id long, training_run_id long, run_status string")
+    compared = spark.createDataFrame([("m", "v4", 11, 0.70, 0.5, 2.0, 600_000), ("m", "v5", 12, 0.80, None, 2.0, 600_000), ("k", "v4", 14, 0.7, 0.5, 2.0, 600_000), ("k", "v6", 15, 0.7, 0.5, 2.0, 600_000)], "model_name string, model_version string, training_run_id long, validation_roc_auc double, validation_pr_auc double, validation_lift_at_10pct double, rows_trained long")
+    got = {r.model_id for r in promote.normalise(registry, runs, compared, "v4").where("is_active_canonical").collect()}
+    assert got == {2, 3, 5}
+
+
+def test_missing_values_are_zero_and_unknown(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(1.0, "a"), (None, None), (3.0, "a"), (float("nan"), "unknown"), (5.0, "b")]
+    df = spark.createDataFrame(rows, "x double, c string").withColumn("one", F.lit(2.0))
+    model = train.fit_encoder(df, ["x", "one"], ["c"])
+    got = [r.v for r in model.transform(df).select(vector_to_array("features").alias("v")).collect()]
+    x = np.array([1, 0, 3, 0, 5.0])
+    assert np.allclose([v[0] for v in got], (x - x.mean()) / x.std()) and all(v[1] == 0 for v in got)
+    assert got[1][2:] == got[3][2:] and all(sum(v[2:]) == 1 for v in got) and len(got[0]) == 5
+    unseen = model.transform(spark.createDataFrame([(1.0, "new", 2.0)], "x double, c string, one double")).select(vector_to_array("features").alias("v")).first().v
+    assert sum(unseen[2:]) == 0
+
+
+def test_calibration_of_several_models_at_once(spark):
+    from adloom.operators import calibrate
+
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for model, n in ((1, 400), (2, 60), (3, 1), (4, 5)):
+        score = np.round(rng.random(n), 2)
+        label = (rng.random(n) < score**model).astype(int) if model != 4 else np.ones(n, int)
+        rows += [(model, i, float(s), int(y)) for i, (s, y) in enumerate(zip(score, label))]
+        want[model] = (score, label)
+    df = spark.createDataFrame(rows, "model_id long, raw_event_id long, score double, label int").repartition(5)
+    blocks = {}
+    for r in calibrate.isotonic(df, ["model_id"]).orderBy("model_id", "lo").collect():
+        blocks.setdefault(r.model_id, []).append(r)
+    for model, (score, label) in want.items():
+        values = np.unique(score)
+        n, s = np.array([(score == v).sum() for v in values]), np.array([label[score == v].sum() for v in values])
+        best = [max(min(s[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(values))) for a in range(i + 1)) for i in range(len(values))]
+        own = [next(b.clicks / b.n for b in blocks[model] if b.lo <= v <= b.hi) for v in values]
+        assert np.allclose(own, best)
+        asked = [(model, float(x), 0) for x in np.linspace(-0.2, 1.2, 29)]
+        got = {r.score: r.calibrated for r in calibrate.apply_isotonic(spark.createDataFrame(asked, "model_id long, score double, label int"), calibrate.isotonic(df, ["model_id"]), ["model_id"]).collect()} if model < 3 else {}
+        assert all(abs(got[x] - np.interp(x, values, best)) < 1e-9 for x in got)
+    curves = {r.model_id: r for r in calibrate.sigmoid(df, ["model_id"]).collect()}
+    for model in (1, 2):
+        score, label = want[model]
+        p = 1 / (1 + np.exp(-(curves[model].slope * score + curves[model].intercept)))
+        assert abs((p - label).sum()) < 1e-6 and abs(((p - label) * score).sum() + curves[model].slope) < 1e-6
+
+
+def test_training_in_two_halves_is_training_at_once(spark, tmp_path):
+    from adloom.operators import incremental
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(int)
+    frame = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)], "label int, a double, b double, c double")
+    columns, settings = ["a", "b", "c"], [incremental.Setting("two", epochs=2), incremental.Setting("three", l1=0.5, alpha=1e-3)]
+    state = incremental.begin(frame, columns, settings)
+    path = incremental.chunked(frame, state, 1000)
+    at_once = incremental.fit(state, spark, path)
+    incremental.fit(state, spark, path, 4).save(spark, f"{tmp_path}/state")
+    again = incremental.fit(incremental.State.load(spark, f"{tmp_path}/state"), spark, path)
+    assert again == at_once and at_once.done == 9 and at_once.history == [1000] * 9
+    two = incremental.fit(incremental.begin(frame, columns, settings[:1]), spark, path)
+    assert np.allclose(two.weights[0], at_once.weights[0])  # a setting doesn't depend on those beside it, nor on their epochs
+    got = incremental.scored(frame, at_once, ["label"]).groupBy("config").agg(F.corr("label", "score").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 2 and all(r.r > 0.5 and r.n == 3000 for r in got)
+
+
+def test_observed_metrics_are_those_of_the_table(spark):
+    seen = quality.Observer()
+    df = spark.range(100).select(F.col("id").alias("raw_event_id"), (F.col("id") % 3).alias("click_flag"), F.lit(1).alias("click_count"), F.lit(1).alias("impression_count"))
+    written = seen.write(df, "staging", quality.staging_metrics())
+    assert seen.of(spark, "staging").first().asDict() == written.agg(*quality.staging_metrics()).first().asDict()
+    twice = written.unionByName(written.where("raw_event_id < 5"))
+    assert quality.duplicates({"one": written, "two": twice}).first().asDict() == {"one": 0, "two": 5}
