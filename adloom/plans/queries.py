@@ -12,7 +12,7 @@ from adloom.functions import exprs as X
 from adloom.functions.columns import CATEGORICAL, NUMERIC, STORED, source_schema
 from adloom.operators import calibrate, evaluate, features, importance, incremental, marts, monitor, ops, promote, quality, ranked, sampling, staging, tables, train, warehouse
 from adloom.plans import oracle as O
-from adloom.sources import binding, files
+from adloom.sources import binding, files, keyed
 from adloom.sources.work import compiled, saved, shared_dir
 
 HIGH, MEDIUM, MEDIUM_BUCKET, LEAST, LEAST_PAIR = O.HIGH, O.MEDIUM, O.MEDIUM_BUCKET, O.LEAST, O.LEAST_PAIR
@@ -227,6 +227,38 @@ def _registered(f: Frames) -> DataFrame:
 
 add("s15_register_by_checksum", _registered, "SELECT batch_name AS checksum, source_file AS batch_name, batch_status, CASE WHEN batch_id % 3 = 0 THEN DATE '2024-03-01' ELSE DATE '2024-01-01' END AS last_seen_at FROM reg UNION ALL SELECT batch_name || '_new', source_file, 'REGISTERED', DATE '2024-03-01' FROM reg WHERE batch_id % 4 = 0")
 add("s16_retention", lambda f: tables.keep_recent(f.of(binding.benchmark_snapshots), "recorded_at", F.lit("1998-06-01").cast("timestamp")).select("benchmark_id", "recorded_at"), "SELECT benchmark_id, recorded_at FROM snaps WHERE recorded_at >= DATE '1998-06-01' - INTERVAL 90 DAYS")
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+
+
+def _stored_upsert(f: Frames) -> DataFrame:
+    """The same into a stored table, in three changes, of which the second touches one key and so one bucket."""
+    s = f.of(binding.benchmark_snapshots).select("batch_id", "benchmark_name", (F.unix_date("recorded_at").cast("long") * 1_000_000 + F.col("benchmark_id")).alias("version"), "benchmark_id", "rows_per_second")
+    keys = ["batch_id", "benchmark_name"]
+    table = keyed.KeyedTable(f.spark, f.path("upserted"), ddl(s), keys, 64)
+    put = lambda old, new: tables.upsert(old, new, keys, "version", ["rows_per_second"])
+    one = (F.col("batch_id") == 1) & (F.col("benchmark_name") == "file_storage")
+    written = [table.change(part, put) for part in (s.where("benchmark_id % 2 = 0"), s.where("benchmark_id % 2 = 1").where(one), s.where("benchmark_id % 2 = 1").where(~one))]
+    table.drop_old()
+    return table.read().withColumn("buckets_of_one_key", F.lit(written[1]))
+
+
+add("s14_stored_upsert", _stored_upsert, "SELECT batch_id, benchmark_name, max(v) AS version, max_by(benchmark_id, v) AS benchmark_id, max_by(rows_per_second, v) FILTER (WHERE rows_per_second IS NOT NULL) AS rows_per_second, 1 AS buckets_of_one_key FROM (SELECT *, CAST(recorded_at - DATE '1970-01-01' AS BIGINT) * 1000000 + benchmark_id AS v FROM snaps) GROUP BY 1, 2")
+
+
+def _stored_retention(f: Frames) -> DataFrame:
+    """Old snapshots are deleted from a stored table, with their files."""
+    s = f.of(binding.benchmark_snapshots).select("benchmark_id", "recorded_at")
+    table = keyed.KeyedTable(f.spark, f.path("kept"), ddl(s), ["benchmark_id"], 16)
+    table.change(s, lambda old, new: new)
+    table.change(None, lambda old, _: tables.keep_recent(old, "recorded_at", F.lit("1998-06-01").cast("timestamp")))
+    table.drop_old()
+    return table.read()
+
+
+add("s16_stored_retention", _stored_retention, "SELECT benchmark_id, recorded_at FROM snaps WHERE recorded_at >= DATE '1998-06-01' - INTERVAL 90 DAYS")
 add("s17_latest_batch", lambda f: tables.latest_batch(f.imp), "SELECT batch_id, source_file, count(*) AS row_count, max(ingested_at) AS latest_ingested_at FROM imp GROUP BY 1, 2 ORDER BY 4 DESC, 1 DESC, 2 LIMIT 1")
 add("s18_batch_by_name", lambda f: tables.batch_by_name(f.reg, "batch_5"), "SELECT batch_id, batch_name, source_type, sample_scale, expected_row_count FROM reg WHERE batch_name = 'batch_5' ORDER BY batch_id DESC LIMIT 1")
 add("s19_scale_and_name", lambda f: f.reg.select("batch_id", tables.sample_scale(F.concat("sample_scale", F.lit(" Live-Batch "), "source_file")).alias("scale"), tables.batch_name(F.concat("sample_scale", F.lit(" Live-Batch "), "source_file"), F.concat("batch_name", F.lit("0123456789abcdef"))).alias("name")), "SELECT batch_id, sample_scale AS scale, replace(replace(lower(concat(sample_scale, ' Live-Batch ', replace(source_file, '.csv', ''))), ' ', '_'), '-', '_') || '_' || substr(batch_name || '0123456789abcdef', 1, 12) AS name FROM reg")

@@ -1,4 +1,4 @@
-"""An append-only commit log of a store of batches, one file a commit."""
+"""An append-only commit log, one file a commit."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: What a commit says of a file. query and epoch: of the stream that brought it, by which a replayed micro-batch finds its batch again.
+#: What a commit of a store of batches says of a file. query and epoch: of the stream that brought it, by which a replayed micro-batch finds its batch again.
 SCHEMA = "commit long, batch_id long, query string, epoch long, digest string, source_path string, source_file string, row_count long, batch_status string, archive_path string"
 
 
@@ -18,9 +18,10 @@ class CommitLog:
     """Commits are numbered from 1. A commit's file gets its name by a rename that fails where the name is taken, so of two writers one wins;
     the other decides anew on what the log holds then. Readers see a commit whole or not at all."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, keys: tuple[str, ...] = ("batch_id", "source_path")) -> None:
+        """keys: what an entry is about; its state is what the newest commit says of it. schema begins with the number of the commit."""
         jvm = spark._jvm
-        self.spark, self._path = spark, jvm.org.apache.hadoop.fs.Path
+        self.spark, self._path, self.schema, self.keys = spark, jvm.org.apache.hadoop.fs.Path, schema, keys
         self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self.folder = self._fs.makeQualified(self._path(path))
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
@@ -35,12 +36,12 @@ class CommitLog:
     def entries(self) -> DataFrame:
         """All that was ever committed. A log that can't be read is an error, not an empty log."""
         if not self.last():
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).json(self.folder.toString())
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).json(self.folder.toString())
 
     def states(self) -> DataFrame:
-        """What the log says last of each file of each batch."""
-        newest = Window.partitionBy("batch_id", "source_path").orderBy(F.desc("commit"))
+        """What the log says last of each key."""
+        newest = Window.partitionBy(*self.keys).orderBy(F.desc("commit"))
         return self.entries().withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
     def append(self, decide: Callable[[DataFrame], list[dict]]) -> list[dict]:
@@ -68,6 +69,12 @@ class CommitLog:
             raise
         return True
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def copy(self, source: str, folder: str) -> None:
         """Copies a file into a folder under its own name."""
         conf, path, to = self.spark._jsc.hadoopConfiguration(), self._path(source), self._path(folder)

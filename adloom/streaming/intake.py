@@ -22,7 +22,7 @@ from adloom.functions.columns import CATEGORICAL, NUMERIC, source_schema
 from adloom.operators import marts, staging, warehouse
 from adloom.operators.tables import content_digest, replace_batch
 from adloom.sources.files import load_raw
-from adloom.streaming.commits import CommitLog
+from adloom.sources.commits import CommitLog
 
 COLUMNS = [c.upper() for c in NUMERIC + CATEGORICAL]
 

@@ -376,7 +376,7 @@ def test_every_processed_file_is_archived(spark, tmp_path):
 
 
 def test_a_commit_is_one_writers(spark, tmp_path):
-    from adloom.streaming.commits import CommitLog
+    from adloom.sources.commits import CommitLog
 
     one, two = CommitLog(spark, f"{tmp_path}/log"), CommitLog(spark, f"{tmp_path}/log")
     entry = {"batch_id": 1, "query": "q", "epoch": 0, "digest": "d", "source_path": "p", "source_file": "f", "row_count": 1, "batch_status": "STARTED"}
@@ -473,3 +473,27 @@ def test_observed_metrics_are_those_of_the_table(spark):
     assert seen.of(spark, "staging").first().asDict() == written.agg(*quality.staging_metrics()).first().asDict()
     twice = written.unionByName(written.where("raw_event_id < 5"))
     assert quality.duplicates({"one": written, "two": twice}).first().asDict() == {"one": 0, "two": 5}
+
+
+def test_a_keyed_table_rewrites_the_buckets_it_touches(spark, tmp_path):
+    from adloom.sources.keyed import KeyedTable
+
+    table = KeyedTable(spark, f"{tmp_path}/t", "k long, v long, a string", ["k"], 64)
+    put = lambda old, new: tables.upsert(old, new, ["k"], "v")
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("v"), F.lit("old").alias("a"))
+    assert table.read().count() == 0 and table.change(rows, put) == 64
+    before = table.read()
+    assert table.change(rows.where("k in (5, 6)").select("k", (F.col("v") + 1).alias("v"), F.lit("new").alias("a")), put) in (1, 2)
+    assert before.where("a = 'new'").count() == 0 and {r.k for r in table.read().where("a = 'new'").collect()} == {5, 6}
+    assert table.read().count() == 1000 and table.drop_old() in (1, 2) and table.read().count() == 1000
+    once = []
+
+    def late(old, new):
+        if not once:  # another change of the same bucket comes between
+            once.append(KeyedTable(spark, f"{tmp_path}/t", table.schema, ["k"], 64).change(spark.createDataFrame([(5, 9, "between")], table.schema), put))
+        return put(old, new)
+
+    table.change(spark.createDataFrame([(5, 7, "late")], table.schema), late)
+    assert [r.a for r in table.read().where("k = 5").collect()] == ["between"]
+    table.change(None, lambda old, _: old.where("k >= 990"))
+    assert table.read().count() == 10
