@@ -279,7 +279,7 @@ def _listed(placed: DataFrame, leaves: DataFrame, dim: int, ratio: float, copies
                     d = np.sqrt(np.maximum((own**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * own @ y.T, 0))
                     order = np.argsort(d, axis=1, kind="stable")
                     d = np.take_along_axis(d, order, 1)
-                    near = d <= ratio * d[:, :1]
+                    near = d <= ratio * d[:, :1] if np.isfinite(ratio) else np.ones(d.shape, bool)
                     if copies is not None:
                         near &= np.arange(d.shape[1])[None] < np.where(nth[at : at + len(own)] == 0, copies, 1)[:, None]
                     r, c = np.nonzero(near)
