@@ -168,17 +168,19 @@ def may_link(n: np.ndarray, s: np.ndarray, m: np.ndarray, t: np.ndarray, percent
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
-def pairs_of(node: np.ndarray, label: np.ndarray, n: np.ndarray, s: np.ndarray, piece: np.ndarray, refuted: list, percent: int, more: int) -> list[tuple[int, int]]:
+def pairs_of(node: np.ndarray, label: np.ndarray, n: np.ndarray, s: np.ndarray, piece: np.ndarray, refuted: pa.Array, percent: int, more: int) -> list[tuple[int, int]]:
     """Rows of a tile that may link and are of different labels: a spanning forest, and of each row the first `more`. piece: where a tile
     holds two pieces, only pairs across them count."""
     size, two = len(node), piece.min() != piece.max()
-    at = {x: i for i, x in enumerate(node.tolist())}
-    not_again: list[set[int]] = [set() for _ in range(size)]
-    for i, others in enumerate(refuted):
-        for x in others or ():
-            if (j := at.get(x)) is not None:
-                not_again[i].add(j)
-                not_again[j].add(i)
+    # Rows are in the order of their nodes; refuted has lists of nodes.
+    again = np.ones((size, size), bool) if refuted.null_count < size else None
+    if again is not None:
+        length = np.nan_to_num(pc.list_value_length(refuted).to_numpy(zero_copy_only=False)).astype(np.int64)
+        others = refuted.flatten().to_numpy()
+        to = np.minimum(np.searchsorted(node, others), size - 1)
+        here = node[to] == others
+        row = np.repeat(np.arange(size), length)[here]
+        again[row, to[here]] = again[to[here], row] = False
     left, found = np.ones(size, bool), []
     for first in range(size):
         if not left[first]:
@@ -189,8 +191,8 @@ def pairs_of(node: np.ndarray, label: np.ndarray, n: np.ndarray, s: np.ndarray,
             near = may_link(n[i], s[i], n, s, percent) & (label != label[i])
             if two:
                 near &= piece != piece[i]
-            for j in not_again[i]:
-                near[j] = False
+            if again is not None:
+                near &= again[i]
             if more:
                 found += [(i, i + 1 + j) for j in np.flatnonzero(near[i + 1 :])[:more].tolist()]
             fresh = np.flatnonzero(near & left).tolist()
@@ -256,7 +258,7 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
             u, v, key = [cols["node"][a]], [cols["node"][a + 1]], [cols["key"][a]]
             for i, k in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
                 part = slice(i, i + k)
-                found = pairs_of(cols["node"][part], cols["label"][part], cols["n"][part], s[part], cols["piece"][part], lists.slice(i, k).to_pylist(), percent, more)
+                found = pairs_of(cols["node"][part], cols["label"][part], cols["n"][part], s[part], cols["piece"][part], lists.slice(i, k).combine_chunks(), percent, more)
                 if found:
                     x, y = cols["node"][part][np.array(found)].T
                     u.append(np.minimum(x, y))
@@ -316,7 +318,7 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
             rows = rows.withColumn("refuted", F.lit(None).cast("array<long>"))
         else:
             rows = rows.join(_few(refuted.groupBy(F.col("v").alias("node")).agg(F.collect_list("u").alias("refuted"))), "node", "left")
-        found_pairs = saved(candidates(rows, percent, 4 ** (turn + 1) if turn else 0), "pairs")
+        found_pairs = saved(candidates(rows, percent, 2 ** (turn + 1) if turn else 0), "pairs")
         pairs = saved(found_pairs.select("u", "v").distinct(), "distinct")
         n = pairs.count()
         turn += 1
