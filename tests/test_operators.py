@@ -497,3 +497,16 @@ def test_a_keyed_table_rewrites_the_buckets_it_touches(spark, tmp_path):
     assert [r.a for r in table.read().where("k = 5").collect()] == ["between"]
     table.change(None, lambda old, _: old.where("k >= 990"))
     assert table.read().count() == 10
+
+
+def test_runs_and_metrics_are_joined_by_a_shuffle(spark):
+    """Both grow with the runs, so neither goes through the driver, however small its files."""
+    from adloom.operators import monitor
+
+    sf = "/root/testdata/sf0.001"
+    models, runs, metrics = (one(spark, sf) for one in (binding.model_registry, binding.training_runs, binding.model_metrics))
+    for made in (monitor.metric_pivot(models, runs, metrics), monitor.latest_training_metrics(models, runs, metrics)):
+        made.count()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert any("SortMergeJoin [training_run_id" in line for line in plan.splitlines())
+        assert made.select("training_run_id").distinct().count() > 1
