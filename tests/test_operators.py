@@ -510,3 +510,13 @@ def test_runs_and_metrics_are_joined_by_a_shuffle(spark):
         plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert any("SortMergeJoin [training_run_id" in line for line in plan.splitlines())
         assert made.select("training_run_id").distinct().count() > 1
+
+
+def test_events_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """The file is cut into more parts than there are cores, and its one row group is in one of them."""
+    monkeypatch.setattr(binding, "TASK_ROWS", 1000)
+    rows = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.sha2(F.col("id").cast("string"), 512).alias("props"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(binding, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").repartition(4, F.lit(1)))  # four parts, of which one has rows
+    sizes = [r.n for r in binding.events(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 15 and max(sizes) < 2500
