@@ -520,3 +520,15 @@ def test_events_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(binding, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").repartition(4, F.lit(1)))  # four parts, of which one has rows
     sizes = [r.n for r in binding.events(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 20_000 and len(sizes) >= 15 and max(sizes) < 2500
+
+
+def test_shards_are_bounded_and_read_whole(spark, monkeypatch):
+    from adloom.operators import incremental
+
+    monkeypatch.setattr(incremental, "SHARD_NUMBERS", 200)
+    frame = spark.range(1000).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("a"))
+    state = incremental.begin(frame, ["a"], [incremental.Setting("one", epochs=1)])
+    path = incremental.chunked(frame, state, 1000)
+    shards = spark.read.parquet(path).select("shard", F.col("_metadata.file_path").alias("path")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files")).collect()
+    assert len(shards) == 10 and all(r.n == 100 and r.files == 1 for r in shards)
+    assert incremental.fit(state, spark, path).history == [1000]
