@@ -522,6 +522,14 @@ def test_events_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 20_000 and len(sizes) >= 15 and max(sizes) < 2500
 
 
+def test_training_rows_are_dealt_by_the_size_of_their_vectors(spark, monkeypatch):
+    monkeypatch.setattr(train, "TASK_NUMBERS", 10_000)
+    rows = spark.range(4000).select("id", (F.col("id") % 2).alias("label")).coalesce(1)
+    parts = train.dealt(rows, 100)
+    sizes = [r.n for r in parts.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert parts.rdd.getNumPartitions() == 40 and sum(sizes) == 4000 and max(sizes) < 300
+
+
 def test_shards_are_bounded_and_read_whole(spark, monkeypatch):
     from adloom.operators import incremental
 
