@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import batch_of, join_counted, saved, shuffle_partitions, struct_of, task_of, whole_groups
+from adloom.llm.common import HOT, batch_of, join_counted, saved, shuffle_partitions, struct_of, task_of, whole_groups
 from adloom.llm.components import components
 
 #: Words of a shingle; the least similarity of a link, in percent.
@@ -41,6 +41,8 @@ BAND = 1.5
 PIECE = 1024
 #: Rows that are broadcast; more are joined by a shuffle.
 FEW = 500_000
+#: One class of so many is in the sample that tells hot keys.
+SAMPLE = 64
 #: Bits of the sketch of a whole set, in words of 64.
 WORDS = 4
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -271,6 +273,20 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def meetings(classes: DataFrame) -> DataFrame:
+    """classes (node, keys). Returns (key, node): what is under a key that two or more are under. All keys are shuffled once, whatever their number.
+    Keys that a sample shows to be hot are broadcast, fewer than HOT, and their rows stay where they are; that two rows of the sample have one is
+    enough to know that it is kept."""
+    met = classes.select("node", F.explode("keys").alias("key"))
+    part = F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0
+    rows = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = classes.where(part).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = saved(hot.where((F.col("n") >= 4) & (F.col("n") * SAMPLE * HOT > rows)).orderBy(F.desc("n")).limit(HOT).select("key"), "hot")
+    own = met.join(F.broadcast(hot), "key", "left_semi").select("key", "node")
+    rest = met.join(F.broadcast(hot), "key", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return own.unionByName(rest.where("n > 1").select("key", "node"))
+
+
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
@@ -295,13 +311,11 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
     found = saved(prints(docs, shingle, percent), "prints")
     classes = found.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "keys")))
     classes = saved(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
-    met = classes.select("node", F.explode("keys").alias("key"))
-    keys = saved(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    buckets = saved(_joined(met, keys, ["key"], met).select("key", "node"), "buckets")
+    buckets = saved(meetings(classes), "buckets")
     ends = saved(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2", "n", *SKETCH), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_few(ends.select("rep").distinct()), "rep", "left_semi")
     own = saved(members(texts, shingle).join(_few(ends.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "hashes"), "members")
-    hot = keys.where(F.col("n") > PIECE).limit(1).count() > 0
+    hot = buckets.groupBy("key").count().where(F.col("count") > PIECE).limit(1).count() > 0
 
     links, refuted, roots, turn = None, None, None, 0
     while True:

@@ -178,6 +178,19 @@ def test_joins_by_a_shuffle_give_the_same(spark, monkeypatch):
     assert rows_of(sketches.join(spark.createDataFrame(docs, "doc_id long, text string")), ["doc_id", "n_shingles", "component_id"]) == sorted(plain_components(docs), key=str)
 
 
+@pytest.mark.parametrize("sample", [1, 64])
+def test_keys_that_meet_are_shuffled_once(spark, monkeypatch, sample):
+    """Hot keys (with all classes in the sample, those under which four or more are) and others: all that meet and no others."""
+    monkeypatch.setattr(sketches, "SAMPLE", sample)
+    rng = np.random.default_rng(3)
+    lists = [[int(k) for k in rng.choice([*range(8)] * 20 + [*range(100, 900)], 6)] for _ in range(300)]
+    lists = [sorted(set(x)) for x in lists] + [[7], []]
+    times = Counter(k for x in lists for k in x)
+    found = sketches.meetings(spark.createDataFrame(list(enumerate(lists)), "node long, keys array<long>"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == sorted((k, i) for i, x in enumerate(lists) for k in x if times[k] > 1)
+
+
 def test_sketches_bound_the_difference_from_below():
     rng = np.random.default_rng(3)
     for _ in range(50):
