@@ -540,3 +540,34 @@ def test_shards_are_bounded_and_read_whole(spark, monkeypatch):
     shards = spark.read.parquet(path).select("shard", F.col("_metadata.file_path").alias("path")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files")).collect()
     assert len(shards) == 10 and all(r.n == 100 and r.files == 1 for r in shards)
     assert incremental.fit(state, spark, path).history == [1000]
+
+
+def test_short_lookups_are_literals_and_take_no_join(spark, monkeypatch):
+    """A map, a broadcast and a shuffle find the same, absent and null values too; what isn't read isn't looked up."""
+    frame = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, "y"), (4, "none", "x")], "id long, p string, q string")
+    table = spark.createDataFrame([("p", "a", 2, 0.5), ("p", "b", 3, None), ("q", "x", 4, 1.5)], "feature_name string, feature_value string, n long, rate double")
+    columns = {c: F.col(c) for c in ("p", "q", "id_text")}
+    frame = frame.withColumn("id_text", F.col("id").cast("string"))
+    rows = lambda df: sorted(map(str, df.select("id", "_p_rate", "_q_rate", "_id_text_rate").collect()))
+    found = features.looked_up(frame, "id", table, columns, ["rate"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    short = rows(found)
+    monkeypatch.setattr(features, "MAP_ROWS", 0)
+    assert rows(features.looked_up(frame, "id", table, columns, ["rate"])) == short
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 0)
+    assert rows(features.looked_up(frame, "id", table, columns, ["rate"])) == short
+
+
+def test_a_task_reads_a_bounded_part_of_wide_tables(spark):
+    from adloom.sources import work
+
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        work.compiled(spark)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == work.TASK_BYTES
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        work.compiled(spark)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
