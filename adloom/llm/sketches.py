@@ -5,7 +5,8 @@ their sets in members, so their Hamming distance bounds the symmetric difference
 with a similarity of p or more, the smaller of them in a band, no more than a known number d of members are in one only; each
 set of the band (and of the next band, as far as its sizes can link) is cut by hashes into d + 1 parts, and as d members can't be in all of
 them, the parity sketches of some part are equal. Part and sketch are the key under which sets meet. Those that meet are compared by
-size and by a sketch of the whole set, and what may be a link is verified on both whole sets.
+size and by a sketch of the whole set, what may be a link by a sketch of a bit or two a member, as the first has too few bits for long
+texts, and what that doesn't refute is verified on both whole sets.
 
 Sets that are equal are one class. Of a bucket not all pairs are verified: a spanning forest of the pairs that may be links is, enough to
 connect what they connect. Then the verified links make components, and the buckets are looked at again, only for pairs of
@@ -27,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import HOT, batch_of, join_counted, saved, shuffle_partitions, struct_of, task_of, whole_groups
+from adloom.llm.common import HOT, batch_of, drop, join_counted, saved, shuffle_partitions, struct_of, task_of, whole_groups
 from adloom.llm.components import components
 
 #: Words of a shingle; the least similarity of a link, in percent.
@@ -83,12 +84,17 @@ def parity(places: np.ndarray, size: int) -> np.ndarray:
     return (np.bincount(places, minlength=size) & 1).astype(bool)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """WORDS words of 64 bits: each hash of the set flips one bit. Sketches differ in no more bits than the sets in members."""
-    bits = 64 * WORDS
+def sketch(own: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Words of 64 bits: each hash of the set flips one bit. Sketches differ in no more bits than the sets in members."""
+    bits = 64 * words
     return np.packbits(parity((mixed(own + np.uint64(ODD[0])) % np.uint64(bits)).astype(np.int64), bits), bitorder="little").view(np.uint64)
 
 
+def long_sketch(own: np.ndarray) -> np.ndarray:
+    """The same with a bit for each member at least, less than two, or one word; words are a power of two, so that of two lengths the longer can be folded."""
+    return sketch(own, max(1, (1 << (len(own) - 1).bit_length()) // 64))
+
+
 def edges(percent: int, most: int) -> list[int]:
     """Where bands of sizes begin, up to most. The first begins at the least size that can link with another set."""
     out = [1]
@@ -132,7 +138,7 @@ SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 def prints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, h1, h2, n, s0 ..., keys): of each row the digest and the size of its set, its sketch and the keys under which it meets others."""
+    """(row, doc_id, h1, h2, n, s0 ..., keys): of each row a number, the digest and the size of its set, its sketch and the keys under which it meets others."""
     out = struct_of("doc_id long, h1 long, h2 long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +154,18 @@ def prints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield batch_of({"doc_id": b.column(0), "h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "n": sizes, "keys": keys} | {s: whole[:, i].copy().view(np.int64) for i, s in enumerate(SKETCH)}, out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id())
 
 
 def members(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (text). Returns (h1, h2, hashes array<long>) of each row."""
-    out = struct_of("h1 long, h2 long, hashes array<long>")
+    """docs (text). Returns (h1, h2, hashes array<long>, bits array<long>) of each row: the set and its long sketch."""
+    out = struct_of("h1 long, h2 long, hashes array<long>, bits array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = list(sets(b.column(0), shingle))
             h = np.frombuffer(b"".join(map(digest, own)), np.int64).reshape(-1, 2)
-            yield batch_of({"h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "hashes": [x.view(np.int64) for x in own]}, out)
+            yield batch_of({"h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "hashes": [x.view(np.int64) for x in own], "bits": [long_sketch(x).view(np.int64) for x in own]}, out)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, out)
 
@@ -273,6 +279,14 @@ def candidates(rows: DataFrame, percent: int, more: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def firsts(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """found (row, keys, ...), classes (node): node is the first row of its class. Returns (node, keys), the keys once a class. A bit a row tells the first
+    ones, and 64 of them are a row of the table that is joined, so it is sent to the keys and these aren't shuffled, up to 64 * FEW rows at least."""
+    words = classes.groupBy(F.shiftright("node", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("first"))
+    met = found.withColumn("word", F.shiftright("row", 6)).join(_few(saved(words, "firsts")), "word")
+    return met.where(F.getbit("first", F.col("row").bitwiseAND(63).cast("int")) == 1).select(F.col("row").alias("node"), "keys")
+
+
 def meetings(classes: DataFrame) -> DataFrame:
     """classes (node, keys). Returns (key, node): what is under a key that two or more are under. All keys are shuffled once, whatever their number.
     Keys that a sample shows to be hot are broadcast, fewer than HOT, and their rows stay where they are; that two rows of the sample have one is
@@ -296,25 +310,46 @@ def _joined(big: DataFrame, small: DataFrame, keys: list[str], rows: DataFrame)
     return big.join(F.broadcast(small.drop("n")), keys) if small.count() <= FEW else join_counted(big, small, keys, rows.count())
 
 
+def _folded(bits: str, words: Column) -> Column:
+    """A sketch with so many words, of one with as many or twice as many."""
+    return F.when(F.size(bits) > words, F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+
+
+def sifted(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """pairs (u, v), own (node, n, bits). Returns (u, v, may): whether long sketches leave open that the sets have that similarity. Sizes of a pair are
+    within `percent` of each other, so its sketches have as many words or twice as many."""
+    right = own.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")).join(_few(pairs), "v")
+    both = right.join(own.select(F.col("node").alias("u"), "n", F.col("bits").alias("a")), "u")
+    words = F.least(F.size("a"), F.size("b"))
+    apart = F.aggregate(F.zip_with(_folded("a", words), _folded("b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return both.select("u", "v", ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))).alias("may")).distinct()
+
+
 def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """pairs (u, v), own (node, hashes). Returns (u, v, link): whether the whole sets have that similarity. A forest hangs many v on one u, so each v brings
-    its set to u. It gets its pairs where it is, if these are few."""
+    """pairs (u, v), own (node, n, hashes, bits). Returns (u, v, link): whether the whole sets have that similarity. Long sketches, some fiftieth of the sets'
+    bytes, refute most of those that haven't. A forest hangs many v on one u, so each v brings its set to u. It gets its pairs where it is, if these are few."""
+    seen = saved(sifted(pairs, own, percent), "sifted")
+    pairs = seen.where("may").select("u", "v")
     right = own.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(_few(pairs), "v")
     left = own.join(_few(pairs.select(F.col("u").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     both = right.join(left, "u").select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("total"))
-    return both.select("u", "v", (F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).alias("link")).distinct()
+    whole = both.select("u", "v", (F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).alias("link")).distinct()
+    return whole.unionByName(seen.where("not may").select("u", "v", F.lit(False).alias("link")))
 
 
 def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text). Returns (doc_id, n_shingles, component_id): component_id is the least doc_id that can be reached over links; two rows link
     if their sets of shingles have a Jaccard similarity of `percent` or more."""
-    found = saved(prints(docs, shingle, percent), "prints")
-    classes = found.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "keys")))
-    classes = saved(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = saved(meetings(classes), "buckets")
+    keyed = saved(prints(docs, shingle, percent), "prints")
+    found = saved(keyed.drop("keys"), "found")
+    classes = found.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("row").alias("node"), *(F.first(c).alias(c) for c in ("n", *SKETCH)))
+    classes = saved(classes.where("rep is not null"), "classes")
+    # Keys are most of what is written; what meets is little, and nothing else needs them.
+    buckets = saved(meetings(firsts(keyed, classes)), "buckets")
+    drop(keyed)
     ends = saved(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2", "n", *SKETCH), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_few(ends.select("rep").distinct()), "rep", "left_semi")
-    own = saved(members(texts, shingle).join(_few(ends.select("h1", "h2", "node")), ["h1", "h2"]).select("node", "hashes"), "members")
+    own = saved(members(texts, shingle).join(_few(ends.select("h1", "h2", "node", "n")), ["h1", "h2"]).select("node", "n", "hashes", "bits"), "members")
     hot = buckets.groupBy("key").count().where(F.col("count") > PIECE).limit(1).count() > 0
 
     links, refuted, roots, turn = None, None, None, 0

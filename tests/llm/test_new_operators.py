@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import lexical, neighbours, oracle, packing, queries, repeats, sketches, substrings, warc
+from adloom.llm import common, lexical, neighbours, oracle, packing, queries, repeats, sketches, substrings, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -205,6 +205,41 @@ def test_sketches_bound_the_difference_from_below():
             assert keys[0] & keys[1] or (a == b).all() or len(a) < bands[0]
 
 
+def test_keys_are_kept_once_a_class_and_not_to_the_end(spark, monkeypatch):
+    """Keys come from the first row of a class where they are written, whatever its number, and no table that stays has them."""
+    for few in (0, 500_000):
+        monkeypatch.setattr(sketches, "FEW", few)
+        rows = [(i, [i, -i]) for i in (0, 1, 63, 64, 127, (1 << 33) + 5, (5 << 33) + 63)]
+        found = spark.createDataFrame(rows, "row long, keys array<long>")
+        nodes = [0, 63, 127, (5 << 33) + 63]
+        got = sketches.firsts(found, spark.createDataFrame([(i,) for i in nodes], "node long"))
+        assert sorted((r.node, list(r["keys"])) for r in got.collect()) == [(i, [i, -i]) for i in nodes]
+    since = common.mark(spark)
+    sketches.join(spark.createDataFrame(chained(random.Random(5), 2, 8), "doc_id long, text string")).collect()
+    stay = common._written(spark)[since:]
+    assert stay and not any("keys" in spark.read.parquet(path).columns for path in stay)
+
+
+def test_long_sketches_refute_what_short_ones_leave_open(spark):
+    """Of sets of 900 to 1,200 members, on both sides of a power of two, none that link are refuted, and of those at a similarity of 0.8 all are."""
+    rng = np.random.default_rng(3)
+    own, pairs, links = [], [], []
+    for i, n in enumerate([900, 1000, 1022, 1030, 1100, 1200] * 4):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        keep, more = (0.97, 0.02) if i % 2 else (0.9, 0.11)
+        b = np.unique(np.append(a[rng.random(n) < keep], rng.integers(0, 1 << 62, int(n * more)).astype(np.uint64)))
+        both, whole = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        assert (100 * both >= 90 * whole) == bool(i % 2)
+        short = sketches.may_link(np.array([len(a)]), sketches.sketch(a)[None], np.array([len(b)]), sketches.sketch(b)[None], 90)
+        assert short[0] or not i % 2
+        links.append((2 * i, 2 * i + 1, bool(i % 2)))
+        own += [(2 * i + j, len(x), x.view(np.int64).tolist(), sketches.long_sketch(x).view(np.int64).tolist()) for j, x in enumerate((a, b))]
+    own = spark.createDataFrame(own, "node long, n long, hashes array<long>, bits array<long>")
+    pairs = spark.createDataFrame([x[:2] for x in links], "u long, v long")
+    assert sorted(map(tuple, sketches.sifted(pairs, own, 90).collect())) == links
+    assert sorted(map(tuple, sketches.verified(pairs, own, 90).collect())) == links
+
+
 def test_join_on_edges(spark, edge, empty):
     got = rows_of(sketches.join(edge), ["doc_id", "n_shingles", "component_id"])
     n = len(plain_set(A))
