@@ -571,3 +571,37 @@ def test_a_task_reads_a_bounded_part_of_wide_tables(spark):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_encodings_come_from_sums_of_days(spark):
+    """Encodings and the global rate from day sums are those learned from the rows, and a store needs lifts of its own columns only."""
+    from adloom.operators import marts
+    from adloom.plans.queries import LOOKUP, STORED, Frames
+
+    f = Frames(spark, SF)
+    days = [features.with_split(d, LOOKUP).where("dataset_split = 'train'") for d in (f.d_bucket, f.d_stored)]
+    got, total = features.encodings_of(*days)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, features.encodings(f.train_rows).select(*got.columns).collect()))
+    assert total.first() == features.global_ctr(f.train_rows).first()
+    assert {r[0] for r in f.d_stored.select("feature_name").distinct().collect()} == set(STORED)
+    own = marts.lifts(f.d_stored, f.m_overall)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, f.m_feature.where(F.col("feature_name").isin(STORED)).select(*own.columns).collect()))
+    assert sorted(map(tuple, f.b_bucket.collect())) == sorted(map(tuple, marts.batch_numeric_bucket(f.stg).collect()))
+
+
+def test_wide_steps_sort_and_shuffle_no_rows_twice(spark):
+    """Batches are counted without a sort of the facts, the hour of an event is computed once, and where tiles begin is found without a shuffle of all ids."""
+    from adloom.operators import marts
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [(i % 3, f"f{i % 2}", "full", i % 2, i % 5, i % 7) for i in range(60)]
+    fact = spark.createDataFrame(rows, "batch_id long, source_file string, event_batch string, click_count int, missing_numeric_count int, missing_categorical_count int")
+    got = {r.batch_id: r for r in marts.batch_overall(fact).collect()}
+    for b, r in got.items():
+        own = [x for x in rows if x[0] == b]
+        assert (r.source_file, r.impressions, r.clicks, r.avg_missing_numeric_count) == ("f1", 20, sum(x[3] for x in own), round(sum(x[4] for x in own) / 20, 6))
+    first = plan(marts.batch_overall(spark.range(9).selectExpr("id batch_id", "'f' || id source_file", "'full' event_batch", "1 click_count", "1 missing_numeric_count", "1 missing_categorical_count")))
+    assert first.rindex("HashAggregate") > first.rindex("SortAggregate") if "SortAggregate" in first else True
+    assert plan(binding.impressions(spark, SF)).count("hour(") == 1
+    starts = ranks.tile_starts(spark.range(70).selectExpr("'a' f", "id"), ["f"], "id", 7)
+    assert starts.first().starts == [10, 20, 30, 40, 50, 60] and "BroadcastHashJoin" in plan(starts)
